@@ -1,0 +1,40 @@
+"""Connected components of an edge list, without gathering anything on the driver."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from evidentia.llm.common import save
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(v, root) for every vertex of the edges (a, b) of longs; root is the smallest vertex that it reaches.
+
+    Rounds of hooking and contraction: every vertex points to its smallest neighbour if that is smaller, pointers are doubled until
+    they end, edges move to the ends. A round at least halves the vertices that are not yet alone, so the rounds are logarithmic.
+    Minima have map-side partial sums; lookups are plain joins of written tables, whose hot keys adaptive execution splits.
+    """
+    edges = save(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges")
+    labels: DataFrame | None = None
+    while not edges.isEmpty():
+        hooks = edges.groupBy(F.col("b").alias("v")).agg(F.min("a").alias("p"))
+        hooks = save(hooks, "hooks")
+        while True:
+            ends = hooks.select(F.col("v").alias("p"), F.col("p").alias("q"))
+            further = save(hooks.join(ends, "p", "left").select("v", F.coalesce("q", "p").alias("p"), F.col("q").isNotNull().alias("moved")), "hooks")
+            hooks = further.select("v", "p")
+            if further.where("moved").isEmpty():
+                break
+        to = lambda c: hooks.select(F.col("v").alias(c), F.col("p").alias(f"{c}_to"))  # noqa: E731, B023
+        moved = edges.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("a_to", "a").alias("x"), F.coalesce("b_to", "b").alias("y"))
+        edges = save(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct(), "edges")
+        if labels is None:
+            labels = hooks
+        else:
+            ends = hooks.select(F.col("v").alias("p"), F.col("p").alias("q"))
+            labels = save(labels.join(ends, "p", "left").select("v", F.coalesce("q", "p").alias("p")).unionByName(hooks), "labels")
+    if labels is None:
+        return edges.select(F.col("a").alias("v"), F.col("b").alias("root"))
+    roots = labels.select(F.col("p").alias("v")).distinct().select("v", F.col("v").alias("p"))
+    return labels.unionByName(roots).select("v", F.col("p").alias("root"))
