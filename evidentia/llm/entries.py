@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidentia.llm import chat, htmltext, langid, mips, quality, secrets, simhash, substring
+from evidentia.llm import chat, htmltext, langid, mips, mixing, pieces, quality, secrets, simhash, substring
 from evidentia.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mips.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.without_repeats(table(spark, sf_dir, "documents"))
 
@@ -37,6 +41,10 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted))
 
 
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -46,7 +54,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_rules, op3_exact_top_k, op5_substring_dedup, op6_secret_scan, op7_chat_format, op9_language_id, op10_html_extraction)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_rules, op3_exact_top_k, op4_sentencepiece, op5_substring_dedup, op6_secret_scan, op7_chat_format, op8_source_mixing, op9_language_id, op10_html_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:
