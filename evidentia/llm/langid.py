@@ -218,3 +218,26 @@ def predict(docs: DataFrame, trees: Trees | None) -> DataFrame:
 def identify(docs: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
     """Fits on the documents that are not held out and predicts all of them."""
     return predict(docs, fit(docs, fit_docs)).select("doc_id", is_held_out().alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
+#: A text whose best code takes more bits a byte than this is in none of the learned languages.
+MOST_BITS = 6.5
+
+
+def in_known_language(docs: DataFrame, fit_docs: int = FIT_DOCS, most_bits: float = MOST_BITS) -> DataFrame:
+    """``docs``, all columns, without rows that have no letter or whose best code is longer than ``most_bits`` bits a byte."""
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, fit_docs))
+
+    @F.pandas_udf("boolean")
+    def known(texts):
+        trees = sent.value
+
+        def one(text: str | None) -> bool:
+            if not trees or not text or not LETTER.search(text):
+                return False
+            raw = to_bytes(text)
+            return float(trees.score(raw).min()) <= most_bits * (len(raw) - ORDER)
+
+        return texts.map(one).astype("bool")
+
+    return docs.where(known("text"))

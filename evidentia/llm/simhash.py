@@ -16,7 +16,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.llm.common import map_chunks, save
@@ -109,7 +109,7 @@ def forest(fps: list[int], ids: list[int], radius: int) -> list[tuple[int, int]]
         return i
 
     for i, fp in enumerate(fps):
-        for j in tree.add(fp & (1 << 64) - 1, radius):
+        for j in tree.add(fp, radius):
             top[root(j)] = root(i)
     sets: dict[int, list[int]] = {}
     for i, own in enumerate(ids):
@@ -144,7 +144,7 @@ def _linked(shards: DataFrame, radius: int) -> DataFrame:
                 if (mask, value) != key:
                     out += forest(fps, ids, radius)
                     key, fps, ids = (mask, value), [], []
-                fps.append(fp)
+                fps.append(fp & (1 << 64) - 1)
                 ids.append(i)
             if len(out) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
@@ -188,3 +188,90 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = RADIUS) -> Da
     roots = components(links(points, radius))
     named = save(points.join(roots, points["id"] == roots["v"], "left").select("fp", F.coalesce("root", "id").alias("component_id")), "simhash-components")
     return rows.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# --- similarity of 0.8 or more: a longer sketch of the same kind, found by bands
+
+#: 64-bit fingerprints in a sketch, words in a shingle, least Jaccard similarity, share of pairs at that similarity that the bands must bring together.
+SKETCH, WORDS, SIMILARITY, RECALL = 8, 5, 0.8, 0.95
+#: Fingerprints that share a band by chance, about; a band with more than SHARD_ROWS is dealt by more bits.
+BY_CHANCE, SHARD_ROWS = 32, 2048
+
+
+def differing_share(similarity: float) -> float:
+    """Share of SimHash bits in which two equally large sets of this Jaccard similarity differ, on average."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def sketch(parts: list[bytes], size: int = SKETCH) -> bytes:
+    """``size`` fingerprints from one XXH64 a part: each further one is of the hash after a 64-bit finaliser."""
+    digest, counts = xxhash.xxh64_digest, np.zeros((size, BITS), np.int64)
+    for at in range(0, len(parts), SLICE):
+        h = np.frombuffer(b"".join([digest(p, SEED) for p in parts[at : at + SLICE]]), ">u8").astype(np.uint64)
+        for k in range(size):
+            counts[k] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+            h = (h ^ h >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)
+            h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+            h ^= h >> np.uint64(32)
+    return np.packbits(2 * counts > len(parts)).tobytes()
+
+
+def bands_for(documents: int, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[int, int]:
+    """Bits of a band, so that about BY_CHANCE fingerprints share one by chance, and bands, so that a pair shares one with the wanted probability."""
+    bits = min(32, max(8, int(np.ceil(np.log2(max(1, documents) / BY_CHANCE)))))
+    return bits, int(np.ceil(np.log(1 - recall) / np.log1p(-((1 - differing_share(similarity)) ** bits))))
+
+
+def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, component_id) of every row with a doc_id: near copies at an estimated Jaccard similarity of word shingles.
+
+    Sketches of 512 bits that differ in no more than the expected share of bits at ``similarity`` are linked; the standard error of the
+    similarity is 0.03 there. Sketches meet in bands, whose length follows the number of documents; a band's BK-tree follows only edges
+    within the radius. Equal sketches are one point. A crowded band is dealt again by bits of the next one: its copies are so many
+    that the other bands and their neighbours connect them.
+    """
+    radius = int(differing_share(similarity) * SKETCH * BITS) + 4
+
+    def make():
+        return lambda rows: {"doc_id": rows["doc_id"], "sketch": [sketch(shingles(t, words)) for t in rows["text"]]}
+
+    rows = save(map_chunks(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), make, "doc_id long, sketch binary"), "sketches")
+    points = save(rows.groupBy("sketch").agg(F.min("doc_id").alias("id")), "sketch-points")
+    bits, bands = bands_for(points.count(), similarity)
+    # A band is a run of bits of the sketch's binary digits, round the end; runs may overlap once they outnumber the bits.
+    step = max(1, SKETCH * BITS // bands)
+    whole = F.concat(*[F.lpad(F.conv(F.substring(F.hex("sketch"), 1 + 8 * k, 8), 16, 2), 32, "0") for k in range(2 * SKETCH)])
+    twice = points.withColumn("digits", F.concat(whole, F.substring(whole, 1, 64)))
+    band = lambda k, more=0: F.concat(F.lit(f"{k}:"), F.substring("digits", 1 + k * step % (SKETCH * BITS), bits + more))
+    keyed = twice.select("id", "sketch", F.explode(F.array(*[F.struct(F.xxhash64(band(k)).alias("band"), F.xxhash64(band(k, 8)).alias("finer")) for k in range(bands)])).alias("b")).select("id", "sketch", "b.*")
+    sizes = save(keyed.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > SHARD_ROWS), "sketch-crowds")
+    dealt = keyed.join(sizes.select("band", F.lit(True).alias("crowded")), "band", "left").select(F.when(F.col("crowded"), F.col("finer")).otherwise(F.col("band")).alias("shard"), "id", "sketch")
+
+    def run(batches):
+        key, fps, ids, out = None, [], [], []
+        for batch in batches:
+            for shard, i, s in zip(*[batch[c].to_pylist() for c in ("shard", "id", "sketch")], strict=True):
+                if shard != key or len(ids) >= 2 * SHARD_ROWS:
+                    out += forest(fps, ids, radius) if len(ids) > 1 else []
+                    key, fps, ids = shard, [], []
+                fps.append(int.from_bytes(s, "big"))
+                ids.append(i)
+            if len(out) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+                out = []
+        if out := out + (forest(fps, ids, radius) if len(ids) > 1 else []):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+
+    edges = dealt.repartition("shard").sortWithinPartitions("shard", "sketch").mapInArrow(run, "a long, b long")
+    roots = components(edges)
+    named = save(points.join(roots, points["id"] == roots["v"], "left").select("sketch", F.coalesce("root", "id").alias("component_id")), "sketch-components")
+    return rows.join(named, "sketch").select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` with the row of the smallest doc_id of each group of near copies, and one row of each id; rows without an id stay."""
+    found = save(near_copies(docs, words, similarity), "near-copies")
+    extra = found.where("doc_id <> component_id").select("doc_id").distinct()
+    turn = "__turn"
+    left = docs.join(extra, "doc_id", "left_anti").withColumn(turn, F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id")))
+    return left.where((F.col(turn) == 1) | F.col("doc_id").isNull()).select(*docs.columns)
