@@ -12,7 +12,7 @@ from evidentia.config import Params
 from evidentia.functions import dates, maths
 from evidentia.functions.hashing import hash_split, pool_pick, sha_prefix
 from evidentia.functions.text import embedding_text, jaccard, normalize_surface, safe_filename, slug, token_estimate, word_shingles
-from evidentia.operators import assembly, entities, judging, ledger, lifecycle, matching, scoring, serialization, training
+from evidentia.operators import assembly, entities, judging, ledger, lifecycle, matching, publish, scoring, serialization, training
 from evidentia.operators.iterate import save
 from evidentia.plans import fixtures as fx
 from evidentia.plans import oracle as o
@@ -715,3 +715,69 @@ def similar_items(spark, sf_dir):
     x = b.select(F.col("item_id").alias("a"), F.col("s").alias("sa"), F.explode("s").alias("k"))
     y = b.select(F.col("item_id").alias("b"), F.col("s").alias("sb"), F.explode("s").alias("k"))
     return x.join(y, "k").where("a < b").select("a", "b", r6(jaccard("sa", "sb"), "similarity")).distinct()
+
+
+# --- publishing
+
+
+@query("SELECT o_custkey, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r <= 3 GROUP BY 1")
+def last_messages(spark, sf_dir):
+    rows = fx.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("session_id"), F.col("o_orderdate").alias("ts"), F.col("o_orderkey").alias("message_id"))
+    return publish.last_messages(rows, 3).groupBy(F.col("session_id").alias("o_custkey")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT DISTINCT l_orderkey AS run_id, arg_min(l_returnflag, (l_linenumber, l_returnflag)) FILTER (l_linestatus = 'F') AS failed_gate, CAST(sum(l_linenumber) AS bigint) AS passed FROM lineitem GROUP BY 1")
+def gate_rollup(spark, sf_dir):
+    rows = fx.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("ordinal"), F.col("l_returnflag").alias("gate"), F.lit("E1").alias("error_code"), F.when(F.col("l_linestatus") == "F", "FAILED").otherwise("OK").alias("status"), F.col("l_linenumber").alias("passed"), F.lit(None).cast("long").alias("escalated"))
+    return publish.gate_rollup(rows).select("run_id", "failed_gate", F.col("passed").cast("long").alias("passed"))
+
+
+@query("SELECT o_custkey AS subject_id, CASE WHEN bool_or(o_orderpriority = '1-URGENT') THEN 'FAILED' WHEN bool_and(o_orderstatus = 'F') THEN 'READY' WHEN bool_or(o_orderstatus = 'O' AND o_orderpriority <> '1-URGENT') THEN 'RUNNING' ELSE 'WAITING' END AS phase FROM orders GROUP BY 1")
+def training_phases(spark, sf_dir):
+    status = F.when(F.col("o_orderpriority") == "1-URGENT", "FAILED").when(F.col("o_orderstatus") == "F", "DONE").when(F.col("o_orderstatus") == "O", "RUNNING").otherwise("QUEUED")
+    return publish.training_phase(fx.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("subject_id"), status.alias("status")))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size >= 10 THEN concat((p_size * 6) // 60, 'm ', (p_size * 6) % 60, 's') ELSE concat(p_size * 6, 's') END AS label FROM part")
+def duration_labels(spark, sf_dir):
+    return fx.table(spark, sf_dir, "part").select("p_partkey", publish.duration_label(F.col("p_size") * 6).alias("label"))
+
+
+@query(o.q(o.CLAIMS, "SELECT claim_id FROM claims WHERE favorability IS NOT NULL AND q % 3 = 1 AND coalesce(CASE WHEN q % 2 = 0 THEN 2 END, 1) >= 2"))
+def eligible_claims(spark, sf_dir):
+    c = fx.claims(spark, sf_dir)
+    c = c.select("claim_id", F.col("favorability").alias("score"), F.concat(F.lit("run"), (F.col("q") % 3).cast("string")).alias("score_run_id"), F.when(F.col("q") % 2 == 0, 2).alias("contract_version"))
+    return publish.eligible(c, "run1").select("claim_id")
+
+
+@query(o.q(o.CLAIMS, "SELECT claim_id FROM claims LEFT JOIN embeddings ON vec_id = doc_id WHERE vec_id IS NULL OR q % 4 = 0 ORDER BY claim_id LIMIT 50"))
+def stale_embeddings(spark, sf_dir):
+    c = fx.claims(spark, sf_dir).select("doc_id", "claim_id", F.when(F.col("q") % 4 == 0, "old").otherwise("now").alias("embedding_stamp"))
+    c = c.join(fx.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left")
+    return publish.stale_embeddings(c, "now", 50).select("claim_id")
+
+
+@query()
+def packed_chunks(spark, sf_dir):
+    rows = fx.table(spark, sf_dir, "documents").select(F.col("source").alias("asset_id"), F.col("doc_id").alias("seq"), "text")
+    return publish.packed_chunks(rows)
+
+
+@query(o.q(FACT_CTE, "SELECT subject_id, fact_id, CASE WHEN count(*) OVER (PARTITION BY subject_id) > 1 THEN coalesce(lead(fact_id) OVER (PARTITION BY subject_id ORDER BY fact_id), min(fact_id) OVER (PARTITION BY subject_id)) END AS adjacent FROM facts WHERE anchored"))
+def adjacent_anchors(spark, sf_dir):
+    _, (_, f), edges, _ = _edges(spark, sf_dir)
+    return publish.situational_chains(f, edges).select("subject_id", "fact_id", "adjacent")
+
+
+@query()
+def succession_chains(spark, sf_dir):
+    c, _, members = _members(spark, sf_dir)
+    f = save(assembly.facts(c, members), "facts")
+    s = save(assembly.succeeds(f), "succeeds")
+    return publish.chains(s, f.where("slot IS NOT NULL").select("fact_id")).select("fact_id", F.array_join("path", ">").alias("path"))
+
+
+@query()
+def fact_records(spark, sf_dir):
+    _, (_, f), edges, _ = _edges(spark, sf_dir)
+    return publish.fact_records(f, assembly.succeeds(f), edges).select("subject_id", "fact_id", "prev_fact", "next_fact", "n_corroborating")
