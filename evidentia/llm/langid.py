@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import map_chunks
+from evidentia.llm.common import map_chunks, map_slices
 
 ORDER = 3
 #: Documents of each language, on average, that the trees are counted on.
@@ -228,16 +228,15 @@ def in_known_language(docs: DataFrame, fit_docs: int = FIT_DOCS, most_bits: floa
     """``docs``, all columns, without rows that have no letter or whose best code is longer than ``most_bits`` bits a byte."""
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs, fit_docs))
 
-    @F.pandas_udf("boolean")
-    def known(texts):
+    def make():
         trees = sent.value
 
-        def one(text: str | None) -> bool:
+        def known(text: str | None) -> bool:
             if not trees or not text or not LETTER.search(text):
                 return False
             raw = to_bytes(text)
             return float(trees.score(raw).min()) <= most_bits * (len(raw) - ORDER)
 
-        return texts.map(one).astype("bool")
+        return lambda batch: batch.filter(pa.array([known(t) for t in batch["text"].to_pylist()], pa.bool_()))
 
-    return docs.where(known("text"))
+    return map_slices(docs, make, docs.schema)

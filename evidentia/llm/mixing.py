@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import map_chunks, save
+from evidentia.llm.common import map_chunks, map_slices, save
 
 DOMAINS = ("clean", "low", "toxic")
 #: Labelled documents, on average, that the classifier is fitted on; words that it may use, and in how many of them a word must be.
@@ -235,14 +235,16 @@ def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float], budget:
     model = fit_classifier(docs, labelled, fit_docs=fit_docs)
     found = fit_rates(save(score(docs, model), "mix-posteriors"), model.domains, weights, budget, max_rate)
     sent = docs.sparkSession.sparkContext.broadcast((model, found))
+    draw = "__draw"
 
-    @F.pandas_udf("double")
-    def rate(texts):
-        import pandas as pd
-
+    def make():
         model, found = sent.value
-        return pd.Series(found.rates(model.posteriors([look(t) for t in texts])))
 
-    copies = F.floor(rate("text") + dither()).cast("int")
-    taken = "__copies"
-    return docs.withColumn(taken, copies).where(F.col(taken) > 0).withColumn(taken, F.explode(F.sequence(F.lit(1), F.col(taken)))).drop(taken)
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            seen = [look(t) for t in batch["text"].to_pylist()]
+            copies = np.floor(found.rates(model.posteriors(seen)) + batch[draw].to_numpy()).astype(np.int64)
+            return batch.drop_columns([draw]).take(pa.array(np.repeat(np.arange(len(seen)), copies)))
+
+        return step
+
+    return map_slices(docs.withColumn(draw, dither()), make, docs.schema)

@@ -11,9 +11,11 @@ import hashlib
 import math
 import re
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from evidentia.llm.common import map_chunks
+from evidentia.llm.common import map_chunks, map_slices
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -149,8 +151,13 @@ def redact(text: str | None, mark: str = "[secret]") -> str | None:
 
 def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` with its columns as they are, but for secrets in ``text``, and ``n_chars`` where there is one."""
-    from pyspark.sql import functions as F
+    at = docs.columns.index("text")
 
-    clean = F.pandas_udf(lambda texts: texts.map(redact), "string")
-    out = docs.withColumn("text", clean("text"))
-    return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.lit(0).cast("long"))) if "n_chars" in docs.columns else out
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            return batch.set_column(at, batch.schema.field(at), pa.array([redact(t) for t in batch["text"].to_pylist()], batch.schema.field(at).type))
+
+        return step
+
+    out = map_slices(docs, make, docs.schema)
+    return out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")) if "n_chars" in docs.columns else out
