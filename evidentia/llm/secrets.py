@@ -1,8 +1,9 @@
 """Secret scans: fixed patterns, and a randomness test battery for tokens that no pattern names.
 
 A token's encoding is inferred from its characters. Three tests ask how well structured text could explain it: chi-squared
-uniformity over the alphabet, runs of character classes, and lag-one serial correlation. Their p-values are combined by Fisher's
-method and the tokens of one document pass a Benjamini-Hochberg step whose level grows with the token's length.
+uniformity over the alphabet, runs of character classes, and lag-one serial correlation. The two larger p-values are combined by
+Fisher's method, so no single test decides (a sorted alphabet is uniform, but not random), and the tokens of one document pass a
+Benjamini-Hochberg step whose level grows with the token's length.
 """
 
 from __future__ import annotations
@@ -71,7 +72,7 @@ def below(z: float) -> float:
 
 
 def p_structured(token: str) -> float | None:
-    """Fisher's combination of the three tests: small if structured text can't explain the token."""
+    """Fisher's combination of the two larger p-values: small only if structured text fails two of the three tests, whichever they are."""
     if not (found := encoding(token)):
         return None
     name, x = found
@@ -89,8 +90,8 @@ def p_structured(token: str) -> float | None:
     spread = sum((s - mean) ** 2 for s in x)
     serial = abs(sum((a - mean) * (b - mean) for a, b in zip(x, x[1:], strict=False)) / spread) if spread else 1.0
     p_serial = below((serial - 0.5) / math.sqrt(0.75 / n))
-    half = -sum(math.log(p) for p in (p_chi, p_runs, p_serial))
-    return math.exp(-half) * (1 + half + half * half / 2) if half < 700 else 0.0
+    half = -sum(math.log(p) for p in sorted((p_chi, p_runs, p_serial))[1:])
+    return math.exp(-half) * (1 + half) if half < 700 else 0.0
 
 
 def random_spans(text: str, taken: list[tuple[str, int, int]], level: float = LEVEL) -> list[tuple[str, int, int]]:
