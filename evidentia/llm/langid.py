@@ -70,13 +70,18 @@ def count_grams(sample: DataFrame) -> DataFrame:
 
 @dataclass
 class Trees:
-    """The frozen trees of all languages as one trie over byte classes: ``child[node, class]``, costs and escapes in bits by node and language."""
+    """The frozen trees of all languages as one trie over byte classes, costs and escapes in bits by node and language.
+
+    ``first[class]`` is the node of a byte, ``child[node, class]`` that of a longer string; 0 stands for strings that no language knows.
+    """
 
     langs: list[str]
     classes: np.ndarray
+    first: np.ndarray
     child: np.ndarray
     cost: np.ndarray
     escape: np.ndarray
+    root_escape: np.ndarray
 
     def score(self, raw: bytes) -> np.ndarray:
         """Code length in bits of the bytes after the first ORDER ones, by language."""
@@ -99,8 +104,8 @@ class Trees:
     def _piece(self, data: np.ndarray) -> np.ndarray:
         n = len(data) - ORDER
         c = self.classes[data]
-        depth = [np.zeros(len(data), np.int32)]
-        for k in range(ORDER + 1):
+        depth = [np.zeros(0, np.int32), self.first[c]]
+        for k in range(1, ORDER + 1):
             depth.append(self.child[depth[-1][: len(data) - k], c[k:]])
         bits, open_ = np.zeros((n, len(self.langs)), np.float32), np.arange(n)
         for k in range(ORDER, -1, -1):
@@ -111,7 +116,7 @@ class Trees:
             open_, start = open_[~seen], start[~seen]
             if not len(open_):
                 return bits
-            bits[open_] += self.escape[depth[k][start]] if k else self.escape[0]
+            bits[open_] += self.escape[depth[k][start]] if k else self.root_escape
         bits[open_] += UNSEEN_BITS
         return bits
 
@@ -119,34 +124,25 @@ class Trees:
 def build(langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray) -> Trees:
     """The trees of the counts of ``count_grams``; ``lang`` indexes ``langs``."""
     count = len(langs)
-    levels = []  # by length: keys, counts by language
+    levels = []  # by length: sorted keys, counts by language
     for size in range(1, ORDER + 2):
         keys, at = np.unique(gram & ((1 << 8 * size) - 1), return_inverse=True)
         levels.append((keys, np.bincount(at * count + lang, n, len(keys) * count).reshape(-1, count)))
-    seen = np.unique(levels[0][0])
+    for size in range(ORDER, 0, -1):  # contexts that were never themselves a coded string, such as the line ends before a text
+        keys, counts = levels[size - 1]
+        more = np.setdiff1d(levels[size][0] >> 8, keys)
+        order = np.argsort(keys := np.concatenate([keys, more]))
+        levels[size - 1] = keys[order], np.concatenate([counts, np.zeros((len(more), count))])[order]
+    seen = levels[0][0]
     classes = np.zeros(256, np.uint8)
     classes[seen] = np.arange(1, len(seen) + 1)
-    firsts = np.cumsum([1, *[len(k) for k, _ in levels]])
-    nodes = int(firsts[-1]) + 1
-    # A node below the last level is a context as well; every prefix of a gram is a gram that was counted, or else gets a node here.
-    index: list[dict[int, int]] = [dict(zip(k.tolist(), range(int(f), int(f) + len(k)), strict=True)) for (k, _), f in zip(levels, firsts[:-1], strict=True)]
-    extra = 0
-    for size in range(ORDER, 0, -1):
-        longer = np.fromiter(index[size].keys(), np.int64) >> 8
-        for key in np.setdiff1d(longer, levels[size - 1][0]).tolist():
-            index[size - 1][key] = nodes - 1 + extra
-            extra += 1
-    nodes += extra
-    inner = 1 + max([0, *[i for level in index[:-1] for i in level.values()]])
-    child = np.zeros((inner, int(classes.max()) + 1), np.int32)
-    for size in range(1, ORDER + 2):
-        keys = np.fromiter(index[size - 1].keys(), np.int64)
-        node = np.fromiter(index[size - 1].values(), np.int64)
-        parent = np.zeros(len(keys), np.int64) if size == 1 else np.array([index[size - 2][k] for k in (keys >> 8).tolist()], np.int64)
-        child[parent, classes[keys & 255]] = node
-    cost, escape = np.zeros((nodes, count), np.float32), np.zeros((nodes, count), np.float32)
+    starts = np.cumsum([1, *[len(k) for k, _ in levels]])
+    child = np.zeros((int(starts[ORDER]), len(seen) + 1), np.int32)
+    cost, escape = np.zeros((int(starts[-1]), count), np.float32), np.zeros((int(starts[ORDER]), count), np.float32)
+    first, root_escape = child[0].copy(), escape[0].copy()
     below = np.full((1, count), UNSEEN_BITS)
     for size, (keys, counts) in enumerate(levels, 1):
+        nodes = np.arange(starts[size - 1], starts[size])
         contexts, at = np.unique(keys >> 8, return_inverse=True)
         total, kinds = np.zeros((len(contexts), count)), np.zeros((len(contexts), count))
         np.add.at(total, at, counts)
@@ -156,10 +152,14 @@ def build(langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray) -
             own = -np.log2(counts / (total + kinds)[at])
         shorter = below[np.searchsorted(levels[size - 2][0], keys & ((1 << 8 * (size - 1)) - 1))] if size > 1 else below
         below = np.where(counts > 0, own, leave[at] + shorter)
-        cost[firsts[size - 1] : firsts[size]] = below
-        escape[[0] if size == 1 else [index[size - 2][k] for k in contexts.tolist()]] = leave
-    # Inner nodes may have higher numbers than leaves only through ``extra``; leaves are never looked up as contexts.
-    return Trees(langs, classes, child, cost, escape)
+        cost[nodes] = below
+        if size == 1:
+            first[classes[keys]], root_escape = nodes, leave[0].astype(np.float32)
+        else:
+            known = starts[size - 2] + np.searchsorted(levels[size - 2][0], contexts)
+            child[known[at], classes[keys & 255]] = nodes
+            escape[known] = leave
+    return Trees(langs, classes, first, child, cost, escape, root_escape)
 
 
 def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Trees | None:
