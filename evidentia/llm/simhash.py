@@ -227,8 +227,9 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
 
     Sketches of 512 bits that differ in no more than the expected share of bits at ``similarity`` are linked; the standard error of the
     similarity is 0.03 there. Sketches meet in bands, whose length follows the number of documents; a band's BK-tree follows only edges
-    within the radius. Equal sketches are one point. A crowded band is dealt again by bits of the next one: its copies are so many
-    that the other bands and their neighbours connect them.
+    within the radius. Equal sketches are one point. A crowded band is dealt again by bits of the next one, and a band that stays
+    crowded becomes trees of 2 * SHARD_ROWS sketches in their order. Two sketches dealt apart there meet only in other bands or through
+    common neighbours, so in a very large group of different near copies a link can be missed.
     """
     radius = int(differing_share(similarity) * SKETCH * BITS) + 4
 
