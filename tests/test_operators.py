@@ -249,6 +249,8 @@ def test_rate_limit_stream_agrees_with_batch(spark, tmp_path):
     for part in range(2):
         spark.createDataFrame([("k", i, float(i)) for i in range(part * 4, part * 4 + 4)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    # A processing-time timeout runs empty micro-batches for ever, for which processAllAvailable would wait.
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     q = limits.rate_limited_stream(stream, P).writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).start()
     q.processAllAvailable()
     q.stop()
