@@ -225,7 +225,7 @@ def bands_for(documents: int, similarity: float = SIMILARITY, recall: float = RE
 def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, component_id) of every row with a doc_id: near copies at an estimated Jaccard similarity of word shingles.
 
-    Sketches of 512 bits that differ in no more than the expected share of bits at ``similarity`` are linked; the standard error of the
+    Each text is the set of its shingles: one that occurs often counts once. Sketches of 512 bits that differ in no more than the expected share of bits at ``similarity`` are linked; the standard error of the
     similarity is 0.03 there. Sketches meet in bands, whose length follows the number of documents; a band's BK-tree follows only edges
     within the radius. Equal sketches are one point. A crowded band is dealt again by bits of the next one, and a band that stays
     crowded becomes trees of 2 * SHARD_ROWS sketches in their order. Two sketches dealt apart there meet only in other bands or through
@@ -234,7 +234,7 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
     radius = int(differing_share(similarity) * SKETCH * BITS) + 4
 
     def make():
-        return lambda rows: {"doc_id": rows["doc_id"], "sketch": [sketch(shingles(t, words)) for t in rows["text"]]}
+        return lambda rows: {"doc_id": rows["doc_id"], "sketch": [sketch(sorted(set(shingles(t, words)))) for t in rows["text"]]}
 
     rows = save(map_chunks(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), make, "doc_id long, sketch binary"), "sketches")
     points = save(rows.groupBy("sketch").agg(F.min("doc_id").alias("id")), "sketch-points")

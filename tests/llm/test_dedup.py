@@ -100,6 +100,17 @@ def test_near_copies_are_found_and_others_left(spark):
     assert all(group[got[d]] == group[d] for d in got)
 
 
+def test_a_repeated_passage_counts_once(spark):
+    r = random.Random(6)
+    word = lambda: f"w{r.randrange(100_000)}"
+    passage = [word() for _ in range(40)]
+    rows = [(i, " ".join([word() for _ in range(404)] + 20 * passage)) for i in range(6)]
+    base = [word() for _ in range(200)]
+    rows += [(10, " ".join(base + passage)), (11, " ".join(base + 15 * passage))]
+    got = dict(map(tuple, simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == {**{i: i for i in range(6)}, 10: 10, 11: 10}
+
+
 def test_one_of_each_keeps_columns_and_one_row(spark, awkward, nothing):
     kept = simhash.one_of_each(awkward)
     assert kept.columns == awkward.columns
