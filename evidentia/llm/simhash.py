@@ -11,6 +11,7 @@ stay linear in the fingerprints; components then follow on Spark.
 
 from __future__ import annotations
 
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -190,83 +191,98 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = RADIUS) -> Da
     return rows.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# --- similarity of 0.8 or more: a longer sketch of the same kind, found by bands
+# --- similarity of 0.8 or more: candidates by bands of minima, decided by their shingles
 
-#: 64-bit fingerprints in a sketch, words in a shingle, least Jaccard similarity, share of pairs at that similarity that the bands must bring together.
-SKETCH, WORDS, SIMILARITY, RECALL = 8, 5, 0.8, 0.95
-#: Fingerprints that share a band by chance, about; a band with more than SHARD_ROWS is dealt by more bits.
-BY_CHANCE, SHARD_ROWS = 32, 2048
+#: Words in a shingle, least Jaccard similarity.
+WORDS, SIMILARITY = 5, 0.8
+#: Bands and minima in a band. A pair at similarity 0.8 shares a band with probability 1 - (1 - 0.8 ** 5) ** 25 = 0.99995, however many documents there are.
+BANDS, MINIMA = 25, 5
+#: Odd factors that give each minimum its own order of the 64-bit hashes.
+FACTORS = np.array([xxhash.xxh64_intdigest(b"%d" % k, SEED) | 1 for k in range(BANDS * MINIMA)], np.uint64)
+#: Texts whose shingles a comparing task remembers.
+REMEMBERED = 64
 
 
-def differing_share(similarity: float) -> float:
-    """Share of SimHash bits in which two equally large sets of this Jaccard similarity differ, on average."""
-    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+def hashed(text: str | None, words: int) -> np.ndarray:
+    """The distinct XXH64 of the shingles of a text, in order."""
+    digest = xxhash.xxh64_digest
+    return np.unique(np.frombuffer(b"".join([digest(p, SEED) for p in shingles(text, words)]), ">u8").astype(np.uint64))
 
 
-def sketch(parts: list[bytes], size: int = SKETCH) -> bytes:
-    """``size`` fingerprints from one XXH64 a part: each further one is of the hash after a 64-bit finaliser."""
-    digest, counts = xxhash.xxh64_digest, np.zeros((size, BITS), np.int64)
-    for at in range(0, len(parts), SLICE):
-        h = np.frombuffer(b"".join([digest(p, SEED) for p in parts[at : at + SLICE]]), ">u8").astype(np.uint64)
-        for k in range(size):
-            counts[k] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-            h = (h ^ h >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)
-            h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-            h ^= h >> np.uint64(32)
-    return np.packbits(2 * counts > len(parts)).tobytes()
+def bands_of(hashes: np.ndarray) -> list[int]:
+    """A 64-bit number a band; equal sets have equal bands, and no two bands share a number. Nothing for the empty set."""
+    if not len(hashes):
+        return []
+    least = np.full(BANDS * MINIMA, np.iinfo(np.uint64).max)
+    for at in range(0, len(hashes), 1024):
+        np.minimum(least, (hashes[at : at + 1024, None] * FACTORS).min(0), out=least)
+    return [signed(xxhash.xxh64_intdigest(row.tobytes(), k)) for k, row in enumerate(least.reshape(BANDS, MINIMA))]
+
+
+def similar(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose texts (id, text) have at least this Jaccard similarity of distinct shingles."""
+    least = Fraction(str(similarity))
+
+    def run(batches):
+        known: dict[str, np.ndarray] = {}
+
+        def of(text: str) -> np.ndarray:
+            if text not in known:
+                if len(known) >= REMEMBERED:
+                    del known[next(iter(known))]
+                known[text] = hashed(text, words)
+            return known[text]
+
+        for batch in batches:
+            out = []
+            for a, b, s, t in zip(*[batch[c].to_pylist() for c in ("a", "b", "s", "t")], strict=True):
+                x, y = of(s), of(t)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if both * least.denominator >= least.numerator * (len(x) + len(y) - both):
+                    out.append((a, b))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+
+    to = lambda c, t: texts.select(F.col("id").alias(c), F.col("text").alias(t))
+    return pairs.join(to("a", "s"), "a").join(to("b", "t"), "b").mapInArrow(run, "a long, b long")
+
 
+def pairs_of(members: DataFrame, pivots: DataFrame) -> DataFrame:
+    """(a, b), a < b, of every member and pivot of a band that are not yet in one component."""
+    met = members.join(pivots.select("band", F.col("id").alias("pivot"), F.col("label").alias("other")), "band").where(F.col("label") != F.col("other"))
+    return met.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
 
-def bands_for(documents: int, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[int, int]:
-    """Bits of a band, so that about BY_CHANCE fingerprints share one by chance, and bands, so that a pair shares one with the wanted probability."""
-    bits = min(32, max(8, int(np.ceil(np.log2(max(1, documents) / BY_CHANCE)))))
-    return bits, int(np.ceil(np.log(1 - recall) / np.log1p(-((1 - differing_share(similarity)) ** bits))))
+
+def linked_in_bands(members: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(v, root) for the members (id, band) that are linked by similar pairs of one band."""
+    now = save(members.withColumn("label", F.col("id")), "band-members")
+    return components(similar(save(pairs_of(now, now), "band-pairs"), texts, words, similarity))
 
 
 def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, component_id) of every row with a doc_id: near copies at an estimated Jaccard similarity of word shingles.
+    """(doc_id, component_id) of every row with a doc_id: near copies by the exact Jaccard similarity of distinct word shingles.
 
-    Each text is the set of its shingles: one that occurs often counts once. Sketches of 512 bits that differ in no more than the expected share of bits at ``similarity`` are linked; the standard error of the
-    similarity is 0.03 there. Sketches meet in bands, whose length follows the number of documents; a band's BK-tree follows only edges
-    within the radius. Equal sketches are one point. A crowded band is dealt again by bits of the next one, and a band that stays
-    crowded becomes trees of 2 * SHARD_ROWS sketches in their order. Two sketches dealt apart there meet only in other bands or through
-    common neighbours, so in a very large group of different near copies a link can be missed.
+    Equal sets of shingles are one point. Points that share a band are candidates; a candidate pair is linked if the shingles of the two
+    texts have the similarity. Only texts that share a band with another are read again.
     """
-    radius = int(differing_share(similarity) * SKETCH * BITS) + 4
+    own = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
 
     def make():
-        return lambda rows: {"doc_id": rows["doc_id"], "sketch": [sketch(sorted(set(shingles(t, words)))) for t in rows["text"]]}
-
-    rows = save(map_chunks(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), make, "doc_id long, sketch binary"), "sketches")
-    points = save(rows.groupBy("sketch").agg(F.min("doc_id").alias("id")), "sketch-points")
-    bits, bands = bands_for(points.count(), similarity)
-    # A band is a run of bits of the sketch's binary digits, round the end; runs may overlap once they outnumber the bits.
-    step = max(1, SKETCH * BITS // bands)
-    whole = F.concat(*[F.lpad(F.conv(F.substring(F.hex("sketch"), 1 + 8 * k, 8), 16, 2), 32, "0") for k in range(2 * SKETCH)])
-    twice = points.withColumn("digits", F.concat(whole, F.substring(whole, 1, 64)))
-    band = lambda k, more=0: F.concat(F.lit(f"{k}:"), F.substring("digits", 1 + k * step % (SKETCH * BITS), bits + more))
-    keyed = twice.select("id", "sketch", F.explode(F.array(*[F.struct(F.xxhash64(band(k)).alias("band"), F.xxhash64(band(k, 8)).alias("finer")) for k in range(bands)])).alias("b")).select("id", "sketch", "b.*")
-    sizes = save(keyed.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > SHARD_ROWS), "sketch-crowds")
-    dealt = keyed.join(sizes.select("band", F.lit(True).alias("crowded")), "band", "left").select(F.when(F.col("crowded"), F.col("finer")).otherwise(F.col("band")).alias("shard"), "id", "sketch")
-
-    def run(batches):
-        key, fps, ids, out = None, [], [], []
-        for batch in batches:
-            for shard, i, s in zip(*[batch[c].to_pylist() for c in ("shard", "id", "sketch")], strict=True):
-                if shard != key or len(ids) >= 2 * SHARD_ROWS:
-                    out += forest(fps, ids, radius) if len(ids) > 1 else []
-                    key, fps, ids = shard, [], []
-                fps.append(int.from_bytes(s, "big"))
-                ids.append(i)
-            if len(out) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
-                out = []
-        if out := out + (forest(fps, ids, radius) if len(ids) > 1 else []):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
-
-    edges = dealt.repartition("shard").sortWithinPartitions("shard", "sketch").mapInArrow(run, "a long, b long")
-    roots = components(edges)
-    named = save(points.join(roots, points["id"] == roots["v"], "left").select("sketch", F.coalesce("root", "id").alias("component_id")), "sketch-components")
-    return rows.join(named, "sketch").select("doc_id", "component_id")
+        def step(rows: dict) -> dict:
+            sets = [hashed(t, words) for t in rows["text"]]
+            return {"doc_id": rows["doc_id"], "key": [xxhash.xxh128_digest(s.tobytes()) for s in sets], "bands": [bands_of(s) for s in sets]}
+
+        return step
+
+    rows = save(map_chunks(own, make, "doc_id long, key binary, bands array<long>"), "band-rows")
+    points = save(rows.groupBy("key").agg(F.min(F.struct("doc_id", "bands")).alias("p")).select("key", F.col("p.doc_id").alias("id"), "p.bands"), "band-points")
+    keyed = points.select("id", F.explode("bands").alias("band")).distinct()
+    shared = save(keyed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "bands")
+    members = save(keyed.join(shared, "band"), "band-members")
+    texts = save(own.withColumnRenamed("doc_id", "id").join(members.select("id").distinct(), "id", "left_semi"), "band-texts")
+    roots = linked_in_bands(members, texts, words, similarity)
+    named = save(points.join(roots, points["id"] == roots["v"], "left").select("key", F.coalesce("root", "id").alias("component_id")), "band-components")
+    return rows.join(named, "key").select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:

@@ -111,6 +111,42 @@ def test_a_repeated_passage_counts_once(spark):
     assert got == {**{i: i for i in range(6)}, 10: 10, 11: 10}
 
 
+def brute_near_copies(rows, k=5):
+    def parts(t):
+        w = (t or "").encode().lower().split()
+        return {b" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+    sets, top = [(d, parts(t)) for d, t in rows], list(range(len(rows)))
+
+    def root(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for i, (_, a) in enumerate(sets):
+        for j, (_, b) in enumerate(sets[:i]):
+            if root(i) != root(j) and 0.8 * max(len(a), len(b)) <= min(len(a), len(b)) and 5 * len(a & b) >= 4 * len(a | b):
+                top[root(i)] = root(j)
+    least = {}
+    for i, (d, _) in enumerate(sets):
+        least[root(i)] = min(d, least.get(root(i), d))
+    return {d: least[root(i)] for i, (d, _) in enumerate(sets)}
+
+
+def test_pairs_about_the_threshold_equal_brute_force(spark):
+    r = random.Random(7)
+    rows = []
+    for _ in range(80):
+        w = [f"w{r.randrange(50_000)}" for _ in range(r.randrange(30, 200))]
+        rows.append((len(rows), " ".join(w)))
+        for _ in range(2):
+            at = round(len(w) * r.uniform(0.75, 0.88))
+            rows.append((len(rows), " ".join(w[:at] + [f"v{r.randrange(50_000)}" for _ in range(r.randrange(round(0.15 * len(w))))])))
+    got = dict(map(tuple, simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == brute_near_copies(rows)
+    assert 100 < len(set(got.values())) < 200
+
+
 def test_one_of_each_keeps_columns_and_one_row(spark, awkward, nothing):
     kept = simhash.one_of_each(awkward)
     assert kept.columns == awkward.columns
