@@ -199,8 +199,10 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, MINIMA = 25, 5
 #: Odd factors that give each minimum its own order of the 64-bit hashes.
 FACTORS = np.array([xxhash.xxh64_intdigest(b"%d" % k, SEED) | 1 for k in range(BANDS * MINIMA)], np.uint64)
-#: Texts whose shingles a comparing task remembers.
-REMEMBERED = 64
+#: Members of a band with which all others are compared in each round; the round after these leaves out none.
+ROUNDS = (16, 128)
+#: Hashes of shingles that a comparing task remembers.
+REMEMBERED = 1 << 21
 
 
 def hashed(text: str | None, words: int) -> np.ndarray:
@@ -225,13 +227,17 @@ def similar(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -
 
     def run(batches):
         known: dict[str, np.ndarray] = {}
+        held = 0
 
         def of(text: str) -> np.ndarray:
-            if text not in known:
-                if len(known) >= REMEMBERED:
-                    del known[next(iter(known))]
-                known[text] = hashed(text, words)
-            return known[text]
+            nonlocal held
+            if (found := known.pop(text, None)) is None:
+                found = hashed(text, words)
+                held += len(found)
+            known[text] = found  # the last in use stands last
+            while held > REMEMBERED and len(known) > 2:
+                held -= len(known.pop(next(iter(known))))
+            return found
 
         for batch in batches:
             out = []
@@ -247,16 +253,36 @@ def similar(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -
     return pairs.join(to("a", "s"), "a").join(to("b", "t"), "b").mapInArrow(run, "a long, b long")
 
 
-def pairs_of(members: DataFrame, pivots: DataFrame) -> DataFrame:
-    """(a, b), a < b, of every member and pivot of a band that are not yet in one component."""
-    met = members.join(pivots.select("band", F.col("id").alias("pivot"), F.col("label").alias("other")), "band").where(F.col("label") != F.col("other"))
-    return met.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+def labelled(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members (id, band, n) of bands that are in several components, with their component and the largest of the band."""
+    now = members.join(roots, members["id"] == roots["v"], "left").select("id", "band", "n", F.coalesce("root", "id").alias("label"))
+    now = save(now, "band-labels")
+    parts = now.groupBy("band", "label").agg(F.count("*").alias("m")).groupBy("band").agg(F.count("*").alias("parts"), F.max_by("label", F.struct("m", "label")).alias("main"))
+    return save(now.join(parts.where("parts > 1").select("band", "main"), "band"), "band-open")
 
 
 def linked_in_bands(members: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(v, root) for the members (id, band) that are linked by similar pairs of one band."""
-    now = save(members.withColumn("label", F.col("id")), "band-members")
-    return components(similar(save(pairs_of(now, now), "band-pairs"), texts, words, similarity))
+    """(v, root) for the members (id, band, n, pivot) that are linked by similar pairs of a band, directly or through others.
+
+    Every pair of a band is compared, unless its ends are in one component already. A round compares all members with some of their band,
+    more each time, so that a large group of near copies is one component early; the last round compares all that are not in the
+    largest component of their band with all others.
+    """
+    tried = save(members.where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct(), "band-pairs")
+    edges = save(similar(tried, texts, words, similarity), "band-edges")
+    # A member takes its turn by a hash of its id, the same in every band, so that few different pairs are compared.
+    turn = F.pmod(F.xxhash64("id", F.lit("turn")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    for pivots in (*ROUNDS, None):
+        roots = save(components(edges), "band-roots")
+        now = labelled(members, roots)
+        if now.isEmpty():
+            return roots
+        some = now.where("label <> main") if pivots is None else now.where(turn * F.col("n") < pivots)
+        met = now.select("band", "id", "label").join(some.select("band", F.col("id").alias("pivot"), F.col("label").alias("other")), "band").where(F.col("label") != F.col("other"))
+        pairs = save(met.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "band-pairs")
+        edges = edges.unionByName(save(similar(pairs, texts, words, similarity), "band-edges"))
+        tried = tried.unionByName(pairs)
+    return components(edges)
 
 
 def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -277,7 +303,7 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
     rows = save(map_chunks(own, make, "doc_id long, key binary, bands array<long>"), "band-rows")
     points = save(rows.groupBy("key").agg(F.min(F.struct("doc_id", "bands")).alias("p")).select("key", F.col("p.doc_id").alias("id"), "p.bands"), "band-points")
     keyed = points.select("id", F.explode("bands").alias("band")).distinct()
-    shared = save(keyed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "bands")
+    shared = save(keyed.groupBy("band").agg(F.count("*").alias("n"), F.min_by("id", F.struct(F.xxhash64("id", F.lit("turn")), "id")).alias("pivot")).where("n > 1"), "bands")
     members = save(keyed.join(shared, "band"), "band-members")
     texts = save(own.withColumnRenamed("doc_id", "id").join(members.select("id").distinct(), "id", "left_semi"), "band-texts")
     roots = linked_in_bands(members, texts, words, similarity)

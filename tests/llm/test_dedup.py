@@ -116,21 +116,17 @@ def brute_near_copies(rows, k=5):
         w = (t or "").encode().lower().split()
         return {b" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
 
-    sets, top = [(d, parts(t)) for d, t in rows], list(range(len(rows)))
-
-    def root(i):
-        while top[i] != i:
-            i = top[i]
-        return i
-
-    for i, (_, a) in enumerate(sets):
-        for j, (_, b) in enumerate(sets[:i]):
-            if root(i) != root(j) and 0.8 * max(len(a), len(b)) <= min(len(a), len(b)) and 5 * len(a & b) >= 4 * len(a | b):
-                top[root(i)] = root(j)
-    least = {}
-    for i, (d, _) in enumerate(sets):
-        least[root(i)] = min(d, least.get(root(i), d))
-    return {d: least[root(i)] for i, (d, _) in enumerate(sets)}
+    least, left = {}, sorted((d, parts(t)) for d, t in rows)
+    while left:
+        first, *left = left
+        todo, least[first[0]] = [first], first[0]
+        while todo:
+            _, a = todo.pop()
+            near = [5 * len(a & b) >= 4 * len(a | b) for _, b in left]
+            todo += [x for x, n in zip(left, near, strict=True) if n]
+            least |= {d: first[0] for (d, _), n in zip(left, near, strict=True) if n}
+            left = [x for x, n in zip(left, near, strict=True) if not n]
+    return least
 
 
 def test_pairs_about_the_threshold_equal_brute_force(spark):
@@ -147,6 +143,18 @@ def test_pairs_about_the_threshold_equal_brute_force(spark):
     assert 100 < len(set(got.values())) < 200
 
 
+def test_a_crowd_of_near_copies_equals_brute_force(spark):
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(38)]
+    ends = r.sample([(f"x{i}", f"y{j}") for i in range(150) for j in range(150)], 11_000)
+    rows = [(1000 + i, " ".join([*base, *e])) for i, e in enumerate(ends)]
+    for i in range(100):  # of these the even ones reach 0.8 with few of the others, the odd ones 0.76 with all
+        rows.append((i, " ".join([*base[:2], f"z{i}", *base[3:], f"x{r.randrange(150)}" if i % 2 == 0 else f"q{i}", f"p{i}"])))
+    got = dict(map(tuple, simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()))
+    assert got == brute_near_copies(rows)
+    assert len(set(got.values())) == 51
+
+
 def test_one_of_each_keeps_columns_and_one_row(spark, awkward, nothing):
     kept = simhash.one_of_each(awkward)
     assert kept.columns == awkward.columns
