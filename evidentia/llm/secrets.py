@@ -1,9 +1,10 @@
 """Secret scans: fixed patterns, and a randomness test battery for tokens that no pattern names.
 
-A token's encoding is inferred from its characters. Three tests ask how well structured text could explain it: chi-squared
-uniformity over the alphabet, runs of character classes, and lag-one serial correlation. The two larger p-values are combined by
-Fisher's method, so no single test decides (a sorted alphabet is uniform, but not random), and the tokens of one document pass a
-Benjamini-Hochberg step whose level grows with the token's length.
+A token's encoding is inferred from its characters. Two tests ask how well structured text of that alphabet could explain it: chi-squared
+uniformity, and runs of character classes; their p-values are combined by Fisher's method. Lag-one serial correlation is a veto: a token
+whose neighbours clearly depend on each other is structured (a sorted alphabet is uniform, but not random), while words have no more of
+it than random text, so it is no evidence for a secret. The tokens of one document pass a Benjamini-Hochberg step whose level grows with
+the token's length.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("[0-9a-f]+")
 TOKEN = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 #: Alphabet size; excess of chi-squared a character and chance of a class change in structured text.
-ENCODINGS = {"hex": (16, 0.6, 0.2), "base32": (32, 1.5, 0.2), "base64": (64, 3.0, 0.25)}
+ENCODINGS = {"hex": (16, 0.6, 0.2), "base32": (32, 1.2, 0.06), "base36": (36, 1.5, 0.12), "base64": (64, 3.0, 0.3)}
 LEVEL = 0.01
+#: Lag-one serial correlation from which a token is structured; times its standard error in random text, and at least.
+CLEARLY, LEAST_CLEARLY = 4.0, 0.6
 #: Tokens of this length or more are tested at the full level.
 FULL_LENGTH = 40
 SPANS = "doc_id long, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string"
@@ -60,7 +63,7 @@ def encoding(token: str) -> tuple[str, list[int]] | None:
     body = token.rstrip("=")
     if not any(c.isdigit() for c in body) or not any(c.isalpha() for c in body):
         return None
-    for name, alphabet in (("hex", "0123456789abcdef"), ("hex", "0123456789ABCDEF"), ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")):
+    for name, alphabet in (("hex", "0123456789abcdef"), ("hex", "0123456789ABCDEF"), ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), ("base36", "0123456789abcdefghijklmnopqrstuvwxyz"), ("base36", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ")):
         if set(body) <= set(alphabet):
             return name, [alphabet.index(c) for c in body]
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
@@ -72,7 +75,7 @@ def below(z: float) -> float:
 
 
 def p_structured(token: str) -> float | None:
-    """Fisher's combination of the two larger p-values: small only if structured text fails two of the three tests, whichever they are."""
+    """Fisher's combination of two p-values; 1 for a token with a clear serial correlation."""
     if not (found := encoding(token)):
         return None
     name, x = found
@@ -89,8 +92,9 @@ def p_structured(token: str) -> float | None:
     mean = sum(x) / n
     spread = sum((s - mean) ** 2 for s in x)
     serial = abs(sum((a - mean) * (b - mean) for a, b in zip(x, x[1:], strict=False)) / spread) if spread else 1.0
-    p_serial = below((serial - 0.5) / math.sqrt(0.75 / n))
-    half = -sum(math.log(p) for p in sorted((p_chi, p_runs, p_serial))[1:])
+    if serial >= max(LEAST_CLEARLY, CLEARLY / math.sqrt(n)):
+        return 1.0
+    half = -sum(math.log(p) for p in (p_chi, p_runs))
     return math.exp(-half) * (1 + half) if half < 700 else 0.0
 
 

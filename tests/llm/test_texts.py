@@ -73,6 +73,29 @@ def test_random_tokens_are_found_and_words_left():
     assert [s for s in secrets.scan(plain)[1] if s[0] == "random"] == []
 
 
+@pytest.mark.parametrize(
+    "alphabet,least",
+    [("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", (0.75, 0.94, 0.97)), ("0123456789ABCDEF", (0.5, 0.84, 0.93)), ("abcdefghijklmnopqrstuvwxyz0123456789", (0.75, 0.95, 0.97)), ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", (0.9, 0.97, 0.98))],
+)
+def test_recall_by_encoding_and_length(alphabet, least):
+    r = random.Random(3)
+    for n, want in zip((20, 32, 40), least, strict=True):
+        tokens = ["".join(r.choice(alphabet) for _ in range(n)) for _ in range(500)]
+        assert sum(any(s[0] == "random" for s in secrets.scan(f"see {t} here")[1]) for t in tokens) >= want * 500
+
+
+def test_false_alarms_are_rare():
+    r = random.Random(4)
+    words = "the of and people would there about which their time water world house school important another between country through example system number development information history family government different question".split()
+    flagged = 0
+    for _ in range(500):
+        a, n = r.choices(words, k=5), str(r.randrange(1990, 2030))
+        for t in ("/".join([*a, n]), "-".join([n, *a]), "_".join(a).upper() + "_" + n, "".join(a) + n, "".join(w.title() for w in a) + n):
+            flagged += any(s[0] == "random" for s in secrets.scan(f"see {t} here")[1])
+    assert flagged <= 0.06 * 2500
+    assert not secrets.scan("see zyxwvutsrqponmlkjihgfedcba9876543210 and ABCDEFGHIJKLMNOPQRSTUVWXYZ234567 here")[1]
+
+
 def test_secret_rows_and_redaction(spark, awkward, nothing):
     got = rows_of(secrets.find_secrets(awkward))
     assert len(got) == 8 and all(r["spans"] == "" and r["base_sha256"] == hashlib.sha256(b"").hexdigest() for r in got)
