@@ -17,7 +17,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.llm.common import map_chunks, save
@@ -70,32 +70,37 @@ class BKTree:
         self.points: list[int] = []
         self.children: list[dict[int, int]] = []
 
-    def add(self, point: int, radius: int) -> list[int]:
-        """Adds a point; the numbers of earlier points within the radius."""
+    def near(self, point: int, radius: int) -> list[int]:
+        """The numbers of the points within the radius; only edges whose distance could lead there are followed."""
         near: list[int] = []
-        number = len(self.points)
-        if number:
-            node, stack = 0, [0]
-            while True:  # the place of the new point
-                d = (point ^ self.points[node]).bit_count()
-                if d not in self.children[node]:
-                    self.children[node][d] = number
-                    break
-                node = self.children[node][d]
-            while stack:
-                node = stack.pop()
-                if node == number:
-                    continue
-                d = (point ^ self.points[node]).bit_count()
-                if d <= radius:
-                    near.append(node)
-                kids = self.children[node]
-                if len(kids) <= 2 * radius + 1:
-                    stack += [c for e, c in kids.items() if abs(e - d) <= radius]
-                else:
-                    stack += [kids[e] for e in range(d - radius, d + radius + 1) if e in kids]
+        stack = [0] if self.points else []
+        while stack:
+            node = stack.pop()
+            d = (point ^ self.points[node]).bit_count()
+            if d <= radius:
+                near.append(node)
+            kids = self.children[node]
+            if len(kids) <= 2 * radius + 1:
+                stack += [c for e, c in kids.items() if abs(e - d) <= radius]
+            else:
+                stack += [kids[e] for e in range(d - radius, d + radius + 1) if e in kids]
+        return near
+
+    def insert(self, point: int) -> None:
+        node, number = 0, len(self.points)
+        while number:
+            d = (point ^ self.points[node]).bit_count()
+            if d not in self.children[node]:
+                self.children[node][d] = number
+                break
+            node = self.children[node][d]
         self.points.append(point)
         self.children.append({})
+
+    def add(self, point: int, radius: int) -> list[int]:
+        """Adds a point; the numbers of earlier points within the radius."""
+        near = self.near(point, radius)
+        self.insert(point)
         return near
 
 
@@ -191,7 +196,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = RADIUS) -> Da
     return rows.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# --- similarity of 0.8 or more: candidates by bands of minima, decided by their shingles
+# --- similarity of 0.8 or more: shards by minima, candidates by BK-trees over wide sketches, decided by the shingles
 
 #: Words in a shingle, least Jaccard similarity.
 WORDS, SIMILARITY = 5, 0.8
@@ -199,8 +204,12 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, MINIMA = 25, 5
 #: Odd factors that give each minimum its own order of the 64-bit hashes.
 FACTORS = np.array([xxhash.xxh64_intdigest(b"%d" % k, SEED) | 1 for k in range(BANDS * MINIMA)], np.uint64)
-#: Members of a band with which all others are compared in each round; the round after these leaves out none.
-ROUNDS = (16, 128)
+#: 64-bit parts of a sketch, and the bits in which sketches of candidates may differ: a pair at similarity 0.8 differs in 0.15 of them on average, in up to 0.19 if
+#: the texts have a few shingles only, so that the radius is over three standard deviations away.
+PARTS, SKETCH_RADIUS = 8, 128
+SALTS = np.array([xxhash.xxh64_intdigest(b"part %d" % k, SEED) for k in range(PARTS)], np.uint64)
+#: Sketches that a tree of a shard holds, and that meet a tree at once.
+SHARD_ROWS = 1024
 #: Hashes of shingles that a comparing task remembers.
 REMEMBERED = 1 << 21
 
@@ -221,6 +230,16 @@ def bands_of(hashes: np.ndarray) -> list[int]:
     return [signed(xxhash.xxh64_intdigest(row.tobytes(), k)) for k, row in enumerate(least.reshape(BANDS, MINIMA))]
 
 
+def sketch_of(hashes: np.ndarray) -> bytes:
+    """A SimHash of 64 * PARTS bits: a bit is 1 if it is set in over half of the mixed hashes."""
+    counts = np.zeros(BITS * PARTS, np.int64)
+    for at in range(0, len(hashes), 4096):
+        x = hashes[at : at + 4096, None] ^ SALTS
+        x = (x ^ x >> np.uint64(33)) * np.uint64(0xFF51AFD7ED558CCD)
+        counts += np.unpackbits((x ^ x >> np.uint64(33)).view(np.uint8), axis=1).sum(0, dtype=np.int32)
+    return np.packbits(2 * counts > len(hashes)).tobytes()
+
+
 def similar(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """The pairs (a, b) whose texts (id, text) have at least this Jaccard similarity of distinct shingles."""
     least = Fraction(str(similarity))
@@ -253,68 +272,136 @@ def similar(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -
     return pairs.join(to("a", "s"), "a").join(to("b", "t"), "b").mapInArrow(run, "a long, b long")
 
 
-def labelled(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """The members (id, band, n) of bands that are in several components, with their component and the largest of the band."""
-    now = members.join(roots, members["id"] == roots["v"], "left").select("id", "band", "n", F.coalesce("root", "id").alias("label"))
-    now = save(now, "band-labels")
-    parts = now.groupBy("band", "label").agg(F.count("*").alias("m")).groupBy("band").agg(F.count("*").alias("parts"), F.max_by("label", F.struct("m", "label")).alias("main"))
-    return save(now.join(parts.where("parts > 1").select("band", "main"), "band"), "band-open")
+def candidates(open_: DataFrame, spread: bool) -> DataFrame:
+    """Pairs (a, b) of the members (band, id, sketch, label, main) of open shards whose sketches are within the radius and whose labels differ.
+
+    The members outside the largest component of a shard become BK-trees, which are sent to all blocks of members of the shard. With
+    ``spread``, a tree and a block give a spanning forest of the labels that such pairs connect; without, all such pairs.
+    """
+    size = open_.groupBy("band").agg(F.count("*").alias("n"), F.count_if(F.col("label") != F.col("main")).alias("m"))
+    turn = lambda n: F.pmod(F.xxhash64("id", F.lit("block")), F.ceil(F.col(n) / SHARD_ROWS).cast("long")).alias("block")
+    rows = open_.join(size, "band")
+    packed = F.collect_list(F.struct("id", "label", "sketch"))
+    trees = rows.where("label <> main").select("band", turn("m"), "id", "label", "sketch").groupBy("band", "block").agg(packed.alias("tree")).drop("block")
+    blocks = rows.select("band", turn("n"), "id", "label", "sketch").groupBy("band", "block").agg(packed.alias("met")).drop("block")
+
+    def run(batches):
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for tree_rows, met in zip(batch["tree"].to_pylist(), batch["met"].to_pylist(), strict=True):
+                out += met_pairs(tree_rows, met, spread)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
 
+    return trees.join(blocks, "band").select("tree", "met").mapInArrow(run, "a long, b long").distinct()
+
+
+def met_pairs(tree_rows: list[dict], met: list[dict], spread: bool) -> list[tuple[int, int]]:
+    """Pairs of a tree's members with those that meet it; with ``spread`` only those that join two sets of labels."""
+    tree, top, out = BKTree(), {}, []
+    for r in tree_rows:
+        tree.insert(int.from_bytes(r["sketch"], "big"))
+
+    def root(x: int) -> int:
+        while (up := top.get(x, x)) != x:
+            top[x] = top.get(up, up)
+            x = up
+        return x
+
+    for r in met:
+        for at in tree.near(int.from_bytes(r["sketch"], "big"), SKETCH_RADIUS):
+            other = tree_rows[at]
+            x, y = (root(r["label"]), root(other["label"])) if spread else (r["label"], other["label"])
+            if x != y:
+                out.append((min(r["id"], other["id"]), max(r["id"], other["id"])))
+                if spread:
+                    top[x] = y
+    return out
 
-def linked_in_bands(members: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(v, root) for the members (id, band, n, pivot) that are linked by similar pairs of a band, directly or through others.
 
-    Every pair of a band is compared, unless its ends are in one component already. A round compares all members with some of their band,
-    more each time, so that a large group of near copies is one component early; the last round compares all that are not in the
-    largest component of their band with all others.
+def linked_in_shards(members: DataFrame, sketches: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(v, root) for the members (id, band, pivot) that are linked by similar pairs of a shard, directly or through others.
+
+    First all members of a shard meet one of them, the pivot, so that a large group of near copies is one component early. Then the BK-trees
+    of those outside give a forest of further candidates, and at last all candidates between different components.
     """
-    tried = save(members.where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct(), "band-pairs")
-    edges = save(similar(tried, texts, words, similarity), "band-edges")
-    # A member takes its turn by a hash of its id, the same in every band, so that few different pairs are compared.
-    turn = F.pmod(F.xxhash64("id", F.lit("turn")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    for pivots in (*ROUNDS, None):
-        roots = save(components(edges), "band-roots")
-        now = labelled(members, roots)
-        if now.isEmpty():
-            return roots
-        some = now.where("label <> main") if pivots is None else now.where(turn * F.col("n") < pivots)
-        met = now.select("band", "id", "label").join(some.select("band", F.col("id").alias("pivot"), F.col("label").alias("other")), "band").where(F.col("label") != F.col("other"))
-        pairs = save(met.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "band-pairs")
-        edges = edges.unionByName(save(similar(pairs, texts, words, similarity), "band-edges"))
+    far = F.aggregate(F.zip_with("x", "y", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, d: s + d)
+    words_of = F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda k: F.conv(F.hex(F.substring("sketch", k * 8 + 1, F.lit(8))), 16, -10).cast("long"))
+    flat = sketches.select("id", words_of.alias("w"))
+    to = lambda c, w: flat.select(F.col("id").alias(c), F.col("w").alias(w))
+    tried = members.where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+    tried = save(tried.join(to("a", "x"), "a").join(to("b", "y"), "b").where(far <= SKETCH_RADIUS).select("a", "b"), "shard-pairs")
+    roots = save(components(similar(tried, texts, words, similarity)), "shard-roots")
+    for spread in (True, False):
+        now = members.join(roots, members["id"] == roots["v"], "left").select("id", "band", F.coalesce("root", "id").alias("label"))
+        parts = now.groupBy("band", "label").agg(F.count("*").alias("m")).groupBy("band").agg(F.count("*").alias("parts"), F.max_by("label", F.struct("m", "label")).alias("main"))
+        open_ = save(now.join(parts.where("parts > 1").select("band", "main"), "band").join(sketches, "id"), "shard-open")
+        pairs = save(candidates(open_, spread).join(tried, ["a", "b"], "left_anti"), "shard-pairs")
+        edges = save(similar(pairs, texts, words, similarity), "shard-edges")
+        if not edges.isEmpty():
+            roots = save(merged(roots, edges), "shard-roots")
         tried = tried.unionByName(pairs)
-    return components(edges)
+    return roots
+
+
+def merged(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """The components (v, root) after further edges (a, b) between their members or vertices of none."""
+    to = lambda c: roots.select(F.col("v").alias(c), F.col("root").alias(f"{c}_to"))
+    lifted = edges.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("a_to", "a").alias("a"), F.coalesce("b_to", "b").alias("b"))
+    tops = save(components(lifted), "shard-tops")
+    moved = roots.join(tops.select(F.col("v").alias("root"), F.col("root").alias("top")), "root", "left").select("v", F.coalesce("top", "root").alias("root"))
+    return moved.unionByName(tops.join(roots.select("v"), "v", "left_anti"))
 
 
 def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, component_id) of every row with a doc_id: near copies by the exact Jaccard similarity of distinct word shingles.
+    """(doc_id, content, component_id, first) of every row with a doc_id: near copies by the exact Jaccard similarity of distinct word shingles.
 
-    Equal sets of shingles are one point. Points that share a band are candidates; a candidate pair is linked if the shingles of the two
-    texts have the similarity. Only texts that share a band with another are read again.
+    ``content`` is a hash of the whole row, so that different rows of one doc_id are told apart; ``component_id`` is the smallest doc_id of the
+    group, ``first`` whether the row is the one, by doc_id and content, that stands for it. Equal sets of shingles are one point. Points
+    that share a band of minima are a shard; in a shard, BK-trees over wide SimHash sketches give the candidates, and a candidate pair is
+    linked if the shingles of the two texts have the similarity. Only texts of shards are read again. Null and empty texts have the empty
+    set, and are copies of each other. An empty table gives no rows; other columns enter ``content`` only.
     """
-    own = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
+    own = docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.xxhash64(*[docs[c] for c in docs.columns]).alias("content"))
 
     def make():
         def step(rows: dict) -> dict:
             sets = [hashed(t, words) for t in rows["text"]]
-            return {"doc_id": rows["doc_id"], "key": [xxhash.xxh128_digest(s.tobytes()) for s in sets], "bands": [bands_of(s) for s in sets]}
+            return {"doc_id": rows["doc_id"], "content": rows["content"], "key": [xxhash.xxh128_digest(s.tobytes()) for s in sets], "sketch": list(map(sketch_of, sets)), "bands": list(map(bands_of, sets))}
 
         return step
 
-    rows = save(map_chunks(own, make, "doc_id long, key binary, bands array<long>"), "band-rows")
-    points = save(rows.groupBy("key").agg(F.min(F.struct("doc_id", "bands")).alias("p")).select("key", F.col("p.doc_id").alias("id"), "p.bands"), "band-points")
-    keyed = points.select("id", F.explode("bands").alias("band")).distinct()
-    shared = save(keyed.groupBy("band").agg(F.count("*").alias("n"), F.min_by("id", F.struct(F.xxhash64("id", F.lit("turn")), "id")).alias("pivot")).where("n > 1"), "bands")
-    members = save(keyed.join(shared, "band"), "band-members")
-    texts = save(own.withColumnRenamed("doc_id", "id").join(members.select("id").distinct(), "id", "left_semi"), "band-texts")
-    roots = linked_in_bands(members, texts, words, similarity)
-    named = save(points.join(roots, points["id"] == roots["v"], "left").select("key", F.coalesce("root", "id").alias("component_id")), "band-components")
-    return rows.join(named, "key").select("doc_id", "component_id")
+    rows = save(map_chunks(own, make, "doc_id long, content long, key binary, sketch binary, bands array<long>"), "near-rows")
+    points = rows.groupBy("key").agg(F.min(F.struct("doc_id", "content", "sketch", "bands")).alias("p")).select("key", "p.*")
+    points = save(points.withColumn("id", F.monotonically_increasing_id()), "near-points")
+    keyed = points.select("id", F.explode("bands").alias("band"))
+    shared = keyed.groupBy("band").agg(F.count("*").alias("n"), F.min_by("id", F.struct(F.xxhash64("id", F.lit("turn")), "id")).alias("pivot")).where("n > 1").drop("n")
+    members = save(keyed.join(shared, "band"), "near-members")
+    inside = points.join(members.select("id").distinct(), "id", "left_semi")
+    texts = save(own.join(inside.select("doc_id", "content", "id"), ["doc_id", "content"]).select("id", "text").dropDuplicates(["id"]), "near-texts")
+    roots = linked_in_shards(members, inside.select("id", "sketch"), texts, words, similarity)
+    named = points.join(roots, points["id"] == roots["v"], "left").select("key", "doc_id", "content", F.coalesce("root", "id").alias("root"))
+    named = save(named, "near-named")
+    firsts = named.groupBy("root").agg(F.min(F.struct("doc_id", "content")).alias("f"))
+    placed = save(named.select("key", "root").join(firsts, "root").select("key", "f"), "near-groups")
+    return rows.select("doc_id", "content", "key").join(placed, "key").select("doc_id", "content", F.col("f.doc_id").alias("component_id"), (F.struct("doc_id", "content") == F.struct("f.doc_id", "f.content")).alias("first"))
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with the row of the smallest doc_id of each group of near copies, and one row of each id; rows without an id stay."""
+    """``docs`` with one row of each group of near copies, that of the smallest doc_id; of several such rows the one of the smallest content hash.
+
+    Different texts under one doc_id are different documents. Rows without a doc_id stay. Only ids and hashes decide; the texts move in
+    one join with the rows that go.
+    """
+    content = "content"
+    while content in docs.columns:
+        content += "_"
     found = save(near_copies(docs, words, similarity), "near-copies")
-    extra = found.where("doc_id <> component_id").select("doc_id").distinct()
-    turn = "__turn"
-    left = docs.join(extra, "doc_id", "left_anti").withColumn(turn, F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id")))
-    return left.where((F.col(turn) == 1) | F.col("doc_id").isNull()).select(*docs.columns)
+    gone = found.where("NOT first").select("doc_id", F.col("content").alias(content)).distinct()
+    rows = docs.withColumn(content, F.xxhash64(*[docs[c] for c in docs.columns]))
+    left = rows.join(gone, ["doc_id", content], "left_anti")
+    again = save(found.where("first").groupBy("doc_id", F.col("content").alias(content)).agg(F.count("*").alias("n")).where("n > 1").drop("n"), "near-again")
+    if not again.isEmpty():
+        repeated = rows.join(again, ["doc_id", content], "left_semi").dropDuplicates(["doc_id", content])
+        left = left.join(again, ["doc_id", content], "left_anti").unionByName(repeated)
+    return left.select(*docs.columns)

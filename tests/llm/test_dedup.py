@@ -76,6 +76,10 @@ def test_masks_bring_every_close_pair_together():
             assert any(x & m == y & m for m in simhash.finer(mask, 2))
 
 
+def groups(found):
+    return dict(map(tuple, found.select("doc_id", "component_id").collect()))
+
+
 def test_near_copies_are_found_and_others_left(spark):
     r = random.Random(5)
     vocabulary = [f"w{i}" for i in range(3000)]
@@ -92,7 +96,7 @@ def test_near_copies_are_found_and_others_left(spark):
     for k in range(2):
         group[len(rows)] = 100 + k
         rows.append((len(rows), " ".join(half + [r.choice(vocabulary) for _ in range(200)])))
-    got = dict(map(tuple, simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    got = groups(simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")))
     least = {}
     for d, g in group.items():
         least.setdefault(g, d)
@@ -107,7 +111,7 @@ def test_a_repeated_passage_counts_once(spark):
     rows = [(i, " ".join([word() for _ in range(404)] + 20 * passage)) for i in range(6)]
     base = [word() for _ in range(200)]
     rows += [(10, " ".join(base + passage)), (11, " ".join(base + 15 * passage))]
-    got = dict(map(tuple, simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    got = groups(simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")))
     assert got == {**{i: i for i in range(6)}, 10: 10, 11: 10}
 
 
@@ -138,7 +142,7 @@ def test_pairs_about_the_threshold_equal_brute_force(spark):
         for _ in range(2):
             at = round(len(w) * r.uniform(0.75, 0.88))
             rows.append((len(rows), " ".join(w[:at] + [f"v{r.randrange(50_000)}" for _ in range(r.randrange(round(0.15 * len(w))))])))
-    got = dict(map(tuple, simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    got = groups(simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")))
     assert got == brute_near_copies(rows)
     assert 100 < len(set(got.values())) < 200
 
@@ -150,7 +154,7 @@ def test_a_crowd_of_near_copies_equals_brute_force(spark):
     rows = [(1000 + i, " ".join([*base, *e])) for i, e in enumerate(ends)]
     for i in range(100):  # of these the even ones reach 0.8 with few of the others, the odd ones 0.76 with all
         rows.append((i, " ".join([*base[:2], f"z{i}", *base[3:], f"x{r.randrange(150)}" if i % 2 == 0 else f"q{i}", f"p{i}"])))
-    got = dict(map(tuple, simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()))
+    got = groups(simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)))
     assert got == brute_near_copies(rows)
     assert len(set(got.values())) == 51
 
@@ -162,6 +166,29 @@ def test_one_of_each_keeps_columns_and_one_row(spark, awkward, nothing):
     assert simhash.one_of_each(nothing).count() == 0
 
 
+def test_two_texts_under_one_id_are_two_documents(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, "a b c d e f g h", 5), (1, "other words that are not near the first", 6), (2, "A B C D E F G H", 7), (3, long, 8), (3, long, 8), (4, long + " end", 9), (3, long, 9)]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, content long"))
+    assert kept.columns == ["doc_id", "text", "content"]
+    got = sorted(map(tuple, kept.collect()))
+    assert got[:2] == sorted(rows[:2]) and len(got) == 3 and got[2][:2] == (3, long)
+
+
+def test_trees_find_what_the_pivot_misses(spark):
+    r = random.Random(9)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for g in range(12):  # pairs of near copies, about 0.6 from each other across pairs
+        own = list(base)
+        for i in r.sample(range(300), 14):
+            own[i] = f"g{g}x{i}"
+        rows += [(2 * g, " ".join(own)), (2 * g + 1, " ".join([*own, f"e{g}"]))]
+    got = groups(simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got == brute_near_copies(rows)
+    assert len(set(got.values())) == 12
+
+
 # --- repeated windows
 
 
