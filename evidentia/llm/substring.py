@@ -2,7 +2,8 @@
 
 A difference cover D modulo p has, for any two positions i and j, a shift d < p that puts both i + d and j + d in D. So if two windows
 of W words agree, they share an anchor of W - p + 1 words at cover positions. Anchors are hashed only there; windows are extended, that is
-hashed whole, only round anchors that occur twice; windows whose whole hash (128 bits) occurs twice are removed.
+hashed whole, only round anchors that occur twice; windows whose XXH3 of the words' own bytes (128 bits) occurs twice are removed. Anchors have
+cheap rolling hashes, since a collision there only adds a candidate.
 
 Texts are dealt once into blocks of bounded size; the exchange serves all three passes. A block sends the distinct hashes of each
 hash range as one sorted array and gets back one bit for each: does another block have it? A passage in a third of all documents
@@ -17,6 +18,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +27,8 @@ WINDOW = 35
 BLOCK_BYTES, RANGE_BYTES = 4 << 20, 16 << 20
 # Perfect difference sets by period.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18), 57: (0, 1, 3, 13, 32, 36, 43, 52)}
-# Odd multipliers of the rolling hashes and the constants of a 64-bit finaliser.
-BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+# An odd multiplier for the rolling hash and the constants of a 64-bit finaliser.
+BASE = 0x9E3779B97F4A7C15
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 SPACE = np.zeros(256, bool)
@@ -63,8 +65,8 @@ class Words:
         self.counts = np.bincount(self.texts, minlength=len(texts)).astype(np.int64)
         self.place = np.arange(len(self.starts)) - (np.cumsum(self.counts) - self.counts)[self.texts]
 
-    def hashes(self, base: int) -> np.ndarray:
-        """A hash of each word: its bytes as a polynomial, then mixed."""
+    def hashes(self, base: int = BASE) -> np.ndarray:
+        """A hash of each word: its bytes as a polynomial, then mixed. Equal words have equal hashes; the reverse does not always hold."""
         if not len(self.starts):
             return np.zeros(0, np.uint64)
         lengths = self.ends - self.starts
@@ -73,13 +75,36 @@ class Words:
         terms = (self.data[bytes_].astype(np.uint64) + np.uint64(1)) * powers(base, int(lengths.max()))[offset]
         return mixed(np.add.reduceat(terms, np.cumsum(lengths) - lengths) ^ lengths.astype(np.uint64) * np.uint64(MIX[0]))
 
-    def windows(self, base: int, size: int, at: np.ndarray) -> np.ndarray:
-        """A hash of the ``size`` words from each given word on."""
+    def windows(self, size: int, at: np.ndarray, base: int = BASE) -> np.ndarray:
+        """A rolling hash of the ``size`` words from each given word on."""
         h = self.hashes(base)
         up, down = powers(base, len(h)), powers(pow(base, -1, 1 << 64), len(h))
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up, dtype=np.uint64)])
         return mixed((total[at + size] - total[at]) * down[at])
 
+    def digests(self, size: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Both halves of the XXH3 of the ``size`` words from each given word on, joined by one space."""
+        if not len(at):
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        used = np.zeros(len(self.starts) + 1, np.int32)
+        np.add.at(used, at, 1)
+        np.add.at(used, at + size, -1)
+        words = np.flatnonzero(np.cumsum(used[:-1]) > 0)
+        joined, ends = self.joined(words)
+        first = np.searchsorted(words, at)
+        sizes = self.ends[words] - self.starts[words]
+        digest = xxhash.xxh3_128_digest
+        raw = b"".join([digest(joined[a:b]) for a, b in zip((ends[first] - sizes[first]).tolist(), ends[first + size - 1].tolist(), strict=True)])
+        both = np.frombuffer(raw, np.uint64).reshape(-1, 2)
+        return both[:, 0].copy(), both[:, 1].copy()
+
+    def joined(self, words: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The bytes of the given words, each followed by one space, and where each ends."""
+        lengths = self.ends[words] - self.starts[words] + 1
+        data = np.where(SPACE[self.data], np.uint8(32), self.data)
+        after = np.cumsum(lengths)
+        return data[np.repeat(self.starts[words] - after + lengths, lengths) + np.arange(lengths.sum())].tobytes(), after - 1
+
     def fits(self, size: int) -> np.ndarray:
         """Whether a window from each word on ends within its text."""
         return self.place + size <= self.counts[self.texts]
@@ -92,7 +117,7 @@ def anchors(words: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
     cover[list(COVERS[p])] = True
     long = words.counts[words.texts] >= window
     at = np.flatnonzero(cover[words.place % p] & words.fits(window - p + 1) & long)
-    return at, words.windows(BASES[0], window - p + 1, at)
+    return at, words.windows(window - p + 1, at)
 
 
 def ranges(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -158,17 +183,14 @@ def near_anchors(words: Words, window: int, answers: pa.Table, n: int) -> np.nda
 def whole_windows(words: Words, window: int, answers: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Candidate windows: where they start, the distinct hashes, the place of each among them, and how often each occurs in the block."""
     at = near_anchors(words, window, answers, n)
-    return at, *distinct(words.windows(BASES[0], window, at), words.windows(BASES[1], window, at))
+    return at, *distinct(*words.digests(window, at))
 
 
 def remainder(words: Words, removed: np.ndarray) -> list[str]:
     """The digest of each text's kept words, joined by one space."""
     kept = np.flatnonzero(~removed)
-    lengths = words.ends[kept] - words.starts[kept] + 1  # a word and what follows it
-    data = np.where(SPACE[words.data], np.uint8(32), words.data)
-    places = np.repeat(words.starts[kept] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
-    joined = data[places].tobytes()
-    sizes = np.bincount(words.texts[kept], lengths, len(words.counts)).astype(np.int64)
+    joined, _ = words.joined(kept)
+    sizes = np.bincount(words.texts[kept], words.ends[kept] - words.starts[kept] + 1, len(words.counts)).astype(np.int64)
     ends = np.cumsum(sizes)
     return [hashlib.sha256(joined[e - s : max(e - s, e - 1)]).hexdigest() for e, s in zip(ends.tolist(), sizes.tolist(), strict=True)]
 
@@ -177,12 +199,12 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, block_bytes: int = BL
     """(doc_id, n_words, n_removed, kept_sha256) of every row of ``docs``.
 
     Removed is each word covered by a window of ``window`` words whose sequence also starts anywhere else, in the same text included;
-    windows are judged on the input. A null text has no words; repeated rows are texts of their own, so each repeats the other.
-    Only doc_id and text are read.
+    windows are judged on the input. A null text has no words; repeated rows are texts of their own, so each repeats the other. An empty
+    table gives no rows. Only doc_id and text are read.
     """
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).collect()[0]["n"]
     blocks, n = max(1, math.ceil(size / block_bytes)), max(1, math.ceil(size / range_bytes))
-    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks).cast("long")).alias("block")
+    block = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(blocks).cast("long")).alias("block")
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), block).repartition(blocks, "block")
     message, answer = "range long, block long, hashes binary", "block long, range long, bits binary"
 
