@@ -8,7 +8,6 @@ tree is a few MB, is broadcast, and scores every text whole.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +23,8 @@ FIT_DOCS = 1500
 #: Bytes that are scored at once; longer texts go in pieces that overlap by ORDER bytes.
 PIECE = 1 << 20
 UNSEEN_BITS = 8.0
-LETTER = re.compile(r"[^\W\d_]")
+#: Languages that are learned: those with the most documents.
+MOST_LANGS = 256
 PREDICTED = "doc_id long, lang_pred string, score double, bits_per_byte double"
 
 
@@ -33,6 +33,11 @@ def is_held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a text has a character of a letter category; fractions, superscripts and circled digits are none."""
+    return bool(text) and next(filter(str.isalpha, text), None) is not None
+
+
 def to_bytes(text: str) -> bytes:
     """Lower case, UTF-8, after as many line ends as the longest context has bytes."""
     return b"\n" * ORDER + text.lower().encode("utf-8", "replace")
@@ -162,14 +167,14 @@ def build(langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray) -
     return Trees(langs, classes, first, child, cost, escape, root_escape)
 
 
-def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Trees | None:
+def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, most_langs: int = MOST_LANGS) -> Trees | None:
     """Trees from about ``fit_docs`` documents a language among those not held out, drawn by a hash of the id; None if there are none.
 
-    Rows without text, lang or doc_id are not learned from. What reaches the driver is one count for each distinct gram of the
-    bounded sample.
+    Rows without text, lang or doc_id are not learned from, nor are languages beyond the ``most_langs`` with the most documents. What
+    reaches the driver is one count for each distinct gram of the bounded sample.
     """
     known = docs.select("doc_id", "lang", "text").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~is_held_out())
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()}
     if not sizes:
         return None
     langs = sorted(sizes)
@@ -195,7 +200,7 @@ def predict(docs: DataFrame, trees: Trees | None) -> DataFrame:
 
         def step(rows: dict) -> dict:
             lang, score, bits = ["und"] * len(rows["text"]), [0.0] * len(rows["text"]), [0.0] * len(rows["text"])
-            told = [i for i, t in enumerate(rows["text"]) if trees and t and LETTER.search(t)]
+            told = [i for i, t in enumerate(rows["text"]) if trees and has_letter(t)]
             raw = [to_bytes(rows["text"][i]) for i in told]
             short = [k for k, r in enumerate(raw) if len(r) <= PIECE // 8]
             lengths = np.zeros((len(raw), len(trees.langs) if trees else 1))
@@ -225,14 +230,17 @@ MOST_BITS = 6.5
 
 
 def in_known_language(docs: DataFrame, fit_docs: int = FIT_DOCS, most_bits: float = MOST_BITS) -> DataFrame:
-    """``docs``, all columns, without rows that have no letter or whose best code is longer than ``most_bits`` bits a byte."""
+    """``docs``, all columns, without rows that have no letter or whose best code is longer than ``most_bits`` bits a byte.
+
+    A null or empty text has no letter. Repeated rows stay repeated, an empty table stays empty; without labelled rows nothing is known.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs, fit_docs))
 
     def make():
         trees = sent.value
 
         def known(text: str | None) -> bool:
-            if not trees or not text or not LETTER.search(text):
+            if not trees or not has_letter(text):
                 return False
             raw = to_bytes(text)
             return float(trees.score(raw).min()) <= most_bits * (len(raw) - ORDER)
