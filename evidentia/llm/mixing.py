@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.llm.common import map_chunks, map_slices, save
@@ -22,7 +22,7 @@ DOMAINS = ("clean", "low", "toxic")
 #: Labelled documents, on average, that the classifier is fitted on; words that it may use, and in how many of them a word must be.
 FIT_DOCS, FIT_WORDS, LEAST_DOCS = 4000, 4096, 4
 WEIGHTS = {"clean": 0.9, "low": 0.05, "toxic": 0.05}
-STEPS, PULL, MAX_RATE = 16, 1e-3, 4.0
+STEPS, PULL, MAX_RATE = 32, 1e-3, 4.0
 SHAPES = ("symbols", "bangs", "bars", "upper", "few_kinds", "short", "repeated_lines")
 _PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 _CAPITALS = bytes(range(65, 91))
@@ -74,7 +74,8 @@ class Classifier:
 def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: tuple[str, ...] = DOMAINS, fit_docs: int = FIT_DOCS) -> Classifier:
     """Fits on about ``fit_docs`` rows of ``labelled`` (doc_id, domain), drawn by a hash of the id, joined to their whole texts.
 
-    The sample is the only thing broadcast to the join and collected from it; its size has that bound at any input size.
+    The sample is the only thing broadcast to the join; its size has that bound at any input size. Words are counted and chosen on Spark,
+    so that the driver gets FIT_WORDS words and, for each document of the sample, which of them it has.
     """
     known = labelled.where(F.col("domain").isin(*domains) & F.col("doc_id").isNotNull()).select("doc_id", "domain")
     share = fit_docs / max(1, known.count())
@@ -87,25 +88,27 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: tuple[str, ...
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(rows["doc_id"], pa.int64()), "domain": pa.array(rows["domain"], pa.string()), "words": pa.array([sorted(w) for _, w, _ in seen], pa.list_(pa.binary())), "shapes": pa.array([s for _, _, s in seen], pa.list_(pa.int32()))})
 
     met = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(sample), "doc_id").select("doc_id", "domain", "text")
-    got = met.mapInArrow(features, "doc_id long, domain string, words array<binary>, shapes array<int>").toArrow().sort_by([("doc_id", "ascending"), ("domain", "ascending")])
-    y = np.array([domains.index(d) for d in got["domain"].to_pylist()], int)
-    if len(set(y.tolist())) < 2:
+    seen = save(met.mapInArrow(features, "doc_id long, domain string, words array<binary>, shapes array<int>"), "mix-sample")
+    sizes = {r["domain"]: r["n"] for r in seen.groupBy("domain").agg(F.count("*").alias("n")).collect()}
+    if len(sizes) < 2:
         return Classifier(domains)
-    texts, shapes = got["words"].to_pylist(), got["shapes"].to_pylist()
-    counts: dict[bytes, np.ndarray] = {}
-    for words, k in zip(texts, y, strict=True):
-        for w in words:
-            counts.setdefault(w, np.zeros(len(domains)))[k] += 1
-    size = np.bincount(y, minlength=len(domains)) + 1.0
-    often = [(w, c) for w, c in counts.items() if c.sum() >= LEAST_DOCS]
-    rates = np.array([(c + 0.5) / size for _, c in often]) if often else np.zeros((0, len(domains)))
-    spread = (rates.max(1) - rates.min(1)) * np.log(rates.max(1) / rates.min(1)) if len(often) else np.zeros(0)
-    chosen = sorted(range(len(often)), key=lambda i: (-spread[i], often[i][0]))[:FIT_WORDS]
-    words = {often[i][0]: len(SHAPES) + k for k, i in enumerate(chosen)}
+    rates = [(F.count_if(F.col("domain") == d) + 0.5) / F.lit(sizes.get(d, 0) + 1.0) for d in domains]
+    often = seen.select("domain", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"), *[r.alias(f"r{k}") for k, r in enumerate(rates)]).where(F.col("n") >= LEAST_DOCS)
+    most, least = (f(*[F.col(f"r{k}") for k in range(len(domains))]) for f in (F.greatest, F.least))
+    chosen = often.orderBy(F.round((most - least) * F.log(most / least), 9).desc(), "word").limit(FIT_WORDS).select("word").collect()
+    words = {bytes(r["word"]): len(SHAPES) + k for k, r in enumerate(chosen)}
+
+    def placed(batches):
+        for batch in batches:
+            rows = batch.to_pydict()
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(rows["doc_id"], pa.int64()), "domain": pa.array(rows["domain"], pa.string()), "at": pa.array([marks + sorted(words[w] for w in own if w in words) for own, marks in zip(rows["words"], rows["shapes"], strict=True)], pa.list_(pa.int32()))})
+
+    got = seen.mapInArrow(placed, "doc_id long, domain string, at array<int>").toArrow().sort_by([("doc_id", "ascending"), ("domain", "ascending")])
+    y = np.array([domains.index(d) for d in got["domain"].to_pylist()], int)
     x = np.zeros((len(y), len(SHAPES) + len(words) + 1), np.float32)
     x[:, -1] = 1
-    for i, (own, marks) in enumerate(zip(texts, shapes, strict=True)):
-        x[i, marks + [words[w] for w in words.keys() & set(own)]] = 1
+    for i, at in enumerate(got["at"].to_pylist()):
+        x[i, at] = 1
     target = np.eye(len(domains), dtype=np.float32)[y]
     weights, speed = np.zeros((x.shape[1], len(domains)), np.float32), np.zeros((x.shape[1], len(domains)), np.float32)
     square = np.full_like(weights, 1e-8)
@@ -153,6 +156,13 @@ class Mix:
     max_rate: float
     totals: dict[str, float]
     targets: dict[str, float]
+    converged: bool = True
+
+    def report(self, spark: SparkSession) -> DataFrame:
+        """(domain, target, total, gap, steps, converged): expected tokens wanted and reached, and the gap as a share of all wanted."""
+        wanted = sum(self.targets.values()) or 1.0
+        rows = [(d, self.targets[d], self.totals[d], (self.totals[d] - self.targets[d]) / wanted, len(self.history), self.converged) for d in self.domains]
+        return spark.createDataFrame(rows, "domain string, target double, total double, gap double, steps int, converged boolean")
 
     def rates(self, p: np.ndarray) -> np.ndarray:
         return rates_after(p, self.history, self.pull, self.max_rate)[0]
@@ -161,8 +171,9 @@ class Mix:
 def fit_rates(scored: DataFrame, domains: tuple[str, ...], weights: dict[str, float], budget: float | str = 1.0, max_rate: float = MAX_RATE, steps: int = STEPS, pull: float = PULL) -> Mix:
     """Rates whose expected totals are ``weights`` of the budget, a multiple of all tokens.
 
-    A budget "keep:<domain>" is the one at which that domain's own tokens are a little short of its share, so that with
-    max_rate 1 its documents stay at rate 1 and the others are thinned. Without tokens every rate is 1.
+    A budget "keep:<domain>" is the one at which that domain's own tokens are a twentieth short of its share, so that with max_rate 1 its
+    documents stay at rate 1 and the others are thinned: the shares of the others are met, this domain's total stays short by that
+    twentieth, which ``Mix.report`` shows. Without tokens every rate is 1.
     """
     share = np.array([weights[d] for d in domains], float)
     share = share / share.sum()
@@ -197,12 +208,12 @@ def fit_rates(scored: DataFrame, domains: tuple[str, ...], weights: dict[str, fl
     target = share * budget
     inverse = np.linalg.inv(moments / tokens + 1e-6 * np.eye(size))
     history: list[np.ndarray] = []
-    for _ in range(steps):
+    converged = False
+    while not converged and len(history) < steps:
         history.append(inverse @ ((totals(history, 1) if history else now) / tokens - target))
-        if len(history) > 2 and np.abs(history[-1] - history[-2]).max() < 1e-4:
-            break
+        converged = len(history) > 2 and float(np.abs(history[-1] - history[-2]).max()) < 1e-4
     end = totals(history, 0)
-    return Mix(domains, history, pull, max_rate, dict(zip(domains, end.tolist(), strict=True)), dict(zip(domains, (target * tokens).tolist(), strict=True)))
+    return Mix(domains, history, pull, max_rate, dict(zip(domains, end.tolist(), strict=True)), dict(zip(domains, (target * tokens).tolist(), strict=True)), converged)
 
 
 def dither(doc_id: str = "doc_id") -> Column:
@@ -210,16 +221,20 @@ def dither(doc_id: str = "doc_id") -> Column:
     return F.pmod(F.xxhash64(F.col(doc_id), F.lit("take")), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
+def solved(docs: DataFrame, labels: DataFrame, weights: dict[str, float], budget: float | str, max_rate: float, fit_docs: int = FIT_DOCS) -> tuple[Classifier, DataFrame, Mix]:
+    """The classifier, the scored documents (doc_id, n_tokens, p) and the fitted rates."""
+    model = fit_classifier(docs, labels.select("doc_id", domain_of().alias("domain")), fit_docs=fit_docs)
+    scored = save(score(docs, model), "mix-posteriors")
+    return model, scored, fit_rates(scored, model.domains, weights, budget, max_rate)
+
+
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS, budget: float | str = 1.0, max_rate: float = MAX_RATE, fit_docs: int = FIT_DOCS) -> DataFrame:
     """(doc_id, n_tokens, p_<domain>..., rate, copies) of every document.
 
-    Repeated rows are documents of their own; rows of ``labels`` without a label, or for unknown documents, teach nothing. Without any labelled
-    document the posteriors are uniform. An empty table gives no rows.
+    Repeated rows are documents of their own; null and empty texts have no tokens; rows of ``labels`` without a label, or for unknown
+    documents, teach nothing. Without any labelled document the posteriors are uniform. An empty table gives no rows.
     """
-    labelled = labels.select("doc_id", domain_of().alias("domain"))
-    model = fit_classifier(docs, labelled, fit_docs=fit_docs)
-    scored = save(score(docs, model), "mix-posteriors")
-    found = fit_rates(scored, model.domains, weights, budget, max_rate)
+    model, scored, found = solved(docs, labels, weights, budget, max_rate, fit_docs)
 
     def make():
         return lambda rows: rows | {"rate": found.rates(np.array(rows["p"]).reshape(len(rows["p"]), -1)).tolist()}
@@ -230,12 +245,15 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS,
 
 
 def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float], budget: float | str, max_rate: float, fit_docs: int = FIT_DOCS) -> DataFrame:
-    """``docs`` with all its columns, each row as often as its rate says; texts are scored again in place rather than joined."""
-    labelled = labels.select("doc_id", domain_of().alias("domain"))
-    model = fit_classifier(docs, labelled, fit_docs=fit_docs)
-    found = fit_rates(save(score(docs, model), "mix-posteriors"), model.domains, weights, budget, max_rate)
+    """``docs`` with all its columns, each row as often as its rate says; texts are scored again in place rather than joined.
+
+    Null and empty texts have no tokens and a rate like others; rows of a null doc_id draw alike; an empty table stays empty.
+    """
+    model, _, found = solved(docs, labels, weights, budget, max_rate, fit_docs)
     sent = docs.sparkSession.sparkContext.broadcast((model, found))
-    draw = "__draw"
+    draw = "draw"
+    while draw in docs.columns:
+        draw += "_"
 
     def make():
         model, found = sent.value
