@@ -53,12 +53,26 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages"))
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy decides, from the failure bits of all documents."""
+    return quality.ablations(quality.ledger(table(spark, sf_dir, "documents")))
+
+
+def source_mix_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected tokens of each domain after the mix of op8, against its targets."""
+    _, _, found = mixing.solved(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), mixing.WEIGHTS, 1.0, mixing.MAX_RATE)
+    return found.report(spark)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_rules, op3_exact_top_k, op4_sentencepiece, op5_substring_dedup, op6_secret_scan, op7_chat_format, op8_source_mixing, op9_language_id, op10_html_extraction)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_rules, op3_exact_top_k, op4_sentencepiece, op5_substring_dedup, op6_secret_scan, op7_chat_format, op8_source_mixing, op9_language_id, op10_html_extraction, quality_ablations, source_mix_totals)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": OP2_SQL}
+    parts = []
+    for p in quality.POLICIES.values():
+        parts += [f"SELECT '{p.version}' AS policy, '{r}' AS rule, count(*) FILTER (failed & {p.mask} <> 0) AS n_rejected, count(*) FILTER (failed & {quality.BIT[r]} <> 0) AS n_failing, count(*) FILTER (failed & {p.mask} = {quality.BIT[r]}) AS n_by_it_alone FROM ledger" for r in p.rules]
+    return {"op2_quality_rules": OP2_SQL, "op3_exact_top_k": OP3_SQL, "op5_substring_dedup": OP5_SQL, "op7_chat_format": OP7_SQL, "quality_ablations": f"WITH ledger AS ({OP2_SQL})\n" + "\nUNION ALL ".join(parts)}
 
 
 OP2_SQL = r"""
@@ -72,8 +86,8 @@ s AS (SELECT r, w[i] AS x, i - row_number() OVER (PARTITION BY r, w[i] ORDER BY
 m AS (SELECT r, max(n) AS max_run FROM (SELECT r, x, island, count(*) AS n FROM s GROUP BY r, x, island) GROUP BY r),
 a AS (SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars,
              len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines,
-             coalesce(n_repeat_words, 0) AS n_repeat_words, len(l) AS n_lines, len(regexp_extract_all(text, '[A-ZÀ-ÖØ-Þ]')) AS n_upper,
-             len(regexp_extract_all(text, '[A-Za-zÀ-ÖØ-öø-ÿ]')) AS n_letters, len(list_filter(w, lambda x: x = '|')) AS n_bars, coalesce(max_run, 0) AS max_run
+             coalesce(n_repeat_words, 0) AS n_repeat_words, len(l) AS n_lines, len(regexp_extract_all(text, '\p{Lu}')) AS n_upper,
+             len(regexp_extract_all(text, '\p{L}')) AS n_letters, len(list_filter(w, lambda x: x = '|')) AS n_bars, coalesce(max_run, 0) AS max_run
       FROM w LEFT JOIN c USING (r) LEFT JOIN m USING (r)),
 f AS (SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
              CASE WHEN n_words < 10 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END
@@ -85,3 +99,28 @@ SELECT doc_id, cast(n_words AS bigint) AS n_words, cast(word_chars AS bigint) AS
        cast(n_dup_lines AS bigint) AS n_dup_lines, cast(n_repeat_words AS bigint) AS n_repeat_words, base_failed, failed = 0 AS kept, cast(failed AS bigint) AS failed
 FROM f
 """
+
+OP3_SQL = """
+WITH e AS (SELECT vec_id, list_transform(embedding::double[], lambda x: floor(256 * x)) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, e.vec_id, list_dot_product(q.v, e.v) AS score FROM (SELECT DISTINCT vec_id, v FROM e WHERE vec_id % 50 = 0) q JOIN e ON e.vec_id <> q.vec_id AND len(e.v) = len(q.v))
+SELECT query_id, cast(rank AS int) AS rank, vec_id, cast(score AS bigint) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
+OP5_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+x AS (SELECT r, i, w[i] AS word, CASE WHEN i + 34 <= len(w) THEN array_to_string(w[i:i + 34], ' ') END AS k FROM p),
+c AS (SELECT r, i, word, coalesce(k IS NOT NULL AND count(*) OVER (PARTITION BY k) > 1, false) AS again FROM x),
+g AS (SELECT r, i, word, max(again) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM c),
+t AS (SELECT r, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM g GROUP BY r)
+SELECT doc_id, cast(len(w) AS bigint) AS n_words, cast(coalesce(n_removed, 0) AS bigint) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN t USING (r)
+"""
+
+OP7_SQL = r"""
+WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, i, role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(i, role)),
+e AS (SELECT *, length(text) + len(regexp_extract_all(text, '\\|</?s>|\[/?(?:INST|SYS|ROLE)\]|\[/TURN\]')) AS n, length(role) + len(regexp_extract_all(role, '\\|</?s>|\[/?(?:INST|SYS|ROLE)\]|\[/TURN\]')) AS m FROM t)
+SELECT conv_id, cast(count(*) AS bigint) AS n_turns, sha256(string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY turn)) AS turns_sha256,
+       cast(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS bigint) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       cast(3 + sum(CASE role WHEN 'user' THEN n + 15 WHEN 'assistant' THEN n + 4 WHEN 'system' THEN n + 11 ELSE m + n + 20 END) AS bigint) AS formatted_chars FROM e GROUP BY conv_id
+"""

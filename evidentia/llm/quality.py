@@ -10,6 +10,7 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +19,9 @@ from evidentia.llm.common import map_chunks
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_bars", "max_run")
 LEDGER = "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES)
 SYMBOLS = re.compile(r"[#*$%&|<>]")
-LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]")
-UPPER = re.compile("[A-ZÀ-ÖØ-Þ]")
+LETTERS, UPPER = regex.compile(r"\p{L}"), regex.compile(r"\p{Lu}")
+_LETTERS = bytes(b for b in range(128) if chr(b).isalpha())
+_CAPITALS = bytes(b for b in range(128) if chr(b).isupper())
 
 #: Name and failure condition of every rule; the position is its bit. Bits are only ever appended.
 RULES: tuple[tuple[str, str], ...] = (
@@ -88,8 +90,8 @@ def measure(text: str | None) -> tuple[int, ...]:
     words = raw.split()
     lines = [x for x in raw.split(b"\n") if x.split(None, 1)]
     word_chars = len(text) - sum(map(text.count, " \t\n\v\f\r"))
-    letters = len(LETTERS.findall(text))
-    return (len(words), word_chars, len(SYMBOLS.findall(text)), len(lines) - len(set(lines)), repeated_words(words), len(lines), len(UPPER.findall(text)), letters, words.count(b"|"), longest_run(words))
+    letters, upper = (len(raw) - len(raw.translate(None, _LETTERS)), len(raw) - len(raw.translate(None, _CAPITALS))) if text.isascii() else (len(LETTERS.findall(text)), len(UPPER.findall(text)))
+    return (len(words), word_chars, len(SYMBOLS.findall(text)), len(lines) - len(set(lines)), repeated_words(words), len(lines), upper, letters, words.count(b"|"), longest_run(words))
 
 
 def ledger(docs: DataFrame) -> DataFrame:
