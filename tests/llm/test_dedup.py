@@ -234,7 +234,17 @@ def test_windows_of_random_texts(spark, block):
     assert got_windows(df, block_bytes=block, range_bytes=1000) == brute_windows([*rows, (0, rows[-1][1])])
 
 
+def test_words_that_collide_under_any_multiplier_stay_apart(spark):
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    b = a.translate(str.maketrans("ab", "ba"))
+    words = substring.Words([a.encode(), b.encode()])
+    assert words.hashes()[0] == words.hashes()[1]
+    before, after = [f"u{i}" for i in range(20)], [f"v{i}" for i in range(14)]
+    rows = [(1, " ".join([*before, a, *after])), (2, " ".join([*before, b, *after])), (3, " ".join([*before, a, *after, "more"]))]
+    assert got_windows(spark.createDataFrame(rows, "doc_id long, text string")) == brute_windows(rows)
+
+
 def test_windows_of_awkward_rows(spark, awkward, nothing):
-    rows = [(r["doc_id"], r["text"]) for r in awkward.where("doc_id IS NULL OR doc_id <> 4").collect()]
-    assert got_windows(awkward.where("doc_id IS NULL OR doc_id <> 4")) == brute_windows(rows)
+    rows = [(r["doc_id"], r["text"]) for r in awkward.collect()]
+    assert got_windows(awkward) == brute_windows(rows)
     assert got_windows(nothing) == []

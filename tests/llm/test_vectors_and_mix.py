@@ -1,6 +1,8 @@
 """Exact search against brute force, mixing against its targets, the pipeline against its stages."""
 
+import math
 import sys
+from fractions import Fraction
 from pathlib import Path
 
 import numpy as np
@@ -13,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def brute_top(vectors, queries, k=5):
-    ints = lambda v: [int(np.floor(256 * float(x))) for x in v]
+    ints = lambda v: [math.floor(256 * Fraction(float(x))) for x in v]
     good = lambda v: v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v)
     rows = [(i, ints(v)) for i, v in vectors if good(v)]
     out = set()
@@ -37,6 +39,31 @@ def test_search_with_ties_gaps_and_odd_vectors(spark, shard, block):
     assert set(map(tuple, got.collect())) == brute_top(rows, [x for x in rows if x[0] % 50 == 0])
 
 
+def test_search_with_components_of_any_size(spark):
+    r = np.random.default_rng(4)
+    rows = [(1, [70000.0, 1.0]), (50, [1.0, 2.0]), (3, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert set(map(tuple, mips.top_k(df, df.where("vec_id = 50")).collect())) == brute_top(rows, rows[1:2])
+    near = 2.0**16 - 2.0**-8
+    rows = [(i, [float(x) for x in near - r.integers(0, 3, 64) * 2.0**-8]) for i in range(60)]
+    rows += [(100 + i, [float(x) for x in r.normal(size=64) * 10.0 ** r.integers(-3, 9)]) for i in range(60)] + [(200 + i, [float(x) for x in r.normal(size=64)]) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = {(q, k, v, min(max(s, -(2**63) + 1), 2**63 - 1)) for q, k, v, s in brute_top(rows, [x for x in rows if x[0] % 25 == 0])}
+    for shard in (40, 16384):
+        assert set(map(tuple, mips.top_k(df, df.where("vec_id % 25 = 0"), shard_rows=shard, block_queries=4).collect())) == want
+
+
+def test_distant_shards_are_skipped(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    centers = r.normal(size=(8, 16)) * 20
+    rows = [(i, [float(x) for x in centers[i % 8] + r.normal(size=16) * 0.1]) for i in range(1600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = mips.top_k(df, df.where("vec_id % 50 = 0"), shard_rows=200, block_queries=10)
+    assert set(map(tuple, got.collect())) == brute_top(rows, [x for x in rows if x[0] % 50 == 0])
+    top = mips.cells(np.array([x for _, x in rows]), 8)
+    assert top[1] == 8 and len({tuple(sorted(set(mips.cell_of(top[0], np.array([x for i, x in rows if i % 8 == k]))))) for k in range(8)}) == 8
+
+
 def test_search_of_nothing(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert mips.top_k(df, df).count() == 0
@@ -44,11 +71,11 @@ def test_search_of_nothing(spark):
 
 def test_tree_bounds_hold():
     r = np.random.default_rng(2)
-    rows = r.integers(-50, 50, (2000, 8)).astype(float)
+    rows = r.integers(-50, 50, (2000, 8)) / 256
     tree = mips.build_tree(np.arange(2000), rows)
     for (a, b), c, radius in zip(tree["spans"], tree["centers"], tree["radii"], strict=True):
         q = r.normal(size=8)
-        assert (tree["rows"][a:b] @ q).max() <= q @ c + np.linalg.norm(q) * radius + 1e-6
+        assert (mips.integers(tree["x"][a:b]) @ q).max() <= q @ c + np.linalg.norm(q) * radius + 1e-6
 
 
 def test_totals_meet_targets(spark):
@@ -63,6 +90,37 @@ def test_totals_meet_targets(spark):
     assert got.join(labels, "doc_id").agg(F.avg((best == F.col("domain")).cast("int"))).first()[0] > 0.9
 
 
+def test_the_classifier_on_labels_it_has_not_seen(spark):
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    labels = spark.read.parquet(f"{d}/labels.parquet").select("doc_id", mixing.domain_of().alias("domain"))
+    seen = F.pmod(F.xxhash64("doc_id", F.lit("held out")), F.lit(4)) > 0
+    scored = mixing.score(docs, mixing.fit_classifier(docs, labels.where(seen)))
+    best = F.array_position("p", F.array_max("p")) - 1
+    hit = scored.join(labels.where(~seen), "doc_id").agg(F.avg((F.element_at(F.array(*map(F.lit, mixing.DOMAINS)), (best + 1).cast("int")) == F.col("domain")).cast("int"))).first()[0]
+    assert hit > 0.9
+
+
+def test_totals_are_reported(spark):
+    rows = {r["domain"]: r for r in entries.source_mix_totals(spark, "/root/testdata/sf0.01").collect()}
+    assert rows.keys() == set(mixing.DOMAINS) and all(abs(r["gap"]) < 0.01 and r["converged"] for r in rows.values())
+
+
+def test_rates_against_a_plain_solver():
+    r = np.random.default_rng(6)
+    p, n = r.dirichlet([1, 1, 1], 40), r.integers(1, 50, 40).astype(float)
+    target = np.array([0.5, 0.3, 0.2]) * n.sum()
+    moments = (p * n[:, None]).T @ p / n.sum() + 1e-6 * np.eye(3)
+    inverse, history = np.linalg.inv(moments), []
+    for _ in range(60):
+        at = mixing.rates_after(p, history, 1e-3, 1.5)[1] if history else np.ones(40)
+        history.append(inverse @ (((at * n) @ p - target) / n.sum()))
+    rate = mixing.rates_after(p, history, 1e-3, 1.5)[0]
+    cost = lambda x: float((((x * n) @ p - target) / n.sum()) @ inverse @ (((x * n) @ p - target) / n.sum()) + 1e-3 * (n * (x - 1) ** 2).sum() / n.sum())
+    for _ in range(300):
+        assert cost(rate) <= cost(np.clip(rate + r.normal(size=40) * 10.0 ** -r.integers(1, 5), 0, 1.5)) + 1e-7
+
+
 def test_history_gives_the_projected_rates():
     r = np.random.default_rng(3)
     p = r.dirichlet([1, 1, 1], 50)
@@ -79,6 +137,8 @@ def test_awkward_mixing(spark, awkward, nothing):
     assert got.count() == 8 and got.where("abs(p_clean - 1/3) > 1e-9").count() == 0
     assert mixing.mix(nothing, none).count() == 0
     assert mixing.mixed(awkward, none, mixing.WEIGHTS, 1.0, 2.0).columns == awkward.columns
+    clash = awkward.withColumn("draw", F.lit(5.0))
+    assert {r["draw"] for r in mixing.mixed(clash, none, mixing.WEIGHTS, 1.0, 2.0).collect()} <= {5.0}
 
 
 def test_pipeline_stages(spark):
