@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.config import Params
 from evidentia.functions.hashing import sha_prefix
-
-from evidentia.functions.vectors import dot
+from evidentia.operators.blocks import similar
+from evidentia.operators.iterate import save, saved
 
 
 def resolved_redirects(redirects: DataFrame, hops: int = 5) -> DataFrame:
@@ -25,55 +23,55 @@ def resolved_redirects(redirects: DataFrame, hops: int = 5) -> DataFrame:
 def resolve_exact(mentions: DataFrame, canon: DataFrame) -> DataFrame:
     """Mentions matched by canonical key, then by alias key, of the same type; ``how`` is EXACT, ALIAS or null.
 
+    A key of a merged entity leads to the one that it was merged into; live entities come first, then the smaller id.
     mentions: claim_id, surface_key, entity_type. canon: entity_id, entity_type, canonical_key, alias_keys, merged_into.
     """
-    live = canon.where("merged_into IS NULL")
-    exact = live.groupBy("entity_type", F.col("canonical_key").alias("surface_key")).agg(F.min("entity_id").alias("exact_id"))
-    alias = live.select("entity_type", "entity_id", F.explode("alias_keys").alias("surface_key")).groupBy("entity_type", "surface_key").agg(F.min("entity_id").alias("alias_id"))
+    live = canon.join(resolved_redirects(canon), "entity_id")
+    first = F.min_by("live_id", F.struct(F.col("merged_into").isNotNull(), F.col("entity_id")))
+    exact = live.groupBy("entity_type", F.col("canonical_key").alias("surface_key")).agg(first.alias("exact_id"))
+    alias = live.select("entity_type", "entity_id", "live_id", "merged_into", F.explode("alias_keys").alias("surface_key")).groupBy("entity_type", "surface_key").agg(first.alias("alias_id"))
     rows = mentions.join(exact, ["entity_type", "surface_key"], "left").join(alias, ["entity_type", "surface_key"], "left")
     return rows.select(*mentions.columns, F.coalesce("exact_id", "alias_id").alias("entity_id"), F.when(F.col("exact_id").isNotNull(), "EXACT").when(F.col("alias_id").isNotNull(), "ALIAS").alias("how"))
 
 
-def nearest_entities(keys: DataFrame, canon: DataFrame, k: int = 1) -> DataFrame:
-    """For each (entity_type, surface_key, embedding) the k most similar live entities of its type."""
-    live = canon.where("merged_into IS NULL").select("entity_type", "entity_id", F.col("embedding").alias("v"))
-    order = Window.partitionBy("entity_type", "surface_key").orderBy(F.desc("sim"), "entity_id")
-    near = keys.join(live, "entity_type").withColumn("sim", dot("embedding", "v"))
-    return near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select("entity_type", "surface_key", "entity_id", "sim", "r")
+def nearest_entities(keys: DataFrame, canon: DataFrame, k: int = 1, floor: float = -2.0) -> DataFrame:
+    """For each (entity_type, surface_key, embedding) the k most similar live entities of its type: blocks of keys meet blocks of entities."""
+    live = canon.where("merged_into IS NULL").select("entity_type", F.col("entity_id").alias("surface_key"), "embedding")
+    order = Window.partitionBy("entity_type", "x").orderBy(F.desc("sim"), "y")
+    near = similar(keys, live, floor, k, "entity_type", "surface_key", same=False).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
+    return near.select("entity_type", F.col("x").alias("surface_key"), F.col("y").alias("entity_id"), "sim", "r")
 
 
 def resolve(mentions: DataFrame, canon: DataFrame, p: Params) -> DataFrame:
-    """(entity_type, surface_key, entity_id, how): EXACT and ALIAS by joins; the rest by the nearest entity, MERGED or for REVIEW, else MINTED.
+    """(entity_type, surface_key, entity_id, how): EXACT and ALIAS by joins; the rest by the nearest entity, MERGED, or REVIEW in the band below, else MINTED.
 
-    Only distinct unmatched keys, with the best stored entity each, reach the sequential step, where a key may also join one minted
-    before it in the order of keys. mentions also has ``embedding``.
+    Keys take their turn in order, and a minted one can be met by those after it. That choice is taken in parallel rounds over the pairs of keys
+    that are similar enough for review: of the undecided, a key without an undecided earlier neighbour is minted if no earlier neighbour was.
+    A key that a stored entity is near enough to is never minted. mentions also has ``embedding``.
     """
+    key = ["entity_type", "surface_key"]
     first = resolve_exact(mentions.drop("embedding"), canon)
-    known = first.where("entity_id IS NOT NULL").select("entity_type", "surface_key", "entity_id", "how").distinct()
-    keys = mentions.join(first.where("entity_id IS NULL").select("entity_type", "surface_key").distinct(), ["entity_type", "surface_key"], "left_semi")
-    keys = keys.groupBy("entity_type", "surface_key").agg(F.min("embedding").alias("embedding"))
-    best = nearest_entities(keys, canon).select("entity_type", "surface_key", F.col("entity_id").alias("near_id"), "sim")
-    rows = keys.join(best, ["entity_type", "surface_key"], "left").withColumn("mint_id", F.concat(F.lit("ent-"), sha_prefix(F.concat_ws("|", "entity_type", "surface_key"), 16)))
-
-    def settle(group: pd.DataFrame) -> pd.DataFrame:
-        minted: list[tuple[str, np.ndarray]] = []
-        out = []
-        for r in group.sort_values("surface_key").itertuples():
-            v = np.array(r.embedding, float)
-            found, sim = (r.near_id, r.sim) if isinstance(r.near_id, str) else (None, -1.0)
-            if minted:
-                sims = np.array([m for _, m in minted]) @ v
-                if sims.max() > sim:
-                    found, sim = minted[int(sims.argmax())][0], float(sims.max())
-            if sim >= p.entity_merge:
-                out.append((r.entity_type, r.surface_key, found, "MERGED"))
-                continue
-            minted.append((r.mint_id, v))
-            out.append((r.entity_type, r.surface_key, r.mint_id, "REVIEW" if sim >= p.entity_review else "MINTED"))
-        return pd.DataFrame(out, columns=["entity_type", "surface_key", "entity_id", "how"])
-
-    new = rows.groupBy("entity_type").applyInPandas(settle, "entity_type string, surface_key string, entity_id string, how string")
-    return known.unionByName(new)
+    known = first.where("entity_id IS NOT NULL").select(*key, "entity_id", "how").distinct()
+    keys = mentions.join(first.where("entity_id IS NULL").select(*key).distinct(), key, "left_semi")
+    keys = save(keys.groupBy(*key).agg(F.min("embedding").alias("embedding")), "entity-keys")
+    stored = nearest_entities(keys, canon, 1, p.entity_review).select(*key, F.col("entity_id").alias("near_id"), "sim")
+    pairs = save(similar(keys, keys, p.entity_review, None, "entity_type", "surface_key").where("y < x").select("entity_type", F.col("x").alias("later"), F.col("y").alias("earlier"), "sim"), "entity-pairs")
+    rows = keys.select(*key).join(stored, key, "left").select(*key, "near_id", "sim", F.when(F.col("near_id").isNotNull(), False).alias("minted"))
+    state, left = saved(rows, "entity-state", n=F.count_if(F.col("minted").isNull()))
+    while left.get("n"):
+        before = pairs.join(state.select("entity_type", F.col("surface_key").alias("earlier"), F.col("minted").alias("m")), ["entity_type", "earlier"])
+        told = before.groupBy("entity_type", F.col("later").alias("surface_key")).agg(F.bool_or("m").alias("met"), F.count_if(F.col("m").isNull()).alias("open"))
+        now = F.when(F.coalesce("met", F.lit(False)), False).when(F.coalesce("open", F.lit(0)) == 0, True)
+        state, left = saved(state.join(told, key, "left").select(*key, "near_id", "sim", F.coalesce("minted", now).alias("minted")), "entity-state", n=F.count_if(F.col("minted").isNull()))
+    own = F.concat(F.lit("ent-"), sha_prefix(F.concat_ws("|", "entity_type", "surface_key"), 16))
+    new = state.where("minted").select("entity_type", F.col("surface_key").alias("earlier"), own.alias("mint_id"))
+    met = pairs.join(new, ["entity_type", "earlier"]).groupBy("entity_type", F.col("later").alias("surface_key")).agg(F.min_by(F.struct("mint_id", "sim"), F.struct(-F.col("sim"), F.col("earlier"))).alias("m"))
+    rows = state.join(met, key, "left")
+    to_mint = F.col("near_id").isNull() | (F.col("m.sim") > F.col("sim"))
+    best = F.when(to_mint, F.col("m.sim")).otherwise(F.col("sim"))
+    linked = F.when(to_mint, F.col("m.mint_id")).otherwise(F.col("near_id"))
+    how = F.when(F.col("minted"), "MINTED").when(best >= p.entity_merge, "MERGED").otherwise("REVIEW")
+    return known.unionByName(rows.select(*key, F.when(F.col("minted"), own).otherwise(linked).alias("entity_id"), how.alias("how")))
 
 
 def issuer_upgrade(claims: DataFrame, mentions: DataFrame) -> DataFrame:
@@ -92,10 +90,14 @@ def merge_entities(mentions: DataFrame, canon: DataFrame, merges: DataFrame) ->
     return moved, out.withColumns({"alias_keys": aliases, "merged_into": F.coalesce("target_id", "merged_into")}).drop("gained", "target_id")
 
 
-def split_entity(mentions: DataFrame, entity_id: str) -> DataFrame:
-    """Mentions of one entity, each surface key an entity of its own; others stay."""
-    own = F.concat(F.lit("ent-"), sha_prefix(F.concat_ws("|", "entity_type", "surface_key"), 16))
-    return mentions.withColumn("entity_id", F.when(F.col("entity_id") == entity_id, own).otherwise(F.col("entity_id")))
+def split_entity(mentions: DataFrame, canon: DataFrame, entity_id: str, p: Params) -> DataFrame:
+    """(claim_id, entity_type, surface_key, entity_id, how) of the mentions of one entity, resolved anew by surface key as if it did not exist.
+
+    mentions: claim_id, entity_type, surface_key, entity_id, embedding.
+    """
+    own = mentions.where(F.col("entity_id") == entity_id).drop("entity_id")
+    found = resolve(own, canon.where(F.col("entity_id") != entity_id), p)
+    return own.select("claim_id", "entity_type", "surface_key").join(found, ["entity_type", "surface_key"]).select("claim_id", "entity_type", "surface_key", "entity_id", "how")
 
 
 def search(canon: DataFrame, text: str, entity_type: str | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -27,25 +27,32 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def saved(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict]:
+    """``save`` and aggregates over the rows, taken as they are written, so that a loop's condition costs no job of its own."""
+    watch = Observation()
+    out = save(df.observe(watch, *[m.alias(n) for n, m in metrics.items()]), name)
+    return out, watch.get
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(v, root) of every vertex of the edges (a, b); root is the smallest vertex reached.
 
     Every vertex hooks on to its smallest smaller neighbour, pointers are doubled to their ends, edges move there; rounds repeat
     until no edge is left. No vertex's neighbours are ever gathered: minima have partial sums, lookups are joins.
     """
-    edges = save(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges")
+    n = F.count(F.lit(1))
+    edges, left = saved(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges", n=n)
     labels: DataFrame | None = None
-    while not edges.isEmpty():
+    while left.get("n"):
         hooks = save(edges.groupBy(F.col("b").alias("v")).agg(F.min("a").alias("p")), "hooks")
-        while True:
+        moved = 1
+        while moved:
             ends = hooks.select(F.col("v").alias("p"), F.col("p").alias("q"))
-            further = save(hooks.join(ends, "p", "left").select("v", F.coalesce("q", "p").alias("p"), F.col("q").isNotNull().alias("moved")), "hooks")
-            hooks = further.select("v", "p")
-            if further.where("moved").isEmpty():
-                break
+            further, told = saved(hooks.join(ends, "p", "left").select("v", F.coalesce("q", "p").alias("p"), F.col("q").isNotNull().alias("moved")), "hooks", n=F.count_if("moved"))
+            hooks, moved = further.select("v", "p"), told.get("n")
         to = lambda c: hooks.select(F.col("v").alias(c), F.col("p").alias(f"{c}_to"))  # noqa: E731, B023
-        moved = edges.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("a_to", "a").alias("x"), F.coalesce("b_to", "b").alias("y"))
-        edges = save(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct(), "edges")
+        ends = edges.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("a_to", "a").alias("x"), F.coalesce("b_to", "b").alias("y"))
+        edges, left = saved(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct(), "edges", n=n)
         if labels is None:
             labels = hooks
         else:

@@ -9,6 +9,7 @@ from evidentia.config import Params
 from evidentia.functions.dates import dates_compatible, year
 from evidentia.functions.text import normalize_surface
 from evidentia.functions.vectors import dot
+from evidentia.operators.blocks import similar
 
 PAIR = ("subject_id", "a", "b")
 
@@ -19,30 +20,31 @@ def _ends(rows: DataFrame, columns: dict[str, str]) -> tuple[DataFrame, DataFram
     return side("a"), side("b")
 
 
-def co_mention_pairs(mentions: DataFrame, p: Params) -> DataFrame:
+def co_mention_pairs(mentions: DataFrame, p: Params, part_rows: int = 2048) -> DataFrame:
     """Pairs of claims of a subject that mention a common entity, with the least share of the subject's claims that mention one.
 
-    mentions: subject_id, claim_id, entity_id. Entities in more than 1 - idf_floor of the claims are dropped before the join; that
-    filter is what bounds the join's fan-out.
+    mentions: subject_id, claim_id, entity_id. Entities in more than 1 - idf_floor of the claims are dropped before the join. The pairs of
+    an entity grow with the square of its claims, by definition; an entity of many claims is dealt into parts, one side of the join by a
+    hash, the other to all of them, so that no task gets more than a part's pairs.
     """
     m = mentions.select("subject_id", "claim_id", "entity_id").distinct()
     total = m.groupBy("subject_id").agg(F.countDistinct("claim_id").alias("total"))
-    share = m.groupBy("subject_id", "entity_id").agg(F.count("*").alias("df")).join(total, "subject_id").select("subject_id", "entity_id", (F.col("df") / F.col("total")).alias("share"))
+    share = m.groupBy("subject_id", "entity_id").agg(F.count("*").alias("df")).join(total, "subject_id").select("subject_id", "entity_id", (F.col("df") / F.col("total")).alias("share"), F.ceil(F.col("df") / part_rows).cast("int").alias("parts"))
     m = m.join(share.where(F.col("share") <= 1 - p.idf_floor), ["subject_id", "entity_id"])
-    a, b = m.select("subject_id", "entity_id", "share", F.col("claim_id").alias("a")), m.select("subject_id", "entity_id", F.col("claim_id").alias("b"))
-    return a.join(b, ["subject_id", "entity_id"]).where("a < b").groupBy(*PAIR).agg(F.min("share").alias("min_share"))
+    a = m.select("subject_id", "entity_id", "share", F.col("claim_id").alias("a"), F.pmod(F.xxhash64("claim_id"), F.col("parts")).cast("int").alias("part"))
+    b = m.select("subject_id", "entity_id", F.col("claim_id").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return a.join(b, ["subject_id", "entity_id", "part"]).where("a < b").groupBy(*PAIR).agg(F.min("share").alias("min_share"))
 
 
 def knn_pairs(vectors: DataFrame, p: Params) -> DataFrame:
     """Pairs in which one claim is among the other's k nearest of its subject, of similarity sim_floor or more.
 
-    vectors: subject_id, claim_id, embedding (unit length). Exact within the subject; each row's best k are cut by a grouped limit.
+    vectors: subject_id, claim_id, embedding (unit length). Exact within the subject: blocks of its claims meet each other.
     """
-    a, b = _ends(vectors, {"id": "claim_id", "v": "embedding"})
-    near = a.join(b, "subject_id").where("a <> b").withColumn("sim", dot("v_a", "v_b")).where(F.col("sim") >= p.sim_floor).select(*PAIR, "sim")
-    best = Window.partitionBy("subject_id", "a").orderBy(F.desc("sim"), "b")
+    near = similar(vectors, vectors, p.sim_floor, p.knn_k)
+    best = Window.partitionBy("subject_id", "x").orderBy(F.desc("sim"), "y")
     kept = near.withColumn("r", F.row_number().over(best)).where(F.col("r") <= p.knn_k)
-    return kept.select("subject_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim").groupBy(*PAIR).agg(F.max("sim").alias("sim"))
+    return kept.select("subject_id", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "sim").groupBy(*PAIR).agg(F.max("sim").alias("sim"))
 
 
 def structural_pairs(claims: DataFrame, p: Params) -> DataFrame:

@@ -152,11 +152,24 @@ def best_checkpoint(checkpoints: DataFrame) -> DataFrame:
     return checkpoints.groupBy("job_id").agg(F.min_by("path", order).alias("path"))
 
 
-def training_phase(jobs: DataFrame) -> DataFrame:
-    """The phase of a subject from its jobs: FAILED if one failed, READY if all are done, RUNNING if one runs, else WAITING."""
-    s = F.col("status")
-    any_, all_ = lambda *x: F.bool_or(s.isin(*x)), F.bool_and(s == "DONE")
-    return jobs.groupBy("subject_id").agg(F.when(any_("FAILED"), "FAILED").when(all_, "READY").when(any_("RUNNING"), "RUNNING").otherwise("WAITING").alias("phase"))
+def training_phase(manifests: DataFrame, jobs: DataFrame) -> DataFrame:
+    """(subject_id, phase): how far a subject is, from its manifest's stamps first, then from its jobs.
+
+    manifests: subject_id, review_submitted_at, review_locked_at, started_at, sealed. jobs: subject_id, status. Without jobs a started subject is processing.
+    """
+    done = jobs.groupBy("subject_id").agg(F.bool_and(F.col("status").isin("COMPLETED", "FAILED")).alias("all_done"))
+    phase = F.when(F.col("review_submitted_at").isNotNull(), "SUBMITTED").when(F.col("review_locked_at").isNotNull(), "REVIEW_IN_PROGRESS").when(F.col("started_at").isNull() & ~F.coalesce("sealed", F.lit(False)), "UPLOAD")
+    return manifests.join(done, "subject_id", "left").select("subject_id", phase.when(F.col("all_done"), "REVIEW_READY").otherwise("PROCESSING").alias("phase"))
+
+
+#: What a subject is told of a job: state by status.
+FRIENDLY = {"PENDING": "WORKING", "TRANSCRIBING": "WORKING", "AWAITING_SPEAKER_SELECTION": "NEEDS_YOU", "EXTRACTING": "UNDERSTANDING", "COMPLETED": "DONE", "FAILED": "ATTENTION"}
+
+
+def friendly_jobs(jobs: DataFrame) -> DataFrame:
+    """(job_id, subject_id, state, listening): the state a subject sees, and whether a recording is still being listened to."""
+    state = F.try_element_at(F.create_map(*[F.lit(x) for kv in FRIENDLY.items() for x in kv]), F.col("status"))
+    return jobs.select("job_id", "subject_id", state.alias("state"), ((F.col("status") == "TRANSCRIBING") & F.col("modality").isin("AUDIO", "VIDEO")).alias("listening"))
 
 
 def duration_label(seconds: Column | str) -> Column:
@@ -165,6 +178,17 @@ def duration_label(seconds: Column | str) -> Column:
     return F.when(s >= 60, F.concat(F.floor(s / 60).cast("string"), F.lit("m "), (s % 60).cast("string"), F.lit("s"))).otherwise(F.concat(s.cast("string"), F.lit("s")))
 
 
+def claim_blocks(claims: DataFrame, facts: DataFrame, scores: DataFrame, counts: DataFrame) -> DataFrame:
+    """What is published with each claim: its score, its fact with dates and number of members, and the edges of that fact.
+
+    claims: subject_id, claim_id, fact_id, attestor_key. scores: claim_id, score, tier. counts: from ``edge_counts``.
+    """
+    names = ["corroborates", "contradicts", "contradicts_explained", "contradicts_confirmed"]
+    stamp = F.struct("fact_id", "fact_kind", "slot", "valid_from", "valid_to", "date_precision", "anchored", "member_count").alias("fact_stamp")
+    rows = claims.join(facts, ["subject_id", "fact_id"]).join(scores.select("claim_id", "score", "tier"), "claim_id").join(counts.select("claim_id", *names), "claim_id", "left")
+    return rows.select("subject_id", "claim_id", "score", "tier", stamp, F.struct(*[F.coalesce(n, F.lit(0)).alias(n) for n in names]).alias("edge_counts"), "attestor_key")
+
+
 def knowledge_as_of(override: Column, profile: Column, published: Column) -> Column:
     """The override, else the profile's date, else the day of publishing; blank where neither of the first two is given."""
     given = F.coalesce(override, profile)
@@ -172,22 +196,52 @@ def knowledge_as_of(override: Column, profile: Column, published: Column) -> Col
 
 
 def scrubbed(text: Column | str, ids: Column) -> Column:
-    """Without bracketed provenance tags and the given ids, spaces tidied."""
-    t = F.regexp_replace(text, r"\[(?:source|claim|fact|asset):[^\]]*\]", "")
-    t = F.reduce(ids, t, lambda acc, i: F.replace(acc, i, F.lit("")))
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r"\s+([.,;:!?])", "$1"), r"[ \t]{2,}", " "))
+    """Without the given ids in brackets and without rule tags (C, D, E or F and a number) in either bracket; other brackets stay, gaps are tidied."""
+    t = F.reduce(F.filter(ids, lambda i: F.trim(i) != ""), F.col(text) if isinstance(text, str) else text, lambda acc, i: F.replace(acc, F.concat(F.lit("["), i, F.lit("]")), F.lit("")))
+    for pattern, to in ((r"[\[(](?:S4-)?[CDEF]\d{1,2}[\])]", ""), (" {2,}", " "), (r" +([.,;:!?])", "$1"), (r"([\u201C\u2018]) +", "$1"), (r" +([\u201D\u2019])", "$1")):
+        t = F.regexp_replace(t, pattern, to)
+    return F.trim(t)
+
+
+#: One short line of letters, digits and light punctuation: free text that prompts may hold.
+LINE = r"^[\p{L}\p{N} .,'&/()+:;!?\-]{1,%d}$"
+CONTACT = r"^[\p{L}\p{N} .,'&/()+:;!?@_~=#%\-]{1,200}$"
+CONTACT_KINDS = ("EMAIL", "PHONE", "WEBSITE", "LINKEDIN", "GITHUB", "OTHER")
 
 
-def profile_errors() -> Column:
-    """Error codes of a profile: country, currency, language, time zone, mail address, phone. Needs those columns as strings; nulls are fine."""
-    bad = lambda name, pattern: F.when(F.col(name).isNotNull() & ~F.rlike(F.col(name), F.lit(pattern)), name)
-    return F.array_compact(F.array(bad("country", "^[A-Z]{2}$"), bad("currency", "^[A-Z]{3}$"), bad("language", "^[a-z]{2}(-[A-Z]{2})?$"), bad("time_zone", "^(UTC|[A-Z][A-Za-z_]+/[A-Za-z_/+-]+)$"), bad("email", r"^[^@\s]+@[^@\s]+\.[A-Za-z]{2,}$"), bad("phone", r"^\+?[0-9 ()-]{7,20}$")))
+def profile_errors(known: DataFrame, profiles: DataFrame, most_entries: int = 20) -> DataFrame:
+    """(subject_id, errors): codes of the fields whose value is not legal; blank ones always are.
+
+    profiles: subject_id, country, currency, time_zone, language, market_region, knowledge_as_of, target_roles, aspirations (arrays), contact (array of kind,
+    value). known: (kind, code) of the codes that exist: country, currency and time_zone; countries and currencies in any case.
+    """
+    blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
+    rows = profiles
+    for kind in ("country", "currency", "time_zone"):
+        fold = (lambda c: c) if kind == "time_zone" else F.upper
+        codes = known.where(F.col("kind") == kind).select(fold(F.col("code")).alias(f"code_{kind}"), F.lit(True).alias(f"has_{kind}")).distinct()
+        rows = rows.join(codes, fold(F.trim(kind)) == F.col(f"code_{kind}"), "left")
+    line = lambda c, n: ~F.rlike(F.trim(c), F.lit(LINE % n))
+    none = F.array().cast("array<string>")
+    several = lambda c: F.when((F.size(F.coalesce(F.col(c), none)) > most_entries) | F.exists(F.coalesce(F.col(c), none), lambda x: ~blank(x) & line(x, 200)), c)
+    contact = lambda x: ~blank(x["value"]) & (~F.coalesce(F.upper(F.trim(x["kind"])).isin(*CONTACT_KINDS), F.lit(False)) | ~F.rlike(F.trim(x["value"]), F.lit(CONTACT)))
+    codes = [F.when(~blank(F.col(k)) & F.col(f"has_{k}").isNull(), k) for k in ("country", "currency", "time_zone")]
+    codes.append(F.when(~blank(F.col("language")) & ~F.rlike(F.trim("language"), F.lit("^[A-Za-z]{2,8}(-[A-Za-z0-9]{1,8})*$")), "language"))
+    codes.append(F.when(~blank(F.col("market_region")) & line(F.col("market_region"), 40), "market_region"))
+    codes.append(F.when(~blank(F.col("knowledge_as_of")) & F.try_to_date(F.trim("knowledge_as_of"), "yyyy-MM-dd").isNull(), "knowledge_as_of"))
+    codes += [several("target_roles"), several("aspirations"), F.when(F.coalesce(F.exists("contact", contact), F.lit(False)), "contact")]
+    return rows.select("subject_id", F.array_compact(F.array(*codes)).alias("errors"))
 
 
 def seal_blockers(assets: DataFrame) -> DataFrame:
-    """What keeps an intake from being sealed, by subject: pending uploads, missing consent, duplicates, or no assets stored."""
-    dup = F.count("checksum").over(Window.partitionBy("subject_id", "checksum")) > 1
-    rows = assets.withColumn("dup", F.coalesce(dup & (F.trim("checksum") != ""), F.lit(False)))
-    flag = lambda c, name: F.when(F.bool_or(F.coalesce(c, F.lit(False))), name)
-    stored = F.col("status") == "STORED"
-    return rows.groupBy("subject_id").agg(F.array_compact(F.array(flag(F.col("status") == "PENDING", "pending_uploads"), flag(stored & (F.col("consent") == "PENDING"), "consent_missing"), flag(stored & F.col("dup"), "duplicates"), F.when(~F.bool_or(F.coalesce(stored, F.lit(False))), "nothing_stored"))).alias("blockers"))
+    """What keeps an intake from being sealed, by subject: assets that wait for consent, assets that are not stored, and the same bytes twice.
+
+    assets: subject_id, asset_id, modality, consent, status, checksum. Links and revoked assets need not be stored. Codes have the assets' ids.
+    """
+    unstored = F.col("status").isin("AWAITING_UPLOAD", "FAILED") & (F.col("modality") != "LINK") & (F.col("consent") != "REVOKED")
+    ids = lambda c: F.array_sort(F.collect_list(F.when(F.coalesce(c, F.lit(False)), F.col("asset_id"))))
+    per = assets.groupBy("subject_id").agg(ids(F.col("consent") == "PENDING").alias("pending"), ids(unstored).alias("unstored"))
+    same = assets.where((F.col("status") == "STORED") & (F.trim("checksum") != "")).groupBy("subject_id", "checksum").agg(F.array_sort(F.collect_list("asset_id")).alias("ids")).where(F.size("ids") > 1)
+    same = same.groupBy("subject_id").agg(F.array_sort(F.collect_list(F.concat(F.lit("same_bytes:"), F.array_join("ids", ",")))).alias("same"))
+    told = lambda c, name: F.when(F.size(c) > 0, F.array(F.concat(F.lit(f"{name}:"), F.array_join(c, ",")))).otherwise(F.array().cast("array<string>"))
+    return per.join(same, "subject_id", "left").select("subject_id", F.concat(told("pending", "pending_consent"), told("unstored", "not_stored"), F.coalesce("same", F.array().cast("array<string>"))).alias("blockers"))

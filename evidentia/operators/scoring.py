@@ -1,7 +1,8 @@
 """Trust propagation to a fixed point, and the scores that follow from it.
 
-The iteration is data-parallel over (subject, fact, pass): both passes run in the same plan, a subject stops when its own beliefs have
-settled, and no fact's claims or edges are gathered in one place; ranks are windows, sums are aggregates.
+The iteration is data-parallel over (subject, fact, pass): both passes run in the same plan, a subject leaves the loop when its own beliefs
+have settled, and no fact's claims or edges are gathered in one place; ranks are windows over the voices of a fact, sums and the largest
+move of a subject are aggregates.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from evidentia.config import Params
 from evidentia.functions.dates import age_factor
 from evidentia.functions.maths import band, claim_prior, clip, display, logit, rel, saturation, sigmoid, tier
-from evidentia.operators.iterate import save
+from evidentia.operators.iterate import save, saved
 
 FACT = ("subject_id", "fact_id")
 STATE = (*FACT, "explained")
@@ -89,34 +90,37 @@ def fixed_point(primed: DataFrame, facts: DataFrame, edges: DataFrame, p: Params
     active = active.join(other, ["subject_id", "other"]).join(members.select(*FACT, "half_life"), list(FACT)).withColumn("recency", recency)
     active = save(active.select(*STATE, "other", "relation", "conf", "mitigation", "other_group", "recency"), "score-edges")
     passes = F.explode(F.array(F.lit(False), F.lit(True))).alias("explained")
-    zero = F.lit(0.0)
-    state = save(members.select(*FACT, passes, logit(F.col("b0")).alias("s0"), "anchored", "b0").select(*STATE, "s0", "anchored", F.col("s0").alias("s"), F.col("b0").alias("b"), zero.alias("support"), zero.alias("conflict"), zero.alias("mass"), F.lit(0).alias("iterations"), F.lit(False).alias("done")), "score-state")
+    zero, keys = F.lit(0.0), ["subject_id", "explained"]
+    fixed = [*STATE, "s0", "anchored"]
+    state = members.select(*FACT, passes, logit(F.col("b0")).alias("s0"), "anchored", "b0").select(*fixed, F.col("s0").alias("s"), F.col("b0").alias("b"))
     rank = Window.partitionBy(*STATE, "other_group").orderBy(F.desc("term"), "other")
-    for _ in range(p.max_iterations):
-        live = state.where("NOT done")
-        if live.isEmpty():
-            break
-        voices = live.select("subject_id", "explained", F.col("fact_id").alias("other"), F.col("b").alias("other_b"))
-        met = active.join(voices, ["subject_id", "explained", "other"])
+    settled: list[DataFrame] = []
+    for turn in range(1, p.max_iterations + 1):
+        voices = state.select(*keys, F.col("fact_id").alias("other"), F.col("b").alias("other_b"))
+        met = active.join(voices, [*keys, "other"])
         term = p.corroboration_weight * F.col("conf") * rel(F.col("other_b")) * F.col("recency")
         weight = F.pow(F.lit(p.dependence_damping), F.row_number().over(rank) - 1)
         up = met.where("relation = 'CORROBORATES'").withColumn("term", term).withColumn("w", weight)
         up = up.select(*STATE, (F.col("term") * F.col("w")).alias("up"), zero.alias("down"), (p.corroboration_weight * F.col("conf") * F.col("w")).alias("mass"))
         down = met.where("relation = 'CONTRADICTS'").select(*STATE, zero.alias("up"), (p.contradiction_weight * F.col("conf") * rel(F.col("other_b")) * F.col("mitigation")).alias("down"), zero.alias("mass"))
-        sums = up.unionByName(down).groupBy(*STATE).agg(F.sum("up").alias("up"), F.sum("down").alias("down"), F.sum("mass").alias("new_mass"))
-        nxt = state.join(sums, list(STATE), "left").na.fill(0.0, ["up", "down", "new_mass"])
-        new = F.col("s0") + F.col("up") - F.col("down")
+        sums = up.unionByName(down).groupBy(*STATE).agg(F.sum("up").alias("support"), F.sum("down").alias("conflict"), F.sum("mass").alias("mass"))
+        nxt = state.join(sums, list(STATE), "left").na.fill(0.0, ["support", "conflict", "mass"])
+        new = F.col("s0") + F.col("support") - F.col("conflict")
         new = F.when(F.col("anchored"), F.col("s") + p.anchor_plasticity * (new - F.col("s"))).otherwise(new)
         nxt = nxt.withColumn("s_next", (1 - p.damping) * F.col("s") + p.damping * new).withColumn("b_next", sigmoid(F.col("s_next")))
-        settled = F.max(F.abs(F.col("b_next") - F.col("b"))).over(Window.partitionBy("subject_id", "explained")) < p.epsilon
-        keep = lambda new, old: F.when(F.col("done"), F.col(old)).otherwise(new)
-        state = save(
-            nxt.withColumn("settled", settled).select(
-                *STATE, "s0", "anchored", keep(F.col("s_next"), "s").alias("s"), keep(F.col("b_next"), "b").alias("b"), keep(F.col("up"), "support").alias("support"), keep(F.col("down"), "conflict").alias("conflict"),
-                keep(F.col("new_mass"), "mass").alias("mass"), keep(F.col("iterations") + 1, "iterations").alias("iterations"), (F.col("done") | F.col("settled")).alias("done"),
-            ),
-            "score-state",
-        )
+        nxt = nxt.select(*fixed, F.col("s_next").alias("s"), F.col("b_next").alias("b"), "support", "conflict", "mass", F.lit(turn).alias("iterations"), F.abs(F.col("b_next") - F.col("b")).alias("move"))
+        nxt = save(nxt, "score-state")
+        told, count = saved(nxt.groupBy(*keys).agg((F.max("move") < p.epsilon).alias("done")), "score-settled", live=F.count_if(~F.col("done")), done=F.count_if("done"))
+        if turn == p.max_iterations or not count.get("live"):
+            settled.append(nxt.join(told, keys).drop("move"))
+            break
+        if count.get("done"):
+            settled.append(nxt.join(told.where("done"), keys).drop("move"))
+            nxt = nxt.join(told.where("NOT done").select(*keys), keys, "left_semi")
+        state = nxt.select(*fixed, "s", "b")
+    state = settled[0]
+    for more in settled[1:]:
+        state = state.unionByName(more)
     supported = active.where("relation = 'CORROBORATES'").select(*STATE).distinct().withColumn("supported", F.lit(True))
     out = state.join(supported, list(STATE), "left").join(members.drop("anchored", "b0"), list(FACT))
     praise = F.col("all_self") & ~F.col("against") & F.col("supported").isNull()

@@ -116,3 +116,75 @@ def line_errors(lines: DataFrame, max_tokens: int) -> DataFrame:
         )
     )
     return rows.select("line_no", codes.alias("errors"))
+
+
+ENCODINGS = ("QWEN_HERMES", "PLAIN_JSON", "GEMMA_FENCED")
+
+
+def encoded_tool(turn: Column, encoding: str) -> Column:
+    """The text of a tool turn in one of three framings; arguments or results that are no JSON become an empty object."""
+    name = F.to_json(F.struct(F.coalesce(turn["tool_name"], F.lit("")).alias("name")))
+    open_name = F.substr(name, F.lit(1), F.length(name) - 1)
+    args = F.when(is_valid(turn["args_json"]), F.to_json(F.try_parse_json(turn["args_json"]))).otherwise("{}")
+    result = F.when(is_valid(turn["result_json"]), F.to_json(F.try_parse_json(turn["result_json"]))).otherwise("{}")
+    field = "arguments" if encoding == "QWEN_HERMES" else "args"
+    call = F.concat(open_name, F.lit(f',"{field}":'), args, F.lit("}"))
+    before, after = {"QWEN_HERMES": (("<tool_call>\n", "\n</tool_call>"), ("<tool_response>\n", "\n</tool_response>")), "PLAIN_JSON": (("", ""), ("", "")), "GEMMA_FENCED": (("```tool_call\n", "\n```"), ("```tool_output\n", "\n```"))}[encoding]
+    round_ = lambda marks, x: F.concat(F.lit(marks[0]), x, F.lit(marks[1]))
+    return F.when(turn["kind"] == "TOOL_CALL", round_(before, call)).when(turn["kind"] == "TOOL_RESPONSE", round_(after, result)).otherwise(turn["text"])
+
+
+PART_KEYS = ("text", "inline_data", "file_data")
+_CONTENT = "struct<role:string,parts:array<map<string,string>>>"
+
+
+def contents_errors(lines: DataFrame, kind: str, max_tokens: int) -> DataFrame:
+    """(line_no, errors) of SFT or DPO lines in contents form. lines: line_no, value.
+
+    Codes: blank, not_json, not_object, no_contents, role:n, no_parts:n, tool_parts:n, odd_keys:n by place of the content; first_not_user and last_not_model
+    for SFT; no_chosen, no_rejected, chosen_text, rejected_text for DPO; too_long. ``assistant`` counts as model.
+    """
+    answer = f"{_CONTENT}"
+    parsed = F.from_json("value", f"contents array<{_CONTENT}>, chosen {answer}, rejected {answer}")
+    rows = lines.withColumn("p", parsed).withColumns({"blank": F.trim("value") == "", "object": is_object("value"), "valid": is_valid("value")})
+    role = lambda c: F.when(c["role"] == "assistant", "model").otherwise(c["role"])
+    text = lambda c: F.coalesce(F.exists(c["parts"], lambda x: F.coalesce(F.trim(F.try_element_at(x, F.lit("text"))) != "", F.lit(False))), F.lit(False))
+    keys = lambda x: F.map_keys(x)
+    tools, known = F.array(F.lit("functionCall"), F.lit("functionResponse")), F.array(*map(F.lit, PART_KEYS))
+
+    def own(c: Column, i: Column) -> Column:
+        code = lambda name, when: F.when(F.coalesce(when, F.lit(False)), F.concat(F.lit(f"{name}:"), (i + 1).cast("string")))
+        return F.array_compact(
+            F.array(
+                code("role", ~F.coalesce(role(c).isin("user", "model"), F.lit(False))), code("no_parts", F.coalesce(F.size(c["parts"]), F.lit(0)) <= 0), code("tool_parts", F.exists(c["parts"], lambda x: F.arrays_overlap(keys(x), tools))),
+                code("odd_keys", F.exists(c["parts"], lambda x: F.size(F.array_except(keys(x), known)) > 0)),
+            )
+        )
+
+    contents = F.col("p.contents")
+    n = F.coalesce(F.size(contents), F.lit(0))
+    first, last = F.try_element_at(contents, F.lit(1)), F.try_element_at(contents, F.lit(-1))
+    none = F.array().cast("array<string>")
+    each = F.when(n > 0, F.flatten(F.transform(contents, own))).otherwise(F.when(F.col("object"), F.array(F.lit("no_contents"))).otherwise(none))
+    if kind == "SFT":
+        ends = F.array_compact(F.array(F.when((n > 0) & ~((role(first) == "user") & text(first)), "first_not_user"), F.when((n > 0) & ~((role(last) == "model") & text(last)), "last_not_model")))
+    else:
+        missing = lambda f: F.when(F.col("object") & F.try_variant_get(F.try_parse_json("value"), f"$.{f}", "variant").isNull(), f"no_{f}").when(F.col("object") & ~text(F.col(f"p.{f}")), f"{f}_text")
+        ends = F.array_compact(F.array(missing("chosen"), missing("rejected")))
+    long = F.when(token_estimate("value") > max_tokens, F.array(F.lit("too_long"))).otherwise(none)
+    whole = F.when(F.col("blank"), F.array(F.lit("blank"))).when(~F.col("valid"), F.array(F.lit("not_json"))).when(~F.col("object"), F.array(F.lit("not_object")))
+    return rows.select("line_no", F.coalesce(whole, F.concat(F.coalesce(each, none), ends, long)).alias("errors"))
+
+
+def file_errors(lines: DataFrame, kind: str, form: str, max_tokens: int) -> DataFrame:
+    """(file, line_no, errors) of whole files: line 0 for what is wrong with a file: empty, or DPO in messages form; else its lines' errors, none left out.
+
+    lines: file, line_no, value; trailing blank lines don't count.
+    """
+    if (kind, form) == ("DPO", "MESSAGES"):
+        return lines.select("file").distinct().select("file", F.lit(0).cast("long").alias("line_no"), F.array(F.lit("dpo_needs_contents")).alias("errors"))
+    ends = lines.groupBy("file").agg(F.coalesce(F.max(F.when(F.trim("value") != "", F.col("line_no"))), F.lit(0)).alias("last"))
+    kept = lines.join(ends, "file").where(F.col("line_no") <= F.col("last")).select(F.struct("file", "line_no").alias("line_no"), "value")
+    told = line_errors(kept, max_tokens) if form == "MESSAGES" else contents_errors(kept, kind, max_tokens)
+    empty = ends.where("last = 0").select("file", F.lit(0).cast("long").alias("line_no"), F.array(F.lit("empty_file")).alias("errors"))
+    return told.select("line_no.file", "line_no.line_no", "errors").unionByName(empty)

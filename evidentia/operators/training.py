@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from evidentia.config import Params
 from evidentia.functions.hashing import sha_prefix
 from evidentia.functions.text import jaccard, mentions_keyword, word_shingles
-from evidentia.operators.iterate import save
+from evidentia.operators.iterate import save, saved
 
 # Hedge levels by rising caution; row: (voice level, may be voiced).
 HEDGES = ("ASSERTIVE", "MEASURED", "HEDGED", "RESERVED", "GAP")
@@ -69,12 +70,31 @@ def group_voice(rows: DataFrame, group: str = "fact_id") -> DataFrame:
     return out.select("subject_id", group, F.coalesce("v.row_id", F.lit(5)).alias("row_id"), F.coalesce("v.hedge", F.lit("GAP")).alias("hedge"), "voiced_ids", "n_dropped")
 
 
-def situational_hedge(rows: DataFrame, group: str) -> DataFrame:
-    """The weakest link decides: floors by the members' rows, RESERVED where a contradiction is named, dropped where one is confirmed."""
-    rank = hedge_rank(F.col("hedge"))
-    tension = F.coalesce(F.col("conflict") > 0.05, F.lit(False)) & ~F.coalesce("explained", F.lit(False))
-    out = rows.groupBy("subject_id", group).agg(F.max(F.when(F.col("sft_eligible"), F.greatest(rank, F.when(tension, 4).otherwise(3)))).alias("r"), F.count_if(~F.col("sft_eligible")).alias("n_dropped"), F.bool_or(tension & F.col("sft_eligible")).alias("names_tension"))
-    return out.select("subject_id", group, F.coalesce(F.element_at(F.array(*map(F.lit, HEDGES)), F.col("r").cast("int")), F.lit("GAP")).alias("hedge"), "n_dropped", F.coalesce("names_tension", F.lit(False)).alias("names_tension"))
+#: Conclusions of a situational chain by rising caution; there is no flat assertion.
+PHRASES = ("very likely", "it's reasonable to expect")
+
+
+def situational_hedge(chain: DataFrame, p: Params, group: str = "chain_id") -> DataFrame:
+    """What may be concluded from each chain of supporting facts.
+
+    chain: subject_id, ``group``, fact_id, belief, independent, anchored, conflicted. The floors hold for facts that are all believed at least
+    at the medium tier, with two independent or one anchored. Conflicted facts are dropped if the others hold the floors; else they stay,
+    the tension is named and the phrase is the cautious one; else the floors are unmet. Unconflicted chains are as sure as their weakest.
+    """
+    clean, low = ~F.col("conflicted"), F.min
+    floors = lambda of: (F.count_if(of) > 0) & (low(F.when(of, F.col("belief"))) >= p.tier_medium) & ((F.count_if(of & F.col("independent")) >= 2) | (F.count_if(of & F.col("anchored")) > 0))
+    ids = lambda of: F.array_sort(F.collect_list(F.when(of, F.col("fact_id"))))
+    got = chain.groupBy("subject_id", group).agg(
+        floors(clean).alias("without"), floors(F.lit(True)).alias("with_all"), low(F.when(clean, F.col("belief"))).alias("weakest"), ids(F.col("conflicted")).alias("conflicted_ids"),
+        ids(clean).alias("clean_ids"), F.count("*").alias("n_facts"), F.count_if("independent").alias("n_independent"), F.count_if("anchored").alias("n_anchored"),
+    )
+    none = F.array().cast("array<string>")
+    named = ~F.col("without") & F.col("with_all") & (F.size("conflicted_ids") > 0)
+    phrase = F.when(F.col("without"), F.when(F.col("weakest") >= p.tier_high, PHRASES[0]).otherwise(PHRASES[1])).when(named, PHRASES[1])
+    return got.select(
+        "subject_id", group, (F.col("without") | named).alias("floors_met"), phrase.alias("phrase"), F.when(F.col("without"), F.col("conflicted_ids")).otherwise(none).alias("dropped"), F.when(named, F.col("conflicted_ids")).otherwise(none).alias("named_tension"),
+        F.when(F.col("without"), F.col("clean_ids")).when(named, F.array_sort(F.array_union("clean_ids", "conflicted_ids"))).otherwise(none).alias("surviving"), "n_facts", "n_independent", "n_anchored",
+    )
 
 
 def violation_class() -> Column:
@@ -109,51 +129,69 @@ def allocate(candidates: DataFrame, p: Params) -> DataFrame:
     return rows.where(F.col("w").isNull() | (F.col("r") <= F.ceil(F.col("w") * F.col("n")))).drop("w", "r", "n")
 
 
+def similar_sets(sets: DataFrame, least: float, group: str = "subject_id", key: str = "place", items: str = "s") -> DataFrame:
+    """(group, i, j, similarity) of pairs i < j of non-empty sets in a group with at least this Jaccard similarity.
+
+    Two such sets share one of their rarest items: of a set of n the n - ceil(least n) + 1 rarest. Only those are joined, so that an item
+    that most sets have makes no pairs.
+    """
+    rows = sets.where(F.size(items) > 0).select(group, key, items)
+    often = rows.select(group, F.explode(items).alias("x")).groupBy(group, "x").agg(F.count("*").alias("df"))
+    ranked = rows.select(group, key, F.explode(items).alias("x")).join(often, [group, "x"]).groupBy(group, key).agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("r"))
+    n = F.size("r")
+    rare = F.slice("r", 1, n - F.ceil(n * F.lit(least) - F.lit(1e-9)).cast("int") + 1)
+    rare = ranked.select(group, key, n.alias("n"), F.explode(rare).alias("e")).select(group, key, "n", F.col("e.x").alias("x"))
+    a, b = (rare.select(group, F.col(key).alias(c), F.col("n").alias(f"n{c}"), "x") for c in "ij")
+    size = (F.col("ni") >= F.col("nj") * least - 1e-9) & (F.col("nj") >= F.col("ni") * least - 1e-9)
+    pairs = a.join(b, [group, "x"]).where((F.col("i") < F.col("j")) & size).select(group, "i", "j").distinct()
+    side = lambda c: rows.select(group, F.col(key).alias(c), F.col(items).alias(f"s{c}"))
+    near = pairs.join(side("i"), [group, "i"]).join(side("j"), [group, "j"]).select(group, "i", "j", jaccard("si", "sj").alias("similarity"))
+    return near.where(F.col("similarity") >= least)
+
+
 def keep_first_of_near(questions: DataFrame, p: Params, text: str = "question") -> DataFrame:
     """Greedy removal in order of place: a question goes if an earlier kept one is similar enough. questions: subject_id, place, text.
 
-    Pairs come from an inverted index of shingles. The greedy choice is taken in parallel rounds: of the undecided, one that has no
-    undecided earlier neighbour stays if no earlier neighbour stayed, else goes; a round settles at least the first of every chain.
+    The greedy choice is taken in parallel rounds: of the undecided, one that has no undecided earlier neighbour stays if no earlier
+    neighbour stayed, else goes; a round settles at least the first of every chain. Of a subject's empty questions the first stays.
     """
-    rows = questions.select("subject_id", "place", word_shingles(text).alias("s"))
-    rows = save(rows, "questions")
-    inverted = rows.select("subject_id", "place", F.explode("s").alias("x"))
-    a, b = inverted.withColumnRenamed("place", "i"), inverted.withColumnRenamed("place", "j")
-    pairs = a.join(b, ["subject_id", "x"]).where("i < j").select("subject_id", "i", "j").distinct()
-    empty = rows.where(F.size("s") == 0).select("subject_id", "place")
-    none = empty.withColumnRenamed("place", "i").join(empty.withColumnRenamed("place", "j"), "subject_id").where("i < j")
-    left, right = rows.select("subject_id", F.col("place").alias("i"), F.col("s").alias("si")), rows.select("subject_id", F.col("place").alias("j"), F.col("s").alias("sj"))
-    near = pairs.join(left, ["subject_id", "i"]).join(right, ["subject_id", "j"]).where(jaccard("si", "sj") >= p.dedupe_jaccard).select("subject_id", "i", "j").unionByName(none)
-    near = save(near, "near-questions")
-    state = save(rows.select("subject_id", "place", F.lit(None).cast("boolean").alias("kept")), "kept")
-    while not state.where("kept IS NULL").isEmpty():
+    rows = save(questions.select("subject_id", "place", word_shingles(text).alias("s")), "questions")
+    near = save(similar_sets(rows, p.dedupe_jaccard).select("subject_id", "i", "j"), "near-questions")
+    empty = rows.where(F.size("s") == 0).groupBy("subject_id").agg(F.min("place").alias("place"))
+    state, left = saved(rows.where(F.size("s") > 0).select("subject_id", "place", F.lit(None).cast("boolean").alias("kept")), "kept", n=F.count(F.lit(1)))
+    while left.get("n"):
         ahead = near.join(state.select("subject_id", F.col("place").alias("i"), F.col("kept").alias("before")), ["subject_id", "i"])
         told = ahead.groupBy("subject_id", F.col("j").alias("place")).agg(F.bool_or("before").alias("some_kept"), F.count_if(F.col("before").isNull()).alias("open"))
         state = state.join(told, ["subject_id", "place"], "left")
         now = F.when(F.coalesce("some_kept", F.lit(False)), False).when(F.coalesce("open", F.lit(0)) == 0, True)
-        state = save(state.select("subject_id", "place", F.coalesce("kept", now).alias("kept")), "kept")
-    return questions.join(state.where("kept").select("subject_id", "place"), ["subject_id", "place"], "left_semi")
+        state, left = saved(state.select("subject_id", "place", F.coalesce("kept", now).alias("kept")), "kept", n=F.count_if(F.col("kept").isNull()))
+    return questions.join(state.where("kept").select("subject_id", "place").unionByName(empty), ["subject_id", "place"], "left_semi")
 
 
 def cap_fan_out(plans: DataFrame, cap: int) -> DataFrame:
     """Greedy in order of place: a plan goes if any of its claims is in ``cap`` kept plans already. plans: subject_id, place, claim_ids.
 
-    The order matters, so a subject's plans are one sequence; only ids enter the Python step.
+    The rule is sequential within a subject; its plans are streamed in order, only ids enter the Python step, and what is held is one count
+    for each claim of the subject at hand.
     """
 
-    def greedy(group: pd.DataFrame) -> pd.DataFrame:
-        used: dict[str, int] = {}
-        kept = []
-        for place, ids in sorted(zip(group["place"], group["claim_ids"], strict=True), key=lambda r: r[0]):
-            if all(used.get(i, 0) < cap for i in ids):
-                kept.append(place)
-                for i in ids:
-                    used[i] = used.get(i, 0) + 1
-        return pd.DataFrame({"subject_id": group["subject_id"].iloc[0], "place": kept})
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plans.schema if f.name in ("subject_id", "place"))
-    kept = plans.select("subject_id", "place", "claim_ids").groupBy("subject_id").applyInPandas(greedy, schema)
-    return plans.join(kept, ["subject_id", "place"], "left_semi")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        subject, used = None, {}
+        for rows in batches:
+            kept = []
+            for own, ids in zip(rows["subject_id"], rows["claim_ids"], strict=True):
+                if own != subject:
+                    subject, used = own, {}
+                ok = all(used.get(i, 0) < cap for i in ids)
+                kept.append(ok)
+                if ok:
+                    for i in ids:
+                        used[i] = used.get(i, 0) + 1
+            yield rows.loc[kept, ["subject_id", "place"]]
+
+    schema = ", ".join(f"{plans.schema[c].name} {plans.schema[c].dataType.simpleString()}" for c in ("subject_id", "place"))
+    ordered = plans.select("subject_id", "place", "claim_ids").repartition("subject_id").sortWithinPartitions("subject_id", "place")
+    return plans.join(ordered.mapInPandas(run, schema), ["subject_id", "place"], "left_semi")
 
 
 def claim_subsets(claims: DataFrame, p: Params) -> DataFrame:

@@ -71,9 +71,18 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def samples(pairs: DataFrame, k: int = 5) -> DataFrame:
-    """Scripted votes: relation and confidence from a hash of the pair and the sample's number."""
+    """Scripted votes: relation and confidence from a hash of the pair and the sample's number; a sixth of the pairs is contradicted by most."""
     rows = pairs.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("i"))
-    h = F.conv(F.substring(F.sha2(F.concat_ws("#", "a", "b", F.col("i").cast("string")), 256), 1, 4), 16, 10).cast("int")
-    rows = rows.withColumn("h", h)
-    relation = F.when(F.col("h") % 10 < 2, "REPEATS").when(F.col("h") % 10 < 5, "CORROBORATES").when(F.col("h") % 10 == 5, "CONTRADICTS").otherwise("NEUTRAL")
-    return rows.select("a", "b", F.lit(False).alias("with_context"), F.col("i").alias("sample_index"), relation.alias("relation"), (F.lit(0.5) + F.col("h") % 50 / 100).alias("confidence"), F.concat(F.lit("r"), F.col("i").cast("string")).alias("rationale"), F.when(F.col("h") % 4 == 0, "same span").alias("temporal_note"), F.when(F.col("h") % 3 > 0, F.col("h") % 3 == 1).alias("explanation_relevant"))
+    part = lambda n, *of: F.conv(F.substring(F.sha2(F.concat_ws("#", *of), 256), 1, n), 16, 10).cast("int")
+    rows = rows.withColumns({"h": part(4, "a", "b", F.col("i").cast("string")), "g": part(2, "a", "b")})
+    against = (F.col("g") % 6 == 0) & (F.col("i") < 4)
+    relation = F.when(against, "CONTRADICTS").when(F.col("h") % 10 < 2, "REPEATS").when(F.col("h") % 10 < 5, "CORROBORATES").when(F.col("h") % 10 == 5, "CONTRADICTS").otherwise("NEUTRAL")
+    confidence = F.when(against, 0.8 + F.col("h") % 20 / 100).otherwise(0.5 + F.col("h") % 50 / 100)
+    return rows.select("a", "b", F.lit(False).alias("with_context"), F.col("i").alias("sample_index"), relation.alias("relation"), confidence.alias("confidence"), F.concat(F.lit("r"), F.col("i").cast("string")).alias("rationale"), F.when(F.col("h") % 4 == 0, "same span").alias("temporal_note"), F.when(F.col("h") % 3 > 0, F.col("h") % 3 == 1).alias("explanation_relevant"))
+
+
+def with_context(verdicts: DataFrame) -> DataFrame:
+    """Half of the verdicts were judged again with context, which turns a third of these neutral."""
+    h = F.conv(F.substring(F.sha2(F.concat_ws("#", "b", "a"), 256), 1, 2), 16, 10).cast("int")
+    told = h % 2 == 0
+    return verdicts.withColumns({"ctx_judged": told, "ctx_relation": F.when(told, F.when(h % 3 == 0, "NEUTRAL").otherwise("CONTRADICTS")), "ctx_confidence": F.when(told, F.col("confidence") * 0.8), "ctx_explanation_relevant": F.col("explanation_relevant")})

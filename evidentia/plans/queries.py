@@ -153,7 +153,7 @@ def slugs(spark, sf_dir):
     return fx.table(spark, sf_dir, "part").select("p_partkey", slug("p_name").alias("slug"), safe_filename("p_name").alias("filename"))
 
 
-@query()
+@query(o.q(o.CLAIMS, "SELECT claim_id, list_reduce(list_transform(string_split(sha256(claim_id), ''), lambda x: instr('0123456789abcdef', x) - 1), lambda acc, d: (acc * 16 + d) % 7) % 7 AS pick FROM claims"))
 def pool_picks(spark, sf_dir):
     return fx.claims(spark, sf_dir).select("claim_id", pool_pick("claim_id", 7).alias("pick"))
 
@@ -200,8 +200,8 @@ def blocking_union(spark, sf_dir):
     return _candidates(spark, sf_dir)[2].withColumn("sources", F.array_join("sources", ","))
 
 
-def _graded(spark, sf_dir):
-    c, v, pairs = _candidates(spark, sf_dir)
+def _graded(spark, sf_dir, candidates=None):
+    c, v, pairs = candidates or _candidates(spark, sf_dir)
     pairs = save(pairs, "candidates")
     return c, save(matching.rungs(pairs, c, matching.pair_similarities(pairs, v), MATCHING, same_text=F.col("text_a") == F.col("text_b")), "graded")
 
@@ -228,9 +228,8 @@ def match_funnel(spark, sf_dir):
 # --- judging
 
 
-def _verdicts(spark, sf_dir):
-    pairs = _candidates(spark, sf_dir)[2]
-    return judging.aggregate_votes(fx.samples(pairs), P)
+def _verdicts(spark, sf_dir, pairs=None):
+    return judging.aggregate_votes(fx.samples(_candidates(spark, sf_dir)[2] if pairs is None else pairs), P)
 
 
 @query(o.q(",\n".join((o.MATCH, o.SAMPLES, o.VERDICTS)), "SELECT a, b, relation, round(confidence, 6) AS confidence, rationale, explanation_relevant, tie, floored FROM verdicts"))
@@ -301,8 +300,8 @@ def blocking_recall(spark, sf_dir):
 # --- assembly
 
 
-def _members(spark, sf_dir):
-    c, graded = _graded(spark, sf_dir)
+def _members(spark, sf_dir, candidates=None):
+    c, graded = _graded(spark, sf_dir, candidates)
     return c, graded, save(assembly.clusters(c, graded.where("outcome LIKE 'REPEATS%'")), "members")
 
 
@@ -328,17 +327,29 @@ def corroborating_fact_edges(spark, sf_dir):
 
 
 def _edges(spark, sf_dir):
-    c, _, members = _members(spark, sf_dir)
+    c, v, pairs = _candidates(spark, sf_dir)
+    pairs = save(pairs, "candidates")
+    c, _, members = _members(spark, sf_dir, (c, v, pairs))
     f = save(assembly.facts(c, members), "facts")
-    pairs = fx.claims(spark, sf_dir).select("subject_id", F.col("claim_id").alias("a"))
-    v = _verdicts(spark, sf_dir).join(pairs, "a").select("subject_id", "a", "b", "relation", "confidence", "rationale", "temporal_note", F.lit(False).alias("ctx_judged"), F.lit(None).cast("string").alias("ctx_relation"), F.lit(None).cast("double").alias("ctx_confidence"), F.col("explanation_relevant").alias("ctx_explanation_relevant"), F.array().cast("array<string>").alias("shared_entities"))
-    edges, counts = assembly.lift_edges(save(v, "verdicts"), members, f)
+    owners = c.select("subject_id", F.col("claim_id").alias("a"))
+    told = fx.with_context(_verdicts(spark, sf_dir, pairs).select("a", "b", "relation", "confidence", "rationale", "temporal_note", "explanation_relevant"))
+    edges, counts = assembly.lift_edges(save(told.join(owners, "a").withColumn("shared_entities", F.array().cast("array<string>")), "verdicts"), members, f)
     return c, (members, f), save(edges, "fact-edges"), counts
 
 
-@query()
+EDGE_CTE = ",\n".join((FACT_CTE, o.SAMPLES, o.VERDICTS, o.EDGES))
+
+
+@query(o.q(EDGE_CTE, """SELECT subject_id, from_fact, to_fact, relation, round(confidence, 6) AS confidence, rationale, temporal_note, with_context, ctx_relation, round(ctx_confidence, 6) AS ctx_confidence, explained, CASE WHEN relation = 'CONTRADICTS' THEN overlap END AS temporal_overlap,
+  CASE WHEN relation = 'CONTRADICTS' THEN 'PROPOSED' END AS review_status, array_to_string(pairs, ',') AS pairs FROM edges"""))
 def fact_edges(spark, sf_dir):
-    return _edges(spark, sf_dir)[2]
+    e = _edges(spark, sf_dir)[2]
+    return e.select("subject_id", "from_fact", "to_fact", "relation", r6("confidence", "confidence"), "rationale", "temporal_note", "with_context", "ctx_relation", r6("ctx_confidence", "ctx_confidence"), "explained", "temporal_overlap", "review_status", F.array_join("contributing_pairs", ",").alias("pairs"))
+
+
+@query(o.q(EDGE_CTE, "SELECT x.subject_id, count(*) FILTER (x.root = y.root) AS same_fact, count(DISTINCT CASE WHEN x.root <> y.root AND v.relation = 'CONTRADICTS' THEN concat(least(x.root, y.root), '|', greatest(x.root, y.root)) END) - coalesce(max(k.n), 0) AS gated FROM verdicts v JOIN members x ON x.claim_id = v.a JOIN members y ON y.claim_id = v.b AND y.subject_id = x.subject_id LEFT JOIN (SELECT subject_id, count(*) AS n FROM edges WHERE relation = 'CONTRADICTS' GROUP BY 1) k ON k.subject_id = x.subject_id WHERE v.relation IN ('CORROBORATES', 'CONTRADICTS') GROUP BY 1 HAVING same_fact + gated > 0"))
+def gated_contradictions(spark, sf_dir):
+    return _edges(spark, sf_dir)[3]
 
 
 CUT = "least(length(valid_from), length(valid_to), length(nf), length(nt))"
@@ -370,31 +381,32 @@ def _scores(spark, sf_dir):
     return scoring.score(rows, f, att, edges, P)
 
 
-@query()
+SCORE_CTE = "RECURSE AS (SELECT 1),\n" + ",\n".join((EDGE_CTE, o.PRIORS, o.SCORES))
+
+
+@query(o.q(SCORE_CTE, f"SELECT subject_id, fact_id, {', '.join(f'round({c}, 6) AS {c}' for c in ('belief', 'belief_bare', 'support', 'conflict', 'independence', 'recency', 'evidence_mass'))} FROM scored"))
 def fact_beliefs(spark, sf_dir):
     return _scores(spark, sf_dir)["facts"].select("subject_id", "fact_id", *[r6(c, c) for c in ("belief", "belief_bare", "support", "conflict", "independence", "recency", "evidence_mass")])
 
 
-@query()
+@query(o.q(SCORE_CTE, """SELECT subject_id, claim_id, fact_id, round(prior, 6) AS prior, round(greatest(belief, belief_bare), 6) AS score, round(belief_bare, 6) AS score_bare, CASE WHEN greatest(belief, belief_bare) >= 0.75 THEN 'HIGH' WHEN greatest(belief, belief_bare) >= 0.45 THEN 'MEDIUM' ELSE 'LOW' END AS tier
+  FROM gk JOIN scored USING (subject_id, fact_id)"""))
 def claim_scores(spark, sf_dir):
     return _scores(spark, sf_dir)["claims"].select("subject_id", "claim_id", "fact_id", r6("prior", "prior"), r6("score", "score"), r6("score_bare", "score_bare"), "tier")
 
 
-@query()
+@query(o.q(SCORE_CTE, """SELECT subject_id, attestor_key, round((n * mean + 5 * prior) / (n + 5), 6) AS trust, n AS fact_count FROM (SELECT subject_id, attestor_key, count(*) AS n, avg(belief) AS mean, max(tp) AS prior FROM
+  (SELECT DISTINCT k.subject_id, k.attestor_key, k.fact_id, t.tp FROM gk k JOIN (SELECT attestor_key, max(CASE source_class WHEN 'DOCUMENTARY' THEN 0.85::double WHEN 'SELF' THEN 0.5::double ELSE 0.6::double END) AS tp FROM claims GROUP BY 1) t USING (attestor_key)) JOIN scored USING (subject_id, fact_id) GROUP BY 1, 2)"""))
 def attestor_trust(spark, sf_dir):
     return _scores(spark, sf_dir)["trust"].select("subject_id", "attestor_key", r6("trust", "trust"), "fact_count")
 
 
-@query()
+@query(o.q(EDGE_CTE, "SELECT subject_id, row_number() OVER (PARTITION BY subject_id ORDER BY confidence DESC, from_fact, to_fact) AS place, from_fact, to_fact, round(confidence, 6) AS confidence FROM edges WHERE relation = 'CONTRADICTS' AND NOT explained AND confidence >= 0.55"))
 def contradiction_queue(spark, sf_dir):
-    return scoring.contradiction_queue(_edges(spark, sf_dir)[2], P)
+    return scoring.contradiction_queue(_edges(spark, sf_dir)[2], P).withColumn("confidence", F.round("confidence", 6))
 
 
-GROUPS = """gk AS (SELECT *, concat('f', q) AS fact_id, CASE WHEN source_class = 'SELF' THEN 'self' ELSE attestor_key END AS gkey FROM pri),
-g0 AS (SELECT subject_id, fact_id, gkey, max(prior) AS strength FROM gk GROUP BY 1, 2, 3), g1 AS (SELECT *, row_number() OVER (PARTITION BY subject_id, fact_id ORDER BY strength DESC, gkey) AS rk FROM g0),
-ga AS (SELECT DISTINCT subject_id, fact_id, gkey, asset_id FROM gk), gf AS (SELECT ga.*, rk, min(rk) OVER (PARTITION BY ga.subject_id, ga.fact_id, asset_id) AS first FROM ga JOIN g1 USING (subject_id, fact_id, gkey)),
-gs AS (SELECT subject_id, fact_id, gkey, bool_and(first < rk) AS seen FROM gf GROUP BY 1, 2, 3), g2 AS (SELECT g1.*, CASE WHEN seen THEN 0.4 ELSE 1 END AS dep FROM g1 JOIN gs USING (subject_id, fact_id, gkey)),
-b0 AS (SELECT subject_id, fact_id, 1 - product(1 - strength * dep) AS belief, sum(dep) AS evidence_mass, count(*) AS n_groups FROM g2 GROUP BY 1, 2)"""
+GROUPS = "gk AS (SELECT *, concat('f', q) AS fact_id, CASE WHEN source_class = 'SELF' THEN 'self' ELSE attestor_key END AS gkey FROM pri),\n" + o.BASE
 B0 = ",\n".join((o.CLAIMS, o.PRIORS, GROUPS))
 
 
@@ -414,18 +426,21 @@ INDEX = """fi AS (SELECT b0.*, self_only, documentary, n_groups / n AS independe
 fx AS (SELECT subject_id, count(*) AS n_facts, sum(greatest(independence, 0.05) * sat * belief) / sum(greatest(independence, 0.05) * sat) AS weighted_belief, avg(sat) AS evidence_depth, 1 - avg(self_only::int) AS independent_coverage, avg(documentary::int) AS doc FROM fi GROUP BY 1),
 att AS (SELECT subject_id, count(DISTINCT attestor_key) FILTER (source_class <> 'SELF') AS ind, count(DISTINCT CASE source_class WHEN 'SELF' THEN 'SUBJECT' WHEN 'DOCUMENTARY' THEN 'ISSUER' ELSE 'ENDORSER' END) AS kinds FROM claims GROUP BY 1),
 ix AS (SELECT *, 0.5 * least(1, ind / 4) + 0.3 * least(greatest(kinds - 1, 0), 2) / 2 + 0.2 * least(1, doc / 0.25) AS source_diversity FROM fx JOIN att USING (subject_id)),
-sx AS (SELECT *, weighted_belief * (1 - 0.3 * (1 - evidence_depth)) * (1 - 0.3 * (1 - independent_coverage)) * (1 - 0.15 * (1 - source_diversity)) AS score FROM ix)"""
+dr AS (SELECT subject_id, sum((0.5 + q % 5 / 10.0) * CASE WHEN q % 2 = 0 THEN 0.4 ELSE 1 END) AS residual, count(*) AS contradictions FROM (SELECT DISTINCT subject_id, q FROM claims WHERE q % 3 = 0) GROUP BY 1),
+sx AS (SELECT *, weighted_belief * (1 - 0.3 * (1 - evidence_depth)) * (1 - 0.3 * (1 - independent_coverage)) * (1 - 0.15 * (1 - source_diversity)) * (1 - 0.25 * contradiction_drag) AS score FROM
+  (SELECT ix.*, coalesce(residual, 0) / (coalesce(residual, 0) + 2) AS contradiction_drag, coalesce(contradictions, 0) AS contradictions FROM ix LEFT JOIN dr USING (subject_id)))"""
 
 
-@query(o.q(B0 + ",\n" + INDEX, "SELECT subject_id, n_facts, round(weighted_belief, 6) AS weighted_belief, round(evidence_depth, 6) AS evidence_depth, round(independent_coverage, 6) AS independent_coverage, round(source_diversity, 6) AS source_diversity, round(score, 6) AS score, CASE WHEN score >= 0.8 THEN 'STRONG' WHEN score >= 0.65 THEN 'GOOD' WHEN score >= 0.45 THEN 'MODERATE' WHEN score >= 0.25 THEN 'WEAK' ELSE 'UNSUPPORTED' END AS band FROM sx"))
+@query(o.q(B0 + ",\n" + INDEX, "SELECT subject_id, n_facts, round(weighted_belief, 6) AS weighted_belief, round(evidence_depth, 6) AS evidence_depth, round(independent_coverage, 6) AS independent_coverage, round(source_diversity, 6) AS source_diversity, round(contradiction_drag, 6) AS contradiction_drag, contradictions, round(score, 6) AS score, CASE WHEN score >= 0.8 THEN 'STRONG' WHEN score >= 0.65 THEN 'GOOD' WHEN score >= 0.45 THEN 'MODERATE' WHEN score >= 0.25 THEN 'WEAK' ELSE 'UNSUPPORTED' END AS band FROM sx"))
 def subject_index(spark, sf_dir):
     primed, b0 = _base(spark, sf_dir)
     kind = F.when(F.col("source_class") == "SELF", "SUBJECT").when(F.col("source_class") == "DOCUMENTARY", "ISSUER").otherwise("ENDORSER")
     own = primed.groupBy("subject_id", "fact_id").agg(F.count("*").alias("n"), F.bool_and(F.col("source_class") == "SELF").alias("self_only"), F.bool_or(F.col("source_class") == "DOCUMENTARY").alias("documentary"))
     f = b0.join(own, ["subject_id", "fact_id"]).select("subject_id", "fact_id", F.col("b0").alias("belief"), (F.col("n_groups") / F.col("n")).alias("independence"), F.col("dep_sum").alias("evidence_mass"), "self_only", "documentary")
-    no_edges = f.limit(0).select("subject_id", F.lit("").alias("pair_key"), F.lit("").alias("relation"), F.lit(0.0).alias("confidence"), F.lit(False).alias("explained"))
-    out = scoring.subject_index(f, primed.select("subject_id", "attestor_key", kind.alias("kind")), no_edges, P)
-    return out.select("subject_id", "n_facts", *[r6(c, c) for c in ("weighted_belief", "evidence_depth", "independent_coverage", "source_diversity", "score")], "band")
+    q = F.col("q")
+    edges = primed.where(q % 3 == 0).select("subject_id", "q").distinct().select("subject_id", F.concat(F.lit("p"), q.cast("string")).alias("pair_key"), F.lit("CONTRADICTS").alias("relation"), (0.5 + q % 5 / 10).alias("confidence"), (q % 2 == 0).alias("explained"))
+    out = scoring.subject_index(f, primed.select("subject_id", "attestor_key", kind.alias("kind")), edges, P)
+    return out.select("subject_id", "n_facts", *[r6(c, c) for c in ("weighted_belief", "evidence_depth", "independent_coverage", "source_diversity", "contradiction_drag", "score")], "contradictions", "band")
 
 
 @query(o.q(B0, "SELECT subject_id, round(sum(belief * evidence_mass) / sum(evidence_mass), 6) AS mean, count(*) AS contributing FROM b0 WHERE evidence_mass > 0 GROUP BY 1"))
@@ -487,9 +502,19 @@ def fact_group_voice(spark, sf_dir):
     return training.group_voice(rows).drop("voiced_ids")
 
 
-@query()
+CHAIN = """ch AS (SELECT subject_id, q // 3 AS chain_id, claim_id AS fact_id, score AS belief, source_class <> 'SELF' AS independent, source_class = 'DOCUMENTARY' AS anchored, q % 4 = 3 AND NOT explained AS conflicted FROM (SELECT subject_id, claim_id, q, source_class, prior AS score, q % 5 = 2 AS explained FROM pri)),
+cf AS (SELECT subject_id, chain_id, count(*) AS n_facts, count(*) FILTER (independent) AS n_independent, count(*) FILTER (anchored) AS n_anchored, count(*) FILTER (NOT conflicted) > 0 AND min(belief) FILTER (NOT conflicted) >= 0.45 AND (count(*) FILTER (NOT conflicted AND independent) >= 2 OR count(*) FILTER (NOT conflicted AND anchored) > 0) AS wo,
+  min(belief) >= 0.45 AND (count(*) FILTER (independent) >= 2 OR count(*) FILTER (anchored) > 0) AS wa, min(belief) FILTER (NOT conflicted) AS weakest, count(*) FILTER (conflicted) AS n_conflicted, coalesce(string_agg(fact_id, ',' ORDER BY fact_id) FILTER (conflicted), '') AS cids,
+  coalesce(string_agg(fact_id, ',' ORDER BY fact_id) FILTER (NOT conflicted), '') AS kids, string_agg(fact_id, ',' ORDER BY fact_id) AS ids FROM ch GROUP BY 1, 2)"""
+
+
+@query(o.q(",\n".join((o.CLAIMS, o.PRIORS, CHAIN)), """SELECT subject_id, chain_id, wo OR (wa AND n_conflicted > 0) AS floors_met, CASE WHEN wo THEN CASE WHEN weakest >= 0.75 THEN 'very likely' ELSE 'it''s reasonable to expect' END WHEN wa AND n_conflicted > 0 THEN 'it''s reasonable to expect' END AS phrase,
+  CASE WHEN coalesce(wo, false) THEN cids ELSE '' END AS dropped, CASE WHEN NOT coalesce(wo, false) AND wa AND n_conflicted > 0 THEN cids ELSE '' END AS named_tension, CASE WHEN coalesce(wo, false) THEN kids WHEN wa AND n_conflicted > 0 THEN ids ELSE '' END AS surviving, n_facts, n_independent, n_anchored FROM cf"""))
 def situational_hedge(spark, sf_dir):
-    return training.situational_hedge(_voiced(spark, sf_dir).withColumn("g", F.floor(F.col("q") / 4)), "g")
+    c, q = fx.claims(spark, sf_dir), F.col("q")
+    chain = c.select("subject_id", F.floor(q / 3).alias("chain_id"), F.col("claim_id").alias("fact_id"), maths.claim_prior(P).alias("belief"), (F.col("source_class") != "SELF").alias("independent"), (F.col("source_class") == "DOCUMENTARY").alias("anchored"), ((q % 4 == 3) & (q % 5 != 2)).alias("conflicted"))
+    out = training.situational_hedge(chain, P)
+    return out.select("subject_id", "chain_id", "floors_met", "phrase", *[F.array_join(x, ",").alias(x) for x in ("dropped", "named_tension", "surviving")], "n_facts", "n_independent", "n_anchored")
 
 
 @query(o.q(EV, "SELECT claim_id, CASE WHEN q % 6 = 5 OR row_id = 14 THEN 'IMPERSONATION' WHEN row_id IN (13, 8) THEN 'BOUNDARY_BREACH' WHEN row_id IN (11, 7) THEN 'DENIAL' WHEN q % 6 = 4 THEN 'UNHEDGED_SPECULATION' WHEN row_id IN (6, 2) THEN 'CONTEXT_STRIPPED' ELSE 'OVERCLAIM' END AS violation FROM vh"))
@@ -498,6 +523,7 @@ def violation_classes(spark, sf_dir):
     return rows.select("claim_id", training.violation_class().alias("violation"))
 
 
+SHINGLES = "sh AS (SELECT {key}, list_distinct(CASE WHEN len(t) < 3 THEN t ELSE list_transform(range(1, len(t) - 1), lambda i: array_to_string(t[i:i + 2], ' ')) END) AS s FROM (SELECT {key}, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS t FROM {table}))"
 GUARD = {"A": ("the", "la"), "B": ("der", "of"), "C": ("und",)}
 
 
@@ -511,12 +537,17 @@ def _questions(spark, sf_dir):
     return rows.select(F.lit("all").alias("subject_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("place"), F.col("text").alias("question"))
 
 
-@query()
+@query(o.q("RECURSE AS (SELECT 1), qs AS (SELECT row_number() OVER (ORDER BY conv_id * 1000 + turn) AS n, conv_id * 1000 + turn AS place, text FROM conversations WHERE role = 'user'),\n" + SHINGLES.format(key="n", table="qs") + """,
+near AS (SELECT x.n AS i, y.n AS j FROM sh x JOIN sh y ON x.n < y.n WHERE (len(x.s) = 0 AND len(y.s) = 0) OR (len(x.s) + len(y.s) > 0 AND len(list_intersect(x.s, y.s)) >= 0.85 * (len(x.s) + len(y.s) - len(list_intersect(x.s, y.s))))),
+go AS (SELECT 0 AS n, []::bigint[] AS kept UNION ALL SELECT go.n + 1, CASE WHEN EXISTS (SELECT 1 FROM near WHERE j = go.n + 1 AND list_contains(kept, i)) THEN kept ELSE list_append(kept, go.n + 1) END FROM go WHERE go.n < (SELECT max(n) FROM qs))""", "SELECT place FROM qs JOIN (SELECT unnest(kept) AS n FROM go WHERE n = (SELECT max(n) FROM qs)) USING (n)"))
 def near_dup_questions(spark, sf_dir):
     return training.keep_first_of_near(_questions(spark, sf_dir), P).select("place")
 
 
-@query()
+@query(o.q("RECURSE AS (SELECT 1),\n" + o.CLAIMS + """,
+pl AS (SELECT subject_id, doc_id AS place, asset_id, claim_type, row_number() OVER (PARTITION BY subject_id ORDER BY doc_id) AS n FROM claims),
+fo AS (SELECT subject_id, 0::bigint AS n, []::varchar[] AS used, NULL::bigint AS place FROM (SELECT DISTINCT subject_id FROM pl)
+  UNION ALL SELECT subject_id, n, CASE WHEN ok THEN list_concat(used, [asset_id, claim_type]) ELSE used END, CASE WHEN ok THEN place END FROM (SELECT fo.subject_id, pl.n, used, asset_id, claim_type, pl.place, len(list_filter(used, lambda x: x = asset_id)) < 6 AND len(list_filter(used, lambda x: x = claim_type)) < 6 AS ok FROM fo JOIN pl ON pl.subject_id = fo.subject_id AND pl.n = fo.n + 1))""", "SELECT subject_id, place FROM fo WHERE place IS NOT NULL"))
 def fanout_cap(spark, sf_dir):
     rows = fx.claims(spark, sf_dir).select("subject_id", F.col("doc_id").alias("place"), F.array("asset_id", "claim_type").alias("claim_ids"))
     return training.cap_fan_out(rows, P.conversations_per_claim).select("subject_id", "place")
@@ -569,25 +600,35 @@ def sft_validate(spark, sf_dir):
     return _conversations(spark, sf_dir).select("conv_id", (F.size(serialization.sft_errors()) == 0).alias("valid"))
 
 
-@query()
+TURNS = """tu AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, count(*) OVER (PARTITION BY conv_id) AS n, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations WHERE role <> 'system'),
+sy AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS system FROM conversations WHERE role = 'system' GROUP BY 1)"""
+
+
+@query(o.q(TURNS, """SELECT conv_id, array_to_string(list_filter([CASE WHEN any_value(n) > 1 AND arg_min(role, i) <> 'user' THEN 'prompt_start' END, CASE WHEN arg_max(role, i) FILTER (i < n) <> 'user' THEN 'prompt_end' END, CASE WHEN trim(arg_max(text, i)) = '' THEN 'chosen_empty' END,
+  CASE WHEN coalesce(trim(arg_min(text, i) FILTER (role = 'assistant')), '') = '' THEN 'rejected_empty' END, CASE WHEN trim(arg_max(text, i)) <> '' AND trim(arg_max(text, i)) = trim(arg_min(text, i) FILTER (role = 'assistant')) THEN 'identical' END], lambda x: x IS NOT NULL), ',')
+  AS errors FROM tu WHERE n >= 2 GROUP BY 1"""))
 def dpo_validate(spark, sf_dir):
-    return serialization.dpo_pairs(_conversations(spark, sf_dir)).select("conv_id", serialization.dpo_errors().alias("errors"))
+    return serialization.dpo_pairs(_conversations(spark, sf_dir)).select("conv_id", F.array_join(serialization.dpo_errors(), ",").alias("errors"))
 
 
-@query()
+@query(o.q(TURNS, """SELECT conv_id, to_json({'messages': list_concat(CASE WHEN trim(coalesce(any_value(system), '')) <> '' THEN [{'role': 'system', 'content': any_value(system)}] ELSE [] END, list({'role': CASE WHEN role = 'user' THEN 'user' ELSE 'assistant' END, 'content': text} ORDER BY i))})::varchar AS line
+  FROM tu LEFT JOIN sy USING (conv_id) GROUP BY 1"""))
 def messages_jsonl(spark, sf_dir):
     return _conversations(spark, sf_dir).select("conv_id", serialization.messages_line().alias("line"))
 
 
-@query()
+@query(o.q(TURNS, "SELECT conv_id, to_json({'contents': list({'role': CASE WHEN role = 'user' THEN 'user' ELSE 'model' END, 'parts': [{'text': text}]} ORDER BY i)})::varchar AS line FROM tu GROUP BY 1"))
 def contents_jsonl(spark, sf_dir):
     return _conversations(spark, sf_dir).select("conv_id", serialization.contents_line().alias("line"))
 
 
-@query()
+@query(o.q(TURNS, """SELECT conv_id AS line_no, array_to_string(list_filter([CASE WHEN bool_or(trim(text) = '') THEN 'empty_content' END, CASE WHEN arg_min(role, i) <> 'user' THEN 'first_not_user' END, CASE WHEN arg_max(role, i) <> 'assistant' THEN 'last_not_assistant' END,
+  CASE WHEN bool_or(role = nxt) THEN 'no_alternation' END, CASE WHEN max(coalesce(length(system), 0)) + sum(length(text)) > 4 * 400 THEN 'too_long' END], lambda x: x IS NOT NULL), ',') AS errors FROM tu LEFT JOIN sy USING (conv_id) GROUP BY 1"""))
 def line_validate(spark, sf_dir):
     lines = _conversations(spark, sf_dir).select(F.col("conv_id").alias("line_no"), serialization.messages_line().alias("value"))
-    return serialization.line_errors(lines, P.max_tokens)
+    size = F.aggregate(F.from_json("value", "messages array<struct<role:string,content:string>>")["messages"], F.lit(0), lambda n, m: n + F.length(m["content"]))
+    found = serialization.line_errors(lines, 10**9).join(lines.select("line_no", size.alias("n")), "line_no")
+    return found.select("line_no", F.array_join(F.concat("errors", F.when(F.col("n") > 4 * 400, F.array(F.lit("too_long"))).otherwise(F.array().cast("array<string>"))), ",").alias("errors"))
 
 
 @query("SELECT conv_id, count(*) AS n_turns, count(*) FILTER (role <> prev) + 1 AS n_runs FROM (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations) GROUP BY 1")
@@ -645,13 +686,21 @@ def newest_events(spark, sf_dir):
 # --- limits
 
 
-@query()
+EVENTS = "ev AS (SELECT user_id::varchar AS k, event_id, epoch_us(ts) / 1e6 AS t, event_type <> 'logout' AS live, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)"
+
+
+@query(o.q("RECURSE AS (SELECT 1), " + EVENTS + """,
+rl AS (SELECT k, 0::bigint AS n, NULL::bigint AS event_id, NULL::double AS t, 0 AS c, NULL::double AS s, 0::double AS l, NULL::boolean AS ok FROM (SELECT DISTINCT k FROM ev)
+  UNION ALL SELECT k, n, event_id, t, CASE WHEN held THEN c WHEN full_ THEN c0 ELSE c0 + 1 END, CASE WHEN held THEN s ELSE s0 END, CASE WHEN held THEN l WHEN full_ THEN t + 900 ELSE 0 END, NOT held AND NOT full_ FROM
+  (SELECT *, NOT held AND c0 >= 3 AS full_ FROM (SELECT ev.k, ev.n, ev.event_id, ev.t, rl.c, rl.s, rl.l, rl.s IS NOT NULL AND rl.l > ev.t AS held, CASE WHEN rl.s IS NULL OR rl.s <= ev.t - 21600 THEN 0 ELSE rl.c END AS c0, CASE WHEN rl.s IS NULL OR rl.s <= ev.t - 21600 THEN ev.t ELSE rl.s END AS s0 FROM rl JOIN ev ON ev.k = rl.k AND ev.n = rl.n + 1)))""", "SELECT k AS bucket_key, event_id AS attempt_id, round(t, 3) AS ts, ok AS allowed FROM rl WHERE n > 0"))
 def rate_limiter(spark, sf_dir):
     e = fx.table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("bucket_key"), F.col("event_id").alias("attempt_id"), F.col("ts").cast("timestamp").cast("double").alias("ts"))
-    return limits.rate_limited(e, replace(P, attempts_per_window=3, attempt_window_seconds=21600))
+    return limits.rate_limited(e, replace(P, attempts_per_window=3, attempt_window_seconds=21600)).withColumn("ts", F.round("ts", 3))
 
 
-@query()
+@query(o.q("RECURSE AS (SELECT 1), " + EVENTS + """,
+cg AS (SELECT k, 0::bigint AS n, NULL::bigint AS event_id, 0 AS c, NULL::double AS last, NULL::varchar AS outcome FROM (SELECT DISTINCT k FROM ev)
+  UNION ALL SELECT k, n, event_id, CASE WHEN outcome = 'OK' THEN c + 2 ELSE c END, CASE WHEN outcome = 'OK' THEN t ELSE last END, outcome FROM (SELECT ev.k, ev.n, ev.event_id, ev.t, cg.c, cg.last, CASE WHEN NOT ev.live THEN 'NOT_AVAILABLE' WHEN cg.c >= 30 THEN 'FULL' WHEN cg.last + 3600 > ev.t THEN 'TOO_FAST' ELSE 'OK' END AS outcome FROM cg JOIN ev ON ev.k = cg.k AND ev.n = cg.n + 1))""", "SELECT k AS session_id, event_id AS message_id, outcome FROM cg WHERE n > 0"))
 def chat_gates(spark, sf_dir):
     e = fx.table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session_id"), F.col("event_id").alias("message_id"), F.col("ts").cast("timestamp").cast("double").alias("ts"), (F.col("event_type") != "logout").alias("live"))
     return limits.chat_gated(e, replace(P, chat_interval_seconds=3600))
@@ -689,12 +738,11 @@ def _canon(spark, sf_dir):
     return s.select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("entity_id"), F.lit("ORG").alias("entity_type"), name.alias("canonical_key"), F.col("s_name").alias("canonical_name"), F.when(F.col("s_suppkey") % 2 == 0, F.array(F.concat(F.lit("alias "), name))).otherwise(none).alias("alias_keys"), F.lit(None).cast("string").alias("merged_into"))
 
 
-@query("SELECT entity_id, CASE WHEN k % 4 = 3 THEN concat('s', k - 3) WHEN k % 4 = 2 THEN concat('s', k - 2) WHEN k % 4 = 1 THEN concat('s', k - 1) ELSE entity_id END AS live_id FROM (SELECT s_suppkey AS k, concat('s', s_suppkey) AS entity_id FROM supplier) WHERE k >= 4")
+@query("SELECT concat('s', s_suppkey) AS entity_id, concat('s', s_suppkey - s_suppkey % 4) AS live_id FROM supplier")
 def redirect_resolve(spark, sf_dir):
     k = F.col("s_suppkey")
     name = lambda x: F.concat(F.lit("s"), x.cast("string"))
-    rows = fx.table(spark, sf_dir, "supplier").where("s_suppkey >= 4").select(name(k).alias("entity_id"), F.when(k % 4 != 0, name(k - 1)).alias("merged_into"))
-    return entities.resolved_redirects(rows)
+    return entities.resolved_redirects(fx.table(spark, sf_dir, "supplier").select(name(k).alias("entity_id"), F.when(k % 4 != 0, name(k - 1)).alias("merged_into")))
 
 
 @query("SELECT s_suppkey AS claim_id, concat('s', s_suppkey) AS entity_id, CASE WHEN s_suppkey % 4 = 0 THEN 'ALIAS' ELSE 'EXACT' END AS how FROM supplier")
@@ -709,12 +757,10 @@ def entity_search(spark, sf_dir):
     return entities.search(_canon(spark, sf_dir), "1").select("entity_id")
 
 
-@query()
+@query(o.q(SHINGLES.format(key="item_id", table="benchmark"), "SELECT x.item_id AS i, y.item_id AS j, round(len(list_intersect(x.s, y.s)) / (len(x.s) + len(y.s) - len(list_intersect(x.s, y.s))), 6) AS similarity FROM sh x JOIN sh y ON x.item_id < y.item_id WHERE len(x.s) > 0 AND len(list_intersect(x.s, y.s)) >= 0.05 * (len(x.s) + len(y.s) - len(list_intersect(x.s, y.s)))"))
 def similar_items(spark, sf_dir):
-    b = fx.table(spark, sf_dir, "benchmark").select("item_id", word_shingles("text").alias("s"))
-    x = b.select(F.col("item_id").alias("a"), F.col("s").alias("sa"), F.explode("s").alias("k"))
-    y = b.select(F.col("item_id").alias("b"), F.col("s").alias("sb"), F.explode("s").alias("k"))
-    return x.join(y, "k").where("a < b").select("a", "b", r6(jaccard("sa", "sb"), "similarity")).distinct()
+    b = fx.table(spark, sf_dir, "benchmark").select(F.lit("all").alias("subject_id"), F.col("item_id").alias("place"), word_shingles("text").alias("s"))
+    return training.similar_sets(save(b, "shingles"), 0.05).select("i", "j", r6("similarity", "similarity"))
 
 
 # --- publishing
@@ -732,10 +778,13 @@ def gate_rollup(spark, sf_dir):
     return publish.gate_rollup(rows).select("run_id", "failed_gate", F.col("passed").cast("long").alias("passed"))
 
 
-@query("SELECT o_custkey AS subject_id, CASE WHEN bool_or(o_orderpriority = '1-URGENT') THEN 'FAILED' WHEN bool_and(o_orderstatus = 'F') THEN 'READY' WHEN bool_or(o_orderstatus = 'O' AND o_orderpriority <> '1-URGENT') THEN 'RUNNING' ELSE 'WAITING' END AS phase FROM orders GROUP BY 1")
+@query("""SELECT c_custkey AS subject_id, CASE WHEN c_custkey % 11 = 0 THEN 'SUBMITTED' WHEN c_custkey % 7 = 0 THEN 'REVIEW_IN_PROGRESS' WHEN c_custkey % 3 <> 0 AND c_custkey % 2 <> 0 THEN 'UPLOAD' WHEN bool_and(o_orderstatus IN ('F', 'P')) THEN 'REVIEW_READY' ELSE 'PROCESSING' END AS phase FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1""")
 def training_phases(spark, sf_dir):
-    status = F.when(F.col("o_orderpriority") == "1-URGENT", "FAILED").when(F.col("o_orderstatus") == "F", "DONE").when(F.col("o_orderstatus") == "O", "RUNNING").otherwise("QUEUED")
-    return publish.training_phase(fx.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("subject_id"), status.alias("status")))
+    k = F.col("c_custkey")
+    at = F.lit("2026-01-01").cast("timestamp")
+    manifests = fx.table(spark, sf_dir, "customer").select(k.alias("subject_id"), F.when(k % 11 == 0, at).alias("review_submitted_at"), F.when(k % 7 == 0, at).alias("review_locked_at"), F.when(k % 3 == 0, at).alias("started_at"), (k % 2 == 0).alias("sealed"))
+    status = F.when(F.col("o_orderstatus") == "F", "COMPLETED").when(F.col("o_orderstatus") == "P", "FAILED").otherwise("EXTRACTING")
+    return publish.training_phase(manifests, fx.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("subject_id"), status.alias("status")))
 
 
 @query("SELECT p_partkey, CASE WHEN p_size >= 10 THEN concat((p_size * 6) // 60, 'm ', (p_size * 6) % 60, 's') ELSE concat(p_size * 6, 's') END AS label FROM part")
@@ -757,7 +806,9 @@ def stale_embeddings(spark, sf_dir):
     return publish.stale_embeddings(c, "now", 50).select("claim_id")
 
 
-@query()
+@query(o.q("""RECURSE AS (SELECT 1), sg AS (SELECT source AS asset_id, doc_id AS seq, length(text) + 1 AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),
+pk AS (SELECT asset_id, 0::bigint AS i, NULL::bigint AS seq, 0::bigint AS chunk, 0::bigint AS size FROM (SELECT DISTINCT asset_id FROM sg)
+  UNION ALL SELECT pk.asset_id, sg.i, sg.seq, CASE WHEN size > 0 AND size + n > 60000 THEN chunk + 1 ELSE chunk END, CASE WHEN size > 0 AND size + n > 60000 THEN n ELSE size + n END FROM pk JOIN sg ON sg.asset_id = pk.asset_id AND sg.i = pk.i + 1)""", "SELECT asset_id, seq, chunk FROM pk WHERE i > 0"))
 def packed_chunks(spark, sf_dir):
     rows = fx.table(spark, sf_dir, "documents").select(F.col("source").alias("asset_id"), F.col("doc_id").alias("seq"), "text")
     return publish.packed_chunks(rows)
@@ -769,7 +820,12 @@ def adjacent_anchors(spark, sf_dir):
     return publish.situational_chains(f, edges).select("subject_id", "fact_id", "adjacent")
 
 
-@query()
+SUC = f"""suc AS (SELECT subject_id, slot, fact_id AS from_fact, nid AS to_fact FROM (SELECT *, lead(fact_id) OVER w AS nid, lead(valid_from) OVER w AS nf, lead(valid_to) OVER w AS nt FROM facts WHERE fact_kind = 'STATE' AND valid_from IS NOT NULL WINDOW w AS (PARTITION BY subject_id, slot ORDER BY valid_from, fact_id))
+  WHERE nid IS NOT NULL AND (substr(valid_to, 1, {CUT}) < substr(nf, 1, {CUT}) OR substr(nt, 1, {CUT}) < substr(valid_from, 1, {CUT})))"""
+
+
+@query(o.q(FACT_CTE + ",\n" + SUC + """,
+walk AS (SELECT fact_id, [fact_id] AS path, fact_id AS at, 0 AS h FROM facts WHERE slot IS NOT NULL UNION ALL SELECT fact_id, list_append(path, n.to_fact), n.to_fact, h + 1 FROM walk JOIN (SELECT from_fact, min(to_fact) AS to_fact FROM suc GROUP BY 1) n ON n.from_fact = walk.at WHERE h < 5 AND NOT list_contains(path, n.to_fact))""", "SELECT fact_id, array_to_string(arg_max(path, h), '>') AS path FROM walk GROUP BY 1"))
 def succession_chains(spark, sf_dir):
     c, _, members = _members(spark, sf_dir)
     f = save(assembly.facts(c, members), "facts")
@@ -777,7 +833,8 @@ def succession_chains(spark, sf_dir):
     return publish.chains(s, f.where("slot IS NOT NULL").select("fact_id")).select("fact_id", F.array_join("path", ">").alias("path"))
 
 
-@query()
+@query(o.q(EDGE_CTE + ",\n" + SUC, """SELECT f.subject_id, f.fact_id, p.f AS prev_fact, n.t AS next_fact, coalesce(c.k, 0) AS n_corroborating FROM facts f LEFT JOIN (SELECT to_fact, max(from_fact) AS f FROM suc GROUP BY 1) p ON p.to_fact = f.fact_id LEFT JOIN (SELECT from_fact, min(to_fact) AS t FROM suc GROUP BY 1) n ON n.from_fact = f.fact_id
+  LEFT JOIN (SELECT x, count(DISTINCT y) AS k FROM (SELECT from_fact AS x, to_fact AS y FROM edges WHERE relation = 'CORROBORATES' UNION ALL SELECT to_fact, from_fact FROM edges WHERE relation = 'CORROBORATES') GROUP BY 1) c ON c.x = f.fact_id"""))
 def fact_records(spark, sf_dir):
     _, (_, f), edges, _ = _edges(spark, sf_dir)
     return publish.fact_records(f, assembly.succeeds(f), edges).select("subject_id", "fact_id", "prev_fact", "next_fact", "n_corroborating")

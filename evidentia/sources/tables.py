@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from evidentia.functions.jsonio import canonical
+
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line_no, value) of text files, numbered within each file. A line's place comes from its file's row index, not from a global order."""
@@ -109,8 +111,38 @@ def box_probe(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "path string, sample_rate long, channels long")
 
 
-def speech_words(results: DataFrame) -> DataFrame:
-    """(asset_id, seq, word, speaker, start) of transcripts: results is array<struct<alternatives:array<struct<words:array<struct<word,speaker,start>>>>>>."""
-    words = F.flatten(F.transform("results", lambda r: F.coalesce(F.get(r["alternatives"], F.lit(0))["words"], F.array().cast("array<struct<word:string,speaker:string,start:string>>"))))
-    rows = results.select("asset_id", F.posexplode(words).alias("seq", "w"))
-    return rows.select("asset_id", F.col("seq").cast("long").alias("seq"), "w.word", "w.speaker", F.rtrim("w.start", F.lit("s")).try_cast("double").alias("start"))
+_WORD = "struct<word:string,speaker:string,start:string,end:string>"
+
+
+def seconds(offset: Column) -> Column:
+    """A duration like ``12.5s``, or a bare number, in seconds; null if it is neither."""
+    return F.rtrim(offset, F.lit("s")).try_cast("double")
+
+
+def transcript_segments(results: DataFrame) -> DataFrame:
+    """(asset_id, place, speaker, start, end, text): the segments of transcripts, in order.
+
+    results: asset_id, results array<struct<end, alternatives array<struct<transcript, words array<struct<word, speaker, start, end>>>>>>. The words of a result
+    with speakers are cut where the speaker changes, a word without one goes on; a result without speakers is one segment.
+    """
+    top = F.get(F.col("r.alternatives"), F.lit(0))
+    rows = results.select("asset_id", F.posexplode("results").alias("n", "r")).select("asset_id", "n", F.col("r.end").alias("until"), top["transcript"].alias("said"), F.filter(F.coalesce(top["words"], F.array().cast(f"array<{_WORD}>")), lambda w: w["word"].isNotNull()).alias("words"))
+    rows = rows.withColumn("told", F.exists("words", lambda w: w["speaker"].isNotNull()))
+    plain = rows.where(~F.col("told") & (F.trim("said") != "")).select("asset_id", "n", F.lit(0).alias("run"), F.lit(None).cast("string").alias("speaker"), F.lit(None).cast("double").alias("start"), seconds(F.col("until")).alias("end"), F.trim("said").alias("text"))
+    w = Window.partitionBy("asset_id", "n").orderBy("i")
+    words = rows.where("told").select("asset_id", "n", F.posexplode("words").alias("i", "w")).select("asset_id", "n", "i", "w.*")
+    words = words.withColumn("who", F.last("speaker", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    cut = F.when((F.row_number().over(w) > 1) & F.col("speaker").isNotNull() & ~F.col("who").eqNullSafe(F.lag("who").over(w)), 1).otherwise(0)
+    runs = words.withColumn("cut", cut).withColumn("run", F.sum("cut").over(w))
+    label = F.when(F.lower("who").startswith("speaker"), F.col("who")).otherwise(F.concat(F.lit("Speaker "), F.col("who")))
+    spoken = runs.groupBy("asset_id", "n", "run").agg(
+        F.max(label).alias("speaker"), F.min_by(seconds(F.col("start")), F.when(seconds(F.col("start")).isNotNull(), F.col("i"))).alias("start"), F.max_by(seconds(F.col("end")), F.when(seconds(F.col("end")).isNotNull(), F.col("i"))).alias("end"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "word"))), lambda x: x["word"]), " ").alias("text"),
+    )
+    order = Window.partitionBy("asset_id").orderBy("n", "run")
+    return plain.unionByName(spoken.withColumn("run", F.col("run").cast("int"))).select("asset_id", F.row_number().over(order).cast("long").alias("place"), "speaker", "start", "end", "text")
+
+
+def messages(rows: DataFrame, key: str, fields: dict[str, Column], strings: tuple[str, ...]) -> DataFrame:
+    """(key, value) as bytes, the value in compact canonical JSON: what a Kafka sink takes."""
+    return rows.select(F.col(key).cast("string").cast("binary").alias("key"), F.encode(canonical(fields, strings), "UTF-8").alias("value"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -31,18 +32,31 @@ def decide(state: Attempt | None, now: float, p: Params) -> tuple[Attempt, bool]
     return (count + 1, start, 0.0), True
 
 
-def rate_limited(attempts: DataFrame, p: Params) -> DataFrame:
-    """attempts: bucket_key, attempt_id, ts (seconds). Decisions in order of time and id; state is carried per key, so a key is one sequence."""
+def in_sequence(rows: DataFrame, key: str, order: tuple[str, ...], start: Callable[[], Any], step: Callable[[Any, Any], tuple[Any, Any]], out: str, kind: str) -> DataFrame:
+    """Adds column ``out``: each key's rows in order go through ``step(state, row)``, which gives the next state and the value.
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        state, allowed = None, []
-        rows = group.sort_values(["ts", "attempt_id"])
-        for now in rows["ts"]:
-            state, ok = decide(state, now, p)
-            allowed.append(ok)
-        return rows[["bucket_key", "attempt_id", "ts"]].assign(allowed=allowed)
+    The rows are streamed, a key's state is all that is held, so a key of any length needs constant memory.
+    """
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + f", {out} {kind}"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, state = object(), None
+        for batch in batches:
+            got = []
+            for row in batch.itertuples(index=False):
+                if getattr(row, key) != own:
+                    own, state = getattr(row, key), start()
+                state, value = step(state, row)
+                got.append(value)
+            yield batch.assign(**{out: got})
 
-    return attempts.select("bucket_key", "attempt_id", F.col("ts").cast("double").alias("ts")).groupBy("bucket_key").applyInPandas(run, DECISIONS)
+    return rows.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+
+
+def rate_limited(attempts: DataFrame, p: Params) -> DataFrame:
+    """attempts: bucket_key, attempt_id, ts (seconds). Decisions in order of time and id; state is carried per key, so a key is one sequence."""
+    rows = attempts.select("bucket_key", "attempt_id", F.col("ts").cast("double").alias("ts"))
+    return in_sequence(rows, "bucket_key", ("ts", "attempt_id"), lambda: None, lambda state, r: decide(state, r.ts, p), "allowed", "boolean")
 
 
 def rate_limited_stream(attempts: DataFrame, p: Params) -> DataFrame:
@@ -68,37 +82,30 @@ def rate_limited_stream(attempts: DataFrame, p: Params) -> DataFrame:
 def chat_gated(messages: DataFrame, p: Params) -> DataFrame:
     """messages: session_id, message_id, ts (seconds), live. The outcome of each: NOT_AVAILABLE, FULL, TOO_FAST or OK; an OK adds two messages and sets the pace."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        count, last, out = 0, None, []
-        rows = group.sort_values(["ts", "message_id"])
-        for now, live in zip(rows["ts"], rows["live"], strict=True):
-            if not live:
-                out.append("NOT_AVAILABLE")
-            elif count >= p.messages_per_session:
-                out.append("FULL")
-            elif last is not None and last + p.chat_interval_seconds > now:
-                out.append("TOO_FAST")
-            else:
-                count, last = count + 2, now
-                out.append("OK")
-        return rows[["session_id", "message_id"]].assign(outcome=out)
+    def step(state: tuple[int, float | None], r: Any) -> tuple[tuple[int, float | None], str]:
+        count, last = state
+        if not r.live:
+            return state, "NOT_AVAILABLE"
+        if count >= p.messages_per_session:
+            return state, "FULL"
+        if last is not None and last + p.chat_interval_seconds > r.ts:
+            return state, "TOO_FAST"
+        return (count + 2, r.ts), "OK"
 
-    return messages.select("session_id", "message_id", F.col("ts").cast("double").alias("ts"), "live").groupBy("session_id").applyInPandas(run, "session_id string, message_id long, outcome string")
+    rows = messages.select("session_id", "message_id", F.col("ts").cast("double").alias("ts"), "live")
+    return in_sequence(rows, "session_id", ("ts", "message_id"), lambda: (0, None), step, "outcome", "string").select("session_id", "message_id", "outcome")
 
 
 def outstanding_capped(events: DataFrame, cap: int) -> DataFrame:
     """events: owner, event_id, ts, kind (ISSUE or REDEEM). Whether an issue is allowed while fewer than ``cap`` codes are outstanding."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        open_, out = 0, []
-        rows = group.sort_values(["ts", "event_id"])
-        for kind in rows["kind"]:
-            ok = kind == "REDEEM" or open_ < cap
-            open_ = max(0, open_ - 1) if kind == "REDEEM" else open_ + ok
-            out.append(bool(ok))
-        return rows[["owner", "event_id"]].assign(allowed=out)
+    def step(open_: int, r: Any) -> tuple[int, bool]:
+        if r.kind == "REDEEM":
+            return max(0, open_ - 1), True
+        return open_ + (open_ < cap), open_ < cap
 
-    return events.select("owner", "event_id", F.col("ts").cast("double").alias("ts"), "kind").groupBy("owner").applyInPandas(run, "owner string, event_id long, allowed boolean")
+    rows = events.select("owner", "event_id", F.col("ts").cast("double").alias("ts"), "kind")
+    return in_sequence(rows, "owner", ("ts", "event_id"), lambda: 0, step, "allowed", "boolean").select("owner", "event_id", "allowed")
 
 
 def daily_capped(rows: DataFrame, cap: int, day: str = "day", order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
@@ -121,6 +128,13 @@ def session_chip(created: str, redeemed: str, as_of: Column, p: Params) -> Colum
     return F.when(F.col(redeemed).isNull(), "NEW").when(end > as_of, "ACTIVE").otherwise("EXPIRED")
 
 
+def token_chip(status: str, session_end: str, email_status: str, as_of: Column) -> Column:
+    """What a code's row shows: REVOKED; ACTIVE or USED once redeemed; EMAIL_FAILED or UNREDEEMED before."""
+    s = F.col(status)
+    redeemed = F.when(F.coalesce(F.col(session_end) > as_of, F.lit(False)), "ACTIVE").otherwise("USED")
+    return F.when(s == "REVOKED", "REVOKED").when(s == "REDEEMED", redeemed).when(F.col(email_status).eqNullSafe("FAILED"), "EMAIL_FAILED").otherwise("UNREDEEMED")
+
+
 def counters(events: DataFrame, key: str = "event_type", value: str = "value") -> DataFrame:
     """Counts and sums by key: an aggregate over the log in batch, an update-mode aggregate on a stream."""
     return events.groupBy(key).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
