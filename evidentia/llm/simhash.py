@@ -11,6 +11,7 @@ stay linear in the fingerprints; components then follow on Spark.
 
 from __future__ import annotations
 
+import heapq
 from fractions import Fraction
 from itertools import combinations
 
@@ -204,9 +205,11 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, MINIMA = 25, 5
 #: Odd factors that give each minimum its own order of the 64-bit hashes.
 FACTORS = np.array([xxhash.xxh64_intdigest(b"%d" % k, SEED) | 1 for k in range(BANDS * MINIMA)], np.uint64)
-#: 64-bit parts of a sketch, and the bits in which sketches of candidates may differ: a pair at similarity 0.8 differs in 0.15 of them on average, in up to 0.19 if
-#: the texts have a few shingles only, so that the radius is over three standard deviations away.
-PARTS, SKETCH_RADIUS = 8, 128
+#: 64-bit parts of a sketch, and the bits in which sketches of candidates may differ. A pair at similarity 0.8 differs in up to 0.1525 of them on average, in up to
+#: 0.19 if a text has less than FEW shingles, so that each radius is four standard deviations away.
+PARTS, SKETCH_RADIUS, FEW, FEW_RADIUS = 32, 377, 10, 460
+#: How many of the nearest candidates of a component outside the largest of its shard are compared in each round; then all that are left.
+NEAREST = (3, None)
 SALTS = np.array([xxhash.xxh64_intdigest(b"part %d" % k, SEED) for k in range(PARTS)], np.uint64)
 #: Sketches that a tree of a shard holds, and that meet a tree at once.
 SHARD_ROWS = 1024
@@ -233,13 +236,26 @@ def bands_of(hashes: np.ndarray) -> list[int]:
 def sketch_of(hashes: np.ndarray) -> bytes:
     """A SimHash of 64 * PARTS bits: a bit is 1 if it is set in over half of the mixed hashes."""
     counts = np.zeros(BITS * PARTS, np.int64)
-    for at in range(0, len(hashes), 4096):
-        x = hashes[at : at + 4096, None] ^ SALTS
+    for at in range(0, len(hashes), 255):
+        x = hashes[at : at + 255, None] ^ SALTS
         x = (x ^ x >> np.uint64(33)) * np.uint64(0xFF51AFD7ED558CCD)
-        counts += np.unpackbits((x ^ x >> np.uint64(33)).view(np.uint8), axis=1).sum(0, dtype=np.int32)
+        counts += np.unpackbits((x ^ x >> np.uint64(33)).view(np.uint8), axis=1).sum(0, dtype=np.uint8)
     return np.packbits(2 * counts > len(hashes)).tobytes()
 
 
+def sketched(texts: DataFrame, words: int) -> DataFrame:
+    """(id, text) with the sketch of each text and whether it has few shingles."""
+
+    def make():
+        def step(rows: dict) -> dict:
+            sets = [hashed(t, words) for t in rows["text"]]
+            return rows | {"sketch": list(map(sketch_of, sets)), "few": [len(s) < FEW for s in sets]}
+
+        return step
+
+    return map_chunks(texts, make, "id long, text string, sketch binary, few boolean")
+
+
 def similar(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """The pairs (a, b) whose texts (id, text) have at least this Jaccard similarity of distinct shingles."""
     least = Fraction(str(similarity))
@@ -272,71 +288,71 @@ def similar(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -
     return pairs.join(to("a", "s"), "a").join(to("b", "t"), "b").mapInArrow(run, "a long, b long")
 
 
-def candidates(open_: DataFrame, spread: bool) -> DataFrame:
-    """Pairs (a, b) of the members (band, id, sketch, label, main) of open shards whose sketches are within the radius and whose labels differ.
+def candidates(open_: DataFrame, nearest: int | None) -> DataFrame:
+    """Pairs (a, b) of the members (band, id, sketch, few, label, main) of open shards whose sketches are within the radius and whose labels differ.
 
-    The members outside the largest component of a shard become BK-trees, which are sent to all blocks of members of the shard. With
-    ``spread``, a tree and a block give a spanning forest of the labels that such pairs connect; without, all such pairs.
+    The members outside the largest component of a shard become BK-trees, which are sent to all blocks of members of the shard. Each of
+    their labels gives its ``nearest`` pairs of a tree and a block, or all.
     """
     size = open_.groupBy("band").agg(F.count("*").alias("n"), F.count_if(F.col("label") != F.col("main")).alias("m"))
     turn = lambda n: F.pmod(F.xxhash64("id", F.lit("block")), F.ceil(F.col(n) / SHARD_ROWS).cast("long")).alias("block")
     rows = open_.join(size, "band")
-    packed = F.collect_list(F.struct("id", "label", "sketch"))
-    trees = rows.where("label <> main").select("band", turn("m"), "id", "label", "sketch").groupBy("band", "block").agg(packed.alias("tree")).drop("block")
-    blocks = rows.select("band", turn("n"), "id", "label", "sketch").groupBy("band", "block").agg(packed.alias("met")).drop("block")
+    packed = F.collect_list(F.struct("id", "label", "sketch", "few"))
+    trees = rows.where("label <> main").select("band", turn("m"), "id", "label", "sketch", "few").groupBy("band", "block").agg(packed.alias("tree")).drop("block")
+    blocks = rows.select("band", turn("n"), "id", "label", "sketch", "few").groupBy("band", "block").agg(packed.alias("met")).drop("block")
 
     def run(batches):
         for batch in batches:
             out: list[tuple[int, int]] = []
             for tree_rows, met in zip(batch["tree"].to_pylist(), batch["met"].to_pylist(), strict=True):
-                out += met_pairs(tree_rows, met, spread)
+                out += met_pairs(tree_rows, met, nearest)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
 
     return trees.join(blocks, "band").select("tree", "met").mapInArrow(run, "a long, b long").distinct()
 
 
-def met_pairs(tree_rows: list[dict], met: list[dict], spread: bool) -> list[tuple[int, int]]:
-    """Pairs of a tree's members with those that meet it; with ``spread`` only those that join two sets of labels."""
-    tree, top, out = BKTree(), {}, []
+def met_pairs(tree_rows: list[dict], met: list[dict], nearest: int | None) -> list[tuple[int, int]]:
+    """Pairs of a tree's members with those that meet it; with ``nearest`` only so many of the smallest distance for each label of the tree."""
+    tree, found = BKTree(), {}
     for r in tree_rows:
         tree.insert(int.from_bytes(r["sketch"], "big"))
-
-    def root(x: int) -> int:
-        while (up := top.get(x, x)) != x:
-            top[x] = top.get(up, up)
-            x = up
-        return x
-
     for r in met:
-        for at in tree.near(int.from_bytes(r["sketch"], "big"), SKETCH_RADIUS):
+        point = int.from_bytes(r["sketch"], "big")
+        for at in tree.near(point, FEW_RADIUS):
             other = tree_rows[at]
-            x, y = (root(r["label"]), root(other["label"])) if spread else (r["label"], other["label"])
-            if x != y:
-                out.append((min(r["id"], other["id"]), max(r["id"], other["id"])))
-                if spread:
-                    top[x] = y
-    return out
-
-
-def linked_in_shards(members: DataFrame, sketches: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(v, root) for the members (id, band, pivot) that are linked by similar pairs of a shard, directly or through others.
-
-    First all members of a shard meet one of them, the pivot, so that a large group of near copies is one component early. Then the BK-trees
-    of those outside give a forest of further candidates, and at last all candidates between different components.
+            if r["label"] != other["label"]:
+                d = (point ^ tree.points[at]).bit_count()
+                if d <= SKETCH_RADIUS or r["few"] or other["few"]:
+                    own = found.setdefault(other["label"], [])
+                    pair = -d, min(r["id"], other["id"]), max(r["id"], other["id"])
+                    if nearest is None or len(own) < nearest:
+                        heapq.heappush(own, pair)
+                    else:
+                        heapq.heappushpop(own, pair)
+    return [(a, b) for own in found.values() for _, a, b in own]
+
+
+def linked_in_shards(members: DataFrame, sketched: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(v, root) for the members (id, band, pivot) that are linked by similar pairs of a shard, directly or through others. sketched: id, text, sketch, few.
+
+    First all members of a shard meet one of them, the pivot, so that a large group of near copies is one component early. Then the components
+    outside the largest of a shard meet their nearest candidates by BK-trees, in rounds, and at last all that are left.
     """
     far = F.aggregate(F.zip_with("x", "y", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, d: s + d)
     words_of = F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda k: F.conv(F.hex(F.substring("sketch", k * 8 + 1, F.lit(8))), 16, -10).cast("long"))
-    flat = sketches.select("id", words_of.alias("w"))
-    to = lambda c, w: flat.select(F.col("id").alias(c), F.col("w").alias(w))
+    sketches, texts = sketched.select("id", "sketch", "few"), sketched.select("id", "text")
+    flat = sketches.select("id", words_of.alias("w"), "few")
+    to = lambda c, w: flat.select(F.col("id").alias(c), F.col("w").alias(w), F.col("few").alias(f"few_{c}"))
+    near = far <= F.when(F.col("few_a") | F.col("few_b"), FEW_RADIUS).otherwise(SKETCH_RADIUS)
     tried = members.where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-    tried = save(tried.join(to("a", "x"), "a").join(to("b", "y"), "b").where(far <= SKETCH_RADIUS).select("a", "b"), "shard-pairs")
+    tried = save(tried.join(to("a", "x"), "a").join(to("b", "y"), "b").where(near).select("a", "b"), "shard-pairs")
     roots = save(components(similar(tried, texts, words, similarity)), "shard-roots")
-    for spread in (True, False):
+    for nearest in NEAREST:
         now = members.join(roots, members["id"] == roots["v"], "left").select("id", "band", F.coalesce("root", "id").alias("label"))
         parts = now.groupBy("band", "label").agg(F.count("*").alias("m")).groupBy("band").agg(F.count("*").alias("parts"), F.max_by("label", F.struct("m", "label")).alias("main"))
         open_ = save(now.join(parts.where("parts > 1").select("band", "main"), "band").join(sketches, "id"), "shard-open")
-        pairs = save(candidates(open_, spread).join(tried, ["a", "b"], "left_anti"), "shard-pairs")
+        pairs = save(candidates(open_, nearest).join(tried, ["a", "b"], "left_anti"), "shard-pairs")
         edges = save(similar(pairs, texts, words, similarity), "shard-edges")
         if not edges.isEmpty():
             roots = save(merged(roots, edges), "shard-roots")
@@ -367,19 +383,19 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
     def make():
         def step(rows: dict) -> dict:
             sets = [hashed(t, words) for t in rows["text"]]
-            return {"doc_id": rows["doc_id"], "content": rows["content"], "key": [xxhash.xxh128_digest(s.tobytes()) for s in sets], "sketch": list(map(sketch_of, sets)), "bands": list(map(bands_of, sets))}
+            return {"doc_id": rows["doc_id"], "content": rows["content"], "key": [xxhash.xxh128_digest(s.tobytes()) for s in sets], "bands": list(map(bands_of, sets))}
 
         return step
 
-    rows = save(map_chunks(own, make, "doc_id long, content long, key binary, sketch binary, bands array<long>"), "near-rows")
-    points = rows.groupBy("key").agg(F.min(F.struct("doc_id", "content", "sketch", "bands")).alias("p")).select("key", "p.*")
+    rows = save(map_chunks(own, make, "doc_id long, content long, key binary, bands array<long>"), "near-rows")
+    points = rows.groupBy("key").agg(F.min(F.struct("doc_id", "content", "bands")).alias("p")).select("key", "p.*")
     points = save(points.withColumn("id", F.monotonically_increasing_id()), "near-points")
     keyed = points.select("id", F.explode("bands").alias("band"))
     shared = keyed.groupBy("band").agg(F.count("*").alias("n"), F.min_by("id", F.struct(F.xxhash64("id", F.lit("turn")), "id")).alias("pivot")).where("n > 1").drop("n")
     members = save(keyed.join(shared, "band"), "near-members")
     inside = points.join(members.select("id").distinct(), "id", "left_semi")
-    texts = save(own.join(inside.select("doc_id", "content", "id"), ["doc_id", "content"]).select("id", "text").dropDuplicates(["id"]), "near-texts")
-    roots = linked_in_shards(members, inside.select("id", "sketch"), texts, words, similarity)
+    texts = own.join(inside.select("doc_id", "content", "id"), ["doc_id", "content"]).select("id", "text").dropDuplicates(["id"])
+    roots = linked_in_shards(members, save(sketched(texts, words), "near-texts"), words, similarity)
     named = points.join(roots, points["id"] == roots["v"], "left").select("key", "doc_id", "content", F.coalesce("root", "id").alias("root"))
     named = save(named, "near-named")
     firsts = named.groupBy("root").agg(F.min(F.struct("doc_id", "content")).alias("f"))
