@@ -202,7 +202,7 @@ def blocking_union(spark, sf_dir):
 
 def _graded(spark, sf_dir, candidates=None):
     c, v, pairs = candidates or _candidates(spark, sf_dir)
-    pairs = save(pairs, "candidates")
+    pairs = pairs if candidates else save(pairs, "candidates")
     return c, save(matching.rungs(pairs, c, matching.pair_similarities(pairs, v), MATCHING, same_text=F.col("text_a") == F.col("text_b")), "graded")
 
 

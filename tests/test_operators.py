@@ -1,5 +1,6 @@
 """Small cases of matching, judging, assembly, planning, validation, limits and sources."""
 
+import json
 from dataclasses import replace
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from evidentia.config import Params
 from evidentia.functions import dates, jsonio, text
 from evidentia.functions.vectors import pseudo_embedding
-from evidentia.operators import assembly, entities, iterate, judging, lifecycle, matching, serialization, training
+from evidentia.operators import assembly, blocks, entities, iterate, judging, lifecycle, matching, publish, serialization, training
 from evidentia.sources import tables
 from evidentia.streaming import limits
 
@@ -185,6 +186,74 @@ def test_fan_out_cap_and_subsets(spark):
     assert next(r for r in s if r["lap"] == 1 and r["chunk"] == 0)["claim_ids"][0] == "c07"
 
 
+@pytest.mark.parametrize(
+    "chain,want",
+    [
+        ([(0.9, True, False, False), (0.8, True, False, False)], (True, "very likely", [], [])), ([(0.9, True, False, False), (0.5, True, False, False)], (True, "it's reasonable to expect", [], [])),
+        ([(0.9, False, True, False)], (True, "very likely", [], [])), ([(0.9, True, False, False)], (False, None, [], [])), ([(0.9, True, False, False), (0.3, True, True, False)], (False, None, [], [])),
+        ([(0.9, True, True, False), (0.8, True, False, True)], (True, "very likely", ["f1"], [])), ([(0.9, True, False, False), (0.8, True, False, True)], (True, "it's reasonable to expect", [], ["f1"])), ([(0.8, False, False, True)], (False, None, [], [])),
+    ],
+)
+def test_situational_conclusions(spark, chain, want):
+    rows = [("s", "c", f"f{i}", *r) for i, r in enumerate(chain)]
+    r = training.situational_hedge(spark.createDataFrame(rows, "subject_id string, chain_id string, fact_id string, belief double, independent boolean, anchored boolean, conflicted boolean"), P).collect()[0]
+    assert (r["floors_met"], r["phrase"], r["dropped"], r["named_tension"]) == want
+
+
+def test_similar_sets_equal_all_pairs(spark):
+    import random
+
+    r = random.Random(3)
+    rows = [("s" if i % 3 else "t", i, [f"w{x}" for x in r.sample(range(12), r.randrange(0, 9))]) for i in range(60)]
+    df = spark.createDataFrame(rows, "subject_id string, place long, s array<string>")
+    for least in (0.3, 0.5, 0.85, 1.0):
+        got = {(x["i"], x["j"]) for x in training.similar_sets(df, least).collect()}
+        want = {(i, j) for g, i, a in rows for h, j, b in rows if g == h and i < j and a and b and len(set(a) & set(b)) / len(set(a) | set(b)) >= least}
+        assert got == want
+
+
+def test_blocks_find_what_all_pairs_find(spark):
+    import random
+
+    r = random.Random(4)
+    rows = [("s" if i % 4 else "t", f"c{i:03}", [r.choice([-1.0, 0.0, 0.5, 1.0]) for _ in range(4)]) for i in range(80)]
+    df = spark.createDataFrame(rows, "subject_id string, claim_id string, embedding array<double>")
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    for block in (7, 1024):
+        got = {(x["x"], x["y"]) for x in blocks.similar(df, df, 1.0, block_rows=block).collect()}
+        assert got == {(a, b) for g, a, v in rows for h, b, w in rows if g == h and a != b and dot(v, w) >= 1.0}
+    p = replace(P, sim_floor=0.5, knn_k=2)
+    best = {a: sorted((-dot(v, w), b) for h, b, w in rows if g == h and a != b and dot(v, w) >= 0.5)[:2] for g, a, v in rows}
+    assert {(x["a"], x["b"]) for x in matching.knn_pairs(df, p).collect()} == {(min(a, b), max(a, b)) for a, near in best.items() for _, b in near}
+
+
+def test_a_common_entity_is_dealt_into_parts(spark):
+    rows = [("s", f"c{i:02}", "hub") for i in range(30)] + [("s", f"c{i:02}", f"e{i % 5}") for i in range(40)]
+    df = spark.createDataFrame(rows, "subject_id string, claim_id string, entity_id string")
+    few, many = (sorted(map(tuple, matching.co_mention_pairs(df, P, part_rows=n).collect())) for n in (4, 2048))
+    assert few == many and len(few) > 400
+
+
+def test_training_phases_and_blockers(spark):
+    at = "2026-01-01"
+    m = spark.createDataFrame([("a", at, at, at, True), ("b", None, at, at, True), ("c", None, None, None, False), ("d", None, None, at, True), ("e", None, None, None, True), ("f", None, None, at, True)], "subject_id string, review_submitted_at string, review_locked_at string, started_at string, sealed boolean")
+    jobs = spark.createDataFrame([("d", "COMPLETED"), ("d", "FAILED"), ("f", "COMPLETED"), ("f", "EXTRACTING")], "subject_id string, status string")
+    got = dict(map(tuple, publish.training_phase(m, jobs).collect()))
+    assert got == {"a": "SUBMITTED", "b": "REVIEW_IN_PROGRESS", "c": "UPLOAD", "d": "REVIEW_READY", "e": "PROCESSING", "f": "PROCESSING"}
+
+
+def test_scrubbing_keeps_ordinary_brackets(spark):
+    said = "Led it [c1] (D9) , [sic] in (2019) [S4-D1] “ so ” [F12] ."
+    assert one(spark, publish.scrubbed(F.lit(said), F.array(F.lit("c1")))) == "Led it, [sic] in (2019) “so”."
+
+
+def test_canonical_json(spark):
+    said = 'a"' + chr(92) + chr(10) + chr(1) + "é"
+    fields = {"schemaVersion": F.lit(1), "text": F.lit(said)}
+    assert one(spark, jsonio.canonical(fields, ("text",))) == '{"schemaVersion":1,"text":' + json.dumps(said, ensure_ascii=False) + "}"
+    assert one(spark, jsonio.canonical({"a": F.lit("x"), "b": F.lit(2)}, ("a",), pretty=True)) == json.dumps({"a": "x", "b": 2}, indent=2) + chr(10)
+
+
 # --- serialization
 
 
@@ -220,6 +289,12 @@ def test_entities_resolve_merge_and_redirect(spark):
     got = {r["surface_key"]: (r["entity_id"], r["how"]) for r in entities.resolve(m, canon, P).collect()}
     assert got["acme"] == ("e1", "EXACT") and got["acme inc"] == ("e1", "ALIAS") and got["akme"] == ("e1", "MERGED")
     assert got["zeta"][1] == "MINTED" and got["zeta ltd"] == (got["zeta"][0], "MERGED")
+    more = spark.createDataFrame([("c6", "old", "ORG", [0.0, 1.0]), ("c7", "ackme", "ORG", [0.8, 0.6]), ("c8", "far", "ORG", [-1.0, 0.0]), ("c9", "farther", "ORG", [-0.8, -0.6])], m.schema)
+    got = {r["surface_key"]: (r["entity_id"], r["how"]) for r in entities.resolve(more, canon, P).collect()}
+    assert got["old"] == ("e1", "EXACT") and got["ackme"] == ("e1", "REVIEW") and got["far"][1] == "MINTED" and got["farther"] == (got["far"][0], "REVIEW")
+    linked = m.where("surface_key IN ('zeta', 'akme')").withColumn("entity_id", F.lit("e1"))
+    again = {r["surface_key"]: r["how"] for r in entities.split_entity(linked, canon.where("entity_id = 'e1'"), "e1", P).collect()}
+    assert again == {"zeta": "MINTED", "akme": "MINTED"}
     r = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("d", "c")], "entity_id string, merged_into string")
     assert {x["live_id"] for x in entities.resolved_redirects(r).collect()} == {"a"}
 
