@@ -523,7 +523,7 @@ def violation_classes(spark, sf_dir):
     return rows.select("claim_id", training.violation_class().alias("violation"))
 
 
-SHINGLES = "sh AS (SELECT {key}, list_distinct(CASE WHEN len(t) < 3 THEN t ELSE list_transform(range(1, len(t) - 1), lambda i: array_to_string(t[i:i + 2], ' ')) END) AS s FROM (SELECT {key}, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS t FROM {table}))"
+SHINGLES = "sh AS MATERIALIZED (SELECT {key}, list_distinct(CASE WHEN len(t) < 3 THEN t ELSE list_transform(range(1, len(t) - 1), lambda i: array_to_string(t[i:i + 2], ' ')) END) AS s FROM (SELECT {key}, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS t FROM {table}))"
 GUARD = {"A": ("the", "la"), "B": ("der", "of"), "C": ("und",)}
 
 
@@ -538,7 +538,7 @@ def _questions(spark, sf_dir):
 
 
 @query(o.q("RECURSE AS (SELECT 1), qs AS (SELECT row_number() OVER (ORDER BY conv_id * 1000 + turn) AS n, conv_id * 1000 + turn AS place, text FROM conversations WHERE role = 'user'),\n" + SHINGLES.format(key="n", table="qs") + """,
-near AS (SELECT x.n AS i, y.n AS j FROM sh x JOIN sh y ON x.n < y.n WHERE (len(x.s) = 0 AND len(y.s) = 0) OR (len(x.s) + len(y.s) > 0 AND len(list_intersect(x.s, y.s)) >= 0.85 * (len(x.s) + len(y.s) - len(list_intersect(x.s, y.s))))),
+near AS MATERIALIZED (SELECT x.n AS i, y.n AS j FROM sh x JOIN sh y ON x.n < y.n WHERE (len(x.s) = 0 AND len(y.s) = 0) OR (len(x.s) + len(y.s) > 0 AND len(list_intersect(x.s, y.s)) >= 0.85 * (len(x.s) + len(y.s) - len(list_intersect(x.s, y.s))))),
 go AS (SELECT 0 AS n, []::bigint[] AS kept UNION ALL SELECT go.n + 1, CASE WHEN EXISTS (SELECT 1 FROM near WHERE j = go.n + 1 AND list_contains(kept, i)) THEN kept ELSE list_append(kept, go.n + 1) END FROM go WHERE go.n < (SELECT max(n) FROM qs))""", "SELECT place FROM qs JOIN (SELECT unnest(kept) AS n FROM go WHERE n = (SELECT max(n) FROM qs)) USING (n)"))
 def near_dup_questions(spark, sf_dir):
     return training.keep_first_of_near(_questions(spark, sf_dir), P).select("place")
