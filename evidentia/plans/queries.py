@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from evidentia.config import Params
 from evidentia.functions import dates, maths
 from evidentia.functions.hashing import hash_split, pool_pick, sha_prefix
-from evidentia.functions.text import embedding_text, jaccard, normalize_surface, safe_filename, slug, token_estimate, word_shingles
+from evidentia.functions.text import embedding_text, normalize_surface, safe_filename, slug, token_estimate, tokens, word_shingles
 from evidentia.operators import assembly, entities, judging, ledger, lifecycle, matching, publish, scoring, serialization, training
 from evidentia.operators.iterate import save
 from evidentia.plans import fixtures as fx
@@ -757,10 +757,10 @@ def entity_search(spark, sf_dir):
     return entities.search(_canon(spark, sf_dir), "1").select("entity_id")
 
 
-@query(o.q(SHINGLES.format(key="item_id", table="benchmark"), "SELECT x.item_id AS i, y.item_id AS j, round(len(list_intersect(x.s, y.s)) / (len(x.s) + len(y.s) - len(list_intersect(x.s, y.s))), 6) AS similarity FROM sh x JOIN sh y ON x.item_id < y.item_id WHERE len(x.s) > 0 AND len(list_intersect(x.s, y.s)) >= 0.05 * (len(x.s) + len(y.s) - len(list_intersect(x.s, y.s)))"))
+@query("WITH sh AS MATERIALIZED (SELECT p_partkey AS k, list_distinct(list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), lambda x: x <> '')) AS s FROM part) SELECT x.k AS i, y.k AS j, round(len(list_intersect(x.s, y.s)) / (len(x.s) + len(y.s) - len(list_intersect(x.s, y.s))), 6) AS similarity FROM sh x JOIN sh y ON x.k < y.k WHERE len(x.s) > 0 AND len(list_intersect(x.s, y.s)) >= 0.5 * (len(x.s) + len(y.s) - len(list_intersect(x.s, y.s)))")
 def similar_items(spark, sf_dir):
-    b = fx.table(spark, sf_dir, "benchmark").select(F.lit("all").alias("subject_id"), F.col("item_id").alias("place"), word_shingles("text").alias("s"))
-    return training.similar_sets(save(b, "shingles"), 0.05).select("i", "j", r6("similarity", "similarity"))
+    b = fx.table(spark, sf_dir, "part").select(F.lit("all").alias("subject_id"), F.col("p_partkey").alias("place"), F.array_distinct(tokens("p_name")).alias("s"))
+    return training.similar_sets(save(b, "words"), 0.5).select("i", "j", r6("similarity", "similarity"))
 
 
 # --- publishing
