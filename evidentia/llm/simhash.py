@@ -244,7 +244,7 @@ def sketch_of(hashes: np.ndarray) -> bytes:
 
 
 def sketched(texts: DataFrame, words: int) -> DataFrame:
-    """(id, text) with the sketch of each text and whether it has few shingles."""
+    """(id, text, bands) with the sketch of each text and whether it has few shingles."""
 
     def make():
         def step(rows: dict) -> dict:
@@ -253,7 +253,7 @@ def sketched(texts: DataFrame, words: int) -> DataFrame:
 
         return step
 
-    return map_chunks(texts, make, "id long, text string, sketch binary, few boolean")
+    return map_chunks(texts, make, "id long, text string, bands array<long>, sketch binary, few boolean")
 
 
 def similar(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -289,32 +289,33 @@ def similar(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -
 
 
 def candidates(open_: DataFrame, nearest: int | None) -> DataFrame:
-    """Pairs (a, b) of the members (band, id, sketch, few, label, main) of open shards whose sketches are within the radius and whose labels differ.
+    """Pairs (a, b) of the members (band, id, bands, sketch, few, label, main) of open shards whose sketches are within the radius and whose labels differ.
 
     The members outside the largest component of a shard become BK-trees, which are sent to all blocks of members of the shard. Each of
-    their labels gives its ``nearest`` pairs of a tree and a block, or all.
+    their labels gives its ``nearest`` pairs of a tree and a block, or all. A pair that shares several shards comes from the first of them only.
     """
     size = open_.groupBy("band").agg(F.count("*").alias("n"), F.count_if(F.col("label") != F.col("main")).alias("m"))
     turn = lambda n: F.pmod(F.xxhash64("id", F.lit("block")), F.ceil(F.col(n) / SHARD_ROWS).cast("long")).alias("block")
     rows = open_.join(size, "band")
-    packed = F.collect_list(F.struct("id", "label", "sketch", "few"))
-    trees = rows.where("label <> main").select("band", turn("m"), "id", "label", "sketch", "few").groupBy("band", "block").agg(packed.alias("tree")).drop("block")
-    blocks = rows.select("band", turn("n"), "id", "label", "sketch", "few").groupBy("band", "block").agg(packed.alias("met")).drop("block")
+    packed = F.collect_list(F.struct("id", "label", "sketch", "few", "bands"))
+    trees = rows.where("label <> main").select("band", turn("m"), "id", "label", "sketch", "few", "bands").groupBy("band", "block").agg(packed.alias("tree")).drop("block")
+    blocks = rows.select("band", turn("n"), "id", "label", "sketch", "few", "bands").groupBy("band", "block").agg(packed.alias("met")).drop("block")
 
     def run(batches):
         for batch in batches:
             out: list[tuple[int, int]] = []
-            for tree_rows, met in zip(batch["tree"].to_pylist(), batch["met"].to_pylist(), strict=True):
-                out += met_pairs(tree_rows, met, nearest)
+            for band, tree_rows, met in zip(*[batch[c].to_pylist() for c in ("band", "tree", "met")], strict=True):
+                out += met_pairs(band, tree_rows, met, nearest)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
 
-    return trees.join(blocks, "band").select("tree", "met").mapInArrow(run, "a long, b long").distinct()
+    return trees.join(blocks, "band").select("band", "tree", "met").mapInArrow(run, "a long, b long").distinct()
 
 
-def met_pairs(tree_rows: list[dict], met: list[dict], nearest: int | None) -> list[tuple[int, int]]:
-    """Pairs of a tree's members with those that meet it; with ``nearest`` only so many of the smallest distance for each label of the tree."""
+def met_pairs(band: int, tree_rows: list[dict], met: list[dict], nearest: int | None) -> list[tuple[int, int]]:
+    """Pairs of a tree's members with those that meet it, whose first common band this is; with ``nearest`` only so many of the smallest distance for each label of the tree."""
     tree, found = BKTree(), {}
+    bands = [frozenset(r["bands"]) for r in tree_rows]
     for r in tree_rows:
         tree.insert(int.from_bytes(r["sketch"], "big"))
     for r in met:
@@ -323,7 +324,7 @@ def met_pairs(tree_rows: list[dict], met: list[dict], nearest: int | None) -> li
             other = tree_rows[at]
             if r["label"] != other["label"]:
                 d = (point ^ tree.points[at]).bit_count()
-                if d <= SKETCH_RADIUS or r["few"] or other["few"]:
+                if (d <= SKETCH_RADIUS or r["few"] or other["few"]) and min(bands[at].intersection(r["bands"])) == band:
                     own = found.setdefault(other["label"], [])
                     pair = -d, min(r["id"], other["id"]), max(r["id"], other["id"])
                     if nearest is None or len(own) < nearest:
@@ -334,14 +335,14 @@ def met_pairs(tree_rows: list[dict], met: list[dict], nearest: int | None) -> li
 
 
 def linked_in_shards(members: DataFrame, sketched: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(v, root) for the members (id, band, pivot) that are linked by similar pairs of a shard, directly or through others. sketched: id, text, sketch, few.
+    """(v, root) for the members (id, band, pivot) that are linked by similar pairs of a shard, directly or through others. sketched: id, text, bands, sketch, few.
 
     First all members of a shard meet one of them, the pivot, so that a large group of near copies is one component early. Then the components
     outside the largest of a shard meet their nearest candidates by BK-trees, in rounds, and at last all that are left.
     """
     far = F.aggregate(F.zip_with("x", "y", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, d: s + d)
     words_of = F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda k: F.conv(F.hex(F.substring("sketch", k * 8 + 1, F.lit(8))), 16, -10).cast("long"))
-    sketches, texts = sketched.select("id", "sketch", "few"), sketched.select("id", "text")
+    sketches, texts = sketched.select("id", "bands", "sketch", "few"), sketched.select("id", "text")
     flat = sketches.select("id", words_of.alias("w"), "few")
     to = lambda c, w: flat.select(F.col("id").alias(c), F.col("w").alias(w), F.col("few").alias(f"few_{c}"))
     near = far <= F.when(F.col("few_a") | F.col("few_b"), FEW_RADIUS).otherwise(SKETCH_RADIUS)
@@ -394,7 +395,7 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
     shared = keyed.groupBy("band").agg(F.count("*").alias("n"), F.min_by("id", F.struct(F.xxhash64("id", F.lit("turn")), "id")).alias("pivot")).where("n > 1").drop("n")
     members = save(keyed.join(shared, "band"), "near-members")
     inside = points.join(members.select("id").distinct(), "id", "left_semi")
-    texts = own.join(inside.select("doc_id", "content", "id"), ["doc_id", "content"]).select("id", "text").dropDuplicates(["id"])
+    texts = own.join(inside.select("doc_id", "content", "id", "bands"), ["doc_id", "content"]).select("id", "text", "bands").dropDuplicates(["id"])
     roots = linked_in_shards(members, save(sketched(texts, words), "near-texts"), words, similarity)
     named = points.join(roots, points["id"] == roots["v"], "left").select("key", "doc_id", "content", F.coalesce("root", "id").alias("root"))
     named = save(named, "near-named")
