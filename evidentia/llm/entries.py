@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from evidentia.llm import chat, htmltext, langid, mips, mixing, pieces, quality, secrets, simhash, substring
+from evidentia.llm import chat, flatgraph, htmltext, langid, mips, mixing, negatives, pieces, quality, secrets, simhash, substring, trie
 from evidentia.llm.common import table
 
 
@@ -53,6 +54,19 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flatgraph.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each rule of each policy decides, from the failure bits of all documents."""
     return quality.ablations(quality.ledger(table(spark, sf_dir, "documents")))
@@ -65,14 +79,14 @@ def source_mix_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_rules, op3_exact_top_k, op4_sentencepiece, op5_substring_dedup, op6_secret_scan, op7_chat_format, op8_source_mixing, op9_language_id, op10_html_extraction, quality_ablations, source_mix_totals)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_rules, op3_exact_top_k, op4_sentencepiece, op5_substring_dedup, op6_secret_scan, op7_chat_format, op8_source_mixing, op9_language_id, op10_html_extraction, op11_hard_negatives, op12_prefix_trie, op13_embedding_near_dedup, quality_ablations, source_mix_totals)}
 
 
 def oracle_sql() -> dict[str, str]:
     parts = []
     for p in quality.POLICIES.values():
         parts += [f"SELECT '{p.version}' AS policy, '{r}' AS rule, count(*) FILTER (failed & {p.mask} <> 0) AS n_rejected, count(*) FILTER (failed & {quality.BIT[r]} <> 0) AS n_failing, count(*) FILTER (failed & {p.mask} = {quality.BIT[r]}) AS n_by_it_alone FROM ledger" for r in p.rules]
-    return {"op2_quality_rules": OP2_SQL, "op3_exact_top_k": OP3_SQL, "op5_substring_dedup": OP5_SQL, "op7_chat_format": OP7_SQL, "quality_ablations": f"WITH ledger AS ({OP2_SQL})\n" + "\nUNION ALL ".join(parts)}
+    return {"op2_quality_rules": OP2_SQL, "op3_exact_top_k": OP3_SQL, "op5_substring_dedup": OP5_SQL, "op7_chat_format": OP7_SQL, "op11_hard_negatives": OP11_SQL, "op12_prefix_trie": OP12_SQL, "op13_embedding_near_dedup": OP13_SQL, "quality_ablations": f"WITH ledger AS ({OP2_SQL})\n" + "\nUNION ALL ".join(parts)}
 
 
 OP2_SQL = r"""
@@ -124,3 +138,50 @@ SELECT conv_id, cast(count(*) AS bigint) AS n_turns, sha256(string_agg(concat(ro
        cast(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS bigint) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
        cast(3 + sum(CASE role WHEN 'user' THEN n + 15 WHEN 'assistant' THEN n + 4 WHEN 'system' THEN n + 11 ELSE m + n + 20 END) AS bigint) AS formatted_chars FROM e GROUP BY conv_id
 """
+
+OP11_SQL = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding::double[], lambda x: floor(256 * x)) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, e.vec_id, a.label = e.label AS same, cast(list_dot_product(a.v, e.v) AS bigint) AS score
+      FROM (SELECT DISTINCT vec_id, label, v FROM e WHERE vec_id % 100 = 0) a JOIN e ON e.vec_id <> a.vec_id AND len(e.v) = len(a.v)),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS place FROM s WHERE same) WHERE place <= 5),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, p.score AS positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+             row_number() OVER (PARTITION BY p.anchor_id, p.place ORDER BY s.score DESC, s.vec_id) AS rank
+      FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT anchor_id, positive_id, cast(rank AS int) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
+#: CRC-32 of the decimal digits: a step of eight shifts for each digit.
+OP12_SQL = """
+WITH t AS (SELECT conv_id, sha256(concat(strlen(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS content, strlen(coalesce(text, '')) AS bytes,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(concat(strlen(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')))) AS k
+           FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT conv_id, count(*) AS n FROM t GROUP BY conv_id),
+c AS (SELECT conv_id, n, conv_id - conv_id % 5 AS donor,
+             xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(conv_id::varchar, ''), lambda x: ascii(x)::bigint)),
+                             lambda crc, x: list_reduce(list_prepend(xor(crc, x), [0::bigint, 0, 0, 0, 0, 0, 0, 0]), lambda y, z: xor(y >> 1, (y & 1) * 3988292384::bigint))), 4294967295::bigint) % 9 AS h FROM n),
+p AS (SELECT c.conv_id, donor, h, least(h, coalesce(n.n, 0)) AS taken FROM c LEFT JOIN n ON n.conv_id = c.donor),
+r AS (SELECT p.conv_id, k AS depth, content, bytes FROM p JOIN t ON t.conv_id = p.donor AND k <= taken
+      UNION ALL SELECT p.conv_id, k - h + taken, content, bytes FROM p JOIN t ON t.conv_id = p.conv_id AND k > h),
+x AS (SELECT conv_id, depth, bytes, string_agg(content, '') OVER (PARTITION BY conv_id ORDER BY depth) AS prefix, string_agg(content, '') OVER (PARTITION BY conv_id ORDER BY depth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above FROM r
+      UNION ALL SELECT conv_id, 0, 0, '', NULL FROM n),
+m AS (SELECT *, min(conv_id) OVER (PARTITION BY prefix) AS node, max(depth) OVER (PARTITION BY conv_id) AS length FROM x),
+g AS (SELECT depth, prefix, min(conv_id) AS conv_id, any_value(above) AS above, any_value(bytes) AS bytes, count(*) AS n_convs,
+             sha256(coalesce(string_agg(conv_id::varchar, ',' ORDER BY conv_id) FILTER (depth = length), '')) AS ends_sha256 FROM m GROUP BY depth, prefix),
+k AS (SELECT coalesce(above, '') AS prefix, count(*) AS n_children FROM g WHERE depth > 0 GROUP BY 1),
+f AS (SELECT g.*, coalesce(n_children, 0) AS n_children FROM g LEFT JOIN k USING (prefix)),
+s AS (SELECT m.node AS conv_id, m.depth, count(*) FILTER (f.n_children = 0) AS n_leaves, sum((f.n_convs - 1) * f.bytes) AS saved_tokens
+      FROM f JOIN m ON m.conv_id = f.conv_id AND m.depth <= f.depth GROUP BY m.node, m.depth)
+SELECT f.conv_id, f.depth, u.conv_id AS parent_conv_id, f.n_convs, f.n_children, cast(n_leaves AS bigint) AS n_leaves, cast(saved_tokens AS bigint) AS saved_tokens, f.ends_sha256
+FROM f JOIN s ON s.conv_id = f.conv_id AND s.depth = f.depth LEFT JOIN f u ON f.depth > 0 AND u.prefix = coalesce(f.above, '')
+"""
+
+OP13_SQL = """
+WITH RECURSIVE e AS (SELECT row_number() OVER () AS r, vec_id, embedding::double[] AS v FROM embeddings),
+g AS (SELECT * FROM e WHERE vec_id IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+l AS MATERIALIZED (SELECT a.r AS a, b.r AS b FROM g a JOIN g b ON a.r <> b.r AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.95),
+w AS (SELECT r AS a, r AS b FROM e UNION SELECT w.a, l.b FROM w JOIN l ON l.a = w.b),
+c AS (SELECT w.a AS r, min(e.vec_id) AS component_id FROM w JOIN e ON e.r = w.b GROUP BY w.a),
+n AS (SELECT a AS r, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, cast(coalesce(n_links, 0) AS bigint) AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept FROM e JOIN c USING (r) LEFT JOIN n USING (r)
+"""
