@@ -79,32 +79,39 @@ def rate_limited_stream(attempts: DataFrame, p: Params) -> DataFrame:
     return attempts.select("bucket_key", "attempt_id", F.col("ts").cast("double").alias("ts")).groupBy("bucket_key").applyInPandasWithState(run, DECISIONS, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def chat_gated(messages: DataFrame, p: Params) -> DataFrame:
-    """messages: session_id, message_id, ts (seconds), live. The outcome of each: NOT_AVAILABLE, FULL, TOO_FAST or OK; an OK adds two messages and sets the pace."""
-
-    def step(state: tuple[int, float | None], r: Any) -> tuple[tuple[int, float | None], str]:
-        count, last = state
-        if not r.live:
-            return state, "NOT_AVAILABLE"
-        if count >= p.messages_per_session:
-            return state, "FULL"
-        if last is not None and last + p.chat_interval_seconds > r.ts:
-            return state, "TOO_FAST"
-        return (count + 2, r.ts), "OK"
+Chat = tuple[int, float | None]
+
+
+def chat_step(state: Chat, live: bool, now: float, p: Params) -> tuple[Chat, str]:
+    """The state (messages, time of the last) after a message, and its outcome: NOT_AVAILABLE, FULL, TOO_FAST or OK; an OK adds two messages and sets the pace."""
+    count, last = state
+    if not live:
+        return state, "NOT_AVAILABLE"
+    if count >= p.messages_per_session:
+        return state, "FULL"
+    if last is not None and last + p.chat_interval_seconds > now:
+        return state, "TOO_FAST"
+    return (count + 2, now), "OK"
 
+
+def chat_gated(messages: DataFrame, p: Params) -> DataFrame:
+    """messages: session_id, message_id, ts (seconds), live. The outcome of each."""
     rows = messages.select("session_id", "message_id", F.col("ts").cast("double").alias("ts"), "live")
+    step = lambda state, r: chat_step(state, r.live, r.ts, p)
     return in_sequence(rows, "session_id", ("ts", "message_id"), lambda: (0, None), step, "outcome", "string").select("session_id", "message_id", "outcome")
 
 
-def outstanding_capped(events: DataFrame, cap: int) -> DataFrame:
-    """events: owner, event_id, ts, kind (ISSUE or REDEEM). Whether an issue is allowed while fewer than ``cap`` codes are outstanding."""
+def outstanding_step(open_: int, kind: str, cap: int) -> tuple[int, bool]:
+    """Outstanding codes after an ISSUE or REDEEM, and whether it is allowed."""
+    if kind == "REDEEM":
+        return max(0, open_ - 1), True
+    return open_ + (open_ < cap), open_ < cap
 
-    def step(open_: int, r: Any) -> tuple[int, bool]:
-        if r.kind == "REDEEM":
-            return max(0, open_ - 1), True
-        return open_ + (open_ < cap), open_ < cap
 
+def outstanding_capped(events: DataFrame, cap: int) -> DataFrame:
+    """events: owner, event_id, ts, kind (ISSUE or REDEEM). Whether an issue is allowed while fewer than ``cap`` codes are outstanding."""
     rows = events.select("owner", "event_id", F.col("ts").cast("double").alias("ts"), "kind")
+    step = lambda open_, r: outstanding_step(open_, r.kind, cap)
     return in_sequence(rows, "owner", ("ts", "event_id"), lambda: 0, step, "allowed", "boolean").select("owner", "event_id", "allowed")
 
 
