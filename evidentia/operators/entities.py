@@ -8,16 +8,9 @@ from pyspark.sql import functions as F
 from evidentia.config import Params
 from evidentia.functions.hashing import sha_prefix
 from evidentia.operators.blocks import similar
-from evidentia.operators.iterate import save, saved
-
-
-def resolved_redirects(redirects: DataFrame, hops: int = 5) -> DataFrame:
-    """(entity_id, live_id) after following merged_into at most ``hops`` times; hops are joins, chains shrink by path doubling."""
-    out = redirects.select("entity_id", F.coalesce("merged_into", "entity_id").alias("live_id"))
-    one = out.select(F.col("entity_id").alias("live_id"), F.col("live_id").alias("next_id"))
-    for _ in range(hops - 1):
-        out = out.join(one, "live_id", "left").select("entity_id", F.coalesce("next_id", "live_id").alias("live_id"))
-    return out
+from evidentia.operators.greedy import first_independent, in_order
+from evidentia.operators.incremental import compacted
+from evidentia.operators.iterate import save
 
 
 def resolve_exact(mentions: DataFrame, canon: DataFrame) -> DataFrame:
@@ -26,7 +19,7 @@ def resolve_exact(mentions: DataFrame, canon: DataFrame) -> DataFrame:
     A key of a merged entity leads to the one that it was merged into; live entities come first, then the smaller id.
     mentions: claim_id, surface_key, entity_type. canon: entity_id, entity_type, canonical_key, alias_keys, merged_into.
     """
-    live = canon.join(resolved_redirects(canon), "entity_id")
+    live = canon.join(compacted(canon.select("entity_id", "merged_into")), "entity_id")
     first = F.min_by("live_id", F.struct(F.col("merged_into").isNotNull(), F.col("entity_id")))
     exact = live.groupBy("entity_type", F.col("canonical_key").alias("surface_key")).agg(first.alias("exact_id"))
     alias = live.select("entity_type", "entity_id", "live_id", "merged_into", F.explode("alias_keys").alias("surface_key")).groupBy("entity_type", "surface_key").agg(first.alias("alias_id"))
@@ -43,35 +36,50 @@ def nearest_entities(keys: DataFrame, canon: DataFrame, k: int = 1, floor: float
 
 
 def resolve(mentions: DataFrame, canon: DataFrame, p: Params) -> DataFrame:
-    """(entity_type, surface_key, entity_id, how): EXACT and ALIAS by joins; the rest by the nearest entity, MERGED, or REVIEW in the band below, else MINTED.
+    """(entity_type, surface_key, entity_id, how, confidence): EXACT and ALIAS by joins; the rest by the nearest entity, MERGED, or REVIEW in the band below, else MINTED.
 
-    Keys take their turn in order, and a minted one can be met by those after it. That choice is taken in parallel rounds over the pairs of keys
-    that are similar enough for review: of the undecided, a key without an undecided earlier neighbour is minted if no earlier neighbour was.
-    A key that a stored entity is near enough to is never minted. mentions also has ``embedding``.
+    Keys take their turn in order, and a minted one can be met by those after it. That choice is greedy over the graph of keys that are similar enough for
+    review, see ``greedy``; a key that a stored entity is near enough to is never minted. mentions also has ``embedding``.
     """
     key = ["entity_type", "surface_key"]
     first = resolve_exact(mentions.drop("embedding"), canon)
-    known = first.where("entity_id IS NOT NULL").select(*key, "entity_id", "how").distinct()
+    known = first.where("entity_id IS NOT NULL").select(*key, "entity_id", "how", F.lit(1.0).alias("confidence")).distinct()
     keys = mentions.join(first.where("entity_id IS NULL").select(*key).distinct(), key, "left_semi")
-    keys = save(keys.groupBy(*key).agg(F.min("embedding").alias("embedding")), "entity-keys")
+    keys = in_order(keys.groupBy(*key).agg(F.min("embedding").alias("embedding")), *key)
     stored = nearest_entities(keys, canon, 1, p.entity_review).select(*key, F.col("entity_id").alias("near_id"), "sim")
-    pairs = save(similar(keys, keys, p.entity_review, None, "entity_type", "surface_key").where("y < x").select("entity_type", F.col("x").alias("later"), F.col("y").alias("earlier"), "sim"), "entity-pairs")
-    rows = keys.select(*key).join(stored, key, "left").select(*key, "near_id", "sim", F.when(F.col("near_id").isNotNull(), False).alias("minted"))
-    state, left = saved(rows, "entity-state", n=F.count_if(F.col("minted").isNull()))
-    while left.get("n"):
-        before = pairs.join(state.select("entity_type", F.col("surface_key").alias("earlier"), F.col("minted").alias("m")), ["entity_type", "earlier"])
-        told = before.groupBy("entity_type", F.col("later").alias("surface_key")).agg(F.bool_or("m").alias("met"), F.count_if(F.col("m").isNull()).alias("open"))
-        now = F.when(F.coalesce("met", F.lit(False)), False).when(F.coalesce("open", F.lit(0)) == 0, True)
-        state, left = saved(state.join(told, key, "left").select(*key, "near_id", "sim", F.coalesce("minted", now).alias("minted")), "entity-state", n=F.count_if(F.col("minted").isNull()))
+    rows = save(keys.select(*key, "n").join(stored, key, "left"), "entity-keys")
+    near = similar(keys, keys, p.entity_review, None, "entity_type", "surface_key").where("y < x")
+    at = lambda c, n: keys.select("entity_type", F.col("surface_key").alias(c), F.col("n").alias(n))
+    pairs = save(near.join(at("x", "later"), ["entity_type", "x"]).join(at("y", "earlier"), ["entity_type", "y"]).select("earlier", "later", "sim"), "entity-pairs")
+    kept = first_independent(rows.select("n", F.col("near_id").isNotNull().alias("blocked")), pairs)
+    state = rows.join(kept.withColumnRenamed("kept", "minted"), "n")
     own = F.concat(F.lit("ent-"), sha_prefix(F.concat_ws("|", "entity_type", "surface_key"), 16))
-    new = state.where("minted").select("entity_type", F.col("surface_key").alias("earlier"), own.alias("mint_id"))
-    met = pairs.join(new, ["entity_type", "earlier"]).groupBy("entity_type", F.col("later").alias("surface_key")).agg(F.min_by(F.struct("mint_id", "sim"), F.struct(-F.col("sim"), F.col("earlier"))).alias("m"))
-    rows = state.join(met, key, "left")
+    new = state.where("minted").select(F.col("n").alias("earlier"), own.alias("mint_id"))
+    met = pairs.join(new, "earlier").groupBy(F.col("later").alias("n")).agg(F.min_by(F.struct("mint_id", "sim"), F.struct(-F.col("sim"), F.col("earlier"))).alias("m"))
+    rows = state.join(met, "n", "left")
     to_mint = F.col("near_id").isNull() | (F.col("m.sim") > F.col("sim"))
     best = F.when(to_mint, F.col("m.sim")).otherwise(F.col("sim"))
     linked = F.when(to_mint, F.col("m.mint_id")).otherwise(F.col("near_id"))
     how = F.when(F.col("minted"), "MINTED").when(best >= p.entity_merge, "MERGED").otherwise("REVIEW")
-    return known.unionByName(rows.select(*key, F.when(F.col("minted"), own).otherwise(linked).alias("entity_id"), how.alias("how")))
+    return known.unionByName(rows.select(*key, F.when(F.col("minted"), own).otherwise(linked).alias("entity_id"), how.alias("how"), F.when(F.col("minted"), 1.0).otherwise(best).alias("confidence")))
+
+
+def alias_growth(resolved: DataFrame) -> DataFrame:
+    """(entity_id, alias_keys): the keys that were found near enough to an entity and become its aliases, so that they are exact the next time."""
+    return resolved.where("how = 'MERGED'").groupBy("entity_id").agg(F.array_sort(F.collect_set("surface_key")).alias("alias_keys"))
+
+
+def grown(canon: DataFrame, resolved: DataFrame, mentions: DataFrame) -> DataFrame:
+    """The canon (entity_id, entity_type, canonical_key, alias_keys, merged_into, embedding) after a resolution: minted entities are added, aliases appended."""
+    gained = alias_growth(resolved).withColumnRenamed("alias_keys", "gained")
+    old = canon.select("entity_id", "entity_type", "canonical_key", "alias_keys", "merged_into", "embedding")
+    vectors = mentions.groupBy("entity_type", "surface_key").agg(F.min("embedding").alias("embedding"))
+    none = F.array().cast("array<string>")
+    minted = resolved.where("how = 'MINTED'").join(vectors, ["entity_type", "surface_key"])
+    minted = minted.select("entity_id", "entity_type", F.col("surface_key").alias("canonical_key"), none.alias("alias_keys"), F.lit(None).cast("string").alias("merged_into"), "embedding")
+    rows = old.unionByName(minted).join(gained, "entity_id", "left")
+    new = F.array_except(F.coalesce("gained", none), F.array("canonical_key"))
+    return rows.withColumn("alias_keys", F.when(F.col("gained").isNull(), F.col("alias_keys")).otherwise(F.array_union("alias_keys", new))).drop("gained")
 
 
 def issuer_upgrade(claims: DataFrame, mentions: DataFrame) -> DataFrame:
@@ -81,23 +89,36 @@ def issuer_upgrade(claims: DataFrame, mentions: DataFrame) -> DataFrame:
     return claims.join(issuer, "claim_id", "left").withColumn("attestor_key", F.coalesce(up, "attestor_key")).drop("issuer")
 
 
-def merge_entities(mentions: DataFrame, canon: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Mentions and entities after merging entity_id into target_id: mentions move, targets gain the aliases, the merged keep a redirect."""
-    moved = mentions.join(merges, "entity_id", "left").withColumn("entity_id", F.coalesce("target_id", "entity_id")).drop("target_id").distinct()
-    gained = canon.join(merges, "entity_id").groupBy(F.col("target_id").alias("entity_id")).agg(F.flatten(F.collect_list(F.concat(F.array("canonical_key"), "alias_keys"))).alias("gained"))
-    out = canon.join(gained, "entity_id", "left").join(merges.select("entity_id", "target_id"), "entity_id", "left")
-    aliases = F.array_sort(F.array_except(F.array_union("alias_keys", F.coalesce("gained", F.array().cast("array<string>"))), F.array("canonical_key")))
-    return moved, out.withColumns({"alias_keys": aliases, "merged_into": F.coalesce("target_id", "merged_into")}).drop("gained", "target_id")
-
-
-def split_entity(mentions: DataFrame, canon: DataFrame, entity_id: str, p: Params) -> DataFrame:
-    """(claim_id, entity_type, surface_key, entity_id, how) of the mentions of one entity, resolved anew by surface key as if it did not exist.
+def split_entities(mentions: DataFrame, canon: DataFrame, chosen: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
+    """What becomes of the mentions of the entities ``chosen`` (entity_id), and these entities with the aliases that stay.
 
+    Each surface key is resolved once as if its entity did not exist: another entity's key or alias (EXACT, ALIAS), the nearest other live entity of the type (MERGED, or
+    REVIEW in the band below), else a new entity (MINTED). Keys don't meet each other. The canonical and the empty key stay (KEPT); merged entities can't be split.
     mentions: claim_id, entity_type, surface_key, entity_id, embedding.
     """
-    own = mentions.where(F.col("entity_id") == entity_id).drop("entity_id")
-    found = resolve(own, canon.where(F.col("entity_id") != entity_id), p)
-    return own.select("claim_id", "entity_type", "surface_key").join(found, ["entity_type", "surface_key"]).select("claim_id", "entity_type", "surface_key", "entity_id", "how")
+    split = canon.join(chosen.select("entity_id").distinct(), "entity_id", "left_semi").where("merged_into IS NULL").select(F.col("entity_id").alias("own_id"), F.col("canonical_key").alias("own_key"))
+    own = mentions.join(split, F.col("entity_id") == F.col("own_id")).drop("entity_id")
+    stays = (F.col("surface_key") == "") | (F.col("surface_key") == F.col("own_key"))
+    key = ["own_id", "entity_type", "surface_key"]
+    keys = save(own.where(~stays).groupBy(*key).agg(F.min_by("embedding", "claim_id").alias("embedding")), "split-keys")
+    live = save(canon.join(compacted(canon.select("entity_id", "merged_into")), "entity_id").select("entity_id", "live_id", "entity_type", "canonical_key", "alias_keys", "merged_into"), "split-canon")
+    named = live.select("entity_type", F.col("canonical_key").alias("surface_key"), "entity_id", "live_id", "merged_into", F.lit("EXACT").alias("how"))
+    named = named.unionByName(live.select("entity_type", F.explode("alias_keys").alias("surface_key"), "entity_id", "live_id", "merged_into", F.lit("ALIAS").alias("how")))
+    hit = keys.select(*key).join(named, ["entity_type", "surface_key"]).where("entity_id <> own_id AND live_id <> own_id")
+    order = F.struct(F.col("how") == "ALIAS", F.col("merged_into").isNotNull(), F.col("entity_id"))
+    hit = hit.groupBy(*key).agg(F.min_by(F.struct(F.col("live_id").alias("to"), "how"), order).alias("hit"))
+    rest = keys.join(hit, key, "left_anti").withColumn("asked", F.to_json(F.struct("own_id", "surface_key")))
+    near = nearest_entities(rest.select("entity_type", F.col("asked").alias("surface_key"), "embedding"), canon, 2, p.entity_review).withColumnRenamed("surface_key", "asked")
+    near = rest.select(*key, "asked").join(near.withColumnRenamed("entity_id", "to"), ["entity_type", "asked"]).where("to <> own_id")
+    near = near.groupBy(*key).agg(F.max_by(F.struct("to", "sim"), F.struct("sim", -F.col("r"))).alias("near"))
+    mint = F.concat(F.lit("ent-"), sha_prefix(F.concat_ws("|", F.lit("split"), "own_id", "entity_type", "surface_key"), 16))
+    how = F.coalesce("hit.how", F.when(F.col("near.sim") >= p.entity_merge, "MERGED").when(F.col("near.to").isNotNull(), "REVIEW"), F.lit("MINTED"))
+    told = keys.select(*key).join(hit, key, "left").join(near, key, "left").select(*key, F.coalesce("hit.to", "near.to", mint).alias("to"), how.alias("how"))
+    out = own.select("claim_id", "own_key", *key).join(told, key, "left")
+    out = out.select("claim_id", "entity_type", "surface_key", F.col("own_id").alias("from_id"), F.coalesce("to", "own_id").alias("entity_id"), F.coalesce("how", F.lit("KEPT")).alias("how"))
+    kept = out.where("how = 'KEPT'").groupBy(F.col("from_id").alias("entity_id")).agg(F.collect_set("surface_key").alias("kept"))
+    entities = canon.join(split.select(F.col("own_id").alias("entity_id")), "entity_id").join(kept, "entity_id", "left")
+    return out, entities.withColumn("alias_keys", F.array_intersect("alias_keys", F.coalesce("kept", F.array().cast("array<string>")))).drop("kept")
 
 
 def search(canon: DataFrame, text: str, entity_type: str | None = None) -> DataFrame:

@@ -72,8 +72,9 @@ def settled_contradictions(edges: DataFrame, actions: DataFrame, rejudged: DataF
     confirm = (F.col("action") == "CONFIRM") & (F.col("review_status") == "PROPOSED")
     new = F.col("best").isNotNull()
     out = kept.select(
-        *[c for c in edges.columns if c not in ("review_status", "explained", "ctx_relation", "ctx_confidence")], F.when(confirm, "CONFIRMED").otherwise(F.col("review_status")).alias("review_status"),
+        *[c for c in edges.columns if c not in ("review_status", "explained", "ctx_relation", "ctx_confidence", "with_context")], F.when(confirm, "CONFIRMED").otherwise(F.col("review_status")).alias("review_status"),
         F.when(new, F.col("relevant")).otherwise(F.col("explained")).alias("explained"), F.when(new, F.col("best.ctx_relation")).otherwise(F.col("ctx_relation")).alias("ctx_relation"), F.when(new, F.col("best.ctx_confidence")).otherwise(F.col("ctx_confidence")).alias("ctx_confidence"),
+        *([F.when(new, True).otherwise(F.col("with_context")).alias("with_context")] if "with_context" in edges.columns else []),
     )
     return out.select(*edges.columns), pairs.where("action = 'DISMISS'").select("a", "b").distinct()
 
@@ -146,8 +147,8 @@ def cached_generations(plans: DataFrame, archive: DataFrame, keys: tuple[str, ..
 
 
 def latest_judgments(examples: DataFrame, judgments: DataFrame) -> DataFrame:
-    """Each example with its latest judgment of the same turns; null without one."""
-    newest = judgments.groupBy("example_id", "turns_hash").agg(F.max_by("verdict", F.struct("created_at", "judgment_id")).alias("verdict"))
+    """Each example with its latest judgment of the same turns, of several with one time and id the greatest verdict; null without one."""
+    newest = judgments.groupBy("example_id", "turns_hash").agg(F.max_by("verdict", F.struct("created_at", "judgment_id", "verdict")).alias("verdict"))
     return examples.join(newest, ["example_id", "turns_hash"], "left")
 
 

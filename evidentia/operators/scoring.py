@@ -79,49 +79,75 @@ def _active_edges(edges: DataFrame, facts: DataFrame, p: Params) -> DataFrame:
     return way("from_fact", "to_fact").unionByName(way("to_fact", "from_fact"))
 
 
-def fixed_point(primed: DataFrame, facts: DataFrame, edges: DataFrame, p: Params) -> DataFrame:
-    """(subject, fact, explained pass) with belief, support, conflict, independence, recency, evidence mass, iterations and converged."""
+def prepared(primed: DataFrame, facts: DataFrame, edges: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
+    """Facts with what their members say and their base beliefs, and the active edges with what they need of the other end; both are written."""
     base = base_beliefs(dependence_groups(primed, p))
     members = _members(primed, facts, p).join(base, list(FACT), "left").withColumns({"b0": F.coalesce("b0", F.lit(0.5)), "dep_sum": F.coalesce("dep_sum", F.lit(0.0)), "n_groups": F.coalesce("n_groups", F.lit(0)), "strongest": F.coalesce("strongest", "fact_id")})
     members = save(members, "score-facts")
-    active = _active_edges(edges, facts, p)
     other = members.select("subject_id", F.col("fact_id").alias("other"), F.col("strongest").alias("other_group"), F.col("newest").alias("other_newest"))
     recency = F.when(F.col("half_life").isNotNull(), age_factor("other_newest", F.col("half_life"), p.as_of)).otherwise(1.0)
-    active = active.join(other, ["subject_id", "other"]).join(members.select(*FACT, "half_life"), list(FACT)).withColumn("recency", recency)
-    active = save(active.select(*STATE, "other", "relation", "conf", "mitigation", "other_group", "recency"), "score-edges")
-    passes = F.explode(F.array(F.lit(False), F.lit(True))).alias("explained")
-    zero, keys = F.lit(0.0), ["subject_id", "explained"]
-    fixed = [*STATE, "s0", "anchored"]
-    state = members.select(*FACT, passes, logit(F.col("b0")).alias("s0"), "anchored", "b0").select(*fixed, F.col("s0").alias("s"), F.col("b0").alias("b"))
+    active = _active_edges(edges, facts, p).join(other, ["subject_id", "other"]).join(members.select(*FACT, "half_life"), list(FACT)).withColumn("recency", recency)
+    return members, save(active.select(*STATE, "other", "relation", "conf", "mitigation", "other_group", "recency"), "score-edges")
+
+
+def one_turn(state: DataFrame, active: DataFrame, p: Params) -> DataFrame:
+    """The beliefs after one more turn; ``past`` gains what the turn gave. state: STATE, s0, anchored, s, b, past."""
+    keys = ["subject_id", "explained"]
     rank = Window.partitionBy(*STATE, "other_group").orderBy(F.desc("term"), "other")
+    met = active.join(state.select(*keys, F.col("fact_id").alias("other"), F.col("b").alias("other_b")), [*keys, "other"])
+    zero, term = F.lit(0.0), p.corroboration_weight * F.col("conf") * rel(F.col("other_b")) * F.col("recency")
+    weight = F.pow(F.lit(p.dependence_damping), F.row_number().over(rank) - 1)
+    up = met.where("relation = 'CORROBORATES'").withColumn("term", term).withColumn("w", weight)
+    up = up.select(*STATE, (F.col("term") * F.col("w")).alias("up"), zero.alias("down"), (p.corroboration_weight * F.col("conf") * F.col("w")).alias("mass"))
+    down = met.where("relation = 'CONTRADICTS'").select(*STATE, zero.alias("up"), (p.contradiction_weight * F.col("conf") * rel(F.col("other_b")) * F.col("mitigation")).alias("down"), zero.alias("mass"))
+    sums = up.unionByName(down).groupBy(*STATE).agg(F.sum("up").alias("support"), F.sum("down").alias("conflict"), F.sum("mass").alias("mass"))
+    nxt = state.join(sums, list(STATE), "left").na.fill(0.0, ["support", "conflict", "mass"])
+    new = F.col("s0") + F.col("support") - F.col("conflict")
+    new = F.when(F.col("anchored"), F.col("s") + p.anchor_plasticity * (new - F.col("s"))).otherwise(new)
+    nxt = nxt.withColumn("s_next", (1 - p.damping) * F.col("s") + p.damping * new).withColumn("b_next", sigmoid(F.col("s_next")))
+    told = F.struct(F.col("s_next").alias("s"), F.col("b_next").alias("b"), "support", "conflict", "mass", F.abs(F.col("b_next") - F.col("b")).alias("move"))
+    return nxt.select(*STATE, "s0", "anchored", F.col("s_next").alias("s"), F.col("b_next").alias("b"), F.array_append("past", told).alias("past"))
+
+
+PAST = "array<struct<s: double, b: double, support: double, conflict: double, mass: double, move: double>>"
+
+
+def fixed_point(primed: DataFrame, facts: DataFrame, edges: DataFrame, p: Params, turns_a_write: int = 3) -> DataFrame:
+    """(subject, fact, explained pass) with belief, support, conflict, independence, recency, evidence mass, iterations and converged.
+
+    Some turns run in one job before the state is written. Subjects don't meet, so each keeps the first of these turns in which its own beliefs moved by less
+    than epsilon, and turns after it are of no account. Settled subjects leave the state, and the edges once half of those are settled.
+    """
+    members, edges_in = prepared(primed, facts, edges, p)
+    active, keys = edges_in, ["subject_id", "explained"]
+    passes = F.explode(F.array(F.lit(False), F.lit(True))).alias("explained")
+    fixed, none = [*STATE, "s0", "anchored"], F.array().cast(PAST).alias("past")
+    state = members.select(*FACT, passes, logit(F.col("b0")).alias("s0"), "anchored", "b0").select(*fixed, F.col("s0").alias("s"), F.col("b0").alias("b"), none)
     settled: list[DataFrame] = []
-    for turn in range(1, p.max_iterations + 1):
-        voices = state.select(*keys, F.col("fact_id").alias("other"), F.col("b").alias("other_b"))
-        met = active.join(voices, [*keys, "other"])
-        term = p.corroboration_weight * F.col("conf") * rel(F.col("other_b")) * F.col("recency")
-        weight = F.pow(F.lit(p.dependence_damping), F.row_number().over(rank) - 1)
-        up = met.where("relation = 'CORROBORATES'").withColumn("term", term).withColumn("w", weight)
-        up = up.select(*STATE, (F.col("term") * F.col("w")).alias("up"), zero.alias("down"), (p.corroboration_weight * F.col("conf") * F.col("w")).alias("mass"))
-        down = met.where("relation = 'CONTRADICTS'").select(*STATE, zero.alias("up"), (p.contradiction_weight * F.col("conf") * rel(F.col("other_b")) * F.col("mitigation")).alias("down"), zero.alias("mass"))
-        sums = up.unionByName(down).groupBy(*STATE).agg(F.sum("up").alias("support"), F.sum("down").alias("conflict"), F.sum("mass").alias("mass"))
-        nxt = state.join(sums, list(STATE), "left").na.fill(0.0, ["support", "conflict", "mass"])
-        new = F.col("s0") + F.col("support") - F.col("conflict")
-        new = F.when(F.col("anchored"), F.col("s") + p.anchor_plasticity * (new - F.col("s"))).otherwise(new)
-        nxt = nxt.withColumn("s_next", (1 - p.damping) * F.col("s") + p.damping * new).withColumn("b_next", sigmoid(F.col("s_next")))
-        nxt = nxt.select(*fixed, F.col("s_next").alias("s"), F.col("b_next").alias("b"), "support", "conflict", "mass", F.lit(turn).alias("iterations"), F.abs(F.col("b_next") - F.col("b")).alias("move"))
-        nxt = save(nxt, "score-state")
-        told, count = saved(nxt.groupBy(*keys).agg((F.max("move") < p.epsilon).alias("done")), "score-settled", live=F.count_if(~F.col("done")), done=F.count_if("done"))
-        if turn == p.max_iterations or not count.get("live"):
-            settled.append(nxt.join(told, keys).drop("move"))
+    turn, thinned = 0, None
+    while True:
+        turns = min(turns_a_write, p.max_iterations - turn)
+        for _ in range(turns):
+            state = one_turn(state, active, p)
+        state = save(state, "score-state")
+        moves = state.groupBy(*keys).agg(F.array(*[F.max(F.col("past")[k]["move"]) for k in range(turns)]).alias("moves"))
+        first = F.array_position(F.transform("moves", lambda m: m < p.epsilon), True).cast("int")
+        ended = moves.select(*keys, F.when(first > 0, first).when(F.lit(turn + turns == p.max_iterations), turns).alias("at"), (first > 0).alias("done"))
+        told, count = saved(ended, "score-settled", live=F.count_if(F.col("at").isNull()), n=F.count("*"))
+        now = F.element_at("past", F.col("at"))
+        settled.append(state.join(told.where("at IS NOT NULL"), keys).select(*fixed, *[now[c].alias(c) for c in ("s", "b", "support", "conflict", "mass")], (F.lit(turn) + F.col("at")).alias("iterations"), "done"))
+        turn += turns
+        if not count.get("live"):
             break
-        if count.get("done"):
-            settled.append(nxt.join(told.where("done"), keys).drop("move"))
-            nxt = nxt.join(told.where("NOT done").select(*keys), keys, "left_semi")
-        state = nxt.select(*fixed, "s", "b")
+        thinned = thinned or count["n"]
+        live = told.where("at IS NULL").select(*keys)
+        state = state.join(live, keys, "left_semi").select(*fixed, "s", "b", none)
+        if 2 * count["live"] <= thinned:
+            active, thinned = save(active.join(live, keys, "left_semi"), "score-edges"), count["live"]
     state = settled[0]
     for more in settled[1:]:
         state = state.unionByName(more)
-    supported = active.where("relation = 'CORROBORATES'").select(*STATE).distinct().withColumn("supported", F.lit(True))
+    supported = edges_in.where("relation = 'CORROBORATES'").select(*STATE).distinct().withColumn("supported", F.lit(True))
     out = state.join(supported, list(STATE), "left").join(members.drop("anchored", "b0"), list(FACT))
     praise = F.col("all_self") & ~F.col("against") & F.col("supported").isNull()
     belief = clip(F.when(praise, F.least("b", F.lit(p.self_praise_ceiling))).otherwise(F.col("b")), 0.02, 0.98)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from evidentia.config import Params
 from evidentia.functions.hashing import sha_prefix
 from evidentia.functions.text import jaccard, mentions_keyword, word_shingles
-from evidentia.operators.iterate import save, saved
+from evidentia.operators.greedy import first_independent, in_order
 
 # Hedge levels by rising caution; row: (voice level, may be voiced).
 HEDGES = ("ASSERTIVE", "MEASURED", "HEDGED", "RESERVED", "GAP")
@@ -140,10 +140,13 @@ def similar_sets(sets: DataFrame, least: float, group: str = "subject_id", key:
     ranked = rows.select(group, key, F.explode(items).alias("x")).join(often, [group, "x"]).groupBy(group, key).agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("r"))
     n = F.size("r")
     rare = F.slice("r", 1, n - F.ceil(n * F.lit(least) - F.lit(1e-9)).cast("int") + 1)
-    rare = ranked.select(group, key, n.alias("n"), F.explode(rare).alias("e")).select(group, key, "n", F.col("e.x").alias("x"))
-    a, b = (rare.select(group, F.col(key).alias(c), F.col("n").alias(f"n{c}"), "x") for c in "ij")
+    rare = ranked.select(group, key, n.alias("size"), F.posexplode(rare).alias("at", "e")).select(group, key, "size", (F.col("at") + 1).alias("at"), F.col("e.x").alias("x"))
+    a, b = (rare.select(group, F.col(key).alias(c), F.col("size").alias(f"n{c}"), F.col("at").alias(f"r{c}"), "x") for c in "ij")
     size = (F.col("ni") >= F.col("nj") * least - 1e-9) & (F.col("nj") >= F.col("ni") * least - 1e-9)
-    pairs = a.join(b, [group, "x"]).where((F.col("i") < F.col("j")) & size).select(group, "i", "j").distinct()
+    # both sets still hold so much from here on that they can overlap enough, if this is their first common item; for the first it is
+    most = 1 + F.least(F.col("ni") - F.col("ri"), F.col("nj") - F.col("rj"))
+    enough = most >= F.ceil((F.col("ni") + F.col("nj")) * F.lit(least / (1 + least)) - F.lit(1e-9))
+    pairs = a.join(b, [group, "x"]).where((F.col("i") < F.col("j")) & size & enough).select(group, "i", "j").distinct()
     side = lambda c: rows.select(group, F.col(key).alias(c), F.col(items).alias(f"s{c}"))
     near = pairs.join(side("i"), [group, "i"]).join(side("j"), [group, "j"]).select(group, "i", "j", jaccard("si", "sj").alias("similarity"))
     return near.where(F.col("similarity") >= least)
@@ -152,20 +155,14 @@ def similar_sets(sets: DataFrame, least: float, group: str = "subject_id", key:
 def keep_first_of_near(questions: DataFrame, p: Params, text: str = "question") -> DataFrame:
     """Greedy removal in order of place: a question goes if an earlier kept one is similar enough. questions: subject_id, place, text.
 
-    The greedy choice is taken in parallel rounds: of the undecided, one that has no undecided earlier neighbour stays if no earlier
-    neighbour stayed, else goes; a round settles at least the first of every chain. Of a subject's empty questions the first stays.
+    The greedy choice is settled by components of the graph of near pairs, see ``greedy``. Of a subject's empty questions the first stays.
     """
-    rows = save(questions.select("subject_id", "place", word_shingles(text).alias("s")), "questions")
-    near = save(similar_sets(rows, p.dedupe_jaccard).select("subject_id", "i", "j"), "near-questions")
-    empty = rows.where(F.size("s") == 0).groupBy("subject_id").agg(F.min("place").alias("place"))
-    state, left = saved(rows.where(F.size("s") > 0).select("subject_id", "place", F.lit(None).cast("boolean").alias("kept")), "kept", n=F.count(F.lit(1)))
-    while left.get("n"):
-        ahead = near.join(state.select("subject_id", F.col("place").alias("i"), F.col("kept").alias("before")), ["subject_id", "i"])
-        told = ahead.groupBy("subject_id", F.col("j").alias("place")).agg(F.bool_or("before").alias("some_kept"), F.count_if(F.col("before").isNull()).alias("open"))
-        state = state.join(told, ["subject_id", "place"], "left")
-        now = F.when(F.coalesce("some_kept", F.lit(False)), False).when(F.coalesce("open", F.lit(0)) == 0, True)
-        state, left = saved(state.select("subject_id", "place", F.coalesce("kept", now).alias("kept")), "kept", n=F.count_if(F.col("kept").isNull()))
-    return questions.join(state.where("kept").select("subject_id", "place").unionByName(empty), ["subject_id", "place"], "left_semi")
+    rows = in_order(questions.select("subject_id", "place", word_shingles(text).alias("s")), "subject_id", "place")
+    near = similar_sets(rows, p.dedupe_jaccard, key="n").select(F.col("i").alias("earlier"), F.col("j").alias("later"))
+    kept = first_independent(rows.where(F.size("s") > 0).select("n", F.lit(False).alias("blocked")), near)
+    empty = rows.where(F.size("s") == 0).groupBy("subject_id").agg(F.min("n").alias("n"))
+    stay = kept.where("kept").select("n").unionByName(empty.select("n"))
+    return questions.join(rows.join(stay, "n", "left_semi").select("subject_id", "place"), ["subject_id", "place"], "left_semi")
 
 
 def cap_fan_out(plans: DataFrame, cap: int) -> DataFrame:

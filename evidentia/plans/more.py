@@ -223,7 +223,7 @@ def scrubbed_texts(spark, sf_dir):
 # --- bookkeeping
 
 
-@query("SELECT o_orderkey AS example_id, o_custkey % 4 AS turns_hash, CASE WHEN o_custkey % 4 < 3 THEN arg_max(l_returnflag, (l_shipdate, l_linenumber)) END AS verdict FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2, o_custkey")
+@query("SELECT o_orderkey AS example_id, o_custkey % 4 AS turns_hash, CASE WHEN o_custkey % 4 < 3 THEN arg_max(l_returnflag, (l_shipdate, l_linenumber, l_returnflag)) END AS verdict FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2, o_custkey")
 def latest_judgments(spark, sf_dir):
     e = rows(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("example_id"), (F.col("o_custkey") % 4).alias("turns_hash"))
     j = rows(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("example_id"), F.col("l_returnflag").alias("verdict"), F.col("l_shipdate").alias("created_at"), F.col("l_linenumber").alias("judgment_id")).join(e.where("turns_hash < 3"), "example_id")
@@ -797,7 +797,7 @@ MINT = "concat('ent-', substr(sha256(concat_ws('|', {t}, {s})), 1, 16))"
 @query(o.q(",\n".join((VEC, NEAREST, RESOLVE)), f"""SELECT t AS entity_type, s AS surface_key, id AS entity_id, how FROM known WHERE how IS NOT NULL UNION ALL SELECT fi.t, fi.s, CASE WHEN own THEN {MINT.format(t='fi.t', s='fi.s')} WHEN to_mint THEN {MINT.format(t='m.t', s='m.s')} ELSE near_id END,
   CASE WHEN own THEN 'MINTED' WHEN CASE WHEN to_mint THEN bsim ELSE sim END >= 0.3 THEN 'MERGED' ELSE 'REVIEW' END FROM fi LEFT JOIN (SELECT n, t, s FROM op) m ON m.n = fi.i"""))
 def entity_resolution(spark, sf_dir):
-    return entities.resolve(*_entities(spark, sf_dir), NEAR)
+    return entities.resolve(*_entities(spark, sf_dir), NEAR).drop("confidence")
 
 
 @query(o.q(o.CLAIMS, "SELECT claim_id, CASE WHEN source_class = 'DOCUMENTARY' AND q % 3 = 0 THEN 'issuer:e1' ELSE attestor_key END AS attestor_key FROM claims"))
@@ -807,17 +807,6 @@ def issuer_upgrades(spark, sf_dir):
     return entities.issuer_upgrade(c.select("claim_id", "source_class", "attestor_key"), mentions).select("claim_id", "attestor_key")
 
 
-@query("""SELECT s_suppkey::varchar AS entity_id, CASE WHEN s_suppkey % 3 = 1 THEN (s_suppkey - 1)::varchar END AS merged_into, CASE WHEN s_suppkey % 3 = 0 AND s_suppkey + 1 IN (SELECT s_suppkey FROM supplier) THEN concat('k', s_suppkey + 1, ',z', s_suppkey, ',z', s_suppkey + 1) ELSE concat('z', s_suppkey) END AS aliases FROM supplier""")
-def merged_entities(spark, sf_dir):
-    k = F.col("s_suppkey")
-    s = rows(spark, sf_dir, "supplier")
-    name = lambda c, x: F.concat(F.lit(c), x.cast("string"))
-    canon = s.select(k.cast("string").alias("entity_id"), name("k", k).alias("canonical_key"), F.array(name("z", k)).alias("alias_keys"), F.lit(None).cast("string").alias("merged_into"))
-    merges = s.where("s_suppkey % 3 = 1").select(k.cast("string").alias("entity_id"), (k - 1).cast("string").alias("target_id"))
-    mentions = s.select(k.alias("claim_id"), k.cast("string").alias("entity_id"))
-    return entities.merge_entities(mentions, canon, merges)[1].select("entity_id", "merged_into", F.array_join("alias_keys", ",").alias("aliases"))
-
-
 @query(o.q(o.MATCH, "SELECT cand.a, cand.b, array_to_string(list_sort(list_intersect(list_distinct([x.lang, x.claim_type]), list_distinct([y.lang, y.claim_type]))), ',') AS shared FROM cand JOIN claims x ON x.claim_id = cand.a JOIN claims y ON y.claim_id = cand.b"))
 def shared_entities(spark, sf_dir):
     c, graded = _graded(spark, sf_dir)

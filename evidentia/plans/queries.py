@@ -12,7 +12,7 @@ from evidentia.config import Params
 from evidentia.functions import dates, maths
 from evidentia.functions.hashing import hash_split, pool_pick, sha_prefix
 from evidentia.functions.text import embedding_text, normalize_surface, safe_filename, slug, token_estimate, tokens, word_shingles
-from evidentia.operators import assembly, entities, judging, ledger, lifecycle, matching, publish, scoring, serialization, training
+from evidentia.operators import assembly, entities, incremental, judging, ledger, lifecycle, matching, publish, scoring, serialization, training
 from evidentia.operators.iterate import save
 from evidentia.plans import fixtures as fx
 from evidentia.plans import oracle as o
@@ -742,7 +742,7 @@ def _canon(spark, sf_dir):
 def redirect_resolve(spark, sf_dir):
     k = F.col("s_suppkey")
     name = lambda x: F.concat(F.lit("s"), x.cast("string"))
-    return entities.resolved_redirects(fx.table(spark, sf_dir, "supplier").select(name(k).alias("entity_id"), F.when(k % 4 != 0, name(k - 1)).alias("merged_into")))
+    return incremental.compacted(fx.table(spark, sf_dir, "supplier").select(name(k).alias("entity_id"), F.when(k % 4 != 0, name(k - 1)).alias("merged_into")))
 
 
 @query("SELECT s_suppkey AS claim_id, concat('s', s_suppkey) AS entity_id, CASE WHEN s_suppkey % 4 = 0 THEN 'ALIAS' ELSE 'EXACT' END AS how FROM supplier")

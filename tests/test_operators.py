@@ -283,7 +283,7 @@ def test_message_lines_and_their_errors(spark):
 # --- entities, lifecycle, sources, limits
 
 
-def test_entities_resolve_merge_and_redirect(spark):
+def test_entities_resolve(spark):
     canon = spark.createDataFrame([("e1", "ORG", "acme", "Acme", ["acme inc"], None, [1.0, 0.0]), ("e2", "ORG", "old", "Old", [], "e1", [0.0, 1.0])], "entity_id string, entity_type string, canonical_key string, canonical_name string, alias_keys array<string>, merged_into string, embedding array<double>")
     m = spark.createDataFrame([("c1", "acme", "ORG", [1.0, 0.0]), ("c2", "acme inc", "ORG", [1.0, 0.0]), ("c3", "akme", "ORG", [0.9, 0.436]), ("c4", "zeta", "ORG", [0.0, 1.0]), ("c5", "zeta ltd", "ORG", [0.1, 0.995])], "claim_id string, surface_key string, entity_type string, embedding array<double>")
     got = {r["surface_key"]: (r["entity_id"], r["how"]) for r in entities.resolve(m, canon, P).collect()}
@@ -292,11 +292,6 @@ def test_entities_resolve_merge_and_redirect(spark):
     more = spark.createDataFrame([("c6", "old", "ORG", [0.0, 1.0]), ("c7", "ackme", "ORG", [0.8, 0.6]), ("c8", "far", "ORG", [-1.0, 0.0]), ("c9", "farther", "ORG", [-0.8, -0.6])], m.schema)
     got = {r["surface_key"]: (r["entity_id"], r["how"]) for r in entities.resolve(more, canon, P).collect()}
     assert got["old"] == ("e1", "EXACT") and got["ackme"] == ("e1", "REVIEW") and got["far"][1] == "MINTED" and got["farther"] == (got["far"][0], "REVIEW")
-    linked = m.where("surface_key IN ('zeta', 'akme')").withColumn("entity_id", F.lit("e1"))
-    again = {r["surface_key"]: r["how"] for r in entities.split_entity(linked, canon.where("entity_id = 'e1'"), "e1", P).collect()}
-    assert again == {"zeta": "MINTED", "akme": "MINTED"}
-    r = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("d", "c")], "entity_id string, merged_into string")
-    assert {x["live_id"] for x in entities.resolved_redirects(r).collect()} == {"a"}
 
 
 def test_upsert_and_replace(spark):
