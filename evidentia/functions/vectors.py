@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -9,6 +11,9 @@ from pyspark.sql import functions as F
 
 from evidentia.functions.text import col
 
+#: 32-bit FNV-1a: the offset that a hash starts with, and its prime.
+OFFSET, PRIME = np.uint32(2166136261), np.uint32(16777619)
+
 
 def dot(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(F.zip_with(col(a), col(b), lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -20,25 +25,28 @@ def unit(v: Column | str) -> Column:
     return F.when(norm > 0, F.transform(col(v), lambda x: x / norm)).otherwise(col(v))
 
 
+def trigram_vectors(texts: list[str], dims: int) -> np.ndarray:
+    """Rows of unit length: the trigrams of all texts at once, hashed on one array of UTF-16 units; a sign of minus where the hash has its top bit."""
+    units = [np.frombuffer(f"^{re.sub(r'[ \t\n\x0b\f\r]+', ' ', t.lower()).strip()}$".encode("utf-16-le", "surrogatepass"), np.uint16) for t in texts]
+    sizes = np.array([len(u) for u in units])
+    flat = np.concatenate(units).astype(np.uint32)
+    row = np.repeat(np.arange(len(units)), sizes)
+    starts = np.flatnonzero(np.concatenate([row[2:] == row[:-2], np.zeros(min(2, len(row)), bool)]))
+    h = np.full(len(starts), OFFSET)
+    for k in range(3):
+        h = (h ^ flat[starts + k]) * PRIME
+    bucket = np.abs(np.fmod(h.view(np.int32).astype(np.int64), dims))
+    out = np.bincount(row[starts] * dims + bucket, np.where(h >> np.uint32(31), -1.0, 1.0), len(units) * dims).reshape(len(units), dims)
+    norm = np.sqrt((out**2).sum(1, keepdims=True))
+    return np.divide(out, norm, out=out, where=norm > 0)
+
+
 def pseudo_embedding(text: Column | str, dims: int = 64) -> Column:
-    """Signed hashing of character trigrams of the lower-case text between marks: 32-bit FNV-1a, sign from the top bit, unit length."""
-
-    def one(t: str | None) -> list[float] | None:
-        if t is None:
-            return None
-        padded = f"^{t.lower()}$"
-        out = np.zeros(dims)
-        for i in range(len(padded) - 2):
-            h = 2166136261
-            for c in padded[i : i + 3]:
-                h = ((h ^ ord(c)) * 16777619) & 0xFFFFFFFF
-            number = h - (1 << 32) if h >> 31 else h
-            out[abs(int(np.fmod(number, dims)))] += -1.0 if h >> 31 else 1.0
-        norm = float(np.sqrt((out**2).sum()))
-        return (out / norm if norm else out).tolist()
+    """Signed hashing of character trigrams of the lower-case text, white space collapsed, between marks; unit length. Null stays null."""
 
     @F.pandas_udf("array<double>")
     def run(values: pd.Series) -> pd.Series:
-        return values.map(one)
+        rows = iter(trigram_vectors(known, dims) if (known := values.dropna().tolist()) else ())
+        return pd.Series([next(rows) if there else None for there in values.notna()], dtype=object)
 
     return run(col(text))
