@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+#: Edges up to which one task settles the components that are left.
+FEW = 1 << 17
+
 
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; a temporary folder only where it is unset and Spark is local."""
@@ -34,30 +39,65 @@ def saved(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict]
     return out, watch.get
 
 
-def components(edges: DataFrame) -> DataFrame:
+def least_reached(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(vertex, smallest vertex that it reaches) for all vertices of the pairs."""
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, top = at[: len(a)], at[len(a) :], np.arange(len(names))
+    while True:
+        before, low = top.copy(), np.minimum(top[x], top[y])
+        np.minimum.at(top, top[x], low)
+        np.minimum.at(top, top[y], low)
+        top = top[top]
+        if (top == before).all():
+            return names, names[top]
+
+
+def _in_one_task(edges: DataFrame) -> DataFrame:
+    """(v, p): the components of at most ``FEW`` edges, in one task; p is the smallest vertex of each other one."""
+    kind = edges.schema["a"].dataType.simpleString()
+
+    def run(batches):
+        rows = [b for b in batches if b.num_rows]
+        if rows:
+            a, b = (np.concatenate([np.asarray(r[c].to_pylist(), object if kind == "string" else np.int64) for r in rows]) for c in "ab")
+            v, root = least_reached(a, b)
+            moved = v != root
+            yield pa.RecordBatch.from_arrays([pa.array(x[moved].tolist(), rows[0].schema.field("a").type) for x in (v, root)], ["v", "p"])
+
+    return edges.repartition(1).mapInArrow(run, f"v {kind}, p {kind}")
+
+
+def components(edges: DataFrame, few: int = FEW) -> DataFrame:
     """(v, root) of every vertex of the edges (a, b); root is the smallest vertex reached.
 
     Every vertex hooks on to its smallest smaller neighbour, pointers are doubled to their ends, edges move there; rounds repeat
-    until no edge is left. No vertex's neighbours are ever gathered: minima have partial sums, lookups are joins.
+    until at most ``few`` edges are left, which one task settles. No vertex's neighbours are ever gathered: minima have partial sums, lookups are joins.
     """
     n = F.count(F.lit(1))
     edges, left = saved(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges", n=n)
+    plain = edges.schema["a"].dataType.simpleString() in ("bigint", "string")
     labels: DataFrame | None = None
+
+    def followed(hooks: DataFrame) -> DataFrame:
+        if labels is None:
+            return hooks
+        ends = hooks.select(F.col("v").alias("p"), F.col("p").alias("q"))
+        return save(labels.join(ends, "p", "left").select("v", F.coalesce("q", "p").alias("p")).unionByName(hooks), "labels")
+
     while left.get("n"):
+        if plain and left["n"] <= few:
+            labels = followed(save(_in_one_task(edges), "hooks"))
+            break
         hooks = save(edges.groupBy(F.col("b").alias("v")).agg(F.min("a").alias("p")), "hooks")
         moved = 1
         while moved:
             ends = hooks.select(F.col("v").alias("p"), F.col("p").alias("q"))
             further, told = saved(hooks.join(ends, "p", "left").select("v", F.coalesce("q", "p").alias("p"), F.col("q").isNotNull().alias("moved")), "hooks", n=F.count_if("moved"))
             hooks, moved = further.select("v", "p"), told.get("n")
-        to = lambda c: hooks.select(F.col("v").alias(c), F.col("p").alias(f"{c}_to"))  # noqa: E731, B023
+        to = lambda c: hooks.select(F.col("v").alias(c), F.col("p").alias(f"{c}_to"))
         ends = edges.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("a_to", "a").alias("x"), F.coalesce("b_to", "b").alias("y"))
         edges, left = saved(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct(), "edges", n=n)
-        if labels is None:
-            labels = hooks
-        else:
-            ends = hooks.select(F.col("v").alias("p"), F.col("p").alias("q"))
-            labels = save(labels.join(ends, "p", "left").select("v", F.coalesce("q", "p").alias("p")).unionByName(hooks), "labels")
+        labels = followed(hooks)
     if labels is None:
         return edges.select(F.col("a").alias("v"), F.col("b").alias("root"))
     roots = labels.select(F.col("p").alias("v")).distinct().select("v", F.col("v").alias("p"))

@@ -93,14 +93,16 @@ def prepared(primed: DataFrame, facts: DataFrame, edges: DataFrame, p: Params) -
 def one_turn(state: DataFrame, active: DataFrame, p: Params) -> DataFrame:
     """The beliefs after one more turn; ``past`` gains what the turn gave. state: STATE, s0, anchored, s, b, past."""
     keys = ["subject_id", "explained"]
-    rank = Window.partitionBy(*STATE, "other_group").orderBy(F.desc("term"), "other")
     met = active.join(state.select(*keys, F.col("fact_id").alias("other"), F.col("b").alias("other_b")), [*keys, "other"])
-    zero, term = F.lit(0.0), p.corroboration_weight * F.col("conf") * rel(F.col("other_b")) * F.col("recency")
-    weight = F.pow(F.lit(p.dependence_damping), F.row_number().over(rank) - 1)
-    up = met.where("relation = 'CORROBORATES'").withColumn("term", term).withColumn("w", weight)
-    up = up.select(*STATE, (F.col("term") * F.col("w")).alias("up"), zero.alias("down"), (p.corroboration_weight * F.col("conf") * F.col("w")).alias("mass"))
-    down = met.where("relation = 'CONTRADICTS'").select(*STATE, zero.alias("up"), (p.contradiction_weight * F.col("conf") * rel(F.col("other_b")) * F.col("mitigation")).alias("down"), zero.alias("mass"))
-    sums = up.unionByName(down).groupBy(*STATE).agg(F.sum("up").alias("support"), F.sum("down").alias("conflict"), F.sum("mass").alias("mass"))
+    voice = F.col("conf") * rel(F.col("other_b"))
+    met = met.select(*STATE, "other", "relation", "other_group", "conf", (p.corroboration_weight * voice * F.col("recency")).alias("term"), (p.contradiction_weight * voice * F.col("mitigation")).alias("down"))
+    rank = Window.partitionBy(*STATE, "relation", "other_group").orderBy(F.desc("term"), "other")
+    met = met.withColumn("w", F.pow(F.lit(p.dependence_damping), F.row_number().over(rank) - 1))
+    up, zero = F.col("relation") == "CORROBORATES", F.lit(0.0)
+    sums = met.groupBy(*STATE).agg(
+        F.sum(F.when(up, F.col("term") * F.col("w")).otherwise(zero)).alias("support"), F.sum(F.when(up, zero).otherwise(F.col("down"))).alias("conflict"),
+        F.sum(F.when(up, p.corroboration_weight * F.col("conf") * F.col("w")).otherwise(zero)).alias("mass"),
+    )
     nxt = state.join(sums, list(STATE), "left").na.fill(0.0, ["support", "conflict", "mass"])
     new = F.col("s0") + F.col("support") - F.col("conflict")
     new = F.when(F.col("anchored"), F.col("s") + p.anchor_plasticity * (new - F.col("s"))).otherwise(new)
@@ -112,7 +114,7 @@ def one_turn(state: DataFrame, active: DataFrame, p: Params) -> DataFrame:
 PAST = "array<struct<s: double, b: double, support: double, conflict: double, mass: double, move: double>>"
 
 
-def fixed_point(primed: DataFrame, facts: DataFrame, edges: DataFrame, p: Params, turns_a_write: int = 3) -> DataFrame:
+def fixed_point(primed: DataFrame, facts: DataFrame, edges: DataFrame, p: Params, turns_a_write: int = 2) -> DataFrame:
     """(subject, fact, explained pass) with belief, support, conflict, independence, recency, evidence mass, iterations and converged.
 
     Some turns run in one job before the state is written. Subjects don't meet, so each keeps the first of these turns in which its own beliefs moved by less
