@@ -1,38 +1,101 @@
 """Similar vectors within groups: blocks of rows meet blocks of rows in Arrow tasks, one matrix product a pair of blocks.
 
-No task holds more than two blocks, whatever the size of a group; every row leaves a block pair with its best candidates only.
+A group of more rows than a block is cut along a projection tree, fitted on a bounded sample of all vectors, so that a block is a ball of near rows. Only the balls
+meet all others of their group: x.y is at most c.d + |c| s + |d| r + r s for rows of balls (c, r) and (d, s). A pair of blocks whose bound is under the floor, or
+under the k-th similarity that all rows of the one have found in their most promising block, is never brought together. What remains is exact; where vectors have no
+structure, as random ones of many dimensions, no bound is small enough and all pairs of blocks meet. No task holds more than two blocks, whatever the size of a group.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a block. Similarities are rounded to so many digits, so that equal vectors tie in every block.
-BLOCK_ROWS, DIGITS = 1024, 10
+from evidentia.operators.iterate import save, saved
 
+#: Rows of a block, rows on average that the tree is fitted on, its depth. Similarities are rounded to so many digits, so that equal vectors tie in every block.
+BLOCK_ROWS, SAMPLE_ROWS, DEPTH, DIGITS = 1024, 4096, 10, 10
+#: What rounding could take from a bound.
+SLACK = 1e-8
 
-def _blocks(rows: DataFrame, group: str, key: str, vector: str, name: str, block_rows: int) -> DataFrame:
+
+def fitted_tree(sample: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
+    """(directions, cuts) of a complete binary tree: a node's rows are cut at the widest gap of their middle half, along the line through two far rows."""
+    nodes = (1 << depth) - 1
+    along, cut = np.zeros((nodes, sample.shape[1])), np.zeros(nodes)
+    held = {0: sample}
+    for n in range(nodes):
+        rows = held.pop(n, sample[:0])
+        if len(rows) > 1:
+            far = rows[((rows - rows.mean(0)) ** 2).sum(1).argmax()]
+            along[n] = rows[((rows - far) ** 2).sum(1).argmax()] - far
+            at = rows @ along[n]
+            middle = np.sort(at)[len(at) // 4 : 3 * len(at) // 4 + 2]
+            gap = int(np.diff(middle).argmax())
+            cut[n] = (middle[gap] + middle[gap + 1]) / 2
+            if 2 * n + 2 < nodes:
+                held[2 * n + 1], held[2 * n + 2] = rows[at <= cut[n]], rows[at > cut[n]]
+    return along, cut
+
+
+def leaves(x: np.ndarray, tree: tuple[np.ndarray, np.ndarray], depth: int = DEPTH) -> np.ndarray:
+    """The path of each row through the tree, as a number of ``depth`` bits, the first turn on top."""
+    node, path = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
+    for _ in range(depth):
+        right = np.einsum("ij,ij->i", x, tree[0][node]) > tree[1][node]
+        path, node = 2 * path + right, 2 * node + 1 + right
+    return path
+
+
+def _lists(column) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(len(column), -1)
+
+
+def _blocks(rows: DataFrame, group: str, key: str, vector: str, block_rows: int) -> tuple[DataFrame, bool]:
+    """(group, block, c, r, norm, rows) of the known rows, and whether a group has several blocks."""
     known = rows.where(F.col(vector).isNotNull() & F.col(group).isNotNull()).select(group, F.col(key).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
-    sizes = known.groupBy(group).agg(F.ceil(F.count("*") / block_rows).cast("long").alias("parts"))
-    part = F.pmod(F.xxhash64("id"), F.col("parts"))
-    return known.join(sizes, group).groupBy(group, part.alias("part")).agg(F.collect_list(F.struct("id", "v")).alias(name)).drop("part")
+    sizes, told = saved(known.groupBy(group).agg(F.count("*").alias("n")), "block-sizes", total=F.sum("n"), most=F.max("n"))
+    several = (told["most"] or 0) > block_rows
+    path = F.lit(0).cast("long")
+    if several:
+        share = int(min(1.0, SAMPLE_ROWS / told["total"]) * (1 << 20))
+        sample = known.where(F.pmod(F.xxhash64("id", F.lit("tree")), F.lit(1 << 20)) < share).select("v").toArrow()["v"].combine_chunks()
+        tree = fitted_tree(_lists(sample))
 
+        def place(batches):
+            for batch in batches:
+                yield batch.append_column("path", pa.array(leaves(_lists(batch["v"]), tree) if batch.num_rows else np.zeros(0, np.int64)))
 
-def similar(left: DataFrame, right: DataFrame, floor: float, best: int | None = None, group: str = "subject_id", key: str = "claim_id", vector: str = "embedding", same: bool = True, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(group, x, y, sim) of rows x of ``left`` and other rows y of ``right`` in a group with a dot product of ``floor`` or more.
+        known = known.mapInArrow(place, f"{group} {rows.schema[group].dataType.simpleString()}, id string, v array<double>, path long")
+        bits = F.least(F.ceil(F.log2(F.col("n") / block_rows)), F.lit(DEPTH)).cast("int")
+        path = F.when(F.col("n") > block_rows, F.floor(F.col("path") / F.pow(F.lit(2.0), DEPTH - bits)).cast("long")).otherwise(0)
+    placed = known.join(sizes, group).select(group, "id", "v", path.alias("cell"))
+    parts = placed.groupBy(group, "cell").agg(F.ceil(F.count("*") / block_rows).cast("long").alias("parts"))
+    packed = placed.join(parts, [group, "cell"]).groupBy(group, "cell", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part")).agg(F.collect_list(F.struct("id", "v")).alias("rows"))
+
+    def ball(batches):
+        for batch in batches:
+            c, r, norm = [], [], []
+            for lists in batch["rows"]:
+                x = _lists(lists.values.field("v"))
+                c.append(x.mean(0))
+                r.append(float(np.sqrt(((x - c[-1]) ** 2).sum(1).max())))
+                norm.append(float(np.sqrt((c[-1] ** 2).sum())))
+            yield pa.RecordBatch.from_arrays([batch[group], pa.array([x.tolist() for x in c], pa.list_(pa.float64())), pa.array(r, pa.float64()), pa.array(norm, pa.float64()), batch["rows"]], [group, "c", "r", "norm", "rows"])
+
+    kind = rows.schema[group].dataType.simpleString()
+    balls = packed.select(group, "rows").mapInArrow(ball, f"{group} {kind}, c array<double>, r double, norm double, rows array<struct<id:string,v:array<double>>>")
+    return save(balls.withColumn("block", F.monotonically_increasing_id()), "blocks"), several
 
-    With ``best`` each x keeps its best y of every block, ties to the smaller y: at least its ``best`` nearest of all. Ids are strings; ``same`` says
-    that those of both sides are of one kind, so that equal ones don't meet.
-    """
-    pairs = _blocks(left, group, key, vector, "xs", block_rows).join(_blocks(right, group, key, vector, "ys", block_rows), group)
-    kind = left.schema[group].dataType.simpleString()
+
+def _met(pairs: DataFrame, group: str, kind: str, floor: float, best: int | None, same: bool) -> DataFrame:
+    """(group, x, y, sim, block) of the pairs of blocks (group, xb, xs, ys): the rows of xs with their best of ys."""
 
     def run(batches):
         for batch in batches:
-            for g, xs, ys in zip(batch[group], batch["xs"].to_pylist(), batch["ys"].to_pylist(), strict=True):
+            for g, block, xs, ys in zip(batch[group], batch["xb"].to_pylist(), batch["xs"].to_pylist(), batch["ys"].to_pylist(), strict=True):
                 ys = sorted(ys, key=lambda r: r["id"])
                 a, b = np.array([r["id"] for r in xs], object), np.array([r["id"] for r in ys], object)
                 sim = np.round(np.array([r["v"] for r in xs]) @ np.array([r["v"] for r in ys]).T, DIGITS)
@@ -45,6 +108,44 @@ def similar(left: DataFrame, right: DataFrame, floor: float, best: int | None =
                     at = np.indices(sim.shape).reshape(2, -1)
                 keep = sim[at[0], at[1]] >= floor
                 x, y = at[0][keep], at[1][keep]
-                yield pa.RecordBatch.from_arrays([pa.array([g.as_py()] * len(x), batch.schema.field(group).type), pa.array(a[x].tolist(), pa.string()), pa.array(b[y].tolist(), pa.string()), pa.array(sim[x, y])], [group, "x", "y", "sim"])
+                yield pa.RecordBatch.from_arrays([pa.array([g.as_py()] * len(x), batch.schema.field(group).type), pa.array(a[x].tolist(), pa.string()), pa.array(b[y].tolist(), pa.string()), pa.array(sim[x, y]), pa.array([block] * len(x), pa.int64())], [group, "x", "y", "sim", "xb"])
+
+    return pairs.select(group, "xb", "xs", "ys").mapInArrow(run, f"{group} {kind}, x string, y string, sim double, xb long")
 
-    return pairs.select(group, "xs", "ys").mapInArrow(run, f"{group} {kind}, x string, y string, sim double")
+
+def similar(
+    left: DataFrame, right: DataFrame, floor: float, best: int | None = None, group: str = "subject_id", key: str = "claim_id", vector: str = "embedding", same: bool = True, block_rows: int = BLOCK_ROWS, told: dict | None = None
+) -> DataFrame:
+    """(group, x, y, sim) of rows x of ``left`` and other rows y of ``right`` in a group with a dot product of ``floor`` or more.
+
+    With ``best`` each x keeps its best y of every block that is met, ties to the smaller y: at least its ``best`` nearest of all. Ids are strings; ``same`` says
+    that those of both sides are of one kind, so that equal ones don't meet. Vectors are of one length. ``told`` receives the pairs of blocks and how many of them were met.
+    """
+    kind = left.schema[group].dataType.simpleString()
+    xs, several = _blocks(left, group, key, vector, block_rows)
+    ys, also = (xs, several) if left is right else _blocks(right, group, key, vector, block_rows)
+    fetch = lambda pairs: pairs.join(xs.select(F.col("block").alias("xb"), F.col("rows").alias("xs")), "xb").join(ys.select(F.col("block").alias("yb"), F.col("rows").alias("ys")), "yb")
+    a = xs.select(group, F.col("block").alias("xb"), F.col("c").alias("xc"), F.col("r").alias("xr"), F.col("norm").alias("xn"), F.size("rows").alias("size"))
+    b = ys.select(group, F.col("block").alias("yb"), F.col("c").alias("yc"), F.col("r").alias("yr"), F.col("norm").alias("yn"), F.size("rows").alias("other"))
+    if not several and not also:
+        return _met(fetch(a.join(b, group).select(group, "xb", "yb")), group, kind, floor, best, same).drop("xb")
+    centers = F.aggregate(F.zip_with("xc", "yc", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    bound = centers + F.col("xn") * F.col("yr") + F.col("yn") * F.col("xr") + F.col("xr") * F.col("yr") + SLACK
+    pairs, count = saved(a.join(b, group).select(group, "xb", "yb", "size", "other", bound.alias("bound")), "block-pairs", n=F.count("*"))
+    live = pairs.where(F.col("bound") >= floor)
+    if best is None:
+        met, last = saved(live.select(group, "xb", "yb"), "block-met", n=F.count("*"))
+        out, n = _met(fetch(met), group, kind, floor, None, same), last["n"]
+    else:
+        # a block first meets the one that could be nearest, of those the one with the most rows
+        order = Window.partitionBy("xb").orderBy(F.desc("bound"), F.desc("other"), "yb")
+        ranked = save(live.withColumn("turn", F.row_number().over(order)), "block-turns")
+        first = save(_met(fetch(ranked.where("turn = 1")), group, kind, floor, best, same), "block-first")
+        kth = first.groupBy("xb", "x").agg(F.count("*").alias("n"), F.min("sim").alias("kth")).where(F.col("n") >= best)
+        kth = kth.groupBy("xb").agg(F.count("*").alias("rows"), F.min("kth").alias("kth"))
+        rest = ranked.where("turn > 1").join(kth, "xb", "left").where(F.col("rows").isNull() | (F.col("rows") < F.col("size")) | (F.col("bound") >= F.col("kth")))
+        rest, last = saved(rest.select(group, "xb", "yb"), "block-met", n=F.count("*"))
+        out, n = first.unionByName(_met(fetch(rest), group, kind, floor, best, same)), (last["n"] or 0) + xs.count()
+    if told is not None:
+        told |= {"pairs": count["n"], "met": n}
+    return out.drop("xb")
