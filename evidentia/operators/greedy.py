@@ -50,7 +50,7 @@ def first_independent(nodes: DataFrame, pairs: DataFrame, most_edges: int = MOST
         kept = settle(a, b, {n for n, s in zip(a + b, x + y, strict=True) if s})
         return pa.table({"n": pa.array(list(kept), pa.int64()), "kept": pa.array(list(kept.values()), pa.bool_())})
 
-    bucket = F.pmod(F.xxhash64("root"), F.lit(math.ceil((told["small"] or 1) / most_edges)).cast("long"))
+    bucket = F.pmod(F.xxhash64("root"), F.lit(max(1, math.ceil((told["small"] or 0) / max(1, most_edges)))).cast("long"))
     decided = rows.where(F.col("m") <= most_edges).withColumn("bucket", bucket).groupBy("bucket").applyInArrow(run, "n long, kept boolean")
     if told["large"]:
         decided = decided.unionByName(in_rounds(rows.where(F.col("m") > most_edges), nodes))
