@@ -18,13 +18,11 @@ from pyspark.sql import functions as F
 from evidentia.llm.common import map_chunks, map_slices
 
 ORDER = 3
-#: Documents of each language, on average, that the trees are counted on.
-FIT_DOCS = 1500
+#: Documents of each language, on average, that the trees are counted on, and of all languages together.
+FIT_DOCS, FIT_TOTAL = 1500, 96_000
 #: Bytes that are scored at once; longer texts go in pieces that overlap by ORDER bytes.
 PIECE = 1 << 20
 UNSEEN_BITS = 8.0
-#: Languages that are learned: those with the most documents.
-MOST_LANGS = 256
 PREDICTED = "doc_id long, lang_pred string, score double, bits_per_byte double"
 
 
@@ -167,19 +165,20 @@ def build(langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray) -
     return Trees(langs, classes, first, child, cost, escape, root_escape)
 
 
-def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, most_langs: int = MOST_LANGS) -> Trees | None:
+def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, fit_total: int = FIT_TOTAL) -> Trees | None:
     """Trees from about ``fit_docs`` documents a language among those not held out, drawn by a hash of the id; None if there are none.
 
-    Rows without text, lang or doc_id are not learned from, nor are languages beyond the ``most_langs`` with the most documents. What
-    reaches the driver is one count for each distinct gram of the bounded sample.
+    All languages are learned. Where there are so many that they would take more than ``fit_total`` documents, each gets an equal part of these. Rows without text,
+    lang or doc_id are not learned from. What reaches the driver is one count for each language and distinct gram of the bounded sample; the trees grow with both.
     """
     known = docs.select("doc_id", "lang", "text").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~is_held_out())
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()}
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return None
     langs = sorted(sizes)
-    share = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, fit_docs / sizes[k])))])
-    sample = known.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("fit")), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    each = max(1.0, min(fit_docs, fit_total / len(langs)))
+    shares = docs.sparkSession.createDataFrame([(k, int(min(1.0, each / sizes[k]) * (1 << 20))) for k in langs], "lang string, share long")
+    sample = known.join(shares, "lang").where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("fit")), F.lit(1 << 20)) < F.col("share")).select("lang", "text")
     rows = count_grams(sample).toArrow()
     if not rows.num_rows:
         return None
