@@ -29,6 +29,8 @@ NAMES_OF_FURNITURE = frozenset(
     " share sharing social breadcrumb breadcrumbs menu nav navbar navigation footer masthead login signin signup pagination pager complementary contentinfo search toolbar widget".split()
 )
 NAMES_OF_COMMENTS = frozenset("comment comments commentlist replies reply respond disqus".split())
+#: Furniture that may also be the frame of a whole page.
+FRAMES = frozenset("form fieldset header banner masthead search login signin signup widget modal popup notice alert promo footer".split())
 #: Parts of a name that say what an element has or lacks, not what it is.
 ABOUT = frozenset("has have with without no not is show hide".split())
 
@@ -57,6 +59,10 @@ def named(attrs: str, whole: bool) -> str:
     return ""
 
 
+def _words_of(attrs: str) -> set[str]:
+    return {p for found in _NAMES.findall(attrs) for p in re.split(r"[-_\s]+", _CAMEL.sub("-", "".join(found)).lower())}
+
+
 @dataclass
 class Place:
     """An open container, with what it is within."""
@@ -85,7 +91,7 @@ class Block:
 
 
 def blocks_of(page: str | None) -> tuple[list[Block], np.ndarray]:
-    """The blocks of a page that have text, in page order, decoded, white space folded; and the words of each numbered element.
+    """The blocks of a page that have text, in page order, decoded, white space folded; and of each numbered element its words, and 1 if it may frame a page.
 
     Markup that is cut off or unclosed ends with the page. Drawn elements end at their own end tag, or where there is none at once.
     """
@@ -93,6 +99,7 @@ def blocks_of(page: str | None) -> tuple[list[Block], np.ndarray]:
     out: list[Block] = []
     stack = [Place("")]
     sizes = [0]  # of the page, then of marked elements and articles
+    frames = [0]
     owners: list[list[int]] = [[0]]  # by place: the numbered elements around it
     pieces: list[str] = []
     links: list[str] = []
@@ -109,6 +116,7 @@ def blocks_of(page: str | None) -> tuple[list[Block], np.ndarray]:
                 mark = place.mark
                 if own:
                     sizes.append(0)
+                    frames.append(0)
                     mark = len(sizes) - 1
                     around = [*around, mark]
                 for k in around:
@@ -135,10 +143,12 @@ def blocks_of(page: str | None) -> tuple[list[Block], np.ndarray]:
                 place.outer = last.mark
             place.mark = -1
             sizes.append(0)
+            frames.append(0)
             place.article = len(sizes) - 1
             around = [*around, place.article]
         elif told or tag in FURNITURE or tag == "header" and last.article < 0:
             sizes.append(0)
+            frames.append(tag in FRAMES or tag in ("div", "section") and told == "furniture" and not FRAMES.isdisjoint(_words_of(attrs)))
             place.mark = len(sizes) - 1
             around = [*around, place.mark]
         stack.append(place)
@@ -180,19 +190,25 @@ def blocks_of(page: str | None) -> tuple[list[Block], np.ndarray]:
                 enter(tag, m["attrs"])
     add(page[at:])
     flush()
-    return out, np.array(sizes)
+    return out, np.array([sizes, frames], float)
 
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "in_article", "article_share", "in_furniture", "furniture_share", "furniture_around_article")
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "in_article", "article_share", "in_furniture", "furniture_share", "furniture_around_article", "in_frame", "bare_share")
 
 
-def features(blocks: list[Block], sizes: np.ndarray) -> np.ndarray:
-    """A row a block, in the order of FEATURES; neighbours beyond the ends have 0. Shares are of the words of all articles, or of the page for furniture."""
+def features(blocks: list[Block], elements: np.ndarray) -> np.ndarray:
+    """A row a block, in the order of FEATURES; neighbours beyond the ends have 0. Shares are of the words of all articles, or of the page for furniture.
+
+    ``bare_share`` is how much of the page's unlinked words stands neither in furniture nor in an article.
+    """
+    sizes, frames = elements
     plain = np.array([[0, 0], *[[b.words, b.links] for b in blocks], [0, 0]], float)
     share = sizes / max(1, sizes[0])
     articles = max(1, sum(b.words for b in blocks if b.article >= 0))
-    marks = np.array([[b.article >= 0, sizes[b.article] / articles if b.article >= 0 else 0, b.mark >= 0, share[b.mark] if b.mark >= 0 else 0, b.outer >= 0] for b in blocks], float).reshape(-1, 5)
-    return np.hstack([plain[1:-1], plain[:-2], plain[2:], marks])
+    unlinked = [b.words - b.link_words for b in blocks]
+    bare = sum(n for n, b in zip(unlinked, blocks, strict=True) if b.article < 0 and b.mark < 0) / max(1, sum(unlinked))
+    marks = [[b.article >= 0, sizes[b.article] / articles if b.article >= 0 else 0, b.mark >= 0, share[b.mark] if b.mark >= 0 else 0, b.outer >= 0, b.mark >= 0 and frames[b.mark], bare] for b in blocks]
+    return np.hstack([plain[1:-1], plain[:-2], plain[2:], np.array(marks, float).reshape(-1, 7)])
 
 
 # The labelled table, as small pages. {n} stands for n words; a block that starts with + is main text, one with - is not.
@@ -219,6 +235,13 @@ LABELLED = (
     "<div class=page-footer><h1>+{6}</h1><p>+{70}</p><p>+{30}</p><p>+{22}</p></div><nav><a>-{2}</a></nav>", "<form><h1>+{5}</h1><p>+{80}</p><p>+{50}</p></form><footer>-{12}</footer>",
     "<div class=cookie-notice><p>-{15}</p></div><div class=sidebar><p>-{30}</p><ul><li>-{4}<li>-{3}</ul></div><div><h1>+{6}</h1><p>+{75}</p><p>+{42}</p></div>",
     "<article><p>+{50}</p><p class=notice>-{9}</p><p>+{25}</p><figure><figcaption>+{7}</figcaption></figure><button>-{1}</button></article>", "<p>-{2}</p><p><a>-{1}</a></p><p>-{3}</p><p><a>-{2}</a></p>",
+    "<form id=f><div><h1>+{5}</h1><p>+{60}</p><p>+{60}</p></div></form>", "<form><div><h1>+{6}</h1><p>+{50}</p><p>+{70}</p></div></form><footer>-{30}</footer>", "<form id=f><div><h1>+{5}</h1><p>+{60}</p><p>+{60}</p></div></form><div>-{1}</div>",
+    "<div class=search-results><p>+{80}</p></div>", "<div class=search-results><h2>+{3}</h2><p>+{25}</p><p>+{30}</p></div><footer>-{9}</footer>", "<div class=login-layout><div class=content><p>+{60}</p></div></div>",
+    "<div class=login-layout><div class=content><h1>+{4}</h1><p>+{35}</p><p>+{8}</p></div></div><nav><a>-{2}</a><a>-{3}</a></nav>", "<form><nav><a>-{1}</a><a>-{2}</a></nav><h1>+{5}</h1><p>+{45}</p><p>+{6}</p><footer>-{12}</footer></form>",
+    "<div class=masthead><p>+{70}</p><p>+{9}</p></div><aside>-{20}</aside>", "<form><p>-{4}</p><p>-{6}</p></form><div><p>+{60}</p><p>+{40}</p></div>", "<div class=login-box><p>-{9}</p></div><div><h1>+{4}</h1><p>+{40}</p><p>+{30}</p></div>",
+    "<div class=search><p>-{5}</p></div><div><p>+{25}</p><p>+{33}</p></div><div class=banner>-{12}</div>", "<header><div>-{3}</div><p>-{8}</p></header><div><p>+{44}</p></div>", "<form><div>-{2}</div><div>-{3}</div><div>-{2}</div></form>",
+    "<article><p>+{30}</p></article><form><p>-{40}</p><p>-{35}</p></form>", "<article><p>+{50}</p></article><div class=login-layout><p>-{60}</p></div>", "<nav><p>-{60}</p><p>-{50}</p></nav><p>+{20}</p>",
+    "<div class=login-layout><div class=content><p>+{60}</p></div></div><footer>-{20}</footer>", "<form><p>+{40}</p><p>+{20}</p></form><footer>-{20}</footer>", "<div class=widget><p>+{50}</p></div><nav><a>-{2}</a><a>-{3}</a></nav><footer>-{14}</footer>",
 )
 
 
