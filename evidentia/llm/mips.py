@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from evidentia.llm.common import save
 
 SHARD_ROWS, BLOCK_QUERIES, LEAF_ROWS = 16384, 2048, 256
-#: Rows, on average, that the cells are fitted on, the most cells a length of vectors has, and the balls that a block meets at once.
-SAMPLE_ROWS, CELLS, BALLS = 8192, 256, 4096
+#: Rows, on average, that the cells are fitted on, the most cells a length of vectors has, the balls that a block meets at once, the blocks that balls meet at once.
+SAMPLE_ROWS, CELLS, BALLS, BOXES = 8192, 256, 4096, 64
 #: Vectors with a larger integer component go to trees and blocks of their own, so that they do not slow the others.
 WIDE = 1 << 24
 LEAST = np.iinfo(np.int64).min
@@ -303,9 +303,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int =
                     if len(at := np.flatnonzero(~(column < box["kth"]))):  # a bound that is no number reaches
                         yield pa.RecordBatch.from_pydict({"shard": pa.array([b["shard"]]), "box": pa.array([packed(**{n: v[at] for n, v in box.items()})], pa.binary())})
 
-    chunk = F.pmod(F.col("shard"), F.lit(max(1, math.ceil(total / shard_rows / BALLS))).cast("long"))
-    balls = trees.groupBy("dim", chunk.alias("chunk")).agg(F.collect_list(F.struct("shard", "center", "radius")).alias("balls"))
-    pieces = boxes.join(balls, "dim").select("box", "balls").mapInArrow(reaching, "shard long, box binary")
+    # a chunk of balls goes to every slot of boxes, a box to every chunk, so that no key grows with the table
+    chunks, slots = max(1, math.ceil(total / shard_rows / BALLS)), max(1, math.ceil(boxes.count() / BOXES))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    balls = trees.groupBy("dim", F.pmod(F.col("shard"), F.lit(chunks)).cast("int").alias("chunk")).agg(F.collect_list(F.struct("shard", "center", "radius")).alias("balls"))
+    balls = balls.select("dim", "chunk", spread(slots).alias("slot"), "balls")
+    boxes = boxes.select("dim", spread(chunks).alias("chunk"), F.pmod(F.xxhash64("box"), F.lit(slots)).cast("int").alias("slot"), "box")
+    pieces = boxes.join(balls, ["dim", "chunk", "slot"]).select("box", "balls").mapInArrow(reaching, "shard long, box binary")
 
     def answered(batches):
         for batch in batches:
