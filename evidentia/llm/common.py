@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from evidentia.operators.iterate import save  # noqa: F401  (the operators' written tables)
+
 #: Rows that a mapped function sees at once.
 CHUNK_ROWS = 256
 
@@ -44,21 +46,12 @@ def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.R
     return df.mapInArrow(run, schema)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); a temporary one only where none is set and Spark is local."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        import tempfile
-
-        found = f"file://{tempfile.gettempdir()}/evidentia-shared"
-    return found.rstrip("/")
+def row_hash(df: DataFrame) -> Column:
+    """A 64-bit hash of all columns of a row; columns that hold maps, which have no hash, count as JSON."""
 
+    def holds_map(kind: T.DataType) -> bool:
+        if isinstance(kind, T.StructType):
+            return any(holds_map(f.dataType) for f in kind)
+        return holds_map(kind.elementType) if isinstance(kind, T.ArrayType) else isinstance(kind, (T.MapType, T.VariantType))
 
-def save(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: cuts the lineage, survives lost executors, gives later joins a known size."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return F.xxhash64(*[F.to_json(F.struct(df[f.name])) if holds_map(f.dataType) else df[f.name] for f in df.schema])

@@ -21,8 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import map_chunks, save
-from evidentia.llm.graph import components
+from evidentia.llm.common import map_chunks, row_hash
+from evidentia.operators.iterate import components, save
 
 BITS, SEED, RADIUS, TREE_ROWS = 64, 42, 2, 512
 #: Shingles whose bits are counted at once.
@@ -373,13 +373,13 @@ def merged(roots: DataFrame, edges: DataFrame) -> DataFrame:
 def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, content, component_id, first) of every row with a doc_id: near copies by the exact Jaccard similarity of distinct word shingles.
 
-    ``content`` is a hash of the whole row, so that different rows of one doc_id are told apart; ``component_id`` is the smallest doc_id of the
+    ``content`` is a 64-bit hash of the whole row, maps as JSON, so that different rows of one doc_id are told apart; ``component_id`` is the smallest doc_id of the
     group, ``first`` whether the row is the one, by doc_id and content, that stands for it. Equal sets of shingles are one point. Points
     that share a band of minima are a shard; in a shard, BK-trees over wide SimHash sketches give the candidates, and a candidate pair is
     linked if the shingles of the two texts have the similarity. Only texts of shards are read again. Null and empty texts have the empty
     set, and are copies of each other. An empty table gives no rows; other columns enter ``content`` only.
     """
-    own = docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.xxhash64(*[docs[c] for c in docs.columns]).alias("content"))
+    own = docs.where("doc_id IS NOT NULL").select("doc_id", "text", row_hash(docs).alias("content"))
 
     def make():
         def step(rows: dict) -> dict:
@@ -415,7 +415,7 @@ def one_of_each(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
         content += "_"
     found = save(near_copies(docs, words, similarity), "near-copies")
     gone = found.where("NOT first").select("doc_id", F.col("content").alias(content)).distinct()
-    rows = docs.withColumn(content, F.xxhash64(*[docs[c] for c in docs.columns]))
+    rows = docs.withColumn(content, row_hash(docs))
     left = rows.join(gone, ["doc_id", content], "left_anti")
     again = save(found.where("first").groupBy("doc_id", F.col("content").alias(content)).agg(F.count("*").alias("n")).where("n > 1").drop("n"), "near-again")
     if not again.isEmpty():
