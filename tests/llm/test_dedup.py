@@ -7,7 +7,8 @@ import random
 import numpy as np
 import pytest
 import xxhash
-from evidentia.llm import graph, simhash, substring
+from evidentia.llm import simhash, substring
+from evidentia.operators import iterate as graph
 from evidentia.llm.entries import op1_simhash_near_dedup, op5_substring_dedup
 
 SF = "/root/testdata/sf0.001"
