@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-import hmac
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,13 +26,12 @@ def pool_pick(key: Column | str, size: int) -> Column:
 
 
 def keyed_hash(text: Column | str, key: str) -> Column:
-    """HMAC-SHA256, which Spark has no function for."""
-
-    @F.pandas_udf("string")
-    def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else hmac.new(key.encode(), v.encode(), hashlib.sha256).hexdigest())
-
-    return run(col(text))
+    """HMAC-SHA256 from SHA-256: the key, in a block of 64 bytes, is mixed with the two pads before and after."""
+    raw = key.encode()
+    block = (hashlib.sha256(raw).digest() if len(raw) > 64 else raw).ljust(64, b"\0")
+    pad = lambda byte: F.lit(bytes(b ^ byte for b in block))
+    inner = F.sha2(F.concat(pad(0x36), F.encode(col(text), "UTF-8")), 256)
+    return F.sha2(F.concat(pad(0x5C), F.unhex(inner)), 256)
 
 
 def map_hash(values: Column | str) -> Column:

@@ -94,10 +94,10 @@ def canonical_messages(spark, sf_dir):
 
 
 @query("""SELECT conv_id, place, speaker, text FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY g) AS place, speaker, text FROM (SELECT conv_id, g, concat('Speaker ', any_value(role)) AS speaker, string_agg(w, ' ' ORDER BY turn) AS text FROM
-  (SELECT conv_id, turn, role, substr(text, 1, 5) AS w, sum(CASE WHEN role <> prev THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS g FROM (SELECT *, lag(role, 1, role) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations)) GROUP BY 1, 2))""")
+  (SELECT conv_id, turn, role, text AS w, sum(CASE WHEN role <> prev THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS g FROM (SELECT *, lag(role, 1, role) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations)) GROUP BY 1, 2))""")
 def transcript_segments(spark, sf_dir):
     t = rows(spark, sf_dir, "conversations")
-    word = F.struct("turn", F.substring("text", 1, 5).alias("word"), F.col("role").alias("speaker"), F.lit("1.5s").alias("start"), F.lit("2s").alias("end"))
+    word = F.struct("turn", F.col("text").alias("word"), F.col("role").alias("speaker"), F.lit("1.5s").alias("start"), F.lit("2s").alias("end"))
     words = F.transform(F.array_sort(F.collect_list(word)), lambda w: F.struct(w["word"].alias("word"), w["speaker"].alias("speaker"), w["start"].alias("start"), w["end"].alias("end")))
     results = t.groupBy(F.col("conv_id").alias("asset_id")).agg(F.array(F.struct(F.lit("3s").alias("end"), F.array(F.struct(F.lit(None).cast("string").alias("transcript"), words.alias("words"))).alias("alternatives"))).alias("results"))
     return tables.transcript_segments(results).select(F.col("asset_id").alias("conv_id"), "place", "speaker", "text")
@@ -145,10 +145,12 @@ def knowledge_dates(spark, sf_dir):
     return rows(spark, sf_dir, "orders").select("o_orderkey", publish.knowledge_as_of(F.when(k % 4 == 0, "given"), F.when(k % 4 == 1, "profile"), F.col("o_orderdate").cast("timestamp")).alias("as_of"))
 
 
-@query(o.q(EDGE_CTE, """SELECT c.claim_id, coalesce(k.n1, 0) AS corroborates, coalesce(k.n2, 0) AS contradicts, coalesce(k.n3, 0) AS contradicts_explained, 0 AS contradicts_confirmed FROM members c LEFT JOIN (SELECT f, count(*) FILTER (relation = 'CORROBORATES') AS n1, count(*) FILTER (relation = 'CONTRADICTS') AS n2, count(*) FILTER (relation = 'CONTRADICTS' AND explained) AS n3
-  FROM (SELECT from_fact AS f, relation, explained FROM edges UNION ALL SELECT to_fact, relation, explained FROM edges) GROUP BY 1) k ON k.f = concat('fact:', c.root)"""))
+@query(o.q(EDGE_CTE, """SELECT c.claim_id, coalesce(k.n1, 0) AS corroborates, coalesce(k.n2, 0) AS contradicts, coalesce(k.n3, 0) AS contradicts_explained, coalesce(k.n4, 0) AS contradicts_confirmed FROM members c LEFT JOIN (SELECT f, count(*) FILTER (relation = 'CONTRADICTS' AND confirmed) AS n4, count(*) FILTER (relation = 'CORROBORATES') AS n1, count(*) FILTER (relation = 'CONTRADICTS') AS n2, count(*) FILTER (relation = 'CONTRADICTS' AND explained) AS n3
+  FROM (SELECT unnest([from_fact, to_fact]) AS f, relation, explained, ('0x' || substr(sha256(concat(from_fact, to_fact)), 1, 2))::int % 3 = 0 AS confirmed FROM edges) GROUP BY 1) k ON k.f = concat('fact:', c.root)"""))
 def claim_edge_counts(spark, sf_dir):
     _, (members, _), edges, _ = _edges(spark, sf_dir)
+    n = F.conv(F.substring(F.sha2(F.concat("from_fact", "to_fact"), 256), 1, 2), 16, 10).cast("int")
+    edges = edges.withColumn("review_status", F.when((F.col("relation") == "CONTRADICTS") & (n % 3 == 0), "CONFIRMED").otherwise(F.col("review_status")))
     return publish.edge_counts(members.select("subject_id", "claim_id", F.concat(F.lit("fact:"), "root").alias("fact_id")), edges).drop("subject_id", "fact_id")
 
 
@@ -212,12 +214,11 @@ def profile_errors(spark, sf_dir):
     return publish.profile_errors(known, c).select("subject_id", F.array_join("errors", ",").alias("errors"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(regexp_replace(replace(replace(concat(substr(text, 1, 40), ' [c1] x (D9) , [sic] [F12]  .'), '[c1]', ''), '[ab]', ''), '[\\[(](S4-)?[CDEF]\\d{1,2}[\\])]', '', 'g'), ' {2,}', ' ', 'g')) AS t FROM documents")
+@query(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(text || ' [c1] x (D9) , [sic] [F12]  .' || chr(10) || chr(8220) || ' said ' || chr(8221), '[c1]', ''), '[ab]', ''), '[\[(](S4-)?[CDEF]\d{1,2}[\])]', '', 'g'), ' {2,}', ' ', 'g'), ' +([.,;:!?])', '\1', 'g'),
+  '([' || chr(8220) || chr(8216) || ']) +', '\1', 'g'), ' +([' || chr(8221) || chr(8217) || '])', '\1', 'g')) AS t FROM documents""")
 def scrubbed_texts(spark, sf_dir):
-    said = F.concat(F.substring("text", 1, 40), F.lit(" [c1] x (D9) , [sic] [F12]  ."))
-    out = publish.scrubbed(said, F.array(F.lit("c1"), F.lit("ab"), F.lit(" ")))
-    # The tidying before punctuation is taken back, which keeps the SQL short.
-    return rows(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.regexp_replace(out, r"x, \[sic\]\.$", "x , [sic] ."), r"(?<=\S) $", "").alias("t"))
+    said = F.concat("text", F.lit(" [c1] x (D9) , [sic] [F12]  .\n“ said ”"))
+    return rows(spark, sf_dir, "documents").select("doc_id", publish.scrubbed(said, F.array(F.lit("c1"), F.lit("ab"), F.lit(" "))).alias("t"))
 
 
 # --- bookkeeping
