@@ -72,6 +72,11 @@ def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.ablations(quality.ledger(table(spark, sf_dir, "documents")))
 
 
+def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op6 that the fixed patterns give."""
+    return secrets.find_secrets(table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
 def source_mix_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected tokens of each domain after the mix of op8, against its targets."""
     _, _, found = mixing.solved(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), mixing.WEIGHTS, 1.0, mixing.MAX_RATE)
@@ -79,14 +84,14 @@ def source_mix_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_rules, op3_exact_top_k, op4_sentencepiece, op5_substring_dedup, op6_secret_scan, op7_chat_format, op8_source_mixing, op9_language_id, op10_html_extraction, op11_hard_negatives, op12_prefix_trie, op13_embedding_near_dedup, quality_ablations, source_mix_totals)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_rules, op3_exact_top_k, op4_sentencepiece, op5_substring_dedup, op6_secret_scan, op7_chat_format, op8_source_mixing, op9_language_id, op10_html_extraction, op11_hard_negatives, op12_prefix_trie, op13_embedding_near_dedup, quality_ablations, secret_base_spans, source_mix_totals)}
 
 
 def oracle_sql() -> dict[str, str]:
     parts = []
     for p in quality.POLICIES.values():
         parts += [f"SELECT '{p.version}' AS policy, '{r}' AS rule, count(*) FILTER (failed & {p.mask} <> 0) AS n_rejected, count(*) FILTER (failed & {quality.BIT[r]} <> 0) AS n_failing, count(*) FILTER (failed & {p.mask} = {quality.BIT[r]}) AS n_by_it_alone FROM ledger" for r in p.rules]
-    return {"op2_quality_rules": OP2_SQL, "op3_exact_top_k": OP3_SQL, "op5_substring_dedup": OP5_SQL, "op7_chat_format": OP7_SQL, "op11_hard_negatives": OP11_SQL, "op12_prefix_trie": OP12_SQL, "op13_embedding_near_dedup": OP13_SQL, "quality_ablations": f"WITH ledger AS ({OP2_SQL})\n" + "\nUNION ALL ".join(parts)}
+    return {"op2_quality_rules": OP2_SQL, "op3_exact_top_k": OP3_SQL, "op5_substring_dedup": OP5_SQL, "op7_chat_format": OP7_SQL, "secret_base_spans": SECRET_BASE_SQL, "op11_hard_negatives": OP11_SQL, "op12_prefix_trie": OP12_SQL, "op13_embedding_near_dedup": OP13_SQL, "quality_ablations": f"WITH ledger AS ({OP2_SQL})\n" + "\nUNION ALL ".join(parts)}
 
 
 OP2_SQL = r"""
@@ -139,6 +144,19 @@ SELECT conv_id, cast(count(*) AS bigint) AS n_turns, sha256(string_agg(concat(ro
        cast(3 + sum(CASE role WHEN 'user' THEN n + 15 WHEN 'assistant' THEN n + 4 WHEN 'system' THEN n + 11 ELSE m + n + 20 END) AS bigint) AS formatted_chars FROM e GROUP BY conv_id
 """
 
+_ASSIGN = r"""(?:(?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+SECRET_BASE_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+m AS (SELECT r, 'assign' AS kind, 1 AS k, regexp_extract_all(t, '{_ASSIGN}') AS m, string_split_regex(t, '{_ASSIGN}') AS p FROM d
+      UNION ALL SELECT r, 'access', 2, regexp_extract_all(t, 'AKIA[A-Z0-9]+'), string_split_regex(t, 'AKIA[A-Z0-9]+') FROM d
+      UNION ALL SELECT r, 'hex', 3, regexp_extract_all(t, '[0-9a-f]+'), string_split_regex(t, '[0-9a-f]+') FROM d),
+s AS (SELECT r, kind, k, m, p, unnest(range(1, len(m) + 1)) AS i FROM m),
+a AS (SELECT r, kind, k, m[i] AS x, cast(list_sum(list_transform(p[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda y: length(y))), 0) AS bigint) AS b FROM s
+      WHERE CASE k WHEN 1 THEN length(regexp_extract(m[i], '{_ASSIGN}', 1)) >= 12 WHEN 2 THEN length(m[i]) >= 18 ELSE length(m[i]) >= 16 END),
+g AS (SELECT r, count(*) FILTER (k = 1) AS n1, count(*) FILTER (k = 2) AS n2, count(*) FILTER (k = 3) AS n3, string_agg(concat(kind, ':', b, ':', b + length(x)), ',' ORDER BY b, k) AS spans FROM a GROUP BY r)
+SELECT doc_id, coalesce(n1, 0) AS n_assign, coalesce(n2, 0) AS n_access, coalesce(n3, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256 FROM d LEFT JOIN g USING (r)
+"""
+
 OP11_SQL = """
 WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding::double[], lambda x: floor(256 * x)) AS v FROM embeddings
            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
