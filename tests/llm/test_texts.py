@@ -454,3 +454,25 @@ def test_best_path_by_exhaustion(enc):
 
     for w in ("▁the", "▁other", "▁tions", "▁inter"):
         assert sum(v.scores[i] for i in enc.best_path(w.encode())) == pytest.approx(best(w.encode()))
+
+
+def test_few_secrets_among_thousands_of_candidates(spark):
+    """3,000 word-like tokens, 30 random ones: the share of false discoveries and the recall that the battery realises."""
+    r = random.Random(17)
+    planted, rows = {}, []
+    for i in range(3000):
+        words = r.choices(WORDS, k=5)
+        year = str(r.randrange(1990, 2030))
+        joined = ("_".join([*words, year]), "-".join([year, *words]), "".join(w.capitalize() for w in words) + year, "/".join([*words, year]))[i % 4]
+        text = f"{prose(r, 25)} {joined} {prose(r, 5)}"
+        if i % 100 == 0:
+            planted[i] = "".join(r.choice(secrets.ENCODINGS[("hex", "base32", "base36", "base64")[i // 100 % 4]][0][:64]) for _ in range(32))
+            text += f" {planted[i]} end"
+        rows.append((i, text))
+    got = {x["doc_id"]: x for x in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    text, spans = dict(rows), [(i, s.split(":")) for i, x in got.items() for s in x["spans"].split(",") if s]
+    found = [(i, text[i][int(a) : int(b)]) for i, (_, a, b) in spans]
+    caught = sum((i, t) in found for i, t in planted.items())
+    false = sum(planted.get(i) != t for i, t in found)
+    print(f"candidates {sum(x['n_tested'] for x in got.values())}, caught {caught} of {len(planted)}, false {false}")
+    assert sum(x["n_tested"] for x in got.values()) > 2000 and caught >= 0.9 * len(planted) and false <= max(2, 0.1 * len(found))
