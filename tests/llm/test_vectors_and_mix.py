@@ -156,3 +156,60 @@ def test_pipeline_stages(spark):
     clean = labels.where("quality = 1 AND toxic = 0").select("doc_id")
     kept = clean.join(docs, "doc_id", "left_semi").count()
     assert kept > 0.75 * clean.count() and docs.where("NOT exact").count() == 0
+
+
+def plain_first_of_near(rows):
+    """Ids that stay: the smallest of each group linked by an exact Jaccard similarity of 0.8 of five-word shingles."""
+
+    def shingles(text):
+        w = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
+        return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+    sets, top = {i: shingles(t) for i, t in rows}, {i: i for i, _ in rows}
+
+    def root(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    order = sorted(sets)
+    for k, a in enumerate(order):
+        for b in order[:k]:
+            both = len(sets[a] & sets[b])
+            if both * 10 >= 8 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((root(a), root(b)))
+                top[y] = x
+    return {i for i in order if root(i) == i}
+
+
+def test_pipeline_run_against_a_plain_version(spark):
+    from evidentia.llm import langid, pieces, secrets
+
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    trees = langid.fit(docs)
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    known = {i: t for i, t in rows.items() if langid.has_letter(t) and trees.score(langid.to_bytes(t)).min() <= langid.MOST_BITS * (len(langid.to_bytes(t)) - langid.ORDER)}
+    first = plain_first_of_near(known.items())
+    frame = docs.where(F.col("doc_id").isin(list(first)))
+    text, least = secrets.fit(frame)
+    clean = {i: secrets.redact(known[i], text, least) for i in first}
+    as_rows = [(*[r[c] for c in docs.columns if c not in ("text", "n_chars")], clean[r["doc_id"]], len(clean[r["doc_id"]])) for r in frame.collect()]
+    names = [c for c in docs.columns if c not in ("text", "n_chars")] + ["text", "n_chars"]
+    redone = spark.createDataFrame(as_rows, ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in names)).select(*docs.columns)
+    mixed = mixing.mixed(redone, spark.read.parquet(f"{SF}/labels.parquet"), pipeline.WEIGHTS, budget="keep:clean", max_rate=1.0)
+    want = {i for (i,) in mixed.select("doc_id").collect()}
+    enc = pieces.encoder(pieces.MODEL)
+    got = pipeline.run(spark, SF).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(want) and len(want) > 100
+    for r in got:
+        assert r["exact"] and r["n_pieces"] == len(enc.encode_many([clean[r["doc_id"]]])[0])
+
+
+def test_documents_with_a_map_are_deduplicated(spark):
+    from evidentia.llm import simhash
+
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, text, {"a": "x"}), (2, text + " more", {"a": "y"}), (3, "other " * 9, None), (3, "other " * 9, None), (4, "alone in this table with its own words", {})]
+    df = spark.createDataFrame(rows, "doc_id long, text string, meta map<string,string>").withColumn("deep", F.array(F.struct("meta")))
+    assert sorted(r["doc_id"] for r in simhash.one_of_each(df).collect()) == [1, 3, 4] and simhash.one_of_each(df).columns == df.columns
