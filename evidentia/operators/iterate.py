@@ -25,10 +25,18 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def gone_at_end(spark: SparkSession, path: str) -> None:
+    """The driver deletes the folder when it ends, on whatever file system it is; a driver that is killed leaves it."""
+    if jvm := getattr(spark, "_jvm", None):
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def save(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """``df`` written to the shared folder and read again: short lineage, safe from lost executors, of known size for later joins. ``by`` partitions the table."""
     spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     (df.write.partitionBy(by) if by else df.write).parquet(path)
+    gone_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
