@@ -476,3 +476,15 @@ def test_few_secrets_among_thousands_of_candidates(spark):
     false = sum(planted.get(i) != t for i, t in found)
     print(f"candidates {sum(x['n_tested'] for x in got.values())}, caught {caught} of {len(planted)}, false {false}")
     assert sum(x["n_tested"] for x in got.values()) > 2000 and caught >= 0.9 * len(planted) and false <= max(2, 0.1 * len(found))
+
+
+@pytest.mark.parametrize(
+    "page,words",
+    [
+        ("<form id=f><div><h1>T t</h1><p>{60}</p><p>{60}</p></div></form>", 122), ("<form id=f><div><h1>T t</h1><p>{60}</p><p>{60}</p></div></form><footer>{30}</footer>", 122), ("<form id=f><div><h1>T t</h1><p>{60}</p><p>{60}</p></div></form><div>ok</div>", 122),
+        ("<div class=search-results><p>{80}</p></div>", 80), ('<div class="login-layout"><div class=content><p>{60}</p></div></div>', 60), ("<form action=x><table><tr><td>{3}<td>{200}</table></form>", 203), ("<form><p>{5}</p></form><div><p>{90}</p></div>", 90), ("<article><p>{60}</p></article><form><p>{50}</p></form>", 60),
+    ],
+)
+def test_frames_of_whole_pages(page, words):
+    text = htmltext.main_text(re.sub(r"\{(\d+)\}", lambda m: " ".join(f"w{k}" for k in range(int(m[1]))), page), htmltext.grow(htmltext.labelled()))
+    assert len(text.split()) == words
