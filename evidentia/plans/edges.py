@@ -146,8 +146,9 @@ def verdict_cache_fill(spark, sf_dir):
 
 
 @query(r"""WITH t AS (SELECT doc_id, concat('^', trim(regexp_replace(lower(text), '[ \t\n\x0b\f\r]+', ' ', 'g')), '$') AS p FROM documents),
-g AS (SELECT doc_id, [unicode(p[i]), unicode(p[i + 1]), unicode(p[i + 2])] AS c FROM (SELECT doc_id, p, unnest(range(1, length(p) - 1)) AS i FROM t)),
-h AS (SELECT doc_id, list_reduce(list_prepend(2166136261::hugeint, c::hugeint[]), lambda a, x: (xor(a, x) * 16777619) & 4294967295) AS h FROM g),
+c AS (SELECT doc_id, list_transform(string_split(p, ''), lambda x: unicode(x)::bigint) AS c FROM t),
+g AS (SELECT doc_id, c[i] AS x, c[i + 1] AS y, c[i + 2] AS z FROM (SELECT doc_id, c, unnest(range(1, len(c) - 1)) AS i FROM c)),
+h AS (SELECT doc_id, (xor((xor((xor(2166136261::bigint, x) * 16777619) & 4294967295, y) * 16777619) & 4294967295, z) * 16777619) & 4294967295 AS h FROM g),
 b AS (SELECT doc_id, abs((h - CASE WHEN h >= 2147483648 THEN 4294967296 ELSE 0 END) % 16) AS bucket, CASE WHEN h >= 2147483648 THEN -1 ELSE 1 END AS sign FROM h),
 v AS (SELECT doc_id, bucket, sum(sign) AS x FROM b GROUP BY 1, 2)
 SELECT doc_id, cast(bucket AS int) AS bucket, round(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 6) AS x FROM v WHERE x <> 0""")
