@@ -102,6 +102,16 @@ def replaced_partitions(spark, sf_dir):
     return now.groupBy(F.col("part").cast("long").alias("part")).agg(F.sum("n").alias("n"), F.bool_and(F.coalesce("same", F.lit(False))).alias("untouched"))
 
 
+@query("""WITH t AS (SELECT p_name AS name, any_value('kept') AS origin FROM part WHERE p_partkey % 3 = 0 GROUP BY 1), c AS (SELECT DISTINCT trim(p_name) AS name FROM part WHERE p_partkey % 2 = 0 AND trim(p_name) <> '')
+SELECT name, origin FROM t UNION ALL SELECT min(upper(name)), 'seeded' FROM c WHERE lower(name) NOT IN (SELECT lower(trim(name)) FROM t) GROUP BY lower(name)""")
+def seeded_catalog(spark, sf_dir):
+    """Names of parts as a catalog that fills the gaps of a table; seeded twice."""
+    part = fx.table(spark, sf_dir, "part")
+    known = part.where("p_partkey % 3 = 0").select(F.col("p_name").alias("name")).distinct().withColumn("origin", F.lit("kept"))
+    catalog = part.where("p_partkey % 2 = 0").select(F.upper(F.concat(F.lit(" "), "p_name")).alias("name"), F.lit("seeded").alias("origin"))
+    return tables.seeded(tables.seeded(known, catalog, "name"), catalog, "name")
+
+
 # --- overlaps
 
 OVERLAPS = """oc AS (SELECT l_suppkey AS place, l_orderkey * 10 + l_linenumber AS occupant, l_shipdate::timestamp AS s, l_shipdate::timestamp + to_days((CASE WHEN l_orderkey % 97 = 0 THEN 90 ELSE 1 + l_orderkey % 3 END)::int) AS e FROM lineitem)"""

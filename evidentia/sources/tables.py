@@ -52,6 +52,21 @@ def upsert(table: DataFrame, rows: DataFrame, key: str, on_create: dict[str, obj
     return met.select(key, *[v.alias(c) for c, v in out.items()]).select(*table.columns)
 
 
+def seeded(table: DataFrame, catalog: DataFrame, key: str, only_if_empty: bool = False) -> DataFrame:
+    """``table`` with the rows of a catalog whose key it lacks; rows that are there are never overwritten, so seeding again changes nothing.
+
+    Keys are trimmed and compared in lower case; blank ones are no keys, and of a repeated one the smallest row counts. With ``only_if_empty`` a table that has rows
+    takes nothing. Columns that the catalog lacks are null.
+    """
+    name = lambda: F.lower(F.trim(key))
+    new = catalog.where(F.coalesce(name() != "", F.lit(False))).withColumn(key, F.trim(key)).withColumn("_k", name())
+    if only_if_empty:
+        new = new.join(table.select(F.lit(True).alias("_some")).limit(1), how="left").where("_some IS NULL").drop("_some")
+    new = new.join(table.select(name().alias("_k")).distinct(), "_k", "left_anti")
+    row = F.min(F.struct(*catalog.columns)).alias("row")
+    return table.unionByName(new.groupBy("_k").agg(row).select("row.*"), allowMissingColumns=True)
+
+
 def replace_for_key(table: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
     """All rows of the keys that ``fresh`` has are replaced by it."""
     return table.join(fresh.select(key).distinct(), key, "left_anti").unionByName(fresh)

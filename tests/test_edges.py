@@ -11,7 +11,7 @@ import numpy as np
 from evidentia.functions.vectors import trigram_vectors
 from evidentia.operators import seams
 from evidentia.plans.queries import P
-from evidentia.sources import sinks
+from evidentia.sources import sinks, tables
 from evidentia.sources.media import described
 from evidentia.streaming import limits, ordered
 from evidentia.streaming.replay import replayed
@@ -58,6 +58,15 @@ def test_upsert_is_idempotent(spark, tmp_path):
     assert spark.read.parquet(log).count() == 3
 
 
+def test_seeds_fill_gaps_only(spark):
+    t = spark.createDataFrame([("A", 1), (None, 2)], "k string, v int")
+    c = spark.createDataFrame([(" a ", 9), ("b", 7), ("B", 8), ("", 5), (None, 6)], "k string, v int")
+    once = tables.seeded(t, c, "k")
+    assert sorted(map(tuple, once.collect()), key=str) == sorted([("A", 1), (None, 2), ("B", 8)], key=str)
+    assert sorted(map(tuple, tables.seeded(once, c, "k").collect()), key=str) == sorted(map(tuple, once.collect()), key=str)
+    assert tables.seeded(t, c, "k", only_if_empty=True).count() == 2 and tables.seeded(t.limit(0), c, "k", only_if_empty=True).count() == 2
+
+
 def test_media_boxes_are_read_by_range():
     box = lambda kind, body: (8 + len(body)).to_bytes(4, "big") + kind + body
     entry = box(b"mp4a", bytes(16) + (2).to_bytes(2, "big") + bytes(6) + (44100).to_bytes(2, "big") + bytes(2))
