@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from evidentia.llm.common import map_chunks, map_slices
 
 ORDER = 3
+#: Languages up to which the table of their shares is sent to all tasks.
+SENT_LANGS = 100_000
 #: Documents of each language, on average, that the trees are counted on, and of all languages together.
 FIT_DOCS, FIT_TOTAL = 1500, 96_000
 #: Bytes that are scored at once; longer texts go in pieces that overlap by ORDER bytes.
@@ -178,6 +180,7 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, fit_total: int = FIT_TOTAL) -
     langs = sorted(sizes)
     each = max(1.0, min(fit_docs, fit_total / len(langs)))
     shares = docs.sparkSession.createDataFrame([(k, int(min(1.0, each / sizes[k]) * (1 << 20))) for k in langs], "lang string, share long")
+    shares = F.broadcast(shares) if len(langs) <= SENT_LANGS else shares
     sample = known.join(shares, "lang").where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("fit")), F.lit(1 << 20)) < F.col("share")).select("lang", "text")
     rows = count_grams(sample).toArrow()
     if not rows.num_rows:
