@@ -29,8 +29,8 @@ from evidentia.operators.iterate import components, save
 SIMILARITY = 0.95
 #: Rows of a shard on average, cells a point lies in, cells a point searches, queries of a search task.
 SHARD_ROWS, OVERLAP, PROBES, QUERY_ROWS = 4096, 2, 3, 8192
-#: Rows, on average, that the centers are fitted on; most cells a length has; turns of the fit. A cell beyond its share is dealt into several shards.
-SAMPLE_ROWS, MOST_CELLS, TURNS = 16384, 1024, 4
+#: Rows, on average, that the centers are fitted on, and the numbers that these hold at most; most cells a length has; turns of the fit. A cell beyond its share is dealt into several shards.
+SAMPLE_ROWS, SAMPLE_NUMBERS, MOST_CELLS, TURNS = 16384, 1 << 22, 1024, 4
 #: Degree of a node, near and far candidates, and the factor of the pruning.
 DEGREE, NEAR, FAR, ALPHA = 24, 48, 16, 1.2
 #: Width of a beam, nodes that a step expands at least, queries that step together.
@@ -70,7 +70,8 @@ class Cells:
 
 def fitted(points: DataFrame, total: int, shard_rows: int) -> Cells:
     """Centers of a bounded sample: rows of it at first, then means of the rows nearest to each."""
-    share = int(min(1.0, SAMPLE_ROWS / max(1, total)) * (1 << 20))
+    length = points.agg(F.avg("dim").alias("dim")).collect()[0]["dim"] or 1
+    share = int(min(1.0, min(SAMPLE_ROWS, SAMPLE_NUMBERS / length) / max(1, total)) * (1 << 20))
     sample = points.where(F.pmod(F.xxhash64("id", F.lit("cells")), F.lit(1 << 20)) < share).select("dim", "x").toArrow()
     dims, centers = sample["dim"].to_numpy(), {}
     for d in np.unique(dims).tolist():
