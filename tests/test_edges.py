@@ -25,7 +25,7 @@ T = 1_000_000
 def test_stream_out_of_order_equals_batch(spark):
     e = spark.range(240).select((F.col("id") % 5).cast("string").alias("session_id"), F.col("id").alias("message_id"), F.timestamp_seconds(1_000_000 + F.pmod(F.col("id") * 7919, F.lit(100_000))).alias("at"), (F.col("id") % 7 > 0).alias("live"))
     e = e.withColumn("ts", F.col("at").cast("double"))
-    p = replace(P, chat_interval_seconds=1500, messages_per_session=40)
+    p = replace(P, chat_interval_seconds=3000, messages_per_session=20)
     want = {tuple(r) for r in limits.chat_gated(e, p).collect()}
     got = replayed(e, lambda s: ordered.in_event_order(s, "session_id", ("ts", "message_id"), "1 hour", ordered.chat_rule(p)), 3600, 3)
     assert {tuple(r) for r in got.collect()} == want and {o for *_, o in want} == {"OK", "TOO_FAST", "FULL", "NOT_AVAILABLE"}
