@@ -92,6 +92,25 @@ def cited_only_approved(citations: DataFrame, approved_claims: DataFrame) -> tup
     return kept, lost
 
 
+def evidence_projection(approved_claims: DataFrame, assets: DataFrame) -> dict[str, DataFrame]:
+    """What goes on to the evidence graph: claims with their attestor, sources, attestors, explanations, and the citations dropped by subject.
+
+    Attestors and sources are those of the approved claims; of an attestor the claim of the smallest id counts; a source whose asset is unknown stays, with nulls. A claim
+    with a justification explains itself and cites its corroborating claims as far as they are approved in the same subject, in their order.
+    approved_claims: the columns of ``attestors``, claim_id, justification, corroborating_claim_ids. assets: asset_id, content_type, source_class, relationship, checksum.
+    """
+    rows = attestors(approved_claims)
+    sources = rows.select("subject_id", "asset_id").distinct().join(assets.select("asset_id", "content_type", "source_class", "relationship", "checksum"), "asset_id", "left")
+    who = F.struct("attestor_kind", "trust_prior")
+    voices = rows.groupBy("subject_id", "attestor_key").agg(F.min_by(who, "claim_id").alias("a")).select("subject_id", "attestor_key", "a.*")
+    told = rows.where(F.trim("justification") != "").select("subject_id", "claim_id", F.trim("justification").alias("text"), F.coalesce("corroborating_claim_ids", F.array().cast("array<string>")).alias("wanted"))
+    cited = told.select("subject_id", "claim_id", F.posexplode("wanted").alias("place", "cited")).join(rows.select("subject_id", F.col("claim_id").alias("cited")), ["subject_id", "cited"], "left_semi")
+    cites = cited.groupBy("claim_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "cited"))), lambda c: c["cited"]).alias("cites"))
+    explained = told.join(cites, "claim_id", "left").withColumn("cites", F.coalesce("cites", F.array().cast("array<string>")))
+    explained = explained.withColumn("n_dropped", (F.size("wanted") - F.size("cites")).cast("long")).select("subject_id", "claim_id", "text", "cites", "n_dropped")
+    return {"claims": rows, "sources": sources, "attestors": voices, "explanations": explained, "dropped": explained.groupBy("subject_id").agg(F.sum("n_dropped").alias("citations_dropped"))}
+
+
 def eligible_assets(assets: DataFrame) -> DataFrame:
     """Assets that claims may be extracted from: audible or readable, consented, stored."""
     return assets.where(F.col("modality").isin("AUDIO", "VIDEO", "DOCUMENT", "TEXT") & ~F.col("consent").isin("PENDING", "REVOKED") & (F.col("status") == "STORED") & (F.trim("uri") != ""))

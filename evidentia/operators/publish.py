@@ -65,6 +65,31 @@ def situational_chains(facts: DataFrame, edges: DataFrame, most: int = 2) -> Dat
     return rows.join(near, ["subject_id", "fact_id"], "left").select("subject_id", "fact_id", F.coalesce("support", F.array().cast("array<string>")).alias("support"), F.when(F.col("adjacent") != F.col("fact_id"), F.col("adjacent")).alias("adjacent"))
 
 
+def situational_units(anchors: DataFrame, edges: DataFrame, families: dict[str, tuple[str, ...]], most: int = 2, mark: str = "{adjacent}") -> DataFrame:
+    """(subject_id, fact_id, family, template, adjacent, chain): a unit for each anchor and family.
+
+    A subject's anchors stand in a ring, strongest belief first, ties by id. A family's templates take turns along the ring, each family a step further; one
+    that names the adjacent anchor gives way to the family's first that does not where there is no other anchor. The chain holds the anchor, its first ``most``
+    corroborating facts by id, and the adjacent anchor if the template holds ``mark``. anchors: subject_id, fact_id, belief. edges: as for
+    ``neighbours``. families: the templates of each.
+    """
+    ring = Window.partitionBy("subject_id").orderBy(F.desc(F.coalesce("belief", F.lit(0.0))), "fact_id")
+    rows = anchors.withColumns({"place": F.row_number().over(ring) - 1, "next": F.lead("fact_id").over(ring), "first": F.first("fact_id").over(ring)})
+    rows = rows.withColumn("adjacent", F.coalesce("next", F.when(F.col("first") != F.col("fact_id"), F.col("first"))))
+    near = neighbours(edges).where("relation = 'CORROBORATES'").select("subject_id", "fact_id", "other").distinct()
+    near = near.withColumn("r", F.row_number().over(Window.partitionBy("subject_id", "fact_id").orderBy("other"))).where(F.col("r") <= most)
+    near = near.groupBy("subject_id", "fact_id").agg(F.array_sort(F.collect_list("other")).alias("support"))
+    none = F.array().cast("array<string>")
+    said = lambda t: F.struct(F.lit(t).alias("text"), F.lit(mark in t).alias("uses_adjacent"))
+    known = F.array(*[F.struct(F.lit(name).alias("family"), F.lit(k).alias("ordinal"), F.array(*map(said, texts)).alias("templates")) for k, (name, texts) in enumerate(families.items())])
+    units = rows.join(near, ["subject_id", "fact_id"], "left").select("*", F.inline(known))
+    turn = F.get("templates", F.pmod(F.col("place") + F.col("ordinal"), F.size("templates")))
+    plain = F.get(F.filter("templates", lambda t: ~t["uses_adjacent"]), F.lit(0))
+    units = units.withColumn("t", F.when(F.col("adjacent").isNull() & turn["uses_adjacent"], plain).otherwise(turn))
+    chain = F.array_distinct(F.concat(F.array("fact_id"), F.coalesce("support", none), F.when(F.col("t.uses_adjacent"), F.array("adjacent")).otherwise(none)))
+    return units.select("subject_id", "fact_id", "family", F.col("t.text").alias("template"), "adjacent", chain.alias("chain"))
+
+
 def export_filter(claim_type: str | None = None, tier: str | None = None, label: str | None = None) -> Column:
     """Equality or no wish on type and tier, a label in any case. Needs tags struct<claim_type, tier, labels>."""
     out = F.lit(True)
