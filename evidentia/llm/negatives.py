@@ -235,9 +235,3 @@ def hard_negatives(
     named = chosen.join(asked.select(F.col("n").alias("anchor"), F.col("vec_id").alias("anchor_id")), "anchor")
     named = named.select("anchor", "r", "anchor_id", F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score"))
     return ranked.join(named, ["anchor", "r"]).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
-
-
-def share_left(q: np.ndarray, x: np.ndarray, low: np.ndarray, high: np.ndarray, need: int) -> float:
-    """Share of pairs whose exact score is needed in the end, a measure of what the intervals drop."""
-    a, _, _ = survivors(q, x, np.ones((len(q), len(x)), bool), low, high, np.full(low.shape, -np.inf), need)
-    return len(a) / max(1, len(q) * len(x))
