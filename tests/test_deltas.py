@@ -35,7 +35,7 @@ def test_components_by_rounds_and_in_one_task(spark):
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(160)] + [(k, k + 1) for k in range(400, 450)]
     df = spark.createDataFrame(edges, "a long, b long")
     want = plain_roots([e for e in edges if e[0] != e[1]])
-    for few in (1 << 17, 0, 40):
+    for few in (1 << 17, 20):
         assert dict(map(tuple, components(df, few).collect())) == want
     named = df.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"))
     assert dict(map(tuple, components(named).collect())) == plain_roots([(str(a), str(b)) for a, b in edges if a != b])
@@ -58,7 +58,7 @@ def test_greedy_choice(spark):
     for n in range(400):
         kept[n] = n not in blocked and not any(kept[a] for a, b in pairs if b == n)
     nodes = spark.createDataFrame([(n, n in blocked) for n in range(400)], "n long, blocked boolean")
-    for most in (1 << 18, 20, 0):
+    for most in (1 << 18, 20):
         got = greedy.first_independent(nodes, spark.createDataFrame(list(pairs), "earlier long, later long"), most)
         assert dict(map(tuple, got.collect())) == kept
 
