@@ -337,3 +337,21 @@ def test_chat_gates(spark):
 def test_status_transitions(spark):
     df = spark.createDataFrame([("DRAFT", "SUBMIT"), ("DRAFT", "APPROVE")], "s string, a string")
     assert [r[0] for r in df.select(lifecycle.next_status("s", "a")).collect()] == ["SUBMITTED", None]
+
+
+# --- pairs at size
+
+
+def test_the_mean_of_votes_does_not_depend_on_where_they_lay(spark):
+    rows = [("a", "b", False, i, "CORROBORATES", c, f"r{i}", None, None) for i, c in enumerate((0.7, 0.8, 0.9, 0.6, 0.55))]
+    kind = "a string, b string, with_context boolean, sample_index int, relation string, confidence double, rationale string, temporal_note string, explanation_relevant boolean"
+    for way in (rows, rows[::-1], rows[2:] + rows[:2]):
+        assert judging.aggregate_votes(spark.createDataFrame(way, kind).coalesce(1), P).first()["confidence"] == (0.7 + 0.8 + 0.9 + 0.6 + 0.55) / 5
+
+
+def test_pairs_travel_without_texts_and_only_known_pairs_with_vectors(spark):
+    c, out = graded(spark, [("a", "SKILL", "Same text", None, "x", False, None), ("b", "SKILL", "same  text", None, "x", False, None), ("d", "SKILL", "same text", None, None, False, None)], [("a", "b", ["HUMAN"], 0.0), ("a", "d", ["HUMAN"], 0.0)])
+    assert {r["b"]: r["outcome"] for r in out.collect()} == {"b": "REPEATS_2", "d": "QUEUED"}
+    assert "text_a" not in out._jdf.queryExecution().optimizedPlan().toString()
+    v = spark.createDataFrame([("s", "a", [1.0, 0.0]), ("s", "b", [0.6, 0.8]), ("s", "d", None)], "subject_id string, claim_id string, embedding array<double>")
+    assert [(r["b"], r["sim"]) for r in matching.pair_similarities(out, v).collect()] == [("b", 0.6)]
