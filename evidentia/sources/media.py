@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 INNER = (b"moov", b"trak", b"mdia", b"minf", b"stbl")
 SOUNDS = (b"mp4a", b"alac", b"Opus", b"sowt")
 #: Files of a partition, and bytes that the entry of a description needs at most.
-FILES, ENTRY = 64, 52
+FILES, ENTRY = 64, 68
 
 
 @dataclass
@@ -57,7 +57,10 @@ def described(file, length: int) -> tuple[int | None, int | None, int]:
                 raw = file.read(min(ENTRY, size - head))
                 read += len(raw)
                 if raw[12:16] in SOUNDS:
-                    return int.from_bytes(raw[40:42], "big"), int.from_bytes(raw[32:34], "big"), read
+                    rate = int.from_bytes(raw[40:42], "big")
+                    if int.from_bytes(raw[8:12], "big") >= 52 and raw[48:52] == b"srat":  # a rate that 16 bits can't hold has a box of its own, of 32
+                        rate = int.from_bytes(raw[56:60], "big")
+                    return rate, int.from_bytes(raw[32:34], "big"), read
             at += size
     return None, None, read
 

@@ -122,3 +122,13 @@ def test_entry_without_the_training_data_package(tmp_path):
     for _ in range(2):
         assert subprocess.run([sys.executable, "-c", said], cwd=copy, env={"PYTHONPATH": str(copy), "PATH": "/usr/bin:/bin"}, timeout=100, check=False).returncode == 0
         (copy / "corpus_pipeline.py").unlink(missing_ok=True)
+
+
+def test_media_of_suppliers_whose_rate_is_over_16_bits(spark, tmp_path):
+    from evidentia.plans import edges
+
+    keys = [57_535, 57_536, 57_537, 60_001, 60_009]
+    spark.createDataFrame([(k,) for k in keys], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    known = [k for k in keys if k % 11 and (k % 5 or k % 7 == 0)]
+    assert {(r[0], r[1]) for r in edges.guarded_documents(spark, str(tmp_path)).collect()} == {(k, 6 if k % 7 == 0 else 65544 + 92) for k in known}
+    assert {tuple(r) for r in edges.ranged_sound_probe(spark, str(tmp_path)).collect()} == {(k, *((8000 + k, k % 2 + 1) if k % 7 else (None, None)), True) for k in known}
