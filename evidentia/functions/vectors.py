@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,6 +14,8 @@ from evidentia.functions.text import col
 
 #: 32-bit FNV-1a: the offset that a hash starts with, and its prime.
 OFFSET, PRIME = np.uint32(2166136261), np.uint32(16777619)
+#: Characters whose trigrams are hashed at once.
+CHARS = 1 << 19
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
@@ -41,12 +44,26 @@ def trigram_vectors(texts: list[str], dims: int) -> np.ndarray:
     return np.divide(out, norm, out=out, where=norm > 0)
 
 
+def trigram_rows(texts: Iterable[str], dims: int) -> Iterator[np.ndarray]:
+    """The rows of ``trigram_vectors``, some texts at a time: about 60 bytes a character are held, of at most ``CHARS`` characters or of one text."""
+    few: list[str] = []
+    size = 0
+    for t in texts:
+        if few and size + len(t) > CHARS:
+            yield from trigram_vectors(few, dims)
+            few, size = [], 0
+        few.append(t)
+        size += len(t)
+    if few:
+        yield from trigram_vectors(few, dims)
+
+
 def pseudo_embedding(text: Column | str, dims: int = 64) -> Column:
     """Signed hashing of character trigrams of the lower-case text, white space collapsed, between marks; unit length. Null stays null."""
 
     @F.pandas_udf("array<double>")
     def run(values: pd.Series) -> pd.Series:
-        rows = iter(trigram_vectors(known, dims) if (known := values.dropna().tolist()) else ())
+        rows = trigram_rows(values.dropna(), dims)
         return pd.Series([next(rows) if there else None for there in values.notna()], dtype=object)
 
     return run(col(text))

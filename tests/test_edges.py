@@ -132,3 +132,22 @@ def test_media_of_suppliers_whose_rate_is_over_16_bits(spark, tmp_path):
     known = [k for k in keys if k % 11 and (k % 5 or k % 7 == 0)]
     assert {(r[0], r[1]) for r in edges.guarded_documents(spark, str(tmp_path)).collect()} == {(k, 6 if k % 7 == 0 else 65544 + 92) for k in known}
     assert {tuple(r) for r in edges.ranged_sound_probe(spark, str(tmp_path)).collect()} == {(k, *((8000 + k, k % 2 + 1) if k % 7 else (None, None)), True) for k in known}
+
+
+def test_trigrams_of_many_texts_are_hashed_some_at_a_time(monkeypatch):
+    import tracemalloc
+
+    import pandas as pd
+    from evidentia.functions import vectors
+
+    texts = [f"text {k} " * 4000 for k in range(200)]  # 7 million characters or so
+    held = []
+    monkeypatch.setattr(vectors.F, "pandas_udf", lambda _: lambda f: held.append(f) or (lambda c: c))
+    monkeypatch.setattr(vectors, "col", lambda c: c)
+    vectors.pseudo_embedding("t", 16)
+    tracemalloc.start()
+    got = held[0](pd.Series([None, *texts]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[0] is None and np.array_equal(np.stack(got[1:]), trigram_vectors(texts, 16))
+    assert peak < 60e6
