@@ -1,7 +1,8 @@
 """Sequential rules on streams: rows of a key wait until the watermark has passed them, then go through the rule in order of event time.
 
 Arrival order does not matter as long as no row is later than the watermark allows, so a stream decides what the batch rule decides. A key holds its
-waiting rows and the state of its rule; both are dropped by timers of event time, so idle keys cost nothing.
+waiting rows and the state of its rule; both are dropped by timers of event time, so idle keys cost nothing. A key has one timer a micro-batch for its
+waiting rows, not one a row: every timer that fires is a call to Python that reads them all.
 """
 
 from __future__ import annotations
@@ -45,29 +46,35 @@ class EventOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.rows)
+        # an entry holds the columns of all rows that a micro-batch brought: every entry is a message to the JVM and back
+        self.waiting = handle.getListState("waiting", T.StructType([T.StructField(f.name, T.ArrayType(f.dataType)) for f in self.rows]))
         self.state = handle.getValueState("state", self.kind)
 
+    def _entry(self, rows: list[tuple]) -> Row:
+        return Row(*([*column] for column in zip(*rows, strict=True)))
+
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
         at = self.rows.names.index("ts")
-        new = [Row(*(getattr(r, f.name) for f in self.rows)) for r in rows if key[0] is not None]
+        new = [tuple(getattr(r, f.name) for f in self.rows) for r in rows if key[0] is not None]
         if not (new := [r for r in new if r[at] is not None]):  # rows without a key or a time only move the watermark
             return iter(())
-        self.waiting.appendList(new)
-        for ms in {int(r[at] * 1000) + 1 for r in new}:
-            self.handle.registerTimer(ms)
+        self.waiting.appendValue(self._entry(new))
+        self.handle.registerTimer(int(min(r[at] for r in new) * 1000) + 1)
         return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
-        """The first timer that fires takes all rows that the watermark has passed; later ones find none left."""
+        """The first timer that fires takes all rows that the watermark has passed; later ones find none left. One timer waits for the first of the rows that are kept."""
         now = timerValues.getCurrentWatermarkInMs()
-        names = self.rows.names
+        make = Row(*self.rows.names)
         kept, ready = [], []
-        for row in self.waiting.get() if self.waiting.exists() else ():
-            named = dict(zip(names, row, strict=True))
-            (ready if int(named["ts"] * 1000) < now else kept).append(Row(**named))
+        for entry in self.waiting.get() if self.waiting.exists() else ():
+            for values in zip(*entry, strict=True):
+                row = make(*values)
+                (ready if int(row["ts"] * 1000) < now else kept).append(row)
         if ready:
-            self.waiting.put([Row(*(r[n] for n in names)) for r in kept]) if kept else self.waiting.clear()
+            self.waiting.put([self._entry(kept)]) if kept else self.waiting.clear()
+            if kept:
+                self.handle.registerTimer(int(min(r["ts"] for r in kept) * 1000) + 1)
         before = state = tuple(self.state.get()) if self.state.exists() else None
         out: list[tuple] = []
         for row in sorted(ready, key=lambda r: tuple(r[c] for c in self.order)):

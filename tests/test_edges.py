@@ -6,6 +6,7 @@ import subprocess
 import sys
 from dataclasses import replace
 from pathlib import Path
+from types import SimpleNamespace
 
 import numpy as np
 from evidentia.functions.vectors import trigram_vectors
@@ -15,7 +16,9 @@ from evidentia.sources import sinks, tables
 from evidentia.sources.media import described
 from evidentia.streaming import limits, ordered
 from evidentia.streaming.replay import replayed
+from pyspark.sql import Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 ROOT = Path(__file__).resolve().parents[1]
 #: A time after 1970: to a stream, times before its first watermark are late.
@@ -41,6 +44,57 @@ def test_sessions_end_by_event_time(spark):
     assert {tuple(r) for r in got.collect()} == want
 
 
+def test_waiting_rows_have_one_timer_a_batch():
+    class Held:
+        def __init__(self):
+            self.values, self.timers = [], []
+
+        def exists(self):
+            return bool(self.values)
+
+        def get(self):
+            return iter(list(self.values)) if self.listed else self.values[0]
+
+        def put(self, values):
+            self.values = list(values)
+
+        def appendValue(self, value):
+            self.values.append(value)
+
+        def appendList(self, values):
+            self.values += values
+
+        def update(self, value):
+            self.values = [value]
+
+        def clear(self):
+            self.values = []
+
+        def _state(self, listed):
+            made = Held()
+            made.listed = listed
+            return made
+
+        getListState = lambda self, *_: self._state(True)
+        getValueState = lambda self, *_: self._state(False)
+
+        def registerTimer(self, ms):
+            self.timers.append(ms)
+
+    kept, handle = T_.StructType.fromDDL("event_id long, ts double, kind string"), Held()
+    keyed = ordered.EventOrder(ordered.outstanding_rule(1), kept, ("ts", "event_id"))
+    keyed.init(handle)
+    row, got = Row("event_id", "ts", "kind"), []
+    for first in (0, 1):
+        assert not list(keyed.handleInputRows(("u",), iter([row(k, float(T + k), "ISSUE" if k % 3 else "REDEEM") for k in range(first, 1000, 2)]), None))
+    assert handle.timers == [T * 1000 + 1, T * 1000 + 1001]
+    for now in (T * 1000 + 500_000, T * 1000 + 2_000_000):
+        passed = SimpleNamespace(getCurrentWatermarkInMs=lambda now=now: now)
+        got += [tuple(r) for r in keyed.handleExpiredTimer(("u",), passed, None)]
+    assert handle.timers[2:] == [T * 1000 + 500_001]
+    assert got == [("u", k, k % 3 < 2) for k in range(1000)]
+
+
 def test_upsert_is_idempotent(spark, tmp_path):
     table = str(tmp_path / "t")
     batch = lambda rows: spark.createDataFrame(rows, "k long, v string, part long, version long")
