@@ -355,3 +355,25 @@ def test_pairs_travel_without_texts_and_only_known_pairs_with_vectors(spark):
     assert "text_a" not in out._jdf.queryExecution().optimizedPlan().toString()
     v = spark.createDataFrame([("s", "a", [1.0, 0.0]), ("s", "b", [0.6, 0.8]), ("s", "d", None)], "subject_id string, claim_id string, embedding array<double>")
     assert [(r["b"], r["sim"]) for r in matching.pair_similarities(out, v).collect()] == [("b", 0.6)]
+
+
+def test_structural_pairs_are_made_where_they_are_used(spark):
+    rows = [(f"s{k % 2}", f"c{k:03}", "EPISODE" if k % 3 else "VALUE", str(2000 + k * 7 % 20) if k % 5 else None, f"t{k % 4}", f"x{k % 2}", None) for k in range(60)]
+    c = spark.createDataFrame(rows, "subject_id string, claim_id string, claim_type string, claimed_date string, text string, asset_id string, exemplar_claim_id string")
+    v = spark.createDataFrame([(r[0], r[1], [float(i % 3), 1.0, float(i % 5)]) for i, r in enumerate(rows) if i % 4], "subject_id string, claim_id string, embedding array<float>")
+    human = spark.createDataFrame([(r[0], r[1], s[1]) for i, r in enumerate(rows) for s in (rows[i - 6], rows[i - 10]) if i > 10], "subject_id string, a string, b string")
+    p = replace(P, sim_floor=9.0, sim_auto_repeat=11.0)
+    whole = matching.blocking_union(c, {"HUMAN": human, "STRUCTURAL": matching.structural_pairs(c, p)})
+    found = matching.marked_structural(matching.blocking_union(c, {"HUMAN": human}), c, p)
+    met = found.where("structural")
+    rest = matching.structural_pairs(c, p, met, part_rows=4)
+    want = {(r["a"], r["b"]): tuple(r["sources"]) for r in whole.collect()}
+    got = {(r["a"], r["b"]): tuple(r["sources"]) for r in found.collect()} | {(r["a"], r["b"]): ("STRUCTURAL",) for r in rest.collect()}
+    assert got == want and len(want) == found.count() + rest.count() and {("HUMAN",), ("STRUCTURAL",), ("HUMAN", "STRUCTURAL")} == set(want.values())
+    columns = ["a", "b", "sim", "outcome", "eff_a", "eff_b"]
+    graded = matching.rungs(whole, c, matching.pair_similarities(whole, v), p).where("sources = array('STRUCTURAL')").select(columns)
+    alone = matching.structural_rungs(c, v, p, met).select(columns)
+    assert sorted(map(tuple, alone.collect())) == sorted(map(tuple, graded.collect())) and len({r["outcome"] for r in alone.collect()}) > 2
+    # nothing is shuffled once the pairs are made
+    plan = matching.structural_rungs(c, v, p, met)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("Join")]
