@@ -13,6 +13,7 @@ from evidentia.config import Params
 from evidentia.functions.hashing import sha_prefix
 from evidentia.functions.text import jaccard, mentions_keyword, word_shingles
 from evidentia.operators.greedy import first_independent, in_order
+from evidentia.operators.iterate import save
 
 # Hedge levels by rising caution; row: (voice level, may be voiced).
 HEDGES = ("ASSERTIVE", "MEASURED", "HEDGED", "RESERVED", "GAP")
@@ -133,9 +134,12 @@ def similar_sets(sets: DataFrame, least: float, group: str = "subject_id", key:
     """(group, i, j, similarity) of pairs i < j of non-empty sets in a group with at least this Jaccard similarity.
 
     Two such sets share one of their rarest items: of a set of n the n - ceil(least n) + 1 rarest. Only those are joined, so that an item
-    that most sets have makes no pairs.
+    that most sets have makes no pairs. Equal sets are joined as one, under their smallest key, and only the result is told for each of them.
     """
-    rows = sets.where(F.size(items) > 0).select(group, key, items)
+    rows = sets.where(F.size(items) > 0).select(group, key, items, F.sha2(F.to_json(F.array_sort(items)), 256).alias("class"))
+    first = rows.groupBy(group, "class").agg(F.min(key).alias("rep"))
+    of = save(rows.select(group, key, "class").join(first, [group, "class"]).select(group, key, "rep"), "equal-sets")
+    rows = rows.join(of.where(F.col(key) == F.col("rep")).select(group, key), [group, key], "left_semi").select(group, key, items)
     often = rows.select(group, F.explode(items).alias("x")).groupBy(group, "x").agg(F.count("*").alias("df"))
     ranked = rows.select(group, key, F.explode(items).alias("x")).join(often, [group, "x"]).groupBy(group, key).agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("r"))
     n = F.size("r")
@@ -149,7 +153,11 @@ def similar_sets(sets: DataFrame, least: float, group: str = "subject_id", key:
     pairs = a.join(b, [group, "x"]).where((F.col("i") < F.col("j")) & size & enough).select(group, "i", "j").distinct()
     side = lambda c: rows.select(group, F.col(key).alias(c), F.col(items).alias(f"s{c}"))
     near = pairs.join(side("i"), [group, "i"]).join(side("j"), [group, "j"]).select(group, "i", "j", jaccard("si", "sj").alias("similarity"))
-    return near.where(F.col("similarity") >= least)
+    near = near.where(F.col("similarity") >= least)
+    member = lambda c, rep: of.select(group, F.col(key).alias(c), F.col("rep").alias(rep))
+    apart = near.join(member("x", "i"), [group, "i"]).join(member("y", "j"), [group, "j"]).select(group, F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "similarity")
+    equal = member("i", "rep").join(member("j", "rep"), [group, "rep"]).where("i < j").select(group, "i", "j", F.lit(1.0).alias("similarity"))
+    return apart.unionByName(equal)
 
 
 def keep_first_of_near(questions: DataFrame, p: Params, text: str = "question") -> DataFrame:

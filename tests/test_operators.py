@@ -377,3 +377,14 @@ def test_structural_pairs_are_made_where_they_are_used(spark):
     # nothing is shuffled once the pairs are made
     plan = matching.structural_rungs(c, v, p, met)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan[: plan.index("Join")]
+
+
+def test_equal_sets_are_joined_as_one(spark, monkeypatch):
+    words = (["a", "b", "c"], ["c", "b", "a"], ["a", "b", "d"], ["x"], [])
+    df = spark.createDataFrame([(g, k, words[k % 5]) for g in ("s", "t") for k in range(40)], "subject_id string, place long, s array<string>")
+    want = {(g, i, j) for g in ("s", "t") for i in range(40) for j in range(i + 1, 40) if (x := set(words[i % 5])) and (y := set(words[j % 5])) and len(x & y) >= 0.5 * len(x | y)}
+    kept = []
+    monkeypatch.setattr(training, "save", lambda rows, name: kept.append(iterate.save(rows, name)) or kept[-1])
+    got = [(r["subject_id"], r["i"], r["j"]) for r in training.similar_sets(df, 0.5).collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert kept[0].select("subject_id", "rep").distinct().count() == 6 and kept[0].count() == 64
