@@ -388,3 +388,15 @@ def test_equal_sets_are_joined_as_one(spark, monkeypatch):
     got = [(r["subject_id"], r["i"], r["j"]) for r in training.similar_sets(df, 0.5).collect()]
     assert set(got) == want and len(got) == len(want)
     assert kept[0].select("subject_id", "rep").distinct().count() == 6 and kept[0].count() == 64
+
+
+def test_pairs_of_a_common_entity_are_made_once_and_not_shuffled(spark):
+    rows = [("s", f"c{i:02d}", e) for i in range(12) for e in ("x", "y", "z", "w") if (i * 7 + ord(e)) % 3]
+    pairs = matching.co_mention_pairs(spark.createDataFrame(rows, "subject_id string, claim_id string, entity_id string"), P, part_rows=3)
+    above = pairs._jdf.queryExecution().executedPlan().toString().split("Join")[0]
+    assert "Exchange" not in above and "Aggregate" not in above
+    share = {e: sum(x == e for *_, x in rows) / 12 for e in "xyzw"}
+    own = {c: {e for _, d, e in rows if d == c and share[e] <= 1 - P.idf_floor} for _, c, _ in rows}
+    want = {("s", a, b, min(share[e] for e in own[a] & own[b])) for a in own for b in own if a < b and own[a] & own[b]}
+    got = [tuple(r) for r in pairs.collect()]
+    assert want == set(got) and len(got) == len(want)
