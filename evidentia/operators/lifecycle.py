@@ -126,7 +126,9 @@ def declared_claims(profiles: DataFrame) -> DataFrame:
     parts = [F.coalesce(x, none) for x in (*map(said, DECLARED), moving, shared)]
     rows = profiles.select("subject_id", F.explode(F.concat(*parts)).alias("e")).select("subject_id", "e.*")
     key = F.concat_ws("|", "subject_id", "declared_type", F.trim("text"))
-    return rows.withColumn("claim_id", F.concat(F.lit("decl-"), F.substring(F.sha2(key, 256), 1, 24))).dropDuplicates(["claim_id"]).select("subject_id", "claim_id", "claim_type", "declared_type", "text", "sensitive")
+    rows = rows.withColumn("claim_id", F.concat(F.lit("decl-"), F.substring(F.sha2(key, 256), 1, 24)))
+    # dealt by id first, or each task would sort all that its part of the profiles declares to drop duplicates there
+    return rows.repartition("claim_id").dropDuplicates(["claim_id"]).select("subject_id", "claim_id", "claim_type", "declared_type", "text", "sensitive")
 
 
 def materialised(profiles: DataFrame, existing: DataFrame, reviews: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -400,3 +400,13 @@ def test_pairs_of_a_common_entity_are_made_once_and_not_shuffled(spark):
     want = {("s", a, b, min(share[e] for e in own[a] & own[b])) for a in own for b in own if a < b and own[a] & own[b]}
     got = [tuple(r) for r in pairs.collect()]
     assert want == set(got) and len(got) == len(want)
+
+
+def test_declared_claims_are_sorted_behind_the_exchange(spark):
+    none = F.array().cast("array<string>")
+    shared = F.array().cast("array<struct<kind:string,value:string,shareable:boolean>>").alias("contact")
+    p = spark.range(3).select(F.col("id").alias("subject_id"), F.array(F.lit("lead"), F.lit("lead ")).alias("target_roles"), F.lit("senior").alias("target_seniority"), *[none.alias(n) for n in ("aspirations", "stated_preferences", "do_not_discuss")], F.lit(True).alias("open_to_relocation"), shared)
+    out = lifecycle.declared_claims(p)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Sort" not in plan.split("Exchange")[1]
+    assert out.count() == out.select("claim_id").distinct().count() == 3 * (3 if out.where("declared_type = 'TARGET_ROLE'").count() == 3 else 4)
