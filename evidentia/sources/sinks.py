@@ -16,9 +16,9 @@ BATCH = "_batch"
 
 
 def latest_of_keys(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """The last row of each key by ``order``; of several the one of the greatest row."""
+    """The last row of each key by ``order``; of several the one of the greatest row. Rows are dealt by key first, or each task would sort its part of the input as well."""
     last = Window.partitionBy(key).orderBy(F.desc(order), F.desc(F.to_json(F.struct(*rows.columns))))
-    return rows.withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_r")
+    return rows.repartition(key).withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_r")
 
 
 def stored(spark: SparkSession, path: str, like: DataFrame | None = None) -> DataFrame | None:
@@ -48,7 +48,7 @@ def upsert_partitions(rows: DataFrame, path: str, key: str, partition: str, orde
     ranked = near.withColumn("_new", F.lit(0)).unionByName(fresh.withColumn("_new", F.lit(1)))
     same = F.to_json(F.struct(*[c for c in fresh.columns if c != BATCH]))
     last = Window.partitionBy(key).orderBy(F.desc(order), F.desc(same), "_new")
-    merged = save(ranked.withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_r", "_new"), "upsert-merged")
+    merged = save(ranked.repartition(key).withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_r", "_new"), "upsert-merged")
     overwrite_partitions(merged, path, partition)
 
 
