@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import AnalyzeArgument, AnalyzeResult, udtf
 
+from evidentia.operators.iterate import save
+
 #: Claims of one extraction call, rows of one judge or embedding call.
 CLAIMS_A_CALL, ROWS_A_CALL = 20, 8
 #: A client takes a batch of rows as dictionaries and gives one value, or dictionary of values, for each.
@@ -40,24 +42,33 @@ def answered(rows: DataFrame, answer: str, client: Callable[[], Client], batch:
     return rows.mapInArrow(run, schema)
 
 
-def cached(rows: DataFrame, key: list[str], path: str, answer: str, client: Callable[[], Client], batch: int = ROWS_A_CALL, calls: Accumulator | None = None) -> DataFrame:
+def cached(
+    rows: DataFrame, key: list[str], path: str, answer: str, client: Callable[[], Client], batch: int = ROWS_A_CALL, calls: Accumulator | None = None, fetched: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """``rows`` with their answers from the cache at ``path`` (key and answer); keys that it lacks are asked first, each once, and appended.
 
+    ``fetched`` adds to the rows that are asked what the client looks at, so that ``rows`` need not carry it: texts travel only where a model reads them.
     The append is one commit, so a failed fill leaves the cache as it was. Where two fills met, a key may stand there twice; the smaller answer counts.
     Rows with a null in the key are not asked and get nulls.
     """
     spark, names = rows.sparkSession, T.StructType.fromDDL(answer).names
 
-    def known() -> DataFrame:
+    def known() -> DataFrame | None:
         try:
             found = spark.read.parquet(path)
         except AnalysisException:
-            found = spark.createDataFrame([], T.StructType([*rows.select(*key).schema.fields, *T.StructType.fromDDL(answer).fields]))
+            return None
         return found.groupBy(*key).agg(F.min(F.struct(*names)).alias("_a")).select(*key, "_a.*")
 
     asked = [c for c in rows.columns if c not in names]
-    missing = rows.select(*asked).dropna(subset=key).join(known().select(*key), key, "left_anti").dropDuplicates(key)
-    answered(missing, answer, client, batch, calls).select(*key, *names).write.mode("append").parquet(path)
+    wanted, had = rows.select(*asked).dropna(subset=key), known()
+    if had is not None:
+        wanted = wanted.join(had.select(*key), key, "left_anti")
+    # dealt first, or each task would sort its part of the input to drop duplicates there
+    missing = save(wanted.repartition(*key).dropDuplicates(key), "asked")
+    if had is None or not missing.isEmpty():
+        missing = fetched(missing) if fetched else missing
+        answered(missing, answer, client, batch, calls).select(*key, *names).write.mode("append").parquet(path)
     return rows.select(*asked).join(known(), key, "left")
 
 

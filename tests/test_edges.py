@@ -205,3 +205,25 @@ def test_trigrams_of_many_texts_are_hashed_some_at_a_time(monkeypatch):
     tracemalloc.stop()
     assert got[0] is None and np.array_equal(np.stack(got[1:]), trigram_vectors(texts, 16))
     assert peak < 60e6
+
+
+def test_a_cache_fetches_texts_of_asked_rows_only(spark, tmp_path):
+    texts = spark.createDataFrame([(k, f"t{k % 3}") for k in range(9)], "k long, text string")
+    rows, asked = texts.select("k", F.sha2("text", 256).alias("key")), []
+
+    def fetched(missing):
+        asked.append(missing.count())
+        return missing.join(texts, "k")
+
+    client = lambda: lambda found: [{"n": int(r["text"][1])} for r in found]
+    for n in (6, 9, 9):
+        got = seams.cached(rows.where(F.col("k") < n), ["key"], str(tmp_path / "cache"), "n int", client, fetched=fetched)
+        assert sorted(got.columns) == ["k", "key", "n"] and {(r["k"], r["n"]) for r in got.collect()} == {(k, k % 3) for k in range(n)}
+    assert asked == [3]
+
+
+def test_last_rows_of_keys_are_sorted_behind_the_exchange(spark):
+    rows = spark.range(50).select((F.col("id") % 7).alias("k"), F.col("id").alias("v"))
+    plan = sinks.latest_of_keys(rows, "k", "v")._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan.split("Exchange")[1] and plan.count("Exchange") == 1
+    assert {tuple(r) for r in sinks.latest_of_keys(rows, "k", "v").collect()} == {(k, 49 - (49 - k) % 7) for k in range(7)}
