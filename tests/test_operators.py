@@ -410,3 +410,15 @@ def test_declared_claims_are_sorted_behind_the_exchange(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Sort" not in plan.split("Exchange")[1]
     assert out.count() == out.select("claim_id").distinct().count() == 3 * (3 if out.where("declared_type = 'TARGET_ROLE'").count() == 3 else 4)
+
+
+def test_edges_of_lone_claims_are_not_grouped(spark):
+    names = [f"{n}_{end}" for n in assembly.FACT_ENDS for end in "ab"]
+    kinds = ", ".join(f"{n} {'long' if n.startswith('member') else 'string'}" for n in names)
+    row = lambda a, b, fa, fb, na, nb, confidence: ("s", a, b, "CONTRADICTS", confidence, "r", "same span", True, "NEUTRAL", 0.4, True, None, fa, fb, *["2020"] * 4, "YEAR", "YEAR", "EVENT", "EVENT", na, nb)
+    rows = [row("a", "b", "fact:a", "fact:b", 1, 1, 0.9), row("a", "c", "fact:a", "fact:c", 1, 2, 0.7), row("a", "d", "fact:a", "fact:c", 1, 2, 0.8)]
+    judged = spark.createDataFrame(rows, f"subject_id string, a string, b string, relation string, confidence double, rationale string, temporal_note string, ctx_judged boolean, ctx_relation string, ctx_confidence double, ctx_explanation_relevant boolean, shared_entities array<string>, {kinds}")
+    single, rest = assembly.lone(judged)
+    told = {tuple(map(str, r)) for r in assembly.lifted_edges(judged)[0].collect()}
+    assert told == {tuple(map(str, r)) for r in assembly.lifted_edges(rest, single)[0].collect()} and len(told) == 2
+    assert {(r["to_fact"], r["confidence"], *r["contributing_pairs"]) for r in assembly.lifted_edges(judged)[0].collect()} == {("fact:b", 0.9, "a↔b"), ("fact:c", 0.8, "a↔c", "a↔d")}
