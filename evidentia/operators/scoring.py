@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 from evidentia.config import Params
 from evidentia.functions.dates import age_factor
 from evidentia.functions.maths import band, claim_prior, clip, display, logit, rel, saturation, sigmoid, tier
-from evidentia.operators.iterate import save, saved
+from evidentia.operators.iterate import freed, save, saved
 
 FACT = ("subject_id", "fact_id")
-STATE = (*FACT, "explained")
+STATE = ("subject_id", "node", "explained")
+#: Both passes, and whether explanations count.
+PASSES = {"bare": False, "full": True}
 
 
 def with_priors(claims: DataFrame, attestors: DataFrame, p: Params) -> DataFrame:
@@ -64,46 +66,65 @@ def _members(primed: DataFrame, facts: DataFrame, p: Params) -> DataFrame:
     return f.join(told, list(FACT))
 
 
-def _active_edges(edges: DataFrame, facts: DataFrame, p: Params) -> DataFrame:
-    """Both directions of every edge between known facts, in each pass in which it is active."""
-    known = facts.select(*FACT)
-    e = edges
-    for end in ("from_fact", "to_fact"):
-        e = e.join(known.withColumnRenamed("fact_id", end), ["subject_id", end], "left_semi")
-    e = e.withColumn("explained_edge", F.col("explained")).drop("explained").withColumn("explained", F.explode(F.array(F.lit(False), F.lit(True))))
-    against = F.col("relation") == "CONTRADICTS"
-    ctx = against & F.col("explained") & F.coalesce("with_context", F.lit(False))
-    e = e.where(F.col("relation").isin("CORROBORATES", "CONTRADICTS") & (~ctx | F.col("ctx_relation").eqNullSafe("CONTRADICTS")))
-    e = e.withColumns({"conf": F.when(ctx, F.least("confidence", F.coalesce("ctx_confidence", "confidence"))).otherwise(F.col("confidence")), "mitigation": F.when(ctx & F.coalesce("explained_edge", F.lit(False)), 1 - p.explanation_mitigation).otherwise(1.0)})
-    way = lambda a, b: e.select("subject_id", F.col(a).alias("fact_id"), F.col(b).alias("other"), "relation", "explained", "conf", "mitigation")
-    return way("from_fact", "to_fact").unionByName(way("to_fact", "from_fact"))
+def _active_edges(edges: DataFrame, ends: DataFrame, p: Params) -> DataFrame:
+    """Both directions of every edge between known facts: (subject_id, node, other, voice of the other, up) with confidence and factor, see ``one_turn``, of each of PASSES.
+
+    Facts are known by numbers, an edge has both passes in one row, and each end is looked up once: the edges grow with the square of a subject's claims. An edge that is
+    not active in a pass has no confidence there. ends: FACT, node, voice, newest, half_life.
+    """
+    e = edges.where(F.col("relation").isin("CORROBORATES", "CONTRADICTS"))
+    up, off = F.col("relation") == "CORROBORATES", F.lit(False)
+    ctx = ~up & F.coalesce("with_context", off)
+    full = F.when(ctx, F.when(F.col("ctx_relation") == "CONTRADICTS", F.least("confidence", F.coalesce("ctx_confidence", "confidence")))).otherwise(F.col("confidence"))
+    mitigation = F.when(ctx & F.coalesce("explained", off), 1 - p.explanation_mitigation).otherwise(1.0)
+    e = e.select("subject_id", "from_fact", "to_fact", up.alias("up"), F.col("confidence").alias("conf_bare"), full.alias("conf_full"), mitigation.alias("mitigation"))
+    told = ("node", "voice", "newest", "half_life")
+    for end in ("from", "to"):
+        e = e.join(ends.select("subject_id", F.col("fact_id").alias(f"{end}_fact"), *[F.col(c).alias(f"{end}_{c}") for c in told]), ["subject_id", f"{end}_fact"]).drop(f"{end}_fact")
+
+    def way(to: str, by: str):
+        recency = F.when(F.col(f"{to}_half_life").isNotNull(), age_factor(f"{by}_newest", F.col(f"{to}_half_life"), p.as_of)).otherwise(1.0)
+        factors = [F.when(F.col("up"), recency).otherwise(x).alias(n) for x, n in ((F.lit(1.0), "factor_bare"), (F.col("mitigation"), "factor_full"))]
+        return F.struct(F.col(f"{to}_node").alias("node"), F.col(f"{by}_node").alias("other"), F.col(f"{by}_voice").alias("voice"), *factors)
+
+    e = e.withColumn("way", F.explode(F.array(way("from", "to"), way("to", "from"))))
+    return e.select("subject_id", "way.node", "way.other", "way.voice", "up", "conf_bare", "conf_full", "way.factor_bare", "way.factor_full")
 
 
 def prepared(primed: DataFrame, facts: DataFrame, edges: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
-    """Facts with what their members say and their base beliefs, and the active edges with what they need of the other end; both are written."""
+    """Facts with what their members say and their base beliefs, and the active edges with what they need of the other end; both are written.
+
+    ``node`` numbers the facts in order of their ids, since ties of a rank go by id.
+    """
     base = base_beliefs(dependence_groups(primed, p))
     members = _members(primed, facts, p).join(base, list(FACT), "left").withColumns({"b0": F.coalesce("b0", F.lit(0.5)), "dep_sum": F.coalesce("dep_sum", F.lit(0.0)), "n_groups": F.coalesce("n_groups", F.lit(0)), "strongest": F.coalesce("strongest", "fact_id")})
-    members = save(members, "score-facts")
-    other = members.select("subject_id", F.col("fact_id").alias("other"), F.col("strongest").alias("other_group"), F.col("newest").alias("other_newest"))
-    recency = F.when(F.col("half_life").isNotNull(), age_factor("other_newest", F.col("half_life"), p.as_of)).otherwise(1.0)
-    active = _active_edges(edges, facts, p).join(other, ["subject_id", "other"]).join(members.select(*FACT, "half_life"), list(FACT)).withColumn("recency", recency)
-    return members, save(active.select(*STATE, "other", "relation", "conf", "mitigation", "other_group", "recency"), "score-edges")
+    members = save(members.orderBy(*FACT).withColumn("node", F.monotonically_increasing_id()), "score-facts")
+    voices = save(members.select("strongest").distinct().withColumn("voice", F.monotonically_increasing_id()), "score-voices")
+    ends = save(members.join(voices, "strongest").select(*FACT, "node", "voice", "newest", "half_life"), "score-ends")
+    return members, save(_active_edges(edges, ends, p), "score-edges")
 
 
 def one_turn(state: DataFrame, active: DataFrame, p: Params) -> DataFrame:
-    """The beliefs after one more turn; ``past`` gains what the turn gave. state: STATE, s0, anchored, s, b, past."""
-    keys = ["subject_id", "explained"]
-    met = active.join(state.select(*keys, F.col("fact_id").alias("other"), F.col("b").alias("other_b")), [*keys, "other"])
-    voice = F.col("conf") * rel(F.col("other_b"))
-    met = met.select(*STATE, "other", "relation", "other_group", "conf", (p.corroboration_weight * voice * F.col("recency")).alias("term"), (p.contradiction_weight * voice * F.col("mitigation")).alias("down"))
-    rank = Window.partitionBy(*STATE, "relation", "other_group").orderBy(F.desc("term"), "other")
-    met = met.withColumn("w", F.pow(F.lit(p.dependence_damping), F.row_number().over(rank) - 1))
-    up, zero = F.col("relation") == "CORROBORATES", F.lit(0.0)
-    sums = met.groupBy(*STATE).agg(
-        F.sum(F.when(up, F.col("term") * F.col("w")).otherwise(zero)).alias("support"), F.sum(F.when(up, zero).otherwise(F.col("down"))).alias("conflict"),
-        F.sum(F.when(up, p.corroboration_weight * F.col("conf") * F.col("w")).otherwise(zero)).alias("mass"),
+    """The beliefs after one more turn; ``past`` gains what the turn gave. state: STATE, s0, anchored, s, b, past.
+
+    An edge up gives a term of confidence, belief and recency, its factor, damped by its rank among those of its voice; one down takes confidence, belief and mitigation, its factor.
+    """
+    of = lambda told: F.max(F.when(F.col("explained") == told, F.col("b")))
+    beliefs = state.groupBy(F.col("node").alias("other")).agg(*[of(told).alias(f"b_{n}") for n, told in PASSES.items()])
+    met = active.drop("subject_id").join(beliefs, "other")
+    up, zero = F.col("up"), F.lit(0.0)
+    weight = F.when(up, p.corroboration_weight).otherwise(p.contradiction_weight)
+    term = lambda n: F.when(F.col(f"b_{n}").isNotNull(), weight * (F.col(f"conf_{n}") * rel(F.col(f"b_{n}"))) * F.col(f"factor_{n}"))
+    met = met.select("node", "other", "voice", "up", *[F.col(f"conf_{n}") for n in PASSES], *[term(n).alias(f"term_{n}") for n in PASSES])
+    rank = lambda n: F.row_number().over(Window.partitionBy("node", "up", "voice").orderBy(F.desc(f"term_{n}"), "other"))
+    met = met.withColumns({f"w_{n}": F.pow(F.lit(p.dependence_damping), rank(n) - 1) for n in PASSES})
+    sums = lambda n: F.struct(
+        F.sum(F.when(up, F.col(f"term_{n}") * F.col(f"w_{n}")).otherwise(zero)).alias("support"), F.sum(F.when(up, zero).otherwise(F.col(f"term_{n}"))).alias("conflict"),
+        F.sum(F.when(up, p.corroboration_weight * F.col(f"conf_{n}") * F.col(f"w_{n}")).otherwise(zero)).alias("mass"),
     )
-    nxt = state.join(sums, list(STATE), "left").na.fill(0.0, ["support", "conflict", "mass"])
+    by = met.groupBy("node").agg(*[sums(n).alias(n) for n in PASSES])
+    given = by.select("node", F.inline(F.array(*[F.struct(F.lit(told).alias("explained"), *[F.col(f"{n}.{c}").alias(c) for c in ("support", "conflict", "mass")]) for n, told in PASSES.items()])))
+    nxt = state.join(given, ["node", "explained"], "left").na.fill(0.0, ["support", "conflict", "mass"])
     new = F.col("s0") + F.col("support") - F.col("conflict")
     new = F.when(F.col("anchored"), F.col("s") + p.anchor_plasticity * (new - F.col("s"))).otherwise(new)
     nxt = nxt.withColumn("s_next", (1 - p.damping) * F.col("s") + p.damping * new).withColumn("b_next", sigmoid(F.col("s_next")))
@@ -118,13 +139,13 @@ def fixed_point(primed: DataFrame, facts: DataFrame, edges: DataFrame, p: Params
     """(subject, fact, explained pass) with belief, support, conflict, independence, recency, evidence mass, iterations and converged.
 
     Some turns run in one job before the state is written. Subjects don't meet, so each keeps the first of these turns in which its own beliefs moved by less
-    than epsilon, and turns after it are of no account. Settled subjects leave the state, and the edges once half of those are settled.
+    than epsilon, and turns after it are of no account. Settled subjects leave the state, and the edges once half of those are settled. What a write shuffled is let go before the next, so that the disk holds two turns, not all.
     """
     members, edges_in = prepared(primed, facts, edges, p)
     active, keys = edges_in, ["subject_id", "explained"]
     passes = F.explode(F.array(F.lit(False), F.lit(True))).alias("explained")
     fixed, none = [*STATE, "s0", "anchored"], F.array().cast(PAST).alias("past")
-    state = members.select(*FACT, passes, logit(F.col("b0")).alias("s0"), "anchored", "b0").select(*fixed, F.col("s0").alias("s"), F.col("b0").alias("b"), none)
+    state = members.select("subject_id", "node", passes, logit(F.col("b0")).alias("s0"), "anchored", "b0").select(*fixed, F.col("s0").alias("s"), F.col("b0").alias("b"), none)
     settled: list[DataFrame] = []
     turn, thinned = 0, None
     while True:
@@ -139,22 +160,23 @@ def fixed_point(primed: DataFrame, facts: DataFrame, edges: DataFrame, p: Params
         now = F.element_at("past", F.col("at"))
         settled.append(state.join(told.where("at IS NOT NULL"), keys).select(*fixed, *[now[c].alias(c) for c in ("s", "b", "support", "conflict", "mass")], (F.lit(turn) + F.col("at")).alias("iterations"), "done"))
         turn += turns
+        freed(state.sparkSession)
         if not count.get("live"):
             break
         thinned = thinned or count["n"]
         live = told.where("at IS NULL").select(*keys)
         state = state.join(live, keys, "left_semi").select(*fixed, "s", "b", none)
         if 2 * count["live"] <= thinned:
-            active, thinned = save(active.join(live, keys, "left_semi"), "score-edges"), count["live"]
+            active, thinned = save(active.join(live.select("subject_id").distinct(), "subject_id", "left_semi"), "score-edges"), count["live"]
     state = settled[0]
     for more in settled[1:]:
         state = state.unionByName(more)
-    supported = edges_in.where("relation = 'CORROBORATES'").select(*STATE).distinct().withColumn("supported", F.lit(True))
-    out = state.join(supported, list(STATE), "left").join(members.drop("anchored", "b0"), list(FACT))
+    supported = edges_in.where("up").select("node").distinct().withColumn("supported", F.lit(True))
+    out = state.join(supported, "node", "left").join(members.drop("anchored", "b0", "subject_id"), "node")
     praise = F.col("all_self") & ~F.col("against") & F.col("supported").isNull()
     belief = clip(F.when(praise, F.least("b", F.lit(p.self_praise_ceiling))).otherwise(F.col("b")), 0.02, 0.98)
     independence = F.when(F.col("n_members") == 0, 0.0).otherwise(F.col("n_groups") / F.col("n_members"))
-    return out.select(*STATE, belief.alias("belief"), "support", "conflict", independence.alias("independence"), F.coalesce("recency", F.lit(1.0)).alias("recency"), (F.col("dep_sum") + F.col("mass")).alias("evidence_mass"), "iterations", F.col("done").alias("converged"))
+    return out.select(*FACT, "explained", belief.alias("belief"), "support", "conflict", independence.alias("independence"), F.coalesce("recency", F.lit(1.0)).alias("recency"), (F.col("dep_sum") + F.col("mass")).alias("evidence_mass"), "iterations", F.col("done").alias("converged"))
 
 
 def score(claims: DataFrame, facts: DataFrame, attestors: DataFrame, edges: DataFrame, p: Params) -> dict[str, DataFrame]:
