@@ -14,6 +14,7 @@ from evidentia.config import Params
 from evidentia.functions.dates import age_factor
 from evidentia.functions.maths import band, claim_prior, clip, display, logit, rel, saturation, sigmoid, tier
 from evidentia.operators.iterate import freed, save, saved
+from evidentia.operators.settling import SETTLED, settled_whole
 
 FACT = ("subject_id", "fact_id")
 STATE = ("subject_id", "node", "explained")
@@ -66,18 +67,22 @@ def _members(primed: DataFrame, facts: DataFrame, p: Params) -> DataFrame:
     return f.join(told, list(FACT))
 
 
+def _said(edges: DataFrame) -> DataFrame:
+    """What scores take of edges: subject_id, from_fact, to_fact, up, conf_bare, conf_full, mitigated. An edge that is not active in a pass has no confidence there."""
+    e = edges.where(F.col("relation").isin("CORROBORATES", "CONTRADICTS"))
+    up, off = F.col("relation") == "CORROBORATES", F.lit(False)
+    ctx = ~up & F.coalesce("with_context", off)
+    full = F.when(ctx, F.when(F.col("ctx_relation") == "CONTRADICTS", F.least("confidence", F.coalesce("ctx_confidence", "confidence")))).otherwise(F.col("confidence"))
+    return e.select("subject_id", "from_fact", "to_fact", up.alias("up"), F.col("confidence").alias("conf_bare"), full.alias("conf_full"), (ctx & F.coalesce("explained", off)).alias("mitigated"))
+
+
 def _active_edges(edges: DataFrame, ends: DataFrame, p: Params) -> DataFrame:
     """Both directions of every edge between known facts: (subject_id, node, other, voice of the other, up) with confidence and factor, see ``one_turn``, of each of PASSES.
 
     Facts are known by numbers, an edge has both passes in one row, and each end is looked up once: the edges grow with the square of a subject's claims. An edge that is
     not active in a pass has no confidence there. ends: FACT, node, voice, newest, half_life.
     """
-    e = edges.where(F.col("relation").isin("CORROBORATES", "CONTRADICTS"))
-    up, off = F.col("relation") == "CORROBORATES", F.lit(False)
-    ctx = ~up & F.coalesce("with_context", off)
-    full = F.when(ctx, F.when(F.col("ctx_relation") == "CONTRADICTS", F.least("confidence", F.coalesce("ctx_confidence", "confidence")))).otherwise(F.col("confidence"))
-    mitigation = F.when(ctx & F.coalesce("explained", off), 1 - p.explanation_mitigation).otherwise(1.0)
-    e = e.select("subject_id", "from_fact", "to_fact", up.alias("up"), F.col("confidence").alias("conf_bare"), full.alias("conf_full"), mitigation.alias("mitigation"))
+    e = _said(edges).withColumn("mitigation", F.when(F.col("mitigated"), 1 - p.explanation_mitigation).otherwise(1.0)).drop("mitigated")
     told = ("node", "voice", "newest", "half_life")
     for end in ("from", "to"):
         e = e.join(ends.select("subject_id", F.col("fact_id").alias(f"{end}_fact"), *[F.col(c).alias(f"{end}_{c}") for c in told]), ["subject_id", f"{end}_fact"]).drop(f"{end}_fact")
@@ -92,16 +97,22 @@ def _active_edges(edges: DataFrame, ends: DataFrame, p: Params) -> DataFrame:
 
 
 def prepared(primed: DataFrame, facts: DataFrame, edges: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
-    """Facts with what their members say and their base beliefs, and the active edges with what they need of the other end; both are written.
+    """Facts with what their members say and their base beliefs, and the active edges with what they need of the other end; both are written."""
+    members = _numbered(primed, facts, p)
+    return members, _numbered_edges(members, edges, p)
 
-    ``node`` numbers the facts in order of their ids, since ties of a rank go by id.
-    """
+
+def _numbered(primed: DataFrame, facts: DataFrame, p: Params) -> DataFrame:
+    """``node`` numbers the facts in order of their ids, since ties of a rank go by id."""
     base = base_beliefs(dependence_groups(primed, p))
     members = _members(primed, facts, p).join(base, list(FACT), "left").withColumns({"b0": F.coalesce("b0", F.lit(0.5)), "dep_sum": F.coalesce("dep_sum", F.lit(0.0)), "n_groups": F.coalesce("n_groups", F.lit(0)), "strongest": F.coalesce("strongest", "fact_id")})
-    members = save(members.orderBy(*FACT).withColumn("node", F.monotonically_increasing_id()), "score-facts")
+    return save(members.orderBy(*FACT).withColumn("node", F.monotonically_increasing_id()), "score-facts")
+
+
+def _numbered_edges(members: DataFrame, edges: DataFrame, p: Params) -> DataFrame:
     voices = save(members.select("strongest").distinct().withColumn("voice", F.monotonically_increasing_id()), "score-voices")
     ends = save(members.join(voices, "strongest").select(*FACT, "node", "voice", "newest", "half_life"), "score-ends")
-    return members, save(_active_edges(edges, ends, p), "score-edges")
+    return save(_active_edges(edges, ends, p), "score-edges")
 
 
 def one_turn(state: DataFrame, active: DataFrame, p: Params) -> DataFrame:
@@ -135,13 +146,37 @@ def one_turn(state: DataFrame, active: DataFrame, p: Params) -> DataFrame:
 PAST = "array<struct<s: double, b: double, support: double, conflict: double, mass: double, move: double>>"
 
 
-def fixed_point(primed: DataFrame, facts: DataFrame, edges: DataFrame, p: Params, turns_a_write: int = 2) -> DataFrame:
+#: Edges up to which a subject is settled whole in one task: two directions of these take about 300 MB there.
+WHOLE = 1 << 22
+
+
+def fixed_point(primed: DataFrame, facts: DataFrame, edges: DataFrame, p: Params, turns_a_write: int = 2, whole: int = WHOLE) -> DataFrame:
     """(subject, fact, explained pass) with belief, support, conflict, independence, recency, evidence mass, iterations and converged.
 
-    Some turns run in one job before the state is written. Subjects don't meet, so each keeps the first of these turns in which its own beliefs moved by less
+    Subjects don't meet: one of up to ``whole`` edges is settled in one task, see ``settling``, larger ones in turns that are jobs, see ``_in_turns``. Both take the same turns.
+    """
+    members = _numbered(primed, facts, p)
+    sizes = edges.where("subject_id IS NOT NULL").groupBy("subject_id").agg(F.count("*").alias("n"))
+    large, found = saved(sizes.where(F.col("n") > whole).select("subject_id"), "score-large", n=F.count(F.lit(1)))
+    if not found.get("n"):
+        state = settled_whole(members, _said(edges), p)
+    else:
+        of = lambda rows, how: rows.join(large, "subject_id", how)
+        state = settled_whole(of(members, "left_anti"), _said(of(edges, "left_anti")), p).unionByName(_in_turns(of(members, "left_semi"), of(edges, "left_semi"), p, turns_a_write))
+    out = state.join(members.drop("anchored", "b0", "subject_id"), "node")
+    praise = F.col("all_self") & ~F.col("against") & ~F.col("supported")
+    belief = clip(F.when(praise, F.least("b", F.lit(p.self_praise_ceiling))).otherwise(F.col("b")), 0.02, 0.98)
+    independence = F.when(F.col("n_members") == 0, 0.0).otherwise(F.col("n_groups") / F.col("n_members"))
+    return out.select(*FACT, "explained", belief.alias("belief"), "support", "conflict", independence.alias("independence"), F.coalesce("recency", F.lit(1.0)).alias("recency"), (F.col("dep_sum") + F.col("mass")).alias("evidence_mass"), "iterations", F.col("done").alias("converged"))
+
+
+def _in_turns(members: DataFrame, edges: DataFrame, p: Params, turns_a_write: int) -> DataFrame:
+    """(subject_id, ``settling.SETTLED``) of subjects of any size.
+
+    Some turns run in one job before the state is written. Each subject keeps the first of these turns in which its own beliefs moved by less
     than epsilon, and turns after it are of no account. Settled subjects leave the state, and the edges once half of those are settled. What a write shuffled is let go before the next, so that the disk holds two turns, not all.
     """
-    members, edges_in = prepared(primed, facts, edges, p)
+    edges_in = _numbered_edges(members, edges, p)
     active, keys = edges_in, ["subject_id", "explained"]
     passes = F.explode(F.array(F.lit(False), F.lit(True))).alias("explained")
     fixed, none = [*STATE, "s0", "anchored"], F.array().cast(PAST).alias("past")
@@ -172,11 +207,7 @@ def fixed_point(primed: DataFrame, facts: DataFrame, edges: DataFrame, p: Params
     for more in settled[1:]:
         state = state.unionByName(more)
     supported = edges_in.where("up").select("node").distinct().withColumn("supported", F.lit(True))
-    out = state.join(supported, "node", "left").join(members.drop("anchored", "b0", "subject_id"), "node")
-    praise = F.col("all_self") & ~F.col("against") & F.col("supported").isNull()
-    belief = clip(F.when(praise, F.least("b", F.lit(p.self_praise_ceiling))).otherwise(F.col("b")), 0.02, 0.98)
-    independence = F.when(F.col("n_members") == 0, 0.0).otherwise(F.col("n_groups") / F.col("n_members"))
-    return out.select(*FACT, "explained", belief.alias("belief"), "support", "conflict", independence.alias("independence"), F.coalesce("recency", F.lit(1.0)).alias("recency"), (F.col("dep_sum") + F.col("mass")).alias("evidence_mass"), "iterations", F.col("done").alias("converged"))
+    return state.join(supported, "node", "left").select("subject_id", *SETTLED[:-1], F.coalesce("supported", F.lit(False)).alias("supported"))
 
 
 def score(claims: DataFrame, facts: DataFrame, attestors: DataFrame, edges: DataFrame, p: Params) -> dict[str, DataFrame]:
