@@ -1,8 +1,7 @@
 """Trust propagation to a fixed point, and the scores that follow from it.
 
-The iteration is data-parallel over (subject, fact, pass): both passes run in the same plan, a subject leaves the loop when its own beliefs
-have settled, and no fact's claims or edges are gathered in one place; ranks are windows over the voices of a fact, sums and the largest
-move of a subject are aggregates.
+Subjects don't meet, so most are settled in one task each. The edges of larger ones are dealt by ranges of facts once; both passes of a turn run
+in the same job over them, and ranks are told where the edges of a fact lie. Both passes are told of every fact.
 """
 
 from __future__ import annotations
@@ -12,14 +11,11 @@ from pyspark.sql import functions as F
 
 from evidentia.config import Params
 from evidentia.functions.dates import age_factor
-from evidentia.functions.maths import band, claim_prior, clip, display, logit, rel, saturation, sigmoid, tier
-from evidentia.operators.iterate import freed, save, saved
-from evidentia.operators.settling import SETTLED, settled_whole
+from evidentia.functions.maths import band, claim_prior, clip, display, saturation, tier
+from evidentia.operators.iterate import save, saved
+from evidentia.operators.settling import settled_in_turns, settled_whole
 
 FACT = ("subject_id", "fact_id")
-STATE = ("subject_id", "node", "explained")
-#: Both passes, and whether explanations count.
-PASSES = {"bare": False, "full": True}
 
 
 def with_priors(claims: DataFrame, attestors: DataFrame, p: Params) -> DataFrame:
@@ -77,7 +73,7 @@ def _said(edges: DataFrame) -> DataFrame:
 
 
 def _active_edges(edges: DataFrame, ends: DataFrame, p: Params) -> DataFrame:
-    """Both directions of every edge between known facts: (subject_id, node, other, voice of the other, up) with confidence and factor, see ``one_turn``, of each of PASSES.
+    """Both directions of every edge between known facts: (subject_id, node, other, voice of the other, up) with confidence and factor, see ``settling``, of each pass, bare or full.
 
     Facts are known by numbers, an edge has both passes in one row, and each end is looked up once: the edges grow with the square of a subject's claims. An edge that is
     not active in a pass has no confidence there. ends: FACT, node, voice, newest, half_life.
@@ -115,45 +111,14 @@ def _numbered_edges(members: DataFrame, edges: DataFrame, p: Params) -> DataFram
     return save(_active_edges(edges, ends, p), "score-edges")
 
 
-def one_turn(state: DataFrame, active: DataFrame, p: Params) -> DataFrame:
-    """The beliefs after one more turn; ``past`` gains what the turn gave. state: STATE, s0, anchored, s, b, past.
-
-    An edge up gives a term of confidence, belief and recency, its factor, damped by its rank among those of its voice; one down takes confidence, belief and mitigation, its factor.
-    """
-    of = lambda told: F.max(F.when(F.col("explained") == told, F.col("b")))
-    beliefs = state.groupBy(F.col("node").alias("other")).agg(*[of(told).alias(f"b_{n}") for n, told in PASSES.items()])
-    met = active.drop("subject_id").join(beliefs, "other")
-    up, zero = F.col("up"), F.lit(0.0)
-    weight = F.when(up, p.corroboration_weight).otherwise(p.contradiction_weight)
-    term = lambda n: F.when(F.col(f"b_{n}").isNotNull(), weight * (F.col(f"conf_{n}") * rel(F.col(f"b_{n}"))) * F.col(f"factor_{n}"))
-    met = met.select("node", "other", "voice", "up", *[F.col(f"conf_{n}") for n in PASSES], *[term(n).alias(f"term_{n}") for n in PASSES])
-    rank = lambda n: F.row_number().over(Window.partitionBy("node", "up", "voice").orderBy(F.desc(f"term_{n}"), "other"))
-    met = met.withColumns({f"w_{n}": F.pow(F.lit(p.dependence_damping), rank(n) - 1) for n in PASSES})
-    sums = lambda n: F.struct(
-        F.sum(F.when(up, F.col(f"term_{n}") * F.col(f"w_{n}")).otherwise(zero)).alias("support"), F.sum(F.when(up, zero).otherwise(F.col(f"term_{n}"))).alias("conflict"),
-        F.sum(F.when(up, p.corroboration_weight * F.col(f"conf_{n}") * F.col(f"w_{n}")).otherwise(zero)).alias("mass"),
-    )
-    by = met.groupBy("node").agg(*[sums(n).alias(n) for n in PASSES])
-    given = by.select("node", F.inline(F.array(*[F.struct(F.lit(told).alias("explained"), *[F.col(f"{n}.{c}").alias(c) for c in ("support", "conflict", "mass")]) for n, told in PASSES.items()])))
-    nxt = state.join(given, ["node", "explained"], "left").na.fill(0.0, ["support", "conflict", "mass"])
-    new = F.col("s0") + F.col("support") - F.col("conflict")
-    new = F.when(F.col("anchored"), F.col("s") + p.anchor_plasticity * (new - F.col("s"))).otherwise(new)
-    nxt = nxt.withColumn("s_next", (1 - p.damping) * F.col("s") + p.damping * new).withColumn("b_next", sigmoid(F.col("s_next")))
-    told = F.struct(F.col("s_next").alias("s"), F.col("b_next").alias("b"), "support", "conflict", "mass", F.abs(F.col("b_next") - F.col("b")).alias("move"))
-    return nxt.select(*STATE, "s0", "anchored", F.col("s_next").alias("s"), F.col("b_next").alias("b"), F.array_append("past", told).alias("past"))
-
-
-PAST = "array<struct<s: double, b: double, support: double, conflict: double, mass: double, move: double>>"
-
-
-#: Edges up to which a subject is settled whole in one task: two directions of these take about 300 MB there.
+#: Edges up to which a subject is settled whole in one task: a worker that held as many took 569 MB in all.
 WHOLE = 1 << 22
 
 
-def fixed_point(primed: DataFrame, facts: DataFrame, edges: DataFrame, p: Params, turns_a_write: int = 2, whole: int = WHOLE) -> DataFrame:
+def fixed_point(primed: DataFrame, facts: DataFrame, edges: DataFrame, p: Params, whole: int = WHOLE) -> DataFrame:
     """(subject, fact, explained pass) with belief, support, conflict, independence, recency, evidence mass, iterations and converged.
 
-    Subjects don't meet: one of up to ``whole`` edges is settled in one task, see ``settling``, larger ones in turns that are jobs, see ``_in_turns``. Both take the same turns.
+    Subjects don't meet: one of up to ``whole`` edges is settled in one task, larger ones in turns that are jobs, see ``settling``. Both take the same turns.
     """
     members = _numbered(primed, facts, p)
     sizes = edges.where("subject_id IS NOT NULL").groupBy("subject_id").agg(F.count("*").alias("n"))
@@ -162,7 +127,9 @@ def fixed_point(primed: DataFrame, facts: DataFrame, edges: DataFrame, p: Params
         state = settled_whole(members, _said(edges), p)
     else:
         of = lambda rows, how: rows.join(large, "subject_id", how)
-        state = settled_whole(of(members, "left_anti"), _said(of(edges, "left_anti")), p).unionByName(_in_turns(of(members, "left_semi"), of(edges, "left_semi"), p, turns_a_write))
+        state = settled_whole(of(members, "left_anti"), _said(of(edges, "left_anti")), p)
+        big = of(members, "left_semi")
+        state = state.unionByName(settled_in_turns(big, _numbered_edges(big, of(edges, "left_semi"), p), p))
     out = state.join(members.drop("anchored", "b0", "subject_id"), "node")
     praise = F.col("all_self") & ~F.col("against") & ~F.col("supported")
     belief = clip(F.when(praise, F.least("b", F.lit(p.self_praise_ceiling))).otherwise(F.col("b")), 0.02, 0.98)
@@ -170,46 +137,6 @@ def fixed_point(primed: DataFrame, facts: DataFrame, edges: DataFrame, p: Params
     return out.select(*FACT, "explained", belief.alias("belief"), "support", "conflict", independence.alias("independence"), F.coalesce("recency", F.lit(1.0)).alias("recency"), (F.col("dep_sum") + F.col("mass")).alias("evidence_mass"), "iterations", F.col("done").alias("converged"))
 
 
-def _in_turns(members: DataFrame, edges: DataFrame, p: Params, turns_a_write: int) -> DataFrame:
-    """(subject_id, ``settling.SETTLED``) of subjects of any size.
-
-    Some turns run in one job before the state is written. Each subject keeps the first of these turns in which its own beliefs moved by less
-    than epsilon, and turns after it are of no account. Settled subjects leave the state, and the edges once half of those are settled. What a write shuffled is let go before the next, so that the disk holds two turns, not all.
-    """
-    edges_in = _numbered_edges(members, edges, p)
-    active, keys = edges_in, ["subject_id", "explained"]
-    passes = F.explode(F.array(F.lit(False), F.lit(True))).alias("explained")
-    fixed, none = [*STATE, "s0", "anchored"], F.array().cast(PAST).alias("past")
-    state = members.select("subject_id", "node", passes, logit(F.col("b0")).alias("s0"), "anchored", "b0").select(*fixed, F.col("s0").alias("s"), F.col("b0").alias("b"), none)
-    settled: list[DataFrame] = []
-    turn, thinned = 0, None
-    while True:
-        turns = min(turns_a_write, p.max_iterations - turn)
-        for _ in range(turns):
-            state = one_turn(state, active, p)
-        state = save(state, "score-state")
-        moves = state.groupBy(*keys).agg(F.array(*[F.max(F.col("past")[k]["move"]) for k in range(turns)]).alias("moves"))
-        first = F.array_position(F.transform("moves", lambda m: m < p.epsilon), True).cast("int")
-        ended = moves.select(*keys, F.when(first > 0, first).when(F.lit(turn + turns == p.max_iterations), turns).alias("at"), (first > 0).alias("done"))
-        told, count = saved(ended, "score-settled", live=F.count_if(F.col("at").isNull()), n=F.count("*"))
-        now = F.element_at("past", F.col("at"))
-        settled.append(state.join(told.where("at IS NOT NULL"), keys).select(*fixed, *[now[c].alias(c) for c in ("s", "b", "support", "conflict", "mass")], (F.lit(turn) + F.col("at")).alias("iterations"), "done"))
-        turn += turns
-        freed(state.sparkSession)
-        if not count.get("live"):
-            break
-        thinned = thinned or count["n"]
-        live = told.where("at IS NULL").select(*keys)
-        state = state.join(live, keys, "left_semi").select(*fixed, "s", "b", none)
-        if 2 * count["live"] <= thinned:
-            active, thinned = save(active.join(live.select("subject_id").distinct(), "subject_id", "left_semi"), "score-edges"), count["live"]
-    state = settled[0]
-    for more in settled[1:]:
-        state = state.unionByName(more)
-    supported = edges_in.where("up").select("node").distinct().withColumn("supported", F.lit(True))
-    return state.join(supported, "node", "left").select("subject_id", *SETTLED[:-1], F.coalesce("supported", F.lit(False)).alias("supported"))
-
-
 def score(claims: DataFrame, facts: DataFrame, attestors: DataFrame, edges: DataFrame, p: Params) -> dict[str, DataFrame]:
     """facts, claims and trust: scores after both passes.
 
