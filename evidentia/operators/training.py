@@ -156,8 +156,18 @@ def similar_sets(sets: DataFrame, least: float, group: str = "subject_id", key:
     near = near.where(F.col("similarity") >= least)
     member = lambda c, rep: of.select(group, F.col(key).alias(c), F.col("rep").alias(rep))
     apart = near.join(member("x", "i"), [group, "i"]).join(member("y", "j"), [group, "j"]).select(group, F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "similarity")
-    equal = member("i", "rep").join(member("j", "rep"), [group, "rep"]).where("i < j").select(group, "i", "j", F.lit(1.0).alias("similarity"))
-    return apart.unionByName(equal)
+    return apart.unionByName(_equal_pairs(of, group, key).withColumn("similarity", F.lit(1.0)))
+
+
+def _equal_pairs(of: DataFrame, group: str, key: str, part_rows: int = 1024) -> DataFrame:
+    """(group, i, j) of the pairs i < j of one ``rep``, which grow with the square of its rows: these are dealt into parts for either end, and each part meets each, so no task gets more than two parts' pairs at once."""
+    parts = of.groupBy(group, "rep").agg(F.count("*").alias("n")).where("n > 1").select(group, "rep", F.ceil(F.col("n") / part_rows).cast("int").alias("parts"))
+    rows = of.join(parts, [group, "rep"])
+    own, all_ = F.pmod(F.xxhash64(key), F.col("parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    end = lambda c, x, y: rows.select(group, "rep", F.col(key).alias(c), x.alias("x"), y.alias("y"))
+    # the number of tasks follows the pairs, not the few bytes of the keys
+    keys, tasks = [group, "rep", "x", "y"], int(of.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return end("i", own, all_).repartition(tasks, *keys).join(end("j", all_, own).repartition(tasks, *keys), keys).where("i < j").select(group, "i", "j")
 
 
 def keep_first_of_near(questions: DataFrame, p: Params, text: str = "question") -> DataFrame:

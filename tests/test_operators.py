@@ -200,6 +200,14 @@ def test_components_of_chains_stars_and_nothing(spark):
 # --- training sets
 
 
+def test_pairs_of_equal_sets_are_dealt_to_many_tasks(spark):
+    """One set of many copies: every pair of them, once, and not all in one task."""
+    of = spark.range(300).select(F.lit("g").alias("subject_id"), F.col("id").alias("place"), F.when(F.col("id") < 280, 0).otherwise(F.col("id")).alias("rep"))
+    got = training._equal_pairs(of, "subject_id", "place", part_rows=32).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r["i"], r["j"]) for r in got) == [(i, j) for i in range(280) for j in range(i + 1, 280)]
+    assert len({r["task"] for r in got}) == 4
+
+
 def test_near_questions_keep_the_first(spark):
     long = "what did you learn while leading the payments migration at the bank last year"
     rows = [("s", 1, long), ("s", 2, long + " exactly"), ("s", 3, "something else entirely here"), ("s", 4, long), ("t", 5, long), ("s", 6, ""), ("s", 7, "")]
