@@ -5,7 +5,10 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,16 +133,24 @@ def allocate(candidates: DataFrame, p: Params) -> DataFrame:
     return rows.where(F.col("w").isNull() | (F.col("r") <= F.ceil(F.col("w") * F.col("n")))).drop("w", "r", "n")
 
 
-def similar_sets(sets: DataFrame, least: float, group: str = "subject_id", key: str = "place", items: str = "s") -> DataFrame:
+def similar_sets(sets: DataFrame, least: float, group: str = "subject_id", key: str = "place", items: str = "s", shelved: bool = False) -> DataFrame:
     """(group, i, j, similarity) of pairs i < j of non-empty sets in a group with at least this Jaccard similarity.
 
     Two such sets share one of their rarest items: of a set of n the n - ceil(least n) + 1 rarest. Only those are joined, so that an item
-    that most sets have makes no pairs. Equal sets are joined as one, under their smallest key, and only the result is told for each of them.
+    that most sets have makes no pairs. Equal sets are joined as one, under their smallest key, and only the result is told for each of them. Where ``least`` is so low that
+    many pairs share a rare item, ``shelved`` counts all items instead, see ``_on_shelves``: no pair travels then but those of the result.
     """
     rows = sets.where(F.size(items) > 0).select(group, key, items, F.sha2(F.to_json(F.array_sort(items)), 256).alias("class"))
     first = rows.groupBy(group, "class").agg(F.min(key).alias("rep"))
     of = save(rows.select(group, key, "class").join(first, [group, "class"]).select(group, key, "rep"), "equal-sets")
     rows = rows.join(of.where(F.col(key) == F.col("rep")).select(group, key), [group, key], "left_semi").select(group, key, items)
+    near = (_on_shelves if shelved else _by_rare_items)(rows, least, group, key, items)
+    member = lambda c, rep: of.select(group, F.col(key).alias(c), F.col("rep").alias(rep))
+    apart = near.join(member("x", "i"), [group, "i"]).join(member("y", "j"), [group, "j"]).select(group, F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "similarity")
+    return apart.unionByName(_equal_pairs(of, group, key).withColumn("similarity", F.lit(1.0)))
+
+
+def _by_rare_items(rows: DataFrame, least: float, group: str, key: str, items: str) -> DataFrame:
     often = rows.select(group, F.explode(items).alias("x")).groupBy(group, "x").agg(F.count("*").alias("df"))
     ranked = rows.select(group, key, F.explode(items).alias("x")).join(often, [group, "x"]).groupBy(group, key).agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("r"))
     n = F.size("r")
@@ -153,10 +164,78 @@ def similar_sets(sets: DataFrame, least: float, group: str = "subject_id", key:
     pairs = a.join(b, [group, "x"]).where((F.col("i") < F.col("j")) & size & enough).select(group, "i", "j").distinct()
     side = lambda c: rows.select(group, F.col(key).alias(c), F.col(items).alias(f"s{c}"))
     near = pairs.join(side("i"), [group, "i"]).join(side("j"), [group, "j"]).select(group, "i", "j", jaccard("si", "sj").alias("similarity"))
-    near = near.where(F.col("similarity") >= least)
-    member = lambda c, rep: of.select(group, F.col(key).alias(c), F.col("rep").alias(rep))
-    apart = near.join(member("x", "i"), [group, "i"]).join(member("y", "j"), [group, "j"]).select(group, F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "similarity")
-    return apart.unionByName(_equal_pairs(of, group, key).withColumn("similarity", F.lit(1.0)))
+    return near.where(F.col("similarity") >= least)
+
+
+def _on_shelves(rows: DataFrame, least: float, group: str, key: str, items: str, shelf_rows: int = 8192) -> DataFrame:
+    """(group, i, j, similarity) of similar sets: a task holds the sets of a shelf by their items, the sets of this and the earlier shelves stream past and count what they have in common with each.
+
+    Exact without candidates: what is shuffled is a set once for each shelf that it meets, and no task holds more than a shelf and a batch.
+    """
+    shelves = rows.groupBy(group).agg(F.ceil(F.count("*") / shelf_rows).cast("int").alias("shelves"))
+    dealt = rows.select(group, key, items).join(shelves, group).withColumn("own", F.pmod(F.xxhash64(key), F.col("shelves")).cast("int"))
+    side = lambda shelf, passing: dealt.select(group, shelf.alias("shelf"), F.lit(passing).alias("passing"), "own", key, items)
+    both = side(F.col("own"), False).unionByName(side(F.explode(F.sequence("own", F.col("shelves") - 1)), True))
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = both.repartition(tasks, group, "shelf").sortWithinPartitions(group, "shelf", "passing")
+    kind = rows.schema[key].dataType.simpleString()
+
+    def words(sets: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The items of all sets and where each set's begin."""
+        return sets.flatten(), np.r_[0, np.cumsum(pc.list_value_length(sets).to_numpy(zero_copy_only=False))]
+
+    def shelf_of(held: list[pa.RecordBatch]):
+        t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        flat, at = words(t[items])
+        coded = flat.dictionary_encode()
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        size = np.diff(at)
+        order = np.argsort(codes, kind="stable")
+        holders = np.repeat(np.arange(len(size), dtype=np.int32), size)[order]
+        return t[key], size, coded.dictionary, np.split(holders, np.cumsum(np.bincount(codes, minlength=len(coded.dictionary)))[:-1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, shelf = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            groups = batch[group].dictionary_encode()
+            codes, shelf_no, passing = groups.indices.to_numpy(zero_copy_only=False), batch["shelf"].to_numpy(), batch["passing"].to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero((np.diff(codes) != 0) | (np.diff(shelf_no) != 0) | (passing[1:] != passing[:-1])) + 1).tolist(), len(codes)]
+            for x, y in zip(cuts, cuts[1:], strict=False):
+                part, here = batch.slice(x, y - x), (groups.dictionary[int(codes[x])].as_py(), int(shelf_no[x]))
+                if here != at:
+                    at, held, shelf = here, [], None
+                if not passing[x]:
+                    held.append(part)
+                    continue
+                if held:
+                    shelf, held = shelf_of(held), []
+                if shelf:
+                    yield from met(part, at, shelf)
+
+    def met(part: pa.RecordBatch, at: tuple, shelf: tuple) -> Iterator[pa.RecordBatch]:
+        keys, size, names, holders = shelf
+        flat, begin = words(part[items])
+        codes = pc.index_in(flat, value_set=names).fill_null(-1).to_numpy(zero_copy_only=False)
+        found_i, found_j, similar = [], [], []
+        for row in range(part.num_rows):
+            own = codes[begin[row] : begin[row + 1]]
+            common = [holders[c] for c in own[own >= 0]]
+            if common:
+                both = np.bincount(np.concatenate(common), minlength=len(size))
+                likeness = both / (size + (begin[row + 1] - begin[row]) - both)
+                hit = np.flatnonzero(likeness >= least)
+                found_i.append(np.full(len(hit), row)), found_j.append(hit), similar.append(likeness[hit])
+        if found_i:
+            mine, theirs = part[key].take(pa.array(np.concatenate(found_i))), keys.take(pa.array(np.concatenate(found_j)))
+            # in its own shelf a pair meets twice, and each set itself
+            keep = pc.or_(pc.less(mine, theirs), pc.and_(pc.not_equal(part["own"].take(pa.array(np.concatenate(found_i))), at[1]), pc.not_equal(mine, theirs)))
+            mine, theirs, similarity = mine.filter(keep), theirs.filter(keep), pa.array(np.concatenate(similar)).filter(keep)
+            less = pc.less(mine, theirs)
+            yield pa.RecordBatch.from_arrays([pa.array([at[0]] * len(mine), part.schema.field(group).type), pc.if_else(less, mine, theirs), pc.if_else(less, theirs, mine), similarity], [group, "i", "j", "similarity"])
+
+    return both.mapInArrow(run, f"{group} {rows.schema[group].dataType.simpleString()}, i {kind}, j {kind}, similarity double")
 
 
 def _equal_pairs(of: DataFrame, group: str, key: str, part_rows: int = 1024) -> DataFrame:

@@ -208,6 +208,20 @@ def test_pairs_of_equal_sets_are_dealt_to_many_tasks(spark):
     assert len({r["task"] for r in got}) == 4
 
 
+def test_sets_that_stream_past_shelves_are_those_joined(spark):
+    """Shelves of any size, of several groups, give the pairs of all sets against all, and so does the join on rare items."""
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    sets = [(g, i, [f"w{x}" for x in r.choice(30, r.integers(1, 9), replace=False)]) for g in "xy" for i in range(60)] + [("z", 0, ["w1"]), ("z", 1, [])]
+    want = {(g, i, j): len(set(a) & set(b)) / len(set(a) | set(b)) for g, i, a in sets for h, j, b in sets if g == h and i < j and len(set(a) & set(b)) >= 0.4 * len(set(a) | set(b)) > 0}
+    df = spark.createDataFrame(sets, "subject_id string, place long, s array<string>")
+    told = lambda rows: {(x["subject_id"], x["i"], x["j"]): x["similarity"] for x in rows.collect()}
+    assert told(training.similar_sets(df, 0.4, shelved=True)) == pytest.approx(want) and told(training.similar_sets(df, 0.4)) == pytest.approx(want)
+    few = training._on_shelves(df.where("size(s) > 0"), 0.4, "subject_id", "place", "s", shelf_rows=7)
+    assert few.count() == len(want) and told(few) == pytest.approx(want)
+
+
 def test_near_questions_keep_the_first(spark):
     long = "what did you learn while leading the payments migration at the bank last year"
     rows = [("s", 1, long), ("s", 2, long + " exactly"), ("s", 3, "something else entirely here"), ("s", 4, long), ("t", 5, long), ("s", 6, ""), ("s", 7, "")]
